@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sluice.functions.jsonpath import _c, is_json_null, vkind
+from sluice.functions.jsonpath import _c, is_number, jtext, vkind
 from sluice.functions.timefmt import format_instant, parse_instant
 
 __all__ = ["convert", "CONVERSION_TYPES", "spark_type_of"]
@@ -34,22 +34,22 @@ def convert(v, typ: str | None, source_format: str | None = None,
     v = _c(v)
     t = (typ or "").strip().lower()
     k = vkind(v) if kind is None else kind
-    s = F.try_variant_get(v, "$", "string") if text is None else text
+    s = jtext(v, k) if text is None else text
     null = k == "null"
     if typ is None:
         # No type: value passes through as text of the JSON value.
         return F.when(~null, s), F.lit(False)
     if t == "long":
-        val = (F.when(k == "number", F.try_variant_get(v, "$", "bigint"))
+        val = (F.when(is_number(k), F.try_variant_get(v, "$", "bigint"))
                .when((k == "string") & s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint")))
     elif t == "double":
-        val = (F.when(k == "number", F.try_variant_get(v, "$", "double"))
+        val = (F.when(is_number(k), F.try_variant_get(v, "$", "double"))
                .when(k == "string", F.trim(s).try_cast("double")))
     elif t == "boolean":
         val = F.when(~null, F.lower(s) == "true")
     elif t == "decimal":
         dt = f"decimal(38,{scale})"
-        val = (F.when(k == "number", F.try_variant_get(v, "$", dt))
+        val = (F.when(is_number(k), F.try_variant_get(v, "$", dt))
                .when((k == "string") & s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"),
                      s.try_cast(dt)))
     elif t == "datetime":

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "normalize_path", "root_path", "parse_body", "vget", "vkind", "vtext",
+    "normalize_path", "root_path", "parse_body", "vget", "vkind", "vtext", "jtext", "is_number", "NUMBER_KINDS",
     "read_integer", "read_string", "read_boolean", "read_instant",
     "read_monotonic_id", "is_json_null", "ISO_INSTANT_RE",
 ]
@@ -71,25 +71,42 @@ def is_json_null(v) -> Column:
 
 
 _KIND_OF = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean",
-            "VOID": "null"}
+            "VOID": "null", "DOUBLE": "float", "FLOAT": "float"}
+NUMBER_KINDS = ("integer", "float")
 
 
 def vkind(v) -> Column:
-    """Kind of a VARIANT value: null, number, string, boolean, object, array.
+    """Kind of a VARIANT value: null, integer, float, string, boolean, object, array.
+
+    ``float`` is any number written with a fraction or exponent (a JSON
+    parser's double); Spark stores those as DECIMAL/DOUBLE.
 
     One ``schema_of_variant`` call, resolved through a constant map, so the
     expression stays small when it is inlined."""
     v = _c(v)
-    head = F.substring_index(F.schema_of_variant(v), "<", 1)
-    lut = F.create_map(*[F.lit(x) for kv in _KIND_OF.items() for x in kv])
+    head = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    lut = F.create_map(*[F.lit(x) for kv in {**_KIND_OF, "DECIMAL": "float"}.items() for x in kv])
     return F.when(v.isNull(), F.lit("null")).otherwise(
-        F.coalesce(F.element_at(lut, head), F.lit("number")))
+        F.coalesce(F.element_at(lut, head), F.lit("integer")))
+
+
+def is_number(k: Column) -> Column:
+    return k.isin(*NUMBER_KINDS)
+
+
+def jtext(v, kind: Column | None = None) -> Column:
+    """Text of a value as a JSON tree prints it: floats in Java double
+    notation (``19.0``, ``1.0E10``), other scalars as text, containers as
+    JSON, JSON null -> NULL."""
+    v = _c(v)
+    k = vkind(v) if kind is None else kind
+    return (F.when(k == "float", F.try_variant_get(v, "$", "double").cast("string"))
+             .when(k != "null", F.try_variant_get(v, "$", "string")))
 
 
 def vtext(v) -> Column:
     """Text of a value: scalars as text, containers as JSON, null -> NULL."""
-    v = _c(v)
-    return F.when(~is_json_null(v), F.try_variant_get(v, "$", "string"))
+    return jtext(v)
 
 
 _INT_TEXT = r"^[+-]?[0-9]+$"
@@ -101,7 +118,7 @@ def read_integer(v, path: str | None, typ: str = "int") -> Column:
     k = vkind(x)
     t = F.try_variant_get(x, "$", "string")
     return (
-        F.when(k == "number", F.try_variant_get(x, "$", typ))
+        F.when(is_number(k), F.try_variant_get(x, "$", typ))
         .when((k == "string") & t.rlike(_INT_TEXT), t.try_cast(typ))
     )
 
@@ -129,7 +146,7 @@ def read_instant(v, path: str | None) -> Column:
     t = F.try_variant_get(x, "$", "string")
     ms = F.try_variant_get(x, "$", "bigint")
     return (
-        F.when(k == "number", F.timestamp_millis(ms))
+        F.when(is_number(k), F.timestamp_millis(ms))
         .when(k.isin("string", "boolean", "object", "array"), F.coalesce(
             _iso_ts(t),
             F.try_to_timestamp(t, F.lit(DAHUA_UTC)),
@@ -144,6 +161,6 @@ def read_monotonic_id(v, path: str | None) -> Column:
     k = vkind(x)
     t = F.try_variant_get(x, "$", "string")
     return (
-        F.when(k == "number", F.try_variant_get(x, "$", "bigint").cast("string"))
+        F.when(is_number(k), F.try_variant_get(x, "$", "bigint").cast("string"))
         .when(k != "null", F.when(F.trim(t) != "", t))
     )

@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import (
-    DAHUA_UTC, ISO_INSTANT_RE, MEIYA_DATETIME, _c, is_json_null, vkind,
+    DAHUA_UTC, ISO_INSTANT_RE, MEIYA_DATETIME, _c, is_number, jtext, vkind,
 )
 
 __all__ = [
@@ -23,7 +23,7 @@ def parse_instant(v, source_format: str | None = None, kind: Column | None = Non
     format; text is parsed by ``source_format`` (default ISO instant); failure -> NULL."""
     v = _c(v)
     k = vkind(v) if kind is None else kind
-    t = F.try_variant_get(v, "$", "string") if text is None else text
+    t = jtext(v, k) if text is None else text
     fmt = (source_format or "").strip() or "iso_instant"
     if fmt == "epoch_ms":
         txt = F.when(t.rlike(r"^[+-]?[0-9]+$"), F.timestamp_millis(t.try_cast("bigint")))
@@ -35,7 +35,7 @@ def parse_instant(v, source_format: str | None = None, kind: Column | None = Non
         txt = F.when(t.rlike(ISO_INSTANT_RE), F.try_to_timestamp(F.upper(t)))
     return (
         F.when(k == "null", F.lit(None).cast("timestamp"))
-        .when(k == "number", F.timestamp_millis(F.try_variant_get(v, "$", "bigint")))
+        .when(is_number(k), F.timestamp_millis(F.try_variant_get(v, "$", "bigint")))
         .otherwise(txt)
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.jsonpath import is_json_null, parse_body, root_path, vkind
+from sluice.functions.jsonpath import is_json_null, jtext, parse_body, root_path, vkind
 from sluice.plans.ordinal import with_prefix_offset
 
 RUN_KEYS = ("connector_id", "run_id")
@@ -61,43 +61,48 @@ def with_record_index(records: DataFrame, run_keys: Sequence[str] = RUN_KEYS,
 def path_catalogue(records: DataFrame, rec_col: str = "rec", max_depth: int = 8,
                    group: Sequence[str] = ()) -> DataFrame:
     """Every object-field path and first-array-element path (``[*]``),
-    with the number of records containing it and the smallest scalar sample.
-
-    Levels are expanded with ``explode`` of ``map<string,variant>`` /
-    first array element, to ``max_depth`` levels; all records contribute and
-    the result is a partial-aggregated ``groupBy(path)``."""
+    with the number of records containing it and the smallest scalar sample
+    (JSON null samples as ``null``, containers have none).
+
+    One linear chain of ``explode`` steps, ``max_depth`` long: each step
+    keeps finished rows and replaces a pending container by itself
+    (finished) plus its children (object fields; element 0 of an array,
+    recorded as ``path[*]`` and walked as ``path[0]``). All records
+    contribute; the result is a partial-aggregated ``groupBy(path)``."""
     group = list(group)
-    cur = records.select(*group, F.lit("$").alias("path"), F.col(rec_col).alias("v"))
-    found = []
+    node = "struct<rpath:string,wpath:string,v:variant,pending:boolean>"
+
+    def is_container(v):
+        return vkind(v).isin("object", "array")
+
+    cur = records.select(*group, F.struct(
+        F.lit("$").alias("rpath"), F.lit("$").alias("wpath"), F.col(rec_col).alias("v"),
+        F.lit(True).alias("pending")).alias("n"))
     for _ in range(max_depth):
-        k = vkind(F.col("v"))
-        obj = cur.filter(k == "object").select(
-            *group, "path",
-            F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "child"))
-        obj = obj.select(*group,
-                         F.when(F.col("path") == "$", F.concat(F.lit("$."), "key"))
-                          .otherwise(F.concat("path", F.lit("."), "key")).alias("path"),
-                         F.col("path").alias("__parent"), F.col("child").alias("v"))
-        arr = cur.filter(k == "array").select(
-            *group, F.col("path").alias("__parent"),
-            F.try_variant_get("v", "$[0]", "variant").alias("v"))
-        arr = arr.filter(F.col("v").isNotNull()).select(
-            *group, F.concat("__parent", F.lit("[*]")).alias("path"), "__parent", "v")
-        level = obj.unionByName(arr)
-        found.append(level.select(*group, "path", "v"))
-        # arrays recurse into element 0 under `path[0]`
-        cur = level.select(*group,
-                           F.when(F.col("path").endswith("[*]"),
-                                  F.concat("__parent", F.lit("[0]"))).otherwise(F.col("path")).alias("path"),
-                           "v").filter(vkind(F.col("v")).isin("object", "array"))
-    allp = found[0]
-    for f in found[1:]:
-        allp = allp.unionByName(f)
+        n = F.col("n")
+        k = vkind(n["v"])
+        w = n["wpath"]
+        kids_obj = F.transform(
+            F.map_entries(F.try_variant_get(n["v"], "$", "map<string,variant>")),
+            lambda e: F.struct(
+                F.when(w == "$", F.concat(F.lit("$."), e["key"])).otherwise(F.concat(w, F.lit("."), e["key"])).alias("rpath"),
+                F.when(w == "$", F.concat(F.lit("$."), e["key"])).otherwise(F.concat(w, F.lit("."), e["key"])).alias("wpath"),
+                e["value"].alias("v"), is_container(e["value"]).alias("pending")))
+        first = F.try_variant_get(n["v"], "$[0]", "variant")
+        kids_arr = F.when(first.isNotNull(), F.array(F.struct(
+            F.concat(w, F.lit("[*]")).alias("rpath"), F.concat(w, F.lit("[0]")).alias("wpath"),
+            first.alias("v"), is_container(first).alias("pending"))))
+        done_self = F.struct(n["rpath"], n["wpath"], n["v"], F.lit(False).alias("pending"))
+        nxt = (F.when(~n["pending"], F.array(n))
+                .when(k == "object", F.concat(F.array(done_self), kids_obj))
+                .when(k == "array", F.concat(F.array(done_self), F.coalesce(kids_arr, F.array().cast(f"array<{node}>"))))
+                .otherwise(F.array(done_self)))
+        cur = cur.select(*group, F.explode(nxt).alias("n"))
+    out = cur.select(*group, F.col("n.rpath").alias("path"), F.col("n.v").alias("v")).filter(F.col("path") != "$")
     kk = vkind(F.col("v"))
-    # JSON null samples as the text "null", as a tree node prints it.
     sample = (F.when(kk == "null", F.lit("null"))
-               .when(~kk.isin("object", "array"), F.try_variant_get("v", "$", "string")))
+               .when(~kk.isin("object", "array"), jtext(F.col("v"), kk)))
     # A path occurs at most once per record (only element 0 of an array is
     # walked), so a plain count is the number of records containing it.
-    return allp.groupBy(*group, "path").agg(
+    return out.groupBy(*group, "path").agg(
         F.count(F.lit(1)).alias("n_records"), F.min(sample).alias("sample"))

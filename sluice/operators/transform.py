@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.casts import convert
-from sluice.functions.jsonpath import normalize_path, vkind
+from sluice.functions.jsonpath import jtext, normalize_path, vkind
 from sluice.operators.extract import RUN_KEYS, as_object, with_record_index
 
 log = logging.getLogger(__name__)
@@ -135,10 +135,12 @@ def map_fields_step(df: DataFrame, mappings: Sequence[dict] | None, decimal_scal
     sample = (F.col("__sample") if "__sample" in df.columns else
               F.left(F.to_json(F.col("rec")), F.lit(SAMPLE_LIMIT))).alias("__sample")
     st = df.select(*meta, *prev_err, sample, *vals)
-    # Stage 2: kind and text of each value.
+    # Stage 2: kind of each value; stage 2b: its text (uses the kind).
     st = st.select(*meta, *prev_err, "__sample", *[f"__v{i}" for i in range(n)],
-                   *[vkind(F.col(f"__v{i}")).alias(f"__k{i}") for i in range(n)],
-                   *[F.try_variant_get(F.col(f"__v{i}"), "$", "string").alias(f"__s{i}") for i in range(n)])
+                   *[vkind(F.col(f"__v{i}")).alias(f"__k{i}") for i in range(n)])
+    st = st.select(*meta, *prev_err, "__sample", *[f"__v{i}" for i in range(n)],
+                   *[f"__k{i}" for i in range(n)],
+                   *[jtext(F.col(f"__v{i}"), F.col(f"__k{i}")).alias(f"__s{i}") for i in range(n)])
     # Stage 3: conversions and the first failing mapping.
     outs, errs = [], []
     for i, m in enumerate(mappings):

@@ -70,3 +70,7 @@ SELECT event_id, user_id, value, k, ts FROM (
          row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn
   FROM events WHERE event_type <> 'error') WHERE rn = 1
 """)(flagship)
+
+
+# Populate the registry (modules register on import).
+from sluice.plans import q_records  # noqa: E402,F401

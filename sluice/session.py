@@ -36,7 +36,7 @@ def get_session(master: str | None = None, partitions: int | None = None,
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    b = b.config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     for k, v in {**SCALE_CONF, **REQUIRED_CONF}.items():
         b = b.config(k, v)
     if partitions:

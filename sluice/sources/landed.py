@@ -128,3 +128,57 @@ def event_pages(spark, sf_dir: str, page_size: int = 100, per_user: bool = False
     conn = (F.concat(F.lit("user-"), F.col("user_id").cast("string")) if per_user
             else F.lit("events"))
     return land_pages(ev, conn, "event_id", event_record(), page_size=page_size, **kw)
+
+
+def _pj(text: Column) -> Column:
+    return F.parse_json(text)
+
+
+def _q(text: Column) -> Column:
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def event_record_rich() -> Column:
+    """Record JSON of an ``events`` row with the value shapes real APIs send:
+    the same instant in four formats and mixed, integers as text (padded,
+    unparseable, null), booleans as text, ids numeric or text, an array."""
+    from sluice.functions.timefmt import iso_instant_text
+    ts = F.col("ts").cast("timestamp")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    iso = iso_instant_text(ts)
+    ms = F.unix_millis(ts).cast("string")
+    dahua = F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+    meiya = F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    m5, m6, m4 = eid % 5, eid % 6, eid % 4
+    ts_mixed = (F.when(m5 == 0, ms).when(m5 == 1, _q(iso)).when(m5 == 2, _q(dahua))
+                 .when(m5 == 3, _q(meiya)).otherwise(_q(F.concat(F.lit("bad-"), eid.cast("string")))))
+    qty = (F.when(m6 == 0, _q(uid.cast("string")))
+            .when(m6 == 1, _q(F.concat(F.lit(" "), uid.cast("string"), F.lit(" "))))
+            .when(m6 == 2, F.col("value").cast("string"))
+            .when(m6 == 3, F.lit('"n/a"'))
+            .when(m6 == 4, F.lit("null"))
+            .otherwise(uid.cast("string")))
+    flag = (F.when(m4 == 0, F.lit("true")).when(m4 == 1, F.lit('"TRUE"'))
+             .when(m4 == 2, F.lit('"yes"')).otherwise(F.lit("false")))
+    rid = F.when(uid % 10 == 0, _q(F.concat(F.lit("evt-"), F.lpad(eid.cast("string"), 6, "0")))) \
+           .otherwise(eid.cast("string"))
+    base = F.to_json(F.struct(
+        eid.alias("event_id"), iso.alias("ts"), F.unix_millis(ts).alias("ts_ms"),
+        dahua.alias("ts_dahua"), meiya.alias("ts_meiya"),
+        uid.alias("user_id"), F.col("event_type"), F.col("value"),
+        F.col("value").cast("string").alias("amount_text"),
+        F.array(F.col("event_type")).alias("tags"),
+        F.parse_json("props").alias("props")), {"ignoreNullFields": "false"})
+    # Mixed-type fields are spliced in as raw JSON text so numbers keep the
+    # exact notation (a VARIANT round trip would print 28.0 as 28).
+    raw = F.concat(F.lit(',"ts_mixed":'), ts_mixed, F.lit(',"qty":'), qty,
+                   F.lit(',"flag":'), flag, F.lit(',"rid":'), rid, F.lit("}"))
+    return F.concat(F.regexp_replace(base, "}$", ""), raw)
+
+
+def rich_event_pages(spark, sf_dir: str, page_size: int = 100, per_user: bool = False,
+                     **kw) -> DataFrame:
+    ev = read_table(spark, sf_dir, "events")
+    conn = (F.concat(F.lit("user-"), F.col("user_id").cast("string")) if per_user
+            else F.lit("events"))
+    return land_pages(ev, conn, "event_id", event_record_rich(), page_size=page_size, **kw)
