@@ -182,3 +182,70 @@ def rich_event_pages(spark, sf_dir: str, page_size: int = 100, per_user: bool =
     conn = (F.concat(F.lit("user-"), F.col("user_id").cast("string")) if per_user
             else F.lit("events"))
     return land_pages(ev, conn, "event_id", event_record_rich(), page_size=page_size, **kw)
+
+
+# ---- derived connector / state tables ----------------------------------------
+
+STATE_CUTOFF = "2024-01-15 00:00:00"
+
+
+def prior_state(spark, sf_dir: str) -> DataFrame:
+    """A previous run's connector_state per user connector: the last event
+    time before the cutoff (a far-future value for every 7th user) and a
+    last id (numeric for every 3rd user, text for every 10th)."""
+    ev = read_table(spark, sf_dir, "events").filter(F.col("ts") < F.lit(STATE_CUTOFF).cast("timestamp_ntz"))
+    g = ev.groupBy("user_id").agg(F.max("ts").alias("mts"))
+    uid = F.col("user_id")
+    return g.select(
+        F.concat(F.lit("user-"), uid.cast("string")).alias("connector_id"),
+        F.when(uid % 7 == 0, F.lit("2024-03-01 00:00:00").cast("timestamp"))
+         .otherwise(F.col("mts").cast("timestamp")).alias("ts"),
+        F.when(uid % 10 == 0, F.concat(F.lit("evt-"), uid.cast("string")))
+         .when(uid % 3 == 0, (uid * 50).cast("string")).alias("last_id"),
+        "user_id")
+
+
+def user_connectors(spark, sf_dir: str) -> DataFrame:
+    """One connector per user with sync/incremental settings derived from the id."""
+    uid = F.col("user_id")
+    u = read_table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"))
+    return u.select(
+        F.concat(F.lit("user-"), uid.cast("string")).alias("connector_id"), "user_id",
+        F.when(uid % 4 == 0, "full").when(uid % 4 == 1, "incremental").when(uid % 4 == 2, "sample")
+         .alias("sync_type"),
+        (uid % 5 != 0).alias("inc_enabled"),
+        F.when(uid % 3 == 0, "monotonic_id").otherwise("timestamp").alias("inc_mode"),
+        F.when(uid % 2 == 0, "full").otherwise("incremental").alias("on_first_run"),
+        F.when(uid % 6 == 0, F.concat((uid % 60).cast("string"), F.lit("s")))
+         .when(uid % 6 == 1, F.concat(F.lit(" "), (uid % 60).cast("string"), F.lit("M ")))
+         .when(uid % 6 == 2, F.concat((uid % 24).cast("string"), F.lit("h")))
+         .when(uid % 6 == 3, F.lit(""))
+         .when(uid % 6 == 4, F.concat((uid % 60).cast("string"), F.lit("d"))).alias("overlap"),
+        F.when(uid % 4 == 0, "iso_instant").when(uid % 4 == 1, "epoch_ms")
+         .when(uid % 4 == 2, "dahua_utc").otherwise("meiya_datetime").alias("time_format"),
+        "n_events")
+
+
+def customer_connectors(spark, sf_dir: str) -> DataFrame:
+    """One paged connector per customer over its orders."""
+    ck = F.col("o_custkey")
+    o = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"))
+    return o.select(
+        F.concat(F.lit("cust-"), ck.cast("string")).alias("connector_id"), ck.alias("custkey"),
+        F.when(ck % 4 == 0, "offset_limit").otherwise("page_page_size").alias("strategy"),
+        F.when(ck % 4 == 1, "skip_limit").alias("page_value_type"),
+        (ck % 2).cast("int").alias("page_start"),
+        (F.lit(5) + (ck % 3) * 5).cast("int").alias("page_size"),
+        F.when(ck % 7 == 0, 2).otherwise(1000).alias("max_pages"),
+        F.when(ck % 11 == 0, F.lit(None)).otherwise(F.col("n_orders")).cast("int").alias("total"),
+        "n_orders")
+
+
+def order_record() -> Column:
+    return F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"))
+
+
+def order_pages(spark, sf_dir: str, page_size: int = 5, **kw) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    conn = F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"))
+    return land_pages(o, conn, "o_orderkey", order_record(), page_size=page_size, **kw)
