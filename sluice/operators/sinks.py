@@ -92,15 +92,19 @@ _JSON_COL = re.compile(r"(^raw_json$|_json$)")
 def json_columns(df: DataFrame) -> DataFrame:
     """K6: ``raw_json`` / ``*_json`` text columns become VARIANT; blank -> NULL.
     Invalid JSON is reported in ``__json_error`` (the column name)."""
-    errs = []
+    types = dict(df.dtypes)
+    js = [c for c in df.columns if _JSON_COL.search(c) and types[c] == "string"]
+    if not js:
+        return df
+    errs, cols = [], []
     for c in df.columns:
-        if _JSON_COL.search(c) and dict(df.dtypes)[c] == "string":
+        if c in js:
             txt = F.when(F.trim(F.col(c)) != "", F.col(c))
             errs.append(F.when(txt.isNotNull() & F.try_parse_json(txt).isNull(), F.lit(c)))
-            df = df.withColumn(c, F.try_parse_json(txt))
-    if errs:
-        df = df.withColumn("__json_error", F.coalesce(*errs))
-    return df
+            cols.append(F.try_parse_json(txt).alias(c))
+        else:
+            cols.append(F.col(c))
+    return df.select(*cols, F.coalesce(*errs).alias("__json_error"))
 
 
 def check_target(name: str | None, what: str = "table") -> str:

@@ -75,3 +75,4 @@ SELECT event_id, user_id, value, k, ts FROM (
 # Populate the registry (modules register on import).
 from sluice.plans import q_records  # noqa: E402,F401
 from sluice.plans import q_state  # noqa: E402,F401
+from sluice.plans import q_runs  # noqa: E402,F401

@@ -249,3 +249,45 @@ def order_pages(spark, sf_dir: str, page_size: int = 5, **kw) -> DataFrame:
     o = read_table(spark, sf_dir, "orders")
     conn = F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"))
     return land_pages(o, conn, "o_orderkey", order_record(), page_size=page_size, **kw)
+
+
+def run_log(spark, sf_dir: str) -> DataFrame:
+    """A ``job_run`` table derived from events: one run per event, the user
+    as connector; errors failed, some signups still running/pending; the
+    run lasts ``value`` seconds; records_ok = props.k."""
+    ev = read_table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    status = (F.when(F.col("event_type") == "error", "failed")
+               .when((F.col("event_type") == "signup") & (F.col("event_id") % 7 == 0), "running")
+               .when((F.col("event_type") == "signup") & (F.col("event_id") % 11 == 0), "pending")
+               .otherwise("success"))
+    start = F.col("ts").cast("timestamp")
+    fin = start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("value").cast("decimal(18,6)"))
+    return ev.select(
+        F.col("event_id").alias("id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("connector_id"),
+        F.when(k % 3 == 0, "full").when(k % 3 == 1, "incremental").otherwise("sample").alias("run_type"),
+        status.alias("status"), start.alias("started_at"),
+        F.when(~status.isin("running", "pending"), fin).alias("finished_at"),
+        k.alias("records_ok"), F.when(status == "failed", 1).otherwise(0).cast("bigint").alias("records_failed"),
+        F.lit(None).cast("string").alias("error_message"))
+
+
+def connector_versions(spark, sf_dir: str) -> DataFrame:
+    """``connector_version`` rows from lineitem: one connector per order,
+    line numbers as versions; finished lines are published, others drafts."""
+    li = read_table(spark, sf_dir, "lineitem")
+    pub = F.col("l_linestatus") == "F"
+    return li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.concat(F.lit("ord-"), F.col("l_orderkey").cast("string")).alias("connector_id"),
+        F.when(pub, F.col("l_linenumber")).alias("version_number"),
+        F.when(pub, "published").otherwise("draft").alias("status"),
+        F.to_json(F.struct("l_partkey", "l_quantity")).alias("config_json"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"))
+
+
+def order_connectors(spark, sf_dir: str) -> DataFrame:
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("connector_id"),
+                    F.col("o_orderpriority").alias("name"), F.lit("pull").alias("mode"),
+                    F.col("o_orderdate").cast("timestamp").alias("updated_at"), "o_orderkey")
