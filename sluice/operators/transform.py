@@ -111,14 +111,16 @@ def filter_step(df: DataFrame, condition: str | None) -> DataFrame:
     return df.filter(ok)
 
 
-def map_fields_step(df: DataFrame, mappings: Sequence[dict] | None, decimal_scale: int = 18) -> DataFrame:
-    """Project to ``target <- source :: type``; other fields dropped.
+def map_fields_step(df: DataFrame, mappings: Sequence[dict] | None, decimal_scale: int = 18,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """Project to ``target <- source :: type``; other fields dropped
+    (``carry`` names extra columns to keep alongside run metadata).
     No mappings: identity. The first failing mapping (in order) names the error."""
     if not mappings:
         return df
     df = _ensure_rec(df)
-    extra = _data_columns(df)
-    meta = [c for c in df.columns if c in META]
+    extra = [c for c in _data_columns(df) if c not in carry]
+    meta = [c for c in df.columns if c in META or c in carry]
     n = len(mappings)
     # Stage 1: the value at each source path (a column reference from here on,
     # so the record lookup is not repeated inside the conversions).

@@ -76,3 +76,4 @@ SELECT event_id, user_id, value, k, ts FROM (
 from sluice.plans import q_records  # noqa: E402,F401
 from sluice.plans import q_state  # noqa: E402,F401
 from sluice.plans import q_runs  # noqa: E402,F401
+from sluice.plans import q_stream  # noqa: E402,F401

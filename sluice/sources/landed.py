@@ -291,3 +291,47 @@ def order_connectors(spark, sf_dir: str) -> DataFrame:
     return o.select(F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("connector_id"),
                     F.col("o_orderpriority").alias("name"), F.lit("pull").alias("mode"),
                     F.col("o_orderdate").cast("timestamp").alias("updated_at"), "o_orderkey")
+
+
+# ---- push requests -------------------------------------------------------------
+
+def push_requests(spark, sf_dir: str) -> DataFrame:
+    """One pushed request per event (PUSH_SCHEMA rows): connector
+    ``push-<user mod 4>``; EventID blank for every 50th event, repeated
+    (the previous event's id) for every 10th+1; a wrong sign for every 13th;
+    ``ImageUrl`` instead of ``ImgUrl`` for every 4th; a non-numeric
+    EventType for every 37th."""
+    ev = read_table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    event_id = (F.when(eid % 50 == 0, F.lit(""))
+                 .when(eid % 10 == 1, F.concat(F.lit("EVT-"), (eid - 1).cast("string")))
+                 .otherwise(F.concat(F.lit("EVT-"), eid.cast("string"))))
+    img = F.concat(F.lit("http://img.local/"), eid.cast("string"), F.lit(".jpg"))
+    etype = F.when(eid % 37 == 0, F.lit('"x"')).otherwise((uid % 5).cast("string"))
+    body = F.concat(
+        F.lit('{"EventID":'), F.to_json(F.array(event_id)).substr(F.lit(2), F.length(F.to_json(F.array(event_id))) - 2),
+        F.lit(',"EventType":'), etype,
+        F.lit(',"EventName":"'), F.col("event_type"), F.lit('"'),
+        F.lit(',"SendTime":"'), ts, F.lit('","CameraID":"cam-'), uid.cast("string"), F.lit('"'),
+        F.when(eid % 4 == 0, F.concat(F.lit(',"ImageUrl":"'), img, F.lit('"')))
+         .otherwise(F.concat(F.lit(',"ImgUrl":"'), img, F.lit('"'))),
+        F.lit(',"EventTime":"'), ts, F.lit('","Confidence":'), F.round(F.col("value") / 500, 4).cast("string"),
+        F.lit(',"TaskID":"task-'), (eid % 7).cast("string"), F.lit('"}'))
+    sign = F.when(eid % 13 == 0, F.lit("BAD")).otherwise(
+        F.lower(F.md5(F.concat(F.lit("ivsp_"), event_id))))
+    return ev.select(F.concat(F.lit("push-"), (uid % 4).cast("string")).alias("connector_id"),
+                     F.concat(F.lit("req-"), eid.cast("string")).alias("request_id"),
+                     sign.alias("sign"), eid.alias("seq"), body.alias("body"))
+
+
+def push_connectors(spark, sf_dir: str) -> DataFrame:
+    """The push connectors referenced by ``push_requests`` (latest published
+    versions), one row each."""
+    ev = read_table(spark, sf_dir, "events")
+    k = (F.col("user_id") % 4).cast("int")
+    g = ev.select(k.alias("k")).distinct()
+    return g.select(F.concat(F.lit("push-"), F.col("k").cast("string")).alias("connector_id"),
+                    F.when(F.col("k") == 1, "both").when(F.col("k") == 3, "pull").otherwise("push").alias("mode"),
+                    F.lit(True).alias("published"), (F.col("k") != 2).alias("webhook_enabled"),
+                    (F.col("k") == 0).alias("verify_sign"), F.lit("ivsp").alias("plat_flag"))
