@@ -335,3 +335,37 @@ def push_connectors(spark, sf_dir: str) -> DataFrame:
                     F.when(F.col("k") == 1, "both").when(F.col("k") == 3, "pull").otherwise("push").alias("mode"),
                     F.lit(True).alias("published"), (F.col("k") != 2).alias("webhook_enabled"),
                     (F.col("k") == 0).alias("verify_sign"), F.lit("ivsp").alias("plat_flag"))
+
+
+def jstr(c: Column) -> Column:
+    """JSON string literal text of a column (quoted and escaped)."""
+    a = F.to_json(F.array(c))
+    return a.substr(F.lit(2), F.length(a) - 2)
+
+
+def part_specs(spec_rows: DataFrame) -> DataFrame:
+    """One API description document per ``part`` row (OpenAPI 3 for even
+    keys, Swagger 2 for odd ones): ``GET /parts/<key>`` with pagination
+    parameters chosen by size, plus ``POST`` for large parts."""
+    k = F.col("p_partkey").cast("string")
+    size = F.col("p_size")
+    slug = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "")
+    server = F.when(F.col("p_partkey") % 2 == 0, F.concat(
+        F.lit('"openapi":"3.0.1","servers":[{"url":"http://api.local/'), slug, F.lit('/"}]'))).otherwise(F.concat(
+        F.lit('"swagger":"2.0","host":"api.local","basePath":"/'), slug, F.lit('","schemes":["https"]')))
+    opid = F.when(size % 3 == 0, F.concat(F.lit('"operationId":"getPart'), k, F.lit('",'))).otherwise(F.lit(""))
+    summ = F.when(size % 2 == 0, F.concat(F.lit('"summary":'), jstr(F.col("p_name")), F.lit(","))).otherwise(F.lit(""))
+    params = (F.when(size % 4 == 0, F.lit('{"name":"offset","in":"query","schema":{"type":"integer","format":"int32"}},'
+                                          '{"name":"Limit","in":"query","schema":{"type":"integer"}}'))
+               .when(size % 4 == 1, F.lit('{"name":"Page-Token","in":"query","schema":{"type":"string"}},'
+                                          '{"name":"page_size","in":"query","type":"integer"}'))
+               .when(size % 4 == 2, F.lit('{"name":"page","in":"query","schema":{"type":"integer"}},'
+                                          '{"name":"per-page","in":"query","schema":{"type":"number","format":"float"}}'))
+               .otherwise(F.lit("")))
+    post = F.when(size > 25, F.concat(F.lit(',"post":{"description":'),
+                                      jstr(F.concat(F.lit("create "), F.col("p_name"))), F.lit("}"))).otherwise(F.lit(""))
+    doc = F.concat(F.lit("{"), server, F.lit(',"paths":{"/parts/'), k,
+                   F.lit('":{"parameters":[{"name":"X-Tenant","in":"header"}],"get":{'), opid, summ,
+                   F.lit('"description":'), jstr(F.col("p_type")), F.lit(',"parameters":['), params, F.lit("]}"),
+                   post, F.lit("}}}"))
+    return spec_rows.select(F.col("p_partkey").alias("spec_id"), doc.alias("doc"))
