@@ -134,8 +134,9 @@ def map_fields_step(df: DataFrame, mappings: Sequence[dict] | None, decimal_scal
             v = F.try_variant_get(F.col("rec"), normalize_path(src), "variant")
         vals.append(v.alias(f"__v{i}"))
     prev_err = [ERR] if ERR in df.columns else []
-    sample = (F.col("__sample") if "__sample" in df.columns else
-              F.left(F.to_json(F.col("rec")), F.lit(SAMPLE_LIMIT))).alias("__sample")
+    # The source record rides along as VARIANT (a column reference, no
+    # cost); only error rows are ever serialised to sample text.
+    sample = (F.col("__sample") if "__sample" in df.columns else F.col("rec")).alias("__sample")
     st = df.select(*meta, *prev_err, sample, *vals)
     # Stage 2: kind of each value; stage 2b: its text (uses the kind).
     st = st.select(*meta, *prev_err, "__sample", *[f"__v{i}" for i in range(n)],
@@ -211,7 +212,7 @@ def error_output(bad: DataFrame, records: DataFrame, max_errors: int | None,
     by three bounded top-N windows (page, page block, run)."""
     idx = with_record_index(records.select(*run_keys, "page_idx", "pos"), run_keys)
     e = (bad.select(*run_keys, "page_idx", "pos", F.left(F.col(ERR), F.lit(SAMPLE_LIMIT)).alias("message"),
-                    F.col("__sample").alias("sample_json"))
+                    F.left(F.to_json(F.col("__sample")), F.lit(SAMPLE_LIMIT)).alias("sample_json"))
             .join(idx, on=[*run_keys, "page_idx", "pos"], how="inner"))
     if max_errors is not None:
         e = _bounded_top_n(e, run_keys, "record_index", max_errors)

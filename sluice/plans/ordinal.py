@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK = 1 << 16
+DEFAULT_BLOCK = 1 << 13   # rows per ordinal block: parallelism for hot groups, small block table
 
 
 def _key_num(c: Column, kind: str) -> Column:
