@@ -29,9 +29,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_representatives(docs, shingle=3, distance=3)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no benchmark item (5-word shingles, containment under 0.8)."""
+    from sluice.llm.decontam import remove_contaminated
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, laid out in the order of a mix of the sources by the square roots of their sizes."""
+    from sluice.llm.mixing import in_mix_order
+    return in_mix_order(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, each with its shard of eight and its slot there."""
+    from sluice.llm.sharding import shard, topology
+    size, crc, law, grown = fresh(docs, "size", "crc", "law", "grown")
+    out = shard(docs, topology(8), names=(size, crc, law, "shard", "slot", grown), carry=[c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    return out.drop(size, crc, law, grown)
+
+
 STAGES = [
     ("language_id", language_id),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("mix_sources", mix_sources),
+    ("sharding", shards),
 ]
 
 #: The stages apply a trained model and graph components, which SQL can't express; the tests hold run() against brute force.

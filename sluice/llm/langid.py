@@ -123,12 +123,14 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit(samples: list[tuple], labels: list[str], epochs: int = 6, rate: float = 0.5, seed: int = 7,
-        precision: float = 0.995, keep: float = 0.999) -> LanguageModel:
+        precision: float = 0.995, keep: float = 0.999, ceiling: float = 0.45) -> LanguageModel:
     """Stochastic gradient descent over (key, label, whole, ids, counts); a fifth of the keys calibrates.
 
     The threshold is the smallest at which the predictions it lets pass are
     right in ``precision`` of cases, but it never rejects more than
-    1 - ``keep`` of the whole texts that are predicted rightly."""
+    1 - ``keep`` of the whole texts that are predicted rightly, nor a text of
+    which one language holds ``ceiling`` of the probability (texts in two
+    languages are kept)."""
     rng = np.random.default_rng(seed)
     size = len(GRAMS) << BITS
     emb = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
@@ -166,7 +168,7 @@ def fit(samples: list[tuple], labels: list[str], epochs: int = 6, rate: float =
     threshold = 0.0 if len(ok) and ok[-1] == len(order) - 1 else float(conf[order[ok[-1]]]) if len(ok) else 1.0
     good = conf[whole & right]
     if len(good):
-        threshold = min(threshold, float(np.quantile(good, 1 - keep)) * 0.9)
+        threshold = min(threshold, ceiling, float(np.quantile(good, 1 - keep)) * 0.9)
     return LanguageModel(labels, (emb @ w).astype(np.float32), bias, temperature, threshold,
                          {"train": len(train), "held": len(held), "accuracy": float(right.mean())})
 

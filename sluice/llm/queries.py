@@ -24,3 +24,33 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.simhash import near_duplicates
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@register("op1_benchmark_decontamination", r"""
+WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+     v AS (SELECT item_id AS id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+     d AS (SELECT DISTINCT id, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM w WHERE len(w) > 0),
+     b AS (SELECT DISTINCT id, unnest(list_transform(range(0, greatest(len(w) - 4, 1)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM v WHERE len(w) > 0),
+     n AS (SELECT id, count(*) AS n_shingles FROM b GROUP BY id),
+     h AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM h JOIN n ON n.id = item_id WHERE n_shared / n_shingles >= 0.8
+""")
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds at least 0.8 of a benchmark item's 5-word shingles, with the item."""
+    from sluice.llm.decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op5_mix_sources")
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix of the sources by the square roots of their sizes."""
+    from sluice.llm.mixing import mix
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@register("op6_shard_hash_tree")
+def op6_shard_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight, its slot there, and its shard when a ninth is added."""
+    from sluice.llm.sharding import shard, topology
+    docs = table(spark, sf_dir, "documents")
+    return shard(docs.select("doc_id", "text"), topology(8), grown=topology(9), carry=["doc_id"])
