@@ -54,3 +54,23 @@ def op6_shard_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.sharding import shard, topology
     docs = table(spark, sf_dir, "documents")
     return shard(docs.select("doc_id", "text"), topology(8), grown=topology(9), carry=["doc_id"])
+
+
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+_RULES_SQL = ", ".join(f"('{r}', '{a}')" for r, a in URL_RULES)
+
+
+@register("op7_url_filter_cascade", rf"""
+WITH u AS (SELECT page_id, regexp_replace(url, '^.*?://', '', 's') AS rest, coalesce(contains(url, '://'), false) AS ok FROM pages),
+     v AS (SELECT page_id, CASE WHEN ok THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                  CASE WHEN ok THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM u),
+     r AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS p FROM (VALUES {_RULES_SQL}) t(rule, action)),
+     m AS (SELECT v.*, (SELECT max_by((r.rule, r.action), (length(r.rule), length(r.h))) FROM r
+                        WHERE (v.host = r.h OR ends_with(v.host, '.' || r.h)) AND starts_with(v.path, r.p)) AS best FROM v)
+SELECT page_id, host, path, best[1] AS rule, coalesce(best[2], 'allow') AS verdict FROM m
+""")
+def op7_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, deciding rule and verdict, by cascades over all keys of the pages' URLs."""
+    from sluice.llm.urlfilter import judge_urls
+    rules = spark.createDataFrame(URL_RULES, "rule string, action string")
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
