@@ -74,3 +74,11 @@ def op7_url_filter_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.urlfilter import judge_urls
     rules = spark.createDataFrame(URL_RULES, "rule string, action string")
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op10_licence_scan")
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    from sluice.llm.licences import scan_licences
+    out = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
