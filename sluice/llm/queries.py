@@ -82,3 +82,11 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.licences import scan_licences
     out = scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@register("op3_permutation_search")
+def op3_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100."""
+    from sluice.llm.permutation import search
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter("vec_id % 100 = 0"))
