@@ -171,14 +171,13 @@ def near_links(prints: DataFrame, distance: int = 3, fp: str = "fp") -> DataFram
     if not 0 <= distance <= 5:
         raise ValueError("distance must lie between 0 and 5")
     posts = stage(prints.select(F.col(fp).alias("fp")).distinct().mapInArrow(lambda b: _post(b, threshold), "anchor long, fp long, home boolean"), "posts")
-    size = posts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("home").cast("int")).alias("homes")).filter("n > 1 and homes = 1")
-    size = stage(size.select(F.col("anchor").alias("key"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"), (F.col("n") > SMALL).alias("large")), "anchors")
-    rows = posts.join(size, F.col("anchor") == F.col("key")).drop("key")
-    few = rows.filter("not large")
+    size = posts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("home").cast("int")).alias("homes"))
+    large = stage(size.filter(f"n > {SMALL} and homes = 1").select(F.col("anchor").alias("key"), F.ceil(F.col("n") / PIECE).cast("int").alias("pieces")), "anchors")
+    few = posts.join(large, F.col("anchor") == F.col("key"), "left_anti")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     mine, theirs = few.filter("home").select("anchor", F.col("fp").alias("a")), few.select(F.col("anchor").alias("at"), F.col("fp").alias("b"))
     links = mine.join(theirs, (F.col("anchor") == F.col("at")) & (F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    many = rows.filter("large")
+    many = posts.join(large, F.col("anchor") == F.col("key")).drop("key")
     piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
     across = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     first = many.filter("home").select("anchor", "fp", "home", piece.alias("i"), across.alias("j"))
