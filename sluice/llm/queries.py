@@ -90,3 +90,17 @@ def op3_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.permutation import search
     vectors = table(spark, sf_dir, "embeddings")
     return search(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@register("op2_suffix_array_dedup")
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that a document with a smaller id has too."""
+    from sluice.llm.suffix_dedup import remove_repeated_bytes
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@register("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the windows of 20 words that also start earlier."""
+    from sluice.llm.substring_dedup import remove_repeated_words
+    return remove_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
