@@ -6,9 +6,9 @@ of U shingles, so a long document never drowns a short item. Items and blocks
 get one-permutation MinHash sketches: shingle hashes fall into 256 bins, the
 smallest of each bin is kept. An item and a block that agree in a bin make the
 document a candidate for the item, and it is enough that one of the document's
-blocks does. ``miss_probability`` gives the chance that none does: about 2e-6
-for the least favourable size at a containment of 0.8, and far less for most.
-Every candidate is verified by exact containment of the shingles themselves.
+blocks does. ``miss_probability`` bounds the chance that none does: under 1e-6
+for the least favourable size at a containment of 0.8, under 1e-12 from 17
+shingles on. Every candidate is verified by exact containment of the shingles themselves.
 
 Words are maximal runs of letters and digits of the lower-cased text; fewer
 than five make one shingle. The whole path is DataFrame functions.
@@ -30,6 +30,7 @@ from sluice.llm.common import stage
 
 SHINGLE = 5
 BIN_BITS = 8                    # 256 bins
+ALL_KEPT = 4                    # blocks of so few shingles are kept whole
 BROADCAST_ROWS = 2_000_000      # sketch or shingle rows of items that are broadcast; more are joined by shuffle
 
 
@@ -47,9 +48,11 @@ def _hashed(df: DataFrame, key: str, text: str, k: int) -> DataFrame:
     return w.select("id", F.transform(_starts(F.col("words"), k), lambda i: F.xxhash64(*[F.get(F.col("words"), i + j) for j in range(k)])).alias("hashes"))
 
 
-def _sketch(df: DataFrame, array: str) -> DataFrame:
+def _sketch(df: DataFrame, array: str, u: int) -> DataFrame:
     """Replace an array of hashes by the smallest hash of each bin, a row each."""
     rest = [c for c in df.columns if c != array]
+    if u <= ALL_KEPT:
+        return df.select(*rest, F.explode(array).alias("h"))
     df = df.select(*rest, F.sort_array(array).alias("ordered"))
     bin_of = lambda x: F.shiftright(x, 64 - BIN_BITS)
     kept = F.filter("ordered", lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(F.col("ordered"), i - 1))))
@@ -79,10 +82,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     probe = probe.withColumn("c", F.ceil(F.log(4.0, F.size("hashes")) - 1e-9).cast("int"))
     for c in levels:
         u = 4 ** c
-        sketch = _sketch(probe.filter(F.col("c") == c).select(F.col("id").alias("item"), "hashes"), "hashes").select("item", F.col("h").alias("k"))
+        sketch = _sketch(probe.filter(F.col("c") == c).select(F.col("id").alias("item"), "hashes"), "hashes", u).select("item", F.col("h").alias("k"))
         cut = F.when(F.size("hashes") > 0, F.transform(F.sequence(F.lit(1), F.size("hashes"), F.lit(u)), lambda s: F.slice("hashes", s, u))).otherwise(F.array().cast("array<array<bigint>>"))
         blocks = hashed.select("id", F.explode(cut).alias("block"))
-        hits = _sketch(blocks, "block").join(small(sketch), F.col("h") == F.col("k")).select(F.col("id").alias("doc"), "item").distinct()
+        hits = _sketch(blocks, "block", u).join(small(sketch), F.col("h") == F.col("k")).select(F.col("id").alias("doc"), "item").distinct()
         found = hits if found is None else found.union(hits)
     if found is None:
         found = docs.select("doc").join(sizes.select("item"), F.lit(False))
@@ -106,7 +109,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id",
 def miss_probability(size: int, containment: float = 0.8) -> float:
     """The chance that an item of ``size`` shingles is no candidate of a block that holds the share ``containment`` of it."""
     u = 4 ** math.ceil(math.log(max(size, 1), 4) - 1e-9)
-    bins, both = 1 << BIN_BITS, containment * size
+    both = math.ceil(containment * size)
     union = u + size - both
-    occupied = bins * (1 - (1 - 1 / bins) ** union)
-    return (1 - min(both / union, 1.0)) ** occupied
+    kept = (1 << BIN_BITS) * (1 - (1 - 2.0 ** -BIN_BITS) ** union) / union if u > ALL_KEPT else 1.0
+    return (1 - min(kept, 1.0)) ** both
