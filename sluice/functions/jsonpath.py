@@ -61,9 +61,23 @@ def vget(v, path: str | None, typ: str = "variant") -> Column:
     p = normalize_path(path)
     if p is None:
         return F.lit(None).cast(typ if typ != "variant" else "string")
+    if "[*]" in p:
+        found = _wild(_c(v), p.split("[*]"))
+        out = F.when(found.isNotNull(), F.to_variant_object(F.filter(found, lambda x: x.isNotNull())))
+        return out if typ == "variant" else F.try_variant_get(out, "$", typ)
     return F.try_variant_get(_c(v), p, typ)
 
 
+def _wild(v: Column, parts: list[str]) -> Column:
+    """The values a path with ``[*]`` steps reaches, as an array; NULL where
+    the first step meets no array."""
+    here = parts[0] if parts[0].startswith("$") else "$" + parts[0]
+    if len(parts) == 1:
+        return F.array(F.try_variant_get(v, here, "variant"))
+    items = F.try_variant_get(v, here, "array<variant>")
+    return F.flatten(F.transform(items, lambda x: F.coalesce(_wild(x, parts[1:]), F.array().cast("array<variant>"))))
+
+
 def is_json_null(v) -> Column:
     """True for SQL NULL and for JSON null."""
     v = _c(v)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import is_json_null, jtext, parse_body, root_path, vkind
@@ -64,18 +64,31 @@ def with_record_index(records: DataFrame, run_keys: Sequence[str] = RUN_KEYS,
                    .drop("__poff"))
 
 
-def path_catalogue(records: DataFrame, rec_col: str = "rec", max_depth: int = 8,
-                   group: Sequence[str] = ()) -> DataFrame:
-    """Every object-field path and first-array-element path (``[*]``),
-    with the number of records containing it and the smallest scalar sample
-    (JSON null samples as ``null``, containers have none).
-
-    One linear chain of ``explode`` steps, ``max_depth`` long: each step
-    keeps finished rows and replaces a pending container by itself
-    (finished) plus its children (object fields; element 0 of an array,
-    recorded as ``path[*]`` and walked as ``path[0]``). All records
-    contribute; the result is a partial-aggregated ``groupBy(path)``."""
+def max_depth_of(df: DataFrame, json_text: Column) -> int:
+    """The deepest nesting of objects and arrays in a column of JSON texts:
+    one aggregate over the brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace(json_text, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    steps = F.split(brackets, "")
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(steps, state, lambda s, c: F.struct(
+        (s["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("now"),
+        F.greatest(s["most"], s["now"] + F.when(c.isin("{", "["), 1).otherwise(0)).alias("most")), lambda s: s["most"])
+    return df.select(F.max(deepest).alias("d")).first()["d"] or 0
+
+
+def walk_paths(records: DataFrame, rec_col: str = "rec", max_depth: int | None = None,
+               group: Sequence[str] = ()) -> DataFrame:
+    """Every object-field path and first-array-element path (``[*]``) of every
+    record with its value: ``path``, ``v``.
+
+    One linear chain of ``explode`` steps: each step keeps finished rows and
+    replaces a pending container by itself (finished) plus its children
+    (object fields; element 0 of an array, recorded as ``path[*]`` and walked
+    as ``path[0]``). The chain is as long as the deepest record is deep (one
+    aggregate finds that), or ``max_depth``."""
     group = list(group)
+    if max_depth is None:
+        max_depth = max_depth_of(records, F.to_json(F.col(rec_col)))
     node = "struct<rpath:string,wpath:string,v:variant,pending:boolean>"
 
     def is_container(v):
@@ -104,7 +117,17 @@ def path_catalogue(records: DataFrame, rec_col: str = "rec", max_depth: int = 8,
                 .when(k == "array", F.concat(F.array(done_self), F.coalesce(kids_arr, F.array().cast(f"array<{node}>"))))
                 .otherwise(F.array(done_self)))
         cur = cur.select(*group, F.explode(nxt).alias("n"))
-    out = cur.select(*group, F.col("n.rpath").alias("path"), F.col("n.v").alias("v")).filter(F.col("path") != "$")
+    return cur.select(*group, F.col("n.rpath").alias("path"), F.col("n.v").alias("v")).filter(F.col("path") != "$")
+
+
+def path_catalogue(records: DataFrame, rec_col: str = "rec", max_depth: int | None = None,
+                   group: Sequence[str] = ()) -> DataFrame:
+    """The paths of ``walk_paths`` with the number of records containing
+    each and the smallest scalar sample (JSON null samples as ``null``,
+    containers have none). All records contribute; the result is a
+    partial-aggregated ``groupBy(path)``."""
+    group = list(group)
+    out = walk_paths(records, rec_col, max_depth, group)
     kk = vkind(F.col("v"))
     sample = (F.when(kk == "null", F.lit("null"))
                .when(~kk.isin("object", "array"), jtext(F.col("v"), kk)))

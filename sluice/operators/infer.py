@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import vkind
-from sluice.operators.extract import path_catalogue
+from sluice.functions.jsonpath import jtext
+from sluice.operators.extract import max_depth_of, path_catalogue, walk_paths
 
 # Record-array keys tried first at each level, in this order.
 PREFERRED_ARRAY_KEYS = ("results", "data", "items", "records", "list")
@@ -26,14 +27,16 @@ def field_types(records: DataFrame, group: Sequence[str] = ("connector_id",)) ->
     group = list(group)
     e = records.select(*group, "page_idx", "pos",
                        F.explode(F.try_variant_get("rec", "$", "map<string,variant>")).alias("field", "v"))
-    return e.select(*group, "page_idx", "pos", "field", _type_col(vkind(F.col("v"))).alias("type"))
+    k = vkind(F.col("v"))
+    return e.select(*group, "page_idx", "pos", "field", _type_col(k).alias("type"), (k == "null").alias("is_null"))
 
 
 def infer_mappings(records: DataFrame, mode: str = "first",
                    group: Sequence[str] = ("connector_id",)) -> DataFrame:
     """``(target, source '$.field', type)`` per field. ``first``: the
     first record's fields (as the reference); ``all``: every record, types
-    widened long < double < string (boolean with anything else -> string)."""
+    widened long < double < string (boolean with anything else -> string);
+    JSON nulls don't count, a field that has no other value is a string."""
     group = list(group)
     ft = field_types(records, group)
     if mode == "first":
@@ -43,7 +46,8 @@ def infer_mappings(records: DataFrame, mode: str = "first",
         out = ft.select(*group, "field", "type")
     else:
         rank = F.create_map(*[F.lit(x) for kv in WIDEN_RANK.items() for x in kv])
-        g = ft.groupBy(*group, "field").agg(
+        typ = F.when(~F.col("is_null"), F.col("type"))
+        g = ft.withColumn("type", typ).groupBy(*group, "field").agg(
             F.max(F.element_at(rank, F.col("type"))).alias("r"),
             F.count_distinct("type").alias("nt"),
             F.max((F.col("type") == "boolean").cast("int")).alias("hasb"))
@@ -68,54 +72,71 @@ def mappings_from_schema(schemas: DataFrame, schema_col: str = "record_schema")
                     F.concat(F.lit("$."), "field").alias("source"), typ.alias("type"))
 
 
-def infer_schema(records: DataFrame, group: Sequence[str] = (), max_depth: int = 8) -> DataFrame:
-    """Record schema as paths (nested objects recursed) with the widened
-    type and an example value (the smallest sample)."""
-    cat = path_catalogue(records, max_depth=max_depth, group=group)
-    return cat
-
-
-def detect_record_array(pages: DataFrame, body_col: str = "body", max_depth: int = 3) -> DataFrame:
+def infer_schema(records: DataFrame, group: Sequence[str] = (), max_depth: int | None = None) -> DataFrame:
+    """Record schema, one row per path (nested objects recursed): type
+    (``object`` and ``array`` for containers, scalars widened as in I1),
+    the number of records that have it, and an example value (the smallest)."""
+    group = list(group)
+    walked = walk_paths(records, max_depth=max_depth, group=group)
+    k = vkind(F.col("v"))
+    rank = F.create_map(*[F.lit(x) for kv in {**WIDEN_RANK, "object": 5, "array": 6}.items() for x in kv])
+    typ = F.when(k.isin("object", "array"), k).when(k != "null", _type_col(k))
+    scalar = F.when(k == "null", F.lit("null")).when(~k.isin("object", "array"), jtext(F.col("v"), k))
+    g = walked.select(*group, "path", typ.alias("t"), scalar.alias("s")).groupBy(*group, "path").agg(
+        F.count(F.lit(1)).alias("n_records"), F.min("s").alias("sample"), F.max(F.element_at(rank, F.col("t"))).alias("r"),
+        F.count_distinct("t").alias("nt"), F.max((F.col("t") == "boolean").cast("int")).alias("hasb"))
+    widened = (F.when((F.col("hasb") == 1) & (F.col("nt") > 1) & (F.col("r") < 5), "string").when(F.col("r") == 1, "long").when(F.col("r") == 2, "double")
+                .when(F.col("r") == 3, "boolean").when(F.col("r") == 5, "object").when(F.col("r") == 6, "array").otherwise("string"))
+    return g.select(*group, "path", widened.alias("type"), "n_records", "sample")
+
+
+def detect_record_array(pages: DataFrame, body_col: str = "body", max_depth: int | None = None) -> DataFrame:
     """I4: path of the record array of each body: the first array of objects
     in a depth-first walk that tries ``results, data, items, records, list``
-    first at each level, then the other keys in document order. The walk
-    order is a rank vector per candidate; ``min_by`` picks the first.
+    first at each level, then the other keys in document order.
+
+    Candidates are kept as an array in the row, each with its rank vector
+    (the place of every step among its siblings), so nothing is joined or
+    shuffled; the smallest vector is the first in the walk. The walk goes as
+    deep as the deepest body (one aggregate finds that), or to ``max_depth``.
     Keys keep document order through ``from_json(.., map<string,string>)``."""
     pref = F.array(*[F.lit(k) for k in PREFERRED_ARRAY_KEYS])
     big = len(PREFERRED_ARRAY_KEYS)
+    depth = max_depth_of(pages, F.col(body_col)) if max_depth is None else max_depth
+    keys = pages.columns
+    none = F.array().cast("array<struct<rank:array<int>,path:string>>")
 
     def is_obj_array(txt: Column) -> Column:
-        first = F.try_variant_get(F.try_parse_json(txt), "$[0]", "variant")
-        return F.ltrim(txt).startswith("[") & (vkind(first) == "object")
-
-    base = pages.select("*", F.monotonically_increasing_id().alias("__doc"))
-    keys = [c for c in base.columns]
-    root = base.select(*keys, F.lit("$").alias("__path"), F.array().cast("array<int>").alias("__rank"),
-                       F.col(body_col).alias("__txt"))
-    cands = [root.filter(is_obj_array(F.col("__txt"))).select(*keys, "__path", "__rank")]
-    cur = root
-    for _ in range(max_depth):
-        kids = cur.select(*keys, "__path", "__rank",
-                          F.posexplode(F.map_entries(F.from_json("__txt", "map<string,string>"))).alias("__i", "__e"))
-        r = F.when(F.array_position(pref, F.col("__e.key")) > 0, F.array_position(pref, F.col("__e.key")) - 1) \
-             .otherwise(F.lit(big) + F.col("__i")).cast("int")
-        cur = kids.select(*keys,
-                          F.when(F.col("__path") == "$", F.concat(F.lit("$."), F.col("__e.key")))
-                           .otherwise(F.concat("__path", F.lit("."), F.col("__e.key"))).alias("__path"),
-                          F.concat("__rank", F.array(r)).alias("__rank"), F.col("__e.value").alias("__txt"))
-        cands.append(cur.filter(is_obj_array(F.col("__txt"))).select(*keys, "__path", "__rank"))
-        cur = cur.filter(F.ltrim("__txt").startswith("{"))
-    allc = cands[0]
-    for c in cands[1:]:
-        allc = allc.unionByName(c)
-    best = allc.groupBy("__doc").agg(F.min_by("__path", "__rank").alias("record_path"))
-    return base.join(best, "__doc", "left").drop("__doc")
+        return F.ltrim(txt).startswith("[") & (vkind(F.try_variant_get(F.try_parse_json(txt), "$[0]", "variant")) == "object")
+
+    def hits(nodes: Column) -> Column:
+        return F.transform(F.filter(nodes, lambda n: F.coalesce(is_obj_array(n["txt"]), F.lit(False))), lambda n: F.struct(n["rank"].alias("rank"), n["path"].alias("path")))
+
+    def children(n: Column) -> Column:
+        def child(e: Column, i: Column) -> Column:
+            at = F.array_position(pref, e["key"]).cast("int")
+            return F.struct(F.concat(n["rank"], F.array(F.when(at > 0, at - 1).otherwise(i + big))).alias("rank"),
+                            F.concat(n["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("txt"))
+        entries = F.map_entries(F.from_json(n["txt"], "map<string,string>"))
+        return F.when(F.ltrim(n["txt"]).startswith("{"), F.coalesce(F.transform(entries, child), F.array().cast(NODES))).otherwise(F.array().cast(NODES))
+
+    root = F.array(F.struct(F.array().cast("array<int>").alias("rank"), F.lit("$").alias("path"), F.col(body_col).alias("txt")))
+    cur = pages.select(*keys, root.cast(NODES).alias("__nodes"), none.alias("__found"))
+    for level in range(depth + 1):
+        found = cur.select(*keys, "__nodes", F.concat("__found", hits(F.col("__nodes"))).alias("__found"))
+        cur = found if level == depth else found.select(*keys, F.flatten(F.transform("__nodes", children)).alias("__nodes"), "__found")
+    return cur.select(*keys, F.array_min("__found")["path"].alias("record_path"))
+
+
+NODES = "array<struct<rank:array<int>,path:string,txt:string>>"
 
 
 def envelope_fields(pages: DataFrame, record_path: str | Column, body_col: str = "body") -> DataFrame:
-    """The envelope = top-level keys other than the record array's key
-    (document order), as an array."""
-    rp = F.lit(record_path) if isinstance(record_path, str) else record_path
-    top = F.regexp_extract(rp, r"^\$\.([^.\[]+)", 1)
-    keys = F.map_keys(F.from_json(F.col(body_col), "map<string,string>"))
-    return pages.select("*", F.filter(keys, lambda k: k != top).alias("envelope"))
+    """The envelope = the keys beside the record array, in the object
+    that holds it (document order), as an array; none for a root array."""
+    rp = F.regexp_replace(F.lit(record_path) if isinstance(record_path, str) else record_path, r"\[.*$", "")
+    leaf = F.element_at(F.split(rp, r"\."), -1)
+    parent = F.regexp_replace(rp, r"\.[^.]+$", "")
+    holder = F.when(parent == "$", F.col(body_col)).otherwise(F.get_json_object(F.col(body_col), parent))
+    keys = F.map_keys(F.from_json(holder, "map<string,string>"))
+    return pages.select("*", F.when(rp != "$", F.filter(keys, lambda k: k != leaf)).otherwise(F.array().cast("array<string>")).alias("envelope"))

@@ -74,29 +74,39 @@ def page_stop(pages: DataFrame, input_root: str, total_path: str | None, page_si
                         page_start.alias("__pstart"))
 
 
-def truncate_chain(flagged: DataFrame, max_pages: int | Column = 1000, stop_col: str = "stop") -> DataFrame:
-    """Keep pages up to and including the first stopping page of each
-    (connector, run) and below ``max_pages``."""
-    first = flagged.filter(F.col(stop_col)).groupBy(*RUN).agg(F.min("page_idx").alias("__stop"))
-    mp = max_pages if isinstance(max_pages, Column) else F.lit(max_pages)
-    j = flagged.join(first, RUN, "left")
-    keep = (F.col("__stop").isNull() | (F.col("page_idx") <= F.col("__stop"))) & (F.col("page_idx") < mp)
-    return j.filter(keep).drop("__stop")
+def _cap(max_pages: int | Column | None) -> Column:
+    """The connector's own page limit; NULL: none."""
+    return max_pages if isinstance(max_pages, Column) else F.lit(max_pages).cast("int")
 
 
-def truncate_pages_by_total(flagged: DataFrame, max_pages: int = 1000) -> DataFrame:
+def truncate_chain(flagged: DataFrame, max_pages: int | Column | None = None, stop_col: str = "stop") -> DataFrame:
+    """Keep pages up to and including the first stopping page of each
+    (connector, run). Only a connector's own ``max_pages`` cuts further, and
+    ``run_truncated`` says so on every page of that run."""
+    ends = flagged.groupBy(*RUN).agg(F.min(F.when(F.col(stop_col), F.col("page_idx"))).alias("__stop"),
+                                     F.max("page_idx").alias("__last"))
+    j = flagged.withColumn("__cap", _cap(max_pages)).join(ends, RUN, "left")
+    end = F.coalesce("__stop", "__last")
+    cut = F.coalesce(end >= F.col("__cap"), F.lit(False))
+    keep = (F.col("page_idx") <= end) & F.coalesce(F.col("page_idx") < F.col("__cap"), F.lit(True))
+    return j.filter(keep).withColumn("run_truncated", cut).drop("__stop", "__last", "__cap")
+
+
+def truncate_pages_by_total(flagged: DataFrame, max_pages: int | None = None) -> DataFrame:
     """G3 for page/offset: stop index = least(first empty page,
     the page where ``page_number >= ceil(total / page_size)`` given the
-    first page carrying a total, max_pages - 1)."""
+    first page carrying a total, the connector's ``max_pages`` - 1)."""
     g = flagged.groupBy(*RUN).agg(
+        F.max("page_idx").alias("__last"),
         F.min(F.when(F.col("n_records") == 0, F.col("page_idx"))).alias("__empty"),
         F.min(F.when(F.col("__total").isNotNull(), F.col("page_idx"))).alias("__j0"),
         F.min_by("__total", F.when(F.col("__total").isNotNull(), F.col("page_idx"))).alias("__tot"),
         F.first("__ps").alias("__ps0"), F.first("__pstart").alias("__pst"))
     tp = F.when((F.col("__ps0") > 0) & F.col("__tot").isNotNull(), F.ceil(F.col("__tot") / F.col("__ps0")))
     by_total = F.greatest(F.col("__j0"), tp - F.col("__pst"))
-    stop = F.least(F.col("__empty"), by_total, F.lit(max_pages - 1))
-    s = g.select(*RUN, stop.alias("__stopidx"))
+    end = F.coalesce(F.least(F.col("__empty"), by_total), F.col("__last"))
+    s = g.select(*RUN, F.least(end, _cap(max_pages) - 1).alias("__stopidx"),
+                 F.coalesce(end >= _cap(max_pages), F.lit(False)).alias("run_truncated"))
     return (flagged.join(s, RUN, "left").filter(F.col("page_idx") <= F.col("__stopidx"))
             .drop("__stopidx", "__total", "__ps", "__pstart"))
 
@@ -111,7 +121,8 @@ def page_failures(pages: DataFrame) -> DataFrame:
                .when(F.col("status") >= 400, F.concat(F.lit("HTTP status "), F.col("status").cast("string")))
                .when(F.coalesce(F.col("truncated"), F.lit(False)), F.lit("response body truncated"))
                .when(unparsable, F.lit("response body is not JSON")))
-    bad = pages.filter(F.col("kind") == "page").select(*RUN, "page_idx", reason.alias("reason")) \
+    # A failed count request fails its run too.
+    bad = pages.filter(F.col("kind").isin("page", "count")).select(*RUN, "page_idx", reason.alias("reason")) \
         .filter(F.col("reason").isNotNull())
     return bad.groupBy(*RUN).agg(F.min("page_idx").alias("failed_page"),
                                  F.min_by("reason", "page_idx").alias("reason"))

@@ -11,14 +11,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sluice.functions.jsonpath import parse_body, vget, vkind, jtext
 from sluice.functions.timefmt import format_time, overlap_seconds
 
 RUN = ["connector_id", "run_id"]
 DEFAULT_PAGE_SIZE = 100
-DEFAULT_MAX_PAGES = 1000
 
 
 def total_pages(total: Column, page_size: Column) -> Column:
@@ -28,10 +26,12 @@ def total_pages(total: Column, page_size: Column) -> Column:
 
 def last_page(page_start: Column, tp: Column, max_pages: Column) -> Column:
     """The loop stops after page p when ``p >= total_pages``, so the last
-    page is ``greatest(page_start, total_pages)``; at most ``max_pages``
-    pages; unknown total -> up to ``max_pages`` (empty pages stop it)."""
+    page is ``greatest(page_start, total_pages)``; at most the connector's
+    own ``max_pages`` pages. Unknown total: up to ``max_pages`` (empty pages
+    stop it), or the first page alone where the connector sets no limit (the
+    plan is then open-ended: each landed page asks for the next)."""
     cap = page_start + max_pages - 1
-    return F.when(tp.isNull(), cap).otherwise(F.least(F.greatest(page_start, tp), cap))
+    return F.when(tp.isNull(), F.coalesce(cap, page_start)).otherwise(F.least(F.greatest(page_start, tp), cap))
 
 
 def plan_pages(connectors: DataFrame, total_col: str = "total") -> DataFrame:
@@ -41,7 +41,7 @@ def plan_pages(connectors: DataFrame, total_col: str = "total") -> DataFrame:
     c = connectors
     ps = F.coalesce(F.col("page_size"), F.lit(DEFAULT_PAGE_SIZE))
     start = F.coalesce(F.col("page_start"), F.lit(1))
-    mx = F.coalesce(F.col("max_pages"), F.lit(DEFAULT_MAX_PAGES))
+    mx = F.col("max_pages")
     tp = total_pages(F.col(total_col), ps)
     last = last_page(start, tp, mx)
     pvt = F.lower(F.coalesce(F.col("page_value_type"), F.lit(""))) if "page_value_type" in c.columns else F.lit("")
@@ -52,6 +52,7 @@ def plan_pages(connectors: DataFrame, total_col: str = "total") -> DataFrame:
         (F.col("page") - start).alias("page_idx"),
         F.when(offset_mode, (F.col("page") - start) * ps).otherwise(F.col("page")).alias("page_param_value"),
         ps.alias("limit"),
+        (tp.isNull() & mx.isNull()).alias("open_ended"),
     )
 
 
@@ -80,17 +81,17 @@ def next_requests_cursor(pages: DataFrame, cursor_path: str, first_page_omit: bo
 
 
 # Fixed value: the Link-header entry pattern (URL in angle brackets, then
-# parameters; rel="next" matched case-insensitively).
-LINK_NEXT_RE = r'(?i)<\s*([^>]+)\s*>\s*;.*\brel\s*=\s*"?next"?'
+# parameters, among them the relation).
+LINK_RE = r'(?i)<\s*([^>]+)\s*>\s*;(?:.*;)?\s*rel\s*=\s*"?([^",;]+)"?'
 
 
-def link_next(headers: Column) -> Column:
-    """URL of the ``rel="next"`` entry of the ``Link`` header (header
-    name case-insensitive; entries split on commas); NULL when none."""
-    link = F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "link")), 0)
-    parts = F.split(link, ",")
-    nexts = F.filter(parts, lambda e: e.rlike(LINK_NEXT_RE))
-    return F.when(F.size(nexts) > 0, F.trim(F.regexp_extract(F.get(nexts, 0), LINK_NEXT_RE, 1)))
+def link_next(headers: Column, header: str = "Link", rel: str = "next") -> Column:
+    """URL of the entry of the ``Link`` header whose relation equals
+    ``rel`` (header name and relation case-insensitive; entries split on
+    commas); NULL when none."""
+    link = F.get(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == header.lower())), 0)
+    found = F.filter(F.split(link, ","), lambda e: F.lower(F.trim(F.regexp_extract(e, LINK_RE, 2))) == rel.strip().lower())
+    return F.when(F.size(found) > 0, F.trim(F.regexp_extract(F.get(found, 0), LINK_RE, 1)))
 
 
 def next_requests_link(pages: DataFrame) -> DataFrame:
@@ -115,13 +116,13 @@ def assemble_url(url: Column, configured: Column, paging: Column) -> Column:
 
 def body_type(explicit: Column, method: Column, has_body: Column, has_form: Column) -> Column:
     """GET/HEAD send no body; else explicit type > json if a body
-    template > form if form fields > none."""
+    template > form-urlencoded if form fields > none."""
     m = F.upper(F.coalesce(method, F.lit("GET")))
     e = F.lower(F.trim(explicit))
     return (F.when(m.isin("GET", "HEAD"), F.lit("none"))
              .when(e.isNotNull() & (e != ""), e)
              .when(has_body, F.lit("json"))
-             .when(has_form, F.lit("form"))
+             .when(has_form, F.lit("form-urlencoded"))
              .otherwise(F.lit("none")))
 
 
@@ -134,7 +135,7 @@ def timestamp_param(ts: Column, overlap: Column, time_format: str | None) -> Col
 def since_id_value(last_id: Column) -> Column:
     """Body form of ``since_id``: a JSON number when the id parses as a
     long, else a JSON string (query form is the text itself)."""
-    n = F.when(last_id.rlike(r"^[+-]?[0-9]{1,18}$"), last_id.try_cast("bigint"))
+    n = F.when(last_id.rlike(r"^[+-]?[0-9]+$"), last_id.try_cast("bigint"))
     return F.when(last_id.isNull(), F.lit(None)).when(n.isNotNull(), n.cast("string")) \
         .otherwise(F.to_json(F.array(last_id)).substr(F.lit(2), F.length(F.to_json(F.array(last_id))) - 2))
 

@@ -61,20 +61,25 @@ def recent_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def runs_per_connector(runs: DataFrame, limit: int | None = None) -> DataFrame:
-    """J4 for all connectors at once: the newest ``k`` runs of each. Top-k
-    first within (connector, day) -- bounded by a day's runs -- then per
-    connector over at most k rows per day."""
-    k = clamp(limit, RECENT_DEFAULT, RECENT_MAX)
-    day = F.to_date("started_at")
-    w1 = Window.partitionBy("connector_id", day).orderBy(F.col("started_at").desc(), F.col("id").desc())
-    pre = runs.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= k).drop("__r")
+    """J4 for all connectors at once: the newest ``k`` runs of each (any k:
+    only the single listing clamps it). Top-k first within (connector, day),
+    then (connector, month), then per connector, so no window sees more than
+    k rows of each part below it."""
+    k = RECENT_DEFAULT if limit is None else max(1, int(limit))
+    pre = runs
+    for part in (F.to_date("started_at"), F.date_trunc("month", F.col("started_at")), F.date_trunc("year", F.col("started_at"))):
+        w1 = Window.partitionBy("connector_id", part).orderBy(F.col("started_at").desc(), F.col("id").desc())
+        pre = pre.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= k).drop("__r")
     w2 = Window.partitionBy("connector_id").orderBy(F.col("started_at").desc(), F.col("id").desc())
     return pre.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
 
 
 def run_details(details: DataFrame, job_run_id=None, limit: int | None = None) -> DataFrame:
-    """Details of one run (or all runs) in id order, at most 1..100."""
-    k = clamp(limit, DETAIL_MAX, DETAIL_MAX)
+    """Details of one run in id order, at most 1..100; without a run
+    the details of all runs, cut only if ``limit`` says so."""
+    if job_run_id is None and limit is None:
+        return details
+    k = clamp(limit, DETAIL_MAX, DETAIL_MAX) if job_run_id is not None else max(1, int(limit))
     d = details if job_run_id is None else details.filter(F.col("job_run_id") == F.lit(job_run_id))
     w = Window.partitionBy("job_run_id").orderBy("id")
     return d.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= k).drop("__r")
@@ -91,13 +96,15 @@ def active_connectors(runs: DataFrame) -> DataFrame:
     return runs.filter(F.col("status").isin(PENDING, RUNNING)).select("connector_id").distinct()
 
 
-def fail_stale(runs: DataFrame, as_of, pending_age_s: int = 3600,
+def fail_stale(runs: DataFrame, as_of, pending_age_s: int | None = None,
                running_age_s: int | None = None) -> DataFrame:
-    """Pending runs started before ``as_of - age`` become failed (and,
-    with ``running_age_s``, running ones too -- quirk 14)."""
+    """Every pending run becomes failed (with ``pending_age_s``: those
+    older than that; with ``running_age_s``, running ones too -- quirk 14)."""
     t = F.lit(as_of).cast("timestamp") if not isinstance(as_of, Column) else as_of
     age = F.unix_seconds(t) - F.unix_seconds(F.col("started_at"))
-    stale = (F.col("status") == PENDING) & (age > pending_age_s)
+    stale = F.col("status") == PENDING
+    if pending_age_s is not None:
+        stale = stale & (age > pending_age_s)
     if running_age_s is not None:
         stale = stale | ((F.col("status") == RUNNING) & (age > running_age_s))
     return runs.withColumn("error_message", F.when(stale, F.lit("stale run failed")).otherwise(F.col("error_message"))) \

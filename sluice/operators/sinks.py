@@ -8,18 +8,31 @@ overwriting the snapshot being read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DEFAULT_ORDER = ("page_idx", "pos")
+from sluice.session import scratch_path
+
+# A later run's record replaces an earlier run's, whatever its page.
+DEFAULT_ORDER = ("run_started_at", "run_id", "page_idx", "pos")
 
 
 class SinkError(ValueError):
     pass
 
 
+def order_columns(batch: DataFrame, order: Sequence[str]) -> list[str]:
+    """The columns of ``order`` that the batch has."""
+    found = [c for c in order if c in batch.columns]
+    if not found:
+        raise SinkError("upsert needs one of the order columns " + ", ".join(order))
+    return found
+
+
 def dedupe_last(batch: DataFrame, keys: Sequence[str], order: Sequence[str] = DEFAULT_ORDER,
                 quarantine: bool = False) -> DataFrame:
     """K2 (in-batch): one row per key, the last by ``order`` wins.
@@ -41,7 +54,8 @@ def dedupe_last(batch: DataFrame, keys: Sequence[str], order: Sequence[str] = DE
         batch = batch.dropna(subset=keys)
     if not cols:
         return batch.select(*keys).distinct()
-    agg = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.struct(*order)).alias("__last"))
+    by = F.struct(*order_columns(batch, order))
+    agg = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), by).alias("__last"))
     return agg.select(*keys, *[F.col("__last")[c].alias(c) for c in cols])
 
 
@@ -54,7 +68,7 @@ def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str],
     unique per key after the dedupe, so the anti join has no hot keys."""
     last = dedupe_last(batch, keys, order)
     if drop_order:
-        last = last.drop(*[c for c in order if c not in keys])
+        last = last.drop(*[c for c in order if c not in keys and c in last.columns])
     if target is None:
         return last
     kept = target.join(last.select(*keys), on=list(keys), how="left_anti")
@@ -120,7 +134,8 @@ def quote_ident(name: str) -> str:
 
 def upsert_statement(table: str, columns: Sequence[str], keys: Sequence[str]) -> str:
     """K8: ``INSERT .. ON CONFLICT (keys) DO UPDATE SET c = EXCLUDED.c``
-    (plain insert when there are no non-key columns to update)."""
+    (``DO NOTHING`` when there are no non-key columns to update; a plain
+    insert without keys)."""
     check_target(table)
     cols = ", ".join(quote_ident(c) for c in columns)
     params = ", ".join("?" for _ in columns)
@@ -143,21 +158,29 @@ def message_projection(df: DataFrame, keys: Sequence[str] | None) -> DataFrame:
                                {"ignoreNullFields": "false"}).alias("value"))
 
 
-def write_kafka(df: DataFrame, topic: str, keys: Sequence[str] | None, **options) -> None:
-    """K9 write (needs the Kafka connector jar; acks=all as the reference)."""
+def write_kafka(df: DataFrame, topic: str, keys: Sequence[str] | None, fmt: str = "kafka", **options) -> int:
+    """K9 write (needs the Kafka connector jar; acks=all as the reference);
+    returns the messages written, observed on the write itself (K10)."""
     check_target(topic, "topic")
-    (message_projection(df, keys).write.format("kafka")
-     .option("topic", topic).option("kafka.acks", "all").options(**options).save())
+    obs = Observation(f"kafka_{uuid.uuid4().hex[:8]}")
+    (message_projection(df, keys).observe(obs, F.count(F.lit(1)).alias("n")).write.format(fmt)
+     .option("topic", topic).option("kafka.acks", "all").options(**options).mode("append").save())
+    return int(obs.get["n"])
 
 
 def write_jdbc_upsert(df: DataFrame, url: str, table: str, keys: Sequence[str],
                       batch_size: int = 1000, max_connections: int = 5,
-                      connect: Callable | None = None) -> None:
+                      connect: Callable | None = None) -> int:
     """K8 write: per-partition batched upsert statements (a DB-API
     ``connect(url)`` factory must be supplied; no driver ships here).
-    Concurrency is capped with ``coalesce(max_connections)``."""
+    The rows are staged in the shared folder first, so only the writing, not
+    the stages before it, runs in ``max_connections`` tasks."""
     if connect is None:
         raise SinkError("write_jdbc_upsert needs a connect(url) factory")
+    spark = df.sparkSession
+    staged = scratch_path(spark, "jdbc")
+    df.write.parquet(staged)
+    df = spark.read.schema(df.schema).parquet(staged)
     cols = df.columns
     sql = upsert_statement(table, cols, keys)
 
@@ -174,7 +197,8 @@ def write_jdbc_upsert(df: DataFrame, url: str, table: str, keys: Sequence[str],
             cur.executemany(sql, batch)
         conn.commit()
         conn.close()
-    df.coalesce(max_connections).foreachPartition(part)
+    df.repartition(max_connections).foreachPartition(part)
+    return df.count()
 
 
 # ---- snapshot tables (K2/K3 persistence) ----------------------------------
@@ -232,6 +256,86 @@ def write_append(batch: DataFrame, base: str) -> int:
     return int(obs.get["n"])
 
 
+# ---- bucket tables: upsert that rewrites only what a batch touches -----------
+
+BUCKETS = 16       # default; a table is best made with rows / 10**6 of them
+BUCKET = "__bucket"
+
+
+def bucket_table_versions(spark, base: str) -> list[int]:
+    """Committed versions: those whose pointer table was written."""
+    return snapshot_versions(spark, f"{base}/_pointers")
+
+
+def _pointers(spark, base: str, version: int) -> dict[int, int]:
+    """Which version holds each bucket's rows (one small row a bucket)."""
+    rows = spark.read.parquet(f"{base}/_pointers/v={version}").collect()
+    return {r["bucket"]: r["version"] for r in rows}
+
+
+def _bucket_paths(base: str, pointers: dict[int, int]) -> list[str]:
+    return [f"{base}/data/v={v}/{BUCKET}={b}" for b, v in sorted(pointers.items())]
+
+
+def read_bucket_table(spark, base: str, version: int | None = None) -> DataFrame | None:
+    """The table at its latest (or the given) committed version."""
+    done = bucket_table_versions(spark, base)
+    if version is not None:
+        done = [v for v in done if v <= version]
+    if not done:
+        return None
+    held = _pointers(spark, base, done[-1])
+    if not held:
+        return None
+    return spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*_bucket_paths(base, held)).drop("v", BUCKET)
+
+
+def bucket_upsert(batch: DataFrame, base: str, keys: Sequence[str], version: int | None = None,
+                  order: Sequence[str] = DEFAULT_ORDER, buckets: int = BUCKETS) -> int:
+    """K2 persisted by hash buckets of the key: only the buckets that hold
+    keys of the batch are read and written anew; the others stay the files
+    they are. The pointer table of the version is written last and makes it
+    visible, so a write that breaks off leaves the table as it was, and a
+    repeated one writes the same. The order columns stay in the table, so
+    batches may arrive in any order. Returns the table's version."""
+    spark = batch.sparkSession
+    done = bucket_table_versions(spark, base)
+    version = (done[-1] + 1 if done else 1) if version is None else version
+    before = [v for v in done if v < version]
+    pointers = _pointers(spark, base, before[-1]) if before else {}
+    staged = scratch_path(spark, "bucket-batch")
+    last = dedupe_last(batch, keys, order)
+    last.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.partitionBy(BUCKET).parquet(staged)
+    schema = T.StructType([*last.schema.fields, T.StructField(BUCKET, T.IntegerType())])
+    new = spark.read.schema(schema).parquet(staged)
+    touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())     # at most ``buckets`` numbers
+    old = [p for b, p in zip(sorted(pointers), _bucket_paths(base, pointers), strict=True) if b in touched]
+    both = new
+    if old:
+        both = spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*old).drop("v").unionByName(new, allowMissingColumns=True)
+    merged = dedupe_last(both, [*keys, BUCKET], order)
+    merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{base}/data/v={version}")
+    held = {**pointers, **dict.fromkeys(touched, version)}
+    spark.createDataFrame(sorted(held.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{base}/_pointers/v={version}")
+    return version
+
+
+def drop_old_versions(spark, base: str, keep: int = 2) -> list[int]:
+    """Remove pointer tables beyond the last ``keep`` versions, and data no
+    kept version points to. Returns the data versions removed."""
+    done = bucket_table_versions(spark, base)
+    kept = done[-keep:]
+    used = {v for k in kept for v in _pointers(spark, base, k).values()}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, _ = _fs(spark, base)
+    for v in done[:-keep]:
+        fs.delete(path(f"{base}/_pointers/v={v}"), True)
+    gone = [v for v in done if v not in used]
+    for v in gone:
+        fs.delete(path(f"{base}/data/v={v}"), True)
+    return gone
+
+
 # ---- K1 routing -------------------------------------------------------------
 
 SINKS: dict[str, Callable] = {}
@@ -252,27 +356,41 @@ def route(sink_type: str | None) -> Callable:
     return SINKS[t]
 
 
+def is_upsert(write_mode: str | None) -> bool:
+    """K3: blank means upsert; ``insert`` (or ``append``) keeps every row."""
+    mode = (write_mode or "").strip().lower() or "upsert"
+    if mode not in ("upsert", "insert", "append"):
+        raise SinkError(f"unknown write mode {write_mode!r}")
+    return mode == "upsert"
+
+
+def without_order(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in DEFAULT_ORDER if c in df.columns])
+
+
 @register_sink("parquet")
-def _parquet_sink(df: DataFrame, table: str, keys: Sequence[str] = (), write_mode: str = "upsert", **_):
+def _parquet_sink(df: DataFrame, table: str, keys: Sequence[str] = (), write_mode: str | None = "upsert", **_):
     check_target(table)
-    if (write_mode or "upsert") == "upsert":
-        return write_upsert(df, table, default_keys(
-            [c for c in df.columns if c not in DEFAULT_ORDER], keys))[1]
-    return write_append(df.drop(*[c for c in DEFAULT_ORDER if c in df.columns]), table)
+    data = without_order(df)
+    if not is_upsert(write_mode):
+        return write_append(data, table)
+    ks = default_keys(data.columns, keys)
+    last = dedupe_last(df, ks)
+    bucket_upsert(df, table, ks)
+    return last.count()
 
 
 @register_sink("kafka")
-def _kafka_sink(df: DataFrame, topic: str, keys: Sequence[str] = (), **opts):
-    write_kafka(df.drop(*[c for c in DEFAULT_ORDER if c in df.columns]), topic, keys, **opts)
-    return None
+def _kafka_sink(df: DataFrame, topic: str, keys: Sequence[str] = (), write_mode: str | None = None, **opts):
+    return write_kafka(without_order(df), topic, keys, **opts)
 
 
 @register_sink("postgresql")
 def _pg_sink(df: DataFrame, table: str, keys: Sequence[str] = (), url: str | None = None,
-             connect: Callable | None = None, batch_size: int = 1000, **_):
+             connect: Callable | None = None, batch_size: int = 1000, write_mode: str | None = "upsert", **_):
     check_target(table)
-    data = df.drop(*[c for c in DEFAULT_ORDER if c in df.columns])
+    data = without_order(df)
+    if not is_upsert(write_mode):
+        return write_jdbc_upsert(data, url or "", table, [], batch_size=batch_size, connect=connect)
     ks = default_keys(data.columns, keys)
-    write_jdbc_upsert(dedupe_last(df, ks).drop(*[c for c in DEFAULT_ORDER if c in df.columns]),
-                      url or "", table, ks, batch_size=batch_size, connect=connect)
-    return None
+    return write_jdbc_upsert(without_order(dedupe_last(df, ks)), url or "", table, ks, batch_size=batch_size, connect=connect)

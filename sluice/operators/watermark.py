@@ -52,7 +52,7 @@ def advance_monotonic(records: DataFrame, path: str, prev: DataFrame | None = No
     if prev is not None:
         ids = ids.unionByName(prev.select(*keys, F.col("last_id").alias("id")))
     ids = ids.filter(F.col("id").isNotNull() & (F.trim("id") != ""))
-    num = F.when(F.col("id").rlike(r"^[+-]?[0-9]{1,18}$"), F.col("id").try_cast("bigint"))
+    num = F.when(F.col("id").rlike(r"^[+-]?[0-9]+$"), F.col("id").try_cast("bigint"))
     agg = ids.groupBy(*keys).agg(F.max(num).alias("nmax"), F.max("id").alias("tmax"))
     return agg.select(*keys, F.coalesce(F.col("nmax").cast("string"), F.col("tmax")).alias("last_id"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sluice.operators import sinks as K
 from sluice.plans.registered import FLAGSHIP_STEPS, register
 from sluice.session import scratch_path
-from sluice.sources.landed import event_pages, push_connectors, push_requests
+from sluice.sources.landed import event_pages, land_pages, push_connectors, push_requests, read_table
 from sluice.streaming.pages import run_pages_stream
 from sluice.streaming.push import run_push_stream
 
@@ -40,17 +40,17 @@ def _run_push(spark, sf, files: int = 4):
 
 
 @register("u6_push_stream_table", f"""
-SELECT event_id, event_type, event_name, camera_id, img_url, confidence, event_time FROM (
-  SELECT EventID AS event_id, user_id % 5 AS event_type, event_type AS event_name,
+SELECT connector_id, event_id, event_type, event_name, camera_id, img_url, confidence, event_time FROM (
+  SELECT 'push-' || CAST(k AS VARCHAR) AS connector_id, EventID AS event_id, user_id % 5 AS event_type, event_type AS event_name,
     'cam-' || CAST(user_id AS VARCHAR) AS camera_id, 'http://img.local/' || CAST(eid AS VARCHAR) || '.jpg' AS img_url,
     round(value / 500, 4) AS confidence, t AS event_time,
-    row_number() OVER (PARTITION BY EventID ORDER BY eid DESC) AS r FROM {ACCEPTED}) WHERE r = 1""")
+    row_number() OVER (PARTITION BY k, EventID ORDER BY eid DESC) AS r FROM {ACCEPTED}) WHERE r = 1""")
 def u6_push_stream_table(spark, sf):
     """U1-U6 end to end: the keyed table after all pushes (last push per
-    EventID wins; rejected pushes write nothing)."""
+    connector and EventID wins; rejected pushes write nothing)."""
     table, _, _ = _run_push(spark, sf)
-    return K.read_snapshot(spark, table).select(
-        "event_id", "event_type", "event_name", "camera_id", "img_url", "confidence", "event_time")
+    return K.read_bucket_table(spark, table).select(
+        "connector_id", "event_id", "event_type", "event_name", "camera_id", "img_url", "confidence", "event_time")
 
 
 @register("u7_push_results", f"""
@@ -90,4 +90,59 @@ def s3_page_stream_flagship(spark, sf):
     table = scratch_path(spark, "pages-table")
     run_pages_stream(spark, land, "$.data", FLAGSHIP_STEPS, ["user_id"], table,
                      scratch_path(spark, "pages-ckpt"), max_files_per_trigger=1)
-    return K.read_snapshot(spark, table).select("event_id", "user_id", "value", "k", "ts")
+    return K.read_bucket_table(spark, table).select("event_id", "user_id", "value", "k", "ts")
+
+
+@register("s3_second_run_wins", """
+SELECT event_id, user_id, round(CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END, 4) AS value FROM events""")
+def s3_second_run_wins(spark, sf):
+    """A second run re-sends a third of the records with new values, on earlier
+    pages than the first run had them: the later run's values stay."""
+    ev = read_table(spark, sf, "events")
+    record = lambda v: F.to_json(F.struct("event_id", "user_id", F.round(v, 4).alias("value")))
+    first = land_pages(ev, F.lit("runs"), "event_id", record(F.col("value")), page_size=50, run_id=1)
+    again = ev.filter(F.col("event_id") % 3 == 0)
+    second = land_pages(again, F.lit("runs"), "event_id", record(F.col("value") + 1), page_size=50, run_id=2)
+    land = scratch_path(spark, "runs-landed")
+    second.write.parquet(f"{land}/a")
+    first.write.parquet(f"{land}/b")
+    table = scratch_path(spark, "runs-table")
+    steps = [{"type": "map_fields", "mappings": [{"source": "$.event_id", "target": "event_id", "type": "long"},
+                                                 {"source": "$.user_id", "target": "user_id", "type": "long"},
+                                                 {"source": "$.value", "target": "value", "type": "double"}]}]
+    run_pages_stream(spark, f"{land}/*", "$.data", steps, ["event_id"], table, scratch_path(spark, "runs-ckpt"), max_files_per_trigger=4)
+    return K.read_bucket_table(spark, table).select("event_id", "user_id", "value")
+
+
+@register("u6_two_connectors", """
+SELECT connector_id, event_id, event_name FROM (SELECT 'push-0' AS connector_id UNION ALL SELECT 'push-1') c,
+  (SELECT 'EVT-' || CAST(event_id AS VARCHAR) AS event_id, event_type AS event_name FROM events)""")
+def u6_two_connectors(spark, sf):
+    """Two connectors push the same event ids: each keeps its own rows."""
+    ev = read_table(spark, sf, "events")
+    eid = F.concat(F.lit("EVT-"), F.col("event_id").cast("string"))
+    body = F.to_json(F.struct(eid.alias("EventID"), F.col("event_type").alias("EventName")))
+    sign = F.lower(F.md5(F.concat(F.lit("ivsp_"), eid)))
+    sent = [ev.select(F.lit(c).alias("connector_id"), F.concat(F.lit(f"{c}-"), F.col("event_id").cast("string")).alias("request_id"),
+                      sign.alias("sign"), F.col("event_id").alias("seq"), body.alias("body")) for c in ("push-0", "push-1")]
+    land = scratch_path(spark, "two-landed")
+    sent[0].unionByName(sent[1]).repartition(3, "seq").write.json(land)
+    conns = spark.createDataFrame([("push-0", "push", True, True, True, "ivsp"), ("push-1", "both", True, True, False, "ivsp")],
+                                  "connector_id string, mode string, published boolean, webhook_enabled boolean, verify_sign boolean, plat_flag string")
+    out = scratch_path(spark, "two-out")
+    table, _, _ = run_push_stream(spark, land, conns, [m for m in PUSH_MAPPINGS if m["target"] in ("event_id", "event_name")], out,
+                                  scratch_path(spark, "two-ckpt"), max_files_per_trigger=1)
+    return K.read_bucket_table(spark, table).select("connector_id", "event_id", "event_name")
+
+
+@register("u5_raw_json", f"""
+SELECT connector_id, event_id, json_extract_string(raw, '$.ImgUrl') AS img, json_extract_string(raw, '$.TaskID') AS task FROM (
+  SELECT 'push-' || CAST(k AS VARCHAR) AS connector_id, EventID AS event_id,
+    json_object('ImgUrl', 'http://img.local/' || CAST(eid AS VARCHAR) || '.jpg', 'TaskID', 'task-' || CAST(eid % 7 AS VARCHAR)) AS raw,
+    row_number() OVER (PARTITION BY k, EventID ORDER BY eid DESC) AS r FROM {ACCEPTED}) WHERE r = 1""")
+def u5_raw_json(spark, sf):
+    """The stored event text: normalised (ImgUrl filled in), all fields kept."""
+    table, _, _ = _run_push(spark, sf)
+    raw = F.parse_json("raw_json")
+    return K.read_bucket_table(spark, table).select("connector_id", "event_id", F.try_variant_get(raw, "$.ImgUrl", "string").alias("img"),
+                                                    F.try_variant_get(raw, "$.TaskID", "string").alias("task"))

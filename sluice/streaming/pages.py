@@ -20,22 +20,20 @@ def read_pages_stream(spark, path: str, fmt: str = "parquet", max_files_per_trig
 
 def run_pages_stream(spark, path: str, input_root: str, steps: Sequence[dict], keys: Sequence[str],
                      table: str, checkpoint: str, max_files_per_trigger: int | None = None,
-                     drop: Sequence[str] = ("connector_id", "run_id")) -> str:
-    """Process landed pages to completion; returns the table folder."""
+                     drop: Sequence[str] = ("connector_id",)) -> str:
+    """Process landed pages to completion; returns the (bucket) table folder.
+
+    The table keeps (run_id, page_idx, pos) of each row and the last by that
+    order wins: a later run replaces an earlier one's record whatever pages
+    the two stood on, and micro-batches may arrive in any order."""
     stream = read_pages_stream(spark, path, max_files_per_trigger=max_files_per_trigger)
 
     def batch(df, bid):
-        done = K.snapshot_versions(spark, table)
-        if done and done[-1] >= bid + 1:
+        if bid + 1 in K.bucket_table_versions(spark, table):
             return
         recs = X.extract_records(df, input_root)
         rows = T.transform(recs, steps).rows.drop(*drop)
-        # Micro-batches may arrive in any page order: the table keeps the
-        # (page_idx, pos) of each row and the last by that order wins.
-        prev = K.read_snapshot(spark, table)
-        both = rows if prev is None else prev.unionByName(rows, allowMissingColumns=True)
-        new = K.dedupe_last(both, list(keys))
-        new.write.mode("overwrite").parquet(f"{table}/v={bid + 1}")
+        K.bucket_upsert(rows, table, list(keys), version=bid + 1)
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

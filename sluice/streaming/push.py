@@ -6,13 +6,16 @@ with ``readStream.json`` and processed per micro-batch with ``foreachBatch``:
 
 * U1 gate: stream-static join to the latest published push connectors
   (``connector_id, mode, published, webhook_enabled, verify_sign,
-  plat_flag``; one row per connector -- small and bounded by the number of
-  connectors, so it is broadcast).
+  plat_flag``; one row per connector). The join is left to the planner,
+  which broadcasts the table only where its measured size allows it.
 * U2 normalise, U3 id check, U4 signature, U5 typed transform (T17 rules;
   a failing field fails the event), ``raw_json`` = the normalised event.
-* U6 idempotent write: keyed upsert (last ``seq`` wins) into a snapshot
-  folder per batch id; a replayed batch id finds its snapshot and is skipped.
-* U7 result rows (``op_code`` 0/1 + reason), U8 run-log rows (``run_type=push``).
+* U7 result rows (``op_code`` 0/1 + reason), U8 run-log rows
+  (``run_type=push``): a folder per batch id, written over on a replay.
+* U6 idempotent write: keyed upsert per (connector, event id), last ``seq``
+  wins, into a bucket table whose version is the batch id. It is written
+  after results and run log, and its pointer last of all: a batch whose
+  version exists is complete, any other is done again as a whole.
 """
 from __future__ import annotations
 
@@ -73,7 +76,7 @@ def evaluate(events: DataFrame, connectors: DataFrame, mappings: Sequence[dict],
     the mapped columns for accepted events."""
     c = connectors.select("connector_id", "mode", "published", "webhook_enabled", "verify_sign", "plat_flag",
                           F.lit(True).alias("__known"))
-    j = events.join(F.broadcast(c), "connector_id", "left")
+    j = events.join(c, "connector_id", "left")
     v = normalise(F.col("body"))
     j = j.withColumn("rec", v)
     is_obj = F.substring(F.schema_of_variant("rec"), 1, 6) == "OBJECT"
@@ -100,30 +103,26 @@ def evaluate(events: DataFrame, connectors: DataFrame, mappings: Sequence[dict],
 
 
 def process_batch(batch: DataFrame, batch_id: int, connectors: DataFrame, mappings: Sequence[dict],
-                  table: str, results: str, runlog: str, key: str = "event_id") -> None:
+                  table: str, results: str, runlog: str, key: str | Sequence[str] = ("connector_id", "event_id")) -> None:
     """U6-U8 for one micro-batch (idempotent by batch id)."""
     spark = batch.sparkSession
-    done = K.snapshot_versions(spark, table)
-    if done and done[-1] >= batch_id + 1:
-        return                                  # replayed batch: already committed
+    if batch_id + 1 in K.bucket_table_versions(spark, table):
+        return                                  # replayed batch: the table is written last, so all is there
     ev = evaluate(batch, connectors, mappings).persist()
     try:
         targets = [m["target"] for m in mappings]
-        ok = ev.filter(F.col("op_code") == 0).select(*targets, "raw_json", "page_idx", "pos")
-        # The table keeps each row's push sequence (pos): the last push per
-        # key wins whatever order the micro-batches arrive in.
-        prev = K.read_snapshot(spark, table)
-        both = ok if prev is None else prev.unionByName(ok, allowMissingColumns=True)
-        new = K.dedupe_last(both, [key])
-        new.write.mode("overwrite").parquet(f"{table}/v={batch_id + 1}")
-        ev.select("connector_id", "request_id", "seq", "op_code", "op_desc",
-                  F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(results)
+        ok = ev.filter(F.col("op_code") == 0).select(*dict.fromkeys(["connector_id", *targets]), "raw_json", "page_idx", "pos")
+        ev.select("connector_id", "request_id", "seq", "op_code", "op_desc") \
+            .write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
         ev.filter(~F.col("gated")).select(
             "connector_id", F.lit("push").alias("run_type"),
             F.when(F.col("op_code") == 0, "success").otherwise("failed").alias("status"),
             F.when(F.col("op_code") == 0, 1).otherwise(0).alias("records_ok"),
-            F.lit(0).alias("records_failed"), "request_id", F.lit(batch_id).alias("batch_id")) \
-            .write.mode("append").parquet(runlog)
+            F.lit(0).alias("records_failed"), "request_id") \
+            .write.mode("overwrite").parquet(f"{runlog}/batch_id={batch_id}")
+        # The table keeps each row's push sequence (pos): the last push per
+        # key wins whatever order the micro-batches arrive in.
+        K.bucket_upsert(ok, table, [key] if isinstance(key, str) else list(key), version=batch_id + 1)
     finally:
         ev.unpersist()
 
