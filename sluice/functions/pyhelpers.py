@@ -39,3 +39,46 @@ def compose_json(tmpl: pd.Series, vals: pd.Series) -> pd.Series:
             _set_path(doc, path, value)
         out.append(json.dumps(doc, separators=(",", ":"), ensure_ascii=False))
     return pd.Series(out)
+
+
+def _lookup(root: dict, ref: str):
+    """What a local reference points to (``#/a/b``, with ``~1`` and ``~0`` escapes); else nothing."""
+    if not isinstance(ref, str) or not ref.startswith("#/"):
+        return {}
+    node = root
+    for part in ref[2:].split("/"):
+        node = node.get(part.replace("~1", "/").replace("~0", "~")) if isinstance(node, dict) else None
+    return node if isinstance(node, dict) else {}
+
+
+def _resolved(root: dict, node, open_refs: frozenset = frozenset()):
+    """A part of a document with references replaced by what they point to and
+    ``allOf`` merged into one object; a reference inside itself becomes ``{}``."""
+    if isinstance(node, list):
+        return [_resolved(root, x, open_refs) for x in node]
+    if not isinstance(node, dict):
+        return node
+    if "$ref" in node:
+        ref = node["$ref"]
+        return {} if ref in open_refs else _resolved(root, _lookup(root, ref), open_refs | {ref})
+    if isinstance(node.get("allOf"), list):
+        merged: dict = {}
+        for part in node["allOf"]:
+            got = _resolved(root, part, open_refs)
+            merged.update(got.get("properties") or {} if isinstance(got, dict) else {})
+        return {"type": "object", "properties": merged}
+    return {k: _resolved(root, v, open_refs) for k, v in node.items()}
+
+
+@F.pandas_udf(T.StringType())
+def resolve_paths(docs: pd.Series) -> pd.Series:
+    """The ``paths`` of API documents with references resolved, as JSON text;
+    NULL for what is no JSON object."""
+    out = []
+    for d in docs:
+        try:
+            root = json.loads(d) if isinstance(d, str) else None
+        except ValueError:
+            root = None
+        out.append(json.dumps(_resolved(root, root.get("paths") or {}), ensure_ascii=False) if isinstance(root, dict) else None)
+    return pd.Series(out, dtype=object)

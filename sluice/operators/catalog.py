@@ -1,14 +1,18 @@
 """API catalogue: operations of many OpenAPI / Swagger documents.
 
-``specs(spec_id, doc)`` holds one JSON document per row; operations are
-exploded with ``from_json(.., map<string,string>)`` (document order kept)
-and every later step is a column expression.
+``specs(spec_id, doc)`` holds one JSON document per row. References and
+``allOf`` are resolved once per document by a small Arrow-batched helper
+(O6); operations are then exploded with ``from_json(.., map<string,string>)``
+(document order kept) and every later step is a column expression on the row
+of its operation: no join, no grouping.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions.pyhelpers import resolve_paths
+
 # Method order, success codes, and pagination parameter names
 # (lower-cased, '-' read as '_'), each list in priority order.
 HTTP_METHODS = ("get", "post", "put", "patch", "delete", "head", "options")
@@ -24,114 +28,234 @@ TOTAL_NAMES = ("total", "totalcount", "total_count", "count")
 SLUG_PREFIX, SLUG_MAX = "openapi-", 48
 
 
+# Objects beside the fields of an envelope that may hold paging fields, in order.
+CONTAINERS = ("meta", "pagination", "page")
+MAP = "map<string,string>"
+
+
 def _j(col: Column, path: str) -> Column:
     return F.get_json_object(col, path)
 
 
+def _object(text: Column) -> Column:
+    """The fields of a JSON object in document order; no object: none."""
+    return F.coalesce(F.when(F.ltrim(text).startswith("{"), F.from_json(text, MAP)), F.create_map().cast(MAP))
+
+
+def _plain(text: Column) -> Column:
+    """A field's text; JSON null and blank are missing."""
+    return F.when((F.trim(text) != "") & (text != "null"), text)
+
+
 def server_url(doc: Column) -> Column:
-    """O2: ``servers[0].url``, else ``scheme://host + basePath`` (Swagger 2,
-    first scheme, default https); trailing slash removed."""
-    oas3 = _j(doc, "$.servers[0].url")
-    host = _j(doc, "$.host")
-    sw = F.when(host.isNotNull(), F.concat(F.coalesce(_j(doc, "$.schemes[0]"), F.lit("https")), F.lit("://"),
-                                          host, F.coalesce(_j(doc, "$.basePath"), F.lit(""))))
-    return F.regexp_replace(F.coalesce(oas3, sw, F.lit("")), "/+$", "")
+    """O2: the first server with a URL, else ``scheme://host + basePath``
+    (Swagger 2, first scheme, default http); one trailing slash removed."""
+    listed = F.transform(F.from_json(_j(doc, "$.servers"), "array<struct<url:string>>"), lambda s: s["url"])
+    oas3 = F.get(F.filter(listed, lambda u: F.coalesce(F.trim(u) != "", F.lit(False))), 0)
+    host = _plain(_j(doc, "$.host"))
+    sw = F.concat(F.coalesce(_j(doc, "$.schemes[0]"), F.lit("http")), F.lit("://"), host, F.coalesce(_j(doc, "$.basePath"), F.lit("")))
+    return F.regexp_replace(F.coalesce(oas3, sw, F.lit("")), "/$", "")
+
+
+def join_url(server: Column, path: Column) -> Column:
+    """O2: server and path; an absolute path stays, a bare one gets a slash."""
+    return (F.when((F.trim(server) == "") | path.rlike("^https?://"), path)
+             .when(path.startswith("/"), F.concat(F.regexp_replace(server, "/$", ""), path))
+             .otherwise(F.concat(F.regexp_replace(server, "/$", ""), F.lit("/"), path)))
 
 
 def operations(specs: DataFrame) -> DataFrame:
-    """O1: one row per (path, method) in method order: operation_id (default
-    ``METHOD path``), summary (-> description -> id), server and full URL,
-    and the path-level and operation-level parameters (JSON text)."""
-    paths = F.from_json(_j(F.col("doc"), "$.paths"), "map<string,string>")
-    p = specs.select("spec_id", server_url(F.col("doc")).alias("server"),
-                     F.posexplode(F.map_entries(paths)).alias("path_pos", "pe"))
-    m = p.select("spec_id", "server", "path_pos", F.col("pe.key").alias("path"),
-                 F.col("pe.value").alias("item"),
-                 F.posexplode(F.array(*[F.lit(x) for x in HTTP_METHODS])).alias("method_pos", "m"))
-    m = m.withColumn("op", F.expr("get_json_object(item, concat('$.', m))")) \
-         .filter(F.col("op").isNotNull() & (F.col("op") != "null"))
+    """One row per (path, method) in method order: operation_id
+    (default ``METHOD path``), summary (-> description -> id), server and full
+    URL, the path-level and operation-level parameters and the operation, with
+    references resolved (JSON text)."""
+    p = specs.select("spec_id", server_url(F.col("doc")).alias("server"), resolve_paths(F.col("doc")).alias("paths"))
+    p = p.select("spec_id", "server", F.posexplode(F.map_entries(_object(F.col("paths")))).alias("path_pos", "pe"))
+    p = p.select("spec_id", "server", "path_pos", F.col("pe.key").alias("path"), _object(F.col("pe.value")).alias("item"))
+    m = p.select("*", F.posexplode(F.array(*[F.lit(x) for x in HTTP_METHODS])).alias("method_pos", "m"))
+    m = m.withColumn("op", F.element_at("item", F.col("m"))).filter(F.col("op").isNotNull() & (F.col("op") != "null"))
     oid = F.coalesce(_j(F.col("op"), "$.operationId"), F.concat(F.upper("m"), F.lit(" "), F.col("path")))
     return m.select(
         "spec_id", "path_pos", "method_pos", F.upper("m").alias("method"), "path", oid.alias("operation_id"),
         F.coalesce(_j(F.col("op"), "$.summary"), _j(F.col("op"), "$.description"), oid).alias("summary"),
-        "server", F.concat("server", "path").alias("url"),
-        F.coalesce(_j(F.col("item"), "$.parameters"), F.lit("[]")).alias("path_params"),
+        "server", join_url(F.col("server"), F.col("path")).alias("url"),
+        F.coalesce(F.element_at("item", F.lit("parameters")), F.lit("[]")).alias("path_params"),
         F.coalesce(_j(F.col("op"), "$.parameters"), F.lit("[]")).alias("op_params"), "op")
 
 
-PARAM = "array<struct<name:string,in:string,required:boolean,schema:struct<type:string,format:string>,type:string>>"
+PARAM = "array<struct<name:string,in:string,required:boolean,schema:string,type:string,example:string>>"
+FIELD = "struct<name:string,place:string,type:string,example:string>"
+
+
+def json_content(holder: Column) -> Column:
+    """The schema under ``content``: of application/json, else of the first kind."""
+    content = _object(_j(holder, "$.content"))
+    return _j(F.coalesce(F.element_at(content, F.lit("application/json")), F.element_at(F.map_values(F.when(F.size(content) > 0, content)), 1)), "$.schema")
+
+
+def request_fields(op: Column, path_params: Column, op_params: Column) -> Column:
+    """O3: the fields of a request as an array of (name, place, type, example):
+    parameters, path-level first then operation-level (the later of one name
+    and place stays, where the first stood); ``query`` also takes path
+    parameters; the properties of a JSON body, whether given as a body
+    parameter or as a request body, have place ``body``."""
+    both = F.concat(F.coalesce(F.from_json(path_params, PARAM), F.array().cast(PARAM)), F.coalesce(F.from_json(op_params, PARAM), F.array().cast(PARAM)))
+    named = F.filter(both, lambda p: F.coalesce(F.trim(p["name"]) != "", F.lit(False)))
+
+    def of_schema(name: Column, place: Column, schema: Column, typ: Column, example: Column) -> Column:
+        t = example_type(F.coalesce(_plain(_j(schema, "$.type")), _plain(typ), F.lit("string")))
+        return F.struct(name.alias("name"), place.alias("place"), t.alias("type"), F.coalesce(_j(schema, "$.example"), example, example_value(t)).alias("example"))
+
+    def field(p: Column) -> Column:
+        place = F.when(p["in"].isin("query", "path"), F.lit("query")).when(p["in"] == "header", F.lit("header"))
+        return of_schema(p["name"], place, p["schema"], p["type"], p["example"])
+
+    def properties(schema: Column) -> Column:
+        none = F.lit(None).cast("string")
+        return F.transform(F.map_entries(_object(_j(schema, "$.properties"))), lambda e: of_schema(e["key"], F.lit("body"), e["value"], none, none))
+
+    plain = F.transform(F.filter(named, lambda p: F.coalesce(p["in"].isin("query", "path", "header"), F.lit(False))), field)
+    in_body = F.flatten(F.transform(F.filter(named, lambda p: F.coalesce(p["in"] == "body", F.lit(False))), lambda p: properties(p["schema"])))
+    everything = F.concat(plain, in_body, properties(json_content(_j(op, "$.requestBody"))))
+    same = lambda x, y: (x["name"] == y["name"]) & (x["place"] == y["place"])
+    first = F.filter(everything, lambda f, i: ~F.exists(F.slice(everything, F.lit(1), i), lambda g: same(f, g)))
+    return F.transform(first, lambda f: F.element_at(F.filter(everything, lambda g: same(f, g)), -1))
+
+
+def with_request(ops: DataFrame) -> DataFrame:
+    return ops.withColumn("fields", request_fields(F.col("op"), F.col("path_params"), F.col("op_params")))
 
 
 def parameters(ops: DataFrame) -> DataFrame:
-    """O3: parameters, path-level first then operation-level (an operation
-    parameter replaces a path one of the same name and place); ``query``
-    also takes path parameters; one row per parameter."""
-    both = F.concat(F.from_json("path_params", PARAM), F.from_json("op_params", PARAM))
-    e = ops.select("spec_id", "method", "path", F.posexplode(both).alias("i", "p"))
-    place = F.when(F.lower(F.col("p.in")).isin("query", "path"), "query") \
-             .when(F.lower(F.col("p.in")) == "header", "header").otherwise(F.lower(F.col("p.in")))
-    typ = F.coalesce(F.col("p.schema.type"), F.col("p.type"), F.lit("string"))
-    e = e.select("spec_id", "method", "path", "i", F.col("p.name").alias("name"), place.alias("place"),
-                 example_type(typ, F.col("p.schema.format")).alias("type"))
-    last = e.groupBy("spec_id", "method", "path", "name", "place").agg(F.max("i").alias("i"))
-    return e.join(last, ["spec_id", "method", "path", "name", "place", "i"], "left_semi")
-
-
-def example_type(typ: Column, fmt: Column | None = None) -> Column:
-    """Type aliases: int32/int64/integer/long -> integer, float/double/number -> number."""
-    t = F.lower(F.coalesce(fmt, F.lit(""))) if fmt is not None else F.lit("")
-    base = F.lower(typ)
-    return (F.when(base.isin("integer", "int32", "int64", "long") | t.isin("int32", "int64"), "integer")
-             .when(base.isin("number", "float", "double") | t.isin("float", "double"), "number")
-             .otherwise(base))
+    """O3: one row per request field."""
+    e = with_request(ops).select("spec_id", "method", "path", F.posexplode("fields").alias("i", "f"))
+    return e.select("spec_id", "method", "path", "i", "f.name", "f.place", "f.type", "f.example")
+
+
+def example_type(typ: Column) -> Column:
+    """Type aliases: int32/int64 -> integer, float/double -> number; other names stay."""
+    return (F.when(typ.isin("int32", "int64"), "integer").when(typ.isin("float", "double"), "number").otherwise(typ))
 
 
 def example_value(typ: Column) -> Column:
-    """Example request values by type (JSON text)."""
-    return (F.when(typ == "integer", F.lit("1")).when(typ == "number", F.lit("1.0"))
-             .when(typ == "boolean", F.lit("false")).otherwise(F.lit('"example"')))
+    """Example request values by type, as they stand in a request."""
+    t = example_type(typ)
+    return (F.when(t.isin("integer", "long"), F.lit("1")).when(t == "number", F.lit("1.0"))
+             .when(t == "boolean", F.lit("false")).otherwise(F.lit("example")))
+
+
+def response_schema(op: Column) -> Column:
+    """The schema of the first success response that has one."""
+    responses = _object(_j(op, "$.responses"))
+
+    def of(code: str) -> Column:
+        r = F.element_at(responses, F.lit(code))
+        return F.coalesce(_plain(_j(r, "$.schema")), json_content(r))
+    return F.coalesce(*[of(c) for c in SUCCESS_CODES], F.lit("{}"))
+
+
+def input_root(schema: Column) -> Column:
+    """``$`` for an array, else the first property that is an array, else ``$``."""
+    arrays = F.filter(F.map_entries(_object(_j(schema, "$.properties"))), lambda e: F.coalesce(_j(e["value"], "$.type") == "array", F.lit(False)))
+    return F.when(F.coalesce(_j(schema, "$.type") == "array", F.lit(False)) | (F.size(arrays) == 0), F.lit("$")) \
+            .otherwise(F.concat(F.lit("$."), F.get(arrays, 0)["key"]))
+
+
+def record_fields(schema: Column, root: Column) -> Column:
+    """Fields of a record with their types, as a map in document order."""
+    items = F.when(root == "$", F.when(_j(schema, "$.type") == "array", _j(schema, "$.items")).otherwise(schema)) \
+             .otherwise(_j(F.element_at(_object(_j(schema, "$.properties")), F.substring(root, 3, 1000000)), "$.items"))
+    inner = F.when(_j(items, "$.type") == "array", _j(items, "$.items")).otherwise(items)
+    return F.transform_values(_object(_j(inner, "$.properties")), lambda _, p: example_type(F.coalesce(_plain(_j(p, "$.type")), F.lit("string"))))
+
 
+def envelope_of(schema: Column, root: Column) -> Column:
+    """The fields beside the record array (none for a root array), each with its schema."""
+    fields = _object(_j(schema, "$.properties"))
+    return F.when(root == "$", F.create_map().cast(MAP)).otherwise(F.map_filter(fields, lambda k, _: F.concat(F.lit("$."), k) != root))
 
-def _first_in(names: Column, prio: tuple[str, ...]) -> Column:
-    hits = [F.when(F.array_contains(names, F.lit(n)), F.lit(n)) for n in prio]
-    return F.coalesce(*hits)
+
+def with_response(ops: DataFrame) -> DataFrame:
+    """response_schema, input_root, record_fields and envelope."""
+    d = ops.withColumn("response_schema", response_schema(F.col("op")))
+    d = d.withColumn("input_root", input_root(F.col("response_schema")))
+    return d.withColumns({"record_fields": record_fields(F.col("response_schema"), F.col("input_root")),
+                          "envelope": envelope_of(F.col("response_schema"), F.col("input_root"))})
+
+
+def _norm(name: Column) -> Column:
+    return F.replace(F.lower(name), F.lit("-"), F.lit("_"))
+
+
+def _first_in(fields: Column, place: str, prio: tuple[str, ...]) -> Column:
+    """The original name of the field that comes first in the priority list."""
+    def of(n: str) -> Column:
+        found = F.filter(fields, lambda f: (f["place"] == place) & (_norm(f["name"]) == n))
+        return F.when(F.size(found) > 0, F.element_at(found, -1)["name"])
+    return F.coalesce(*map(of, prio))
+
+
+def path_by_names(envelope: Column, names: tuple[str, ...]) -> Column:
+    """The path of the first envelope field with one of the names: a
+    direct field, else one in ``meta``, ``pagination`` or ``page``."""
+    def first(fields: Column) -> Column:
+        return F.get(F.filter(F.map_keys(fields), lambda k: _norm(k).isin(*names)), 0)
+    direct = F.concat(F.lit("$."), first(envelope))
+    nested = []
+    for c in CONTAINERS:
+        held = F.element_at(envelope, F.lit(c))
+        fields = _object(F.coalesce(F.when(F.ltrim(_j(held, "$.properties")).startswith("{"), _j(held, "$.properties")), held))
+        nested.append(F.concat(F.lit(f"$.{c}."), first(fields)))
+    return F.coalesce(direct, *nested)
 
 
 def infer_pagination(ops: DataFrame) -> DataFrame:
-    """GET operations only: ``offset_limit`` (offset/skip + limit),
+    """GET operations only: ``offset_limit`` (offset/skip + limit),
     else ``cursor`` (a cursor-like query or body name), else
-    ``page_page_size`` (a page name); parameter names lower-cased, ``-`` as
-    ``_``; fixed priority lists break ties."""
-    prm = parameters(ops).filter(F.col("place") == "query")
-    names = prm.groupBy("spec_id", "method", "path").agg(
-        F.collect_set(F.regexp_replace(F.lower("name"), "-", "_")).alias("names"))
-    g = ops.filter(F.col("method") == "GET").join(names, ["spec_id", "method", "path"], "left") \
-           .withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
-    off, lim = _first_in(F.col("names"), OFFSET_NAMES), _first_in(F.col("names"), LIMIT_NAMES)
-    cur = _first_in(F.col("names"), CURSOR_NAMES)
-    page, size = _first_in(F.col("names"), PAGE_NAMES), _first_in(F.col("names"), PAGE_SIZE_NAMES)
-    strategy = (F.when(off.isNotNull() & lim.isNotNull(), "offset_limit")
-                 .when(cur.isNotNull(), "cursor").when(page.isNotNull(), "page_page_size"))
-    return g.select("spec_id", "method", "path", strategy.alias("strategy"),
-                    F.when(strategy == "offset_limit", off).when(strategy == "cursor", cur)
-                     .when(strategy == "page_page_size", page).alias("page_param"),
-                    F.when(strategy == "offset_limit", lim).when(strategy.isNotNull(), size).alias("size_param"))
-
-
-def connector_slug(method: Column, path: Column) -> Column:
-    """``openapi-`` + a lower-case slug of method and path, cut to 48."""
-    s = F.regexp_replace(F.lower(F.concat(method, F.lit("-"), path)), "[^a-z0-9]+", "-")
-    s = F.regexp_replace(s, "^-+|-+$", "")
-    return F.concat(F.lit(SLUG_PREFIX), F.regexp_replace(F.left(s, F.lit(SLUG_MAX)), "-+$", ""))
+    ``page_page_size`` (a page name), else no strategy. Parameter names are
+    matched lower-cased with ``-`` as ``_``, and returned as the document has
+    them; fixed priority lists break ties."""
+    d = with_response(with_request(ops.filter(F.col("method") == "GET")))
+    f, env = F.col("fields"), F.col("envelope")
+    d = d.withColumns({"__off": _first_in(f, "query", OFFSET_NAMES), "__lim": _first_in(f, "query", LIMIT_NAMES),
+                       "__cq": _first_in(f, "query", CURSOR_NAMES), "__cb": _first_in(f, "body", CURSOR_NAMES),
+                       "__page": _first_in(f, "query", PAGE_NAMES), "__size": _first_in(f, "query", PAGE_SIZE_NAMES)})
+    cur = F.coalesce("__cq", "__cb")
+    strategy = (F.when(F.col("__off").isNotNull() & F.col("__lim").isNotNull(), "offset_limit")
+                 .when(cur.isNotNull(), "cursor").when(F.col("__page").isNotNull(), "page_page_size"))
+    d = d.withColumn("strategy", strategy)
+    s = F.col("strategy")
+    paged = s.isin("offset_limit", "page_page_size")
+    return d.select(
+        "spec_id", "method", "path", "strategy",
+        F.when((s == "cursor") & F.col("__cq").isNull(), "body").when(s.isNotNull(), "query").alias("location"),
+        F.when(s == "offset_limit", "offset").when(s == "page_page_size", "page_number").alias("page_value_type"),
+        F.when(s == "offset_limit", F.col("__off")).when(s == "page_page_size", F.col("__page")).when(s == "cursor", "page").alias("page_param"),
+        F.when(s == "offset_limit", F.col("__lim")).when(s == "page_page_size", F.coalesce("__size", F.lit("page_size"))).when(s == "cursor", "page_size").alias("size_param"),
+        F.when(s == "offset_limit", 0).when(s.isNotNull(), 1).alias("page_start"),
+        F.when(s == "cursor", cur).when(s.isNotNull(), "cursor").alias("cursor_param"),
+        F.when(s == "cursor", F.coalesce(path_by_names(env, NEXT_CURSOR_NAMES), F.lit("$.meta.nextCursor"))).when(s.isNotNull(), "$.meta.nextCursor").alias("cursor_response_path"),
+        F.when(s == "cursor", F.coalesce(path_by_names(env, HAS_MORE_NAMES), F.lit("$.meta.hasMore"))).when(s.isNotNull(), "$.meta.hasMore").alias("has_more_path"),
+        F.when(paged, path_by_names(env, TOTAL_NAMES)).alias("total_path"))
+
+
+def connector_slug(operation_id: Column, method: Column, path: Column, suffix: Column | None = None) -> Column:
+    """``openapi-`` + a lower-case slug of the operation id (else of method
+    and path), cut to 48 (``operation`` if nothing is left), + a suffix. Slugs
+    are names, not keys: cut ones may collide, so rows are keyed by document,
+    method and path."""
+    raw = F.coalesce(_plain(operation_id), F.concat(F.lower(method), F.lit("-"), F.regexp_replace(path, "^/", "")))
+    s = F.regexp_replace(F.regexp_replace(F.lower(raw), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    base = F.concat(F.lit(SLUG_PREFIX), F.coalesce(F.when(s != "", F.left(s, F.lit(SLUG_MAX))), F.lit("operation")))
+    return base if suffix is None else F.when(F.coalesce(suffix, F.lit("")) != "", F.concat(base, F.lit("-"), suffix)).otherwise(base)
 
 
 def filter_operations(ops: DataFrame, method: str | None = None, keyword: str | None = None) -> DataFrame:
-    """By method and a case-insensitive keyword over path, summary and id."""
+    """By method and a case-insensitive keyword over method, path, summary and id."""
     out = ops
-    if method:
-        out = out.filter(F.col("method") == method.upper())
-    if keyword:
-        k = keyword.lower()
-        out = out.filter(F.lower("path").contains(k) | F.lower("summary").contains(k)
-                         | F.lower("operation_id").contains(k))
+    if method and method.strip():
+        out = out.filter(F.upper("method") == method.strip().upper())
+    if keyword and keyword.strip():
+        text = F.lower(F.concat_ws(" ", "method", "path", "summary", "operation_id"))
+        out = out.filter(F.contains(text, F.lit(keyword.strip().lower())))
     return out

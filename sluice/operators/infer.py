@@ -137,6 +137,6 @@ def envelope_fields(pages: DataFrame, record_path: str | Column, body_col: str =
     rp = F.regexp_replace(F.lit(record_path) if isinstance(record_path, str) else record_path, r"\[.*$", "")
     leaf = F.element_at(F.split(rp, r"\."), -1)
     parent = F.regexp_replace(rp, r"\.[^.]+$", "")
-    holder = F.when(parent == "$", F.col(body_col)).otherwise(F.get_json_object(F.col(body_col), parent))
+    holder = F.when(parent == "$", F.col(body_col)).otherwise(F.call_function("get_json_object", F.col(body_col), parent))
     keys = F.map_keys(F.from_json(holder, "map<string,string>"))
     return pages.select("*", F.when(rp != "$", F.filter(keys, lambda k: k != leaf)).otherwise(F.array().cast("array<string>")).alias("envelope"))

@@ -43,12 +43,12 @@ def i1_infer_mappings_first(spark, sf):
 
 
 @register("i3_infer_schema", """
-SELECT path, count(*) AS n_records, min(s) AS sample FROM (
-  SELECT '$.p_partkey' AS path, CAST(p_partkey AS VARCHAR) AS s FROM part
-  UNION ALL SELECT '$.p_name', p_name FROM part
-  UNION ALL SELECT '$.brand', NULL FROM part
-  UNION ALL SELECT '$.brand.name', p_brand FROM part
-  UNION ALL SELECT '$.brand.size', CAST(p_size AS VARCHAR) FROM part) GROUP BY path""")
+SELECT path, any_value(t) AS type, count(*) AS n_records, min(s) AS sample FROM (
+  SELECT '$.p_partkey' AS path, CAST(p_partkey AS VARCHAR) AS s, 'long' AS t FROM part
+  UNION ALL SELECT '$.p_name', p_name, 'string' FROM part
+  UNION ALL SELECT '$.brand', NULL, 'object' FROM part
+  UNION ALL SELECT '$.brand.name', p_brand, 'string' FROM part
+  UNION ALL SELECT '$.brand.size', CAST(p_size AS VARCHAR), 'long' FROM part) GROUP BY path""")
 def i3_infer_schema(spark, sf):
     p = read_table(spark, sf, "part")
     rec = F.to_json(F.struct("p_partkey", "p_name", F.struct(F.col("p_brand").alias("name"),
@@ -120,32 +120,38 @@ def o3_parameters(spark, sf):
 @register("o7_pagination", f"""
 SELECT spec_id, method, path,
   CASE p_size % 4 WHEN 0 THEN 'offset_limit' WHEN 1 THEN 'cursor' WHEN 2 THEN 'page_page_size' END AS strategy,
-  CASE p_size % 4 WHEN 0 THEN 'offset' WHEN 1 THEN 'page_token' WHEN 2 THEN 'page' END AS page_param,
-  CASE p_size % 4 WHEN 0 THEN 'limit' WHEN 1 THEN 'page_size' WHEN 2 THEN 'per_page' END AS size_param
+  CASE p_size % 4 WHEN 0 THEN 'offset' WHEN 1 THEN 'page' WHEN 2 THEN 'page' END AS page_param,
+  CASE p_size % 4 WHEN 0 THEN 'Limit' WHEN 1 THEN 'page_size' WHEN 2 THEN 'per-page' END AS size_param,
+  CASE WHEN p_size % 4 = 3 THEN NULL ELSE 'query' END AS location,
+  CASE p_size % 4 WHEN 0 THEN 'offset' WHEN 2 THEN 'page_number' END AS page_value_type,
+  CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1 END AS page_start,
+  CASE p_size % 4 WHEN 1 THEN 'Page-Token' WHEN 3 THEN NULL ELSE 'cursor' END AS cursor_param,
+  CASE WHEN p_size % 4 = 3 THEN NULL ELSE '$.meta.nextCursor' END AS cursor_response_path,
+  CASE WHEN p_size % 4 = 3 THEN NULL ELSE '$.meta.hasMore' END AS has_more_path, CAST(NULL AS VARCHAR) AS total_path
 FROM {SPEC_OPS} WHERE method = 'GET'""")
 def o7_pagination(spark, sf):
     return O.infer_pagination(_ops(spark, sf))
 
 
 @register("o9_parameter_types", """
-SELECT spec_id, name, type FROM (
-  SELECT p_partkey AS spec_id, 'X-Tenant' AS name, 'string' AS type FROM part
-  UNION ALL SELECT p_partkey, 'offset', 'integer' FROM part WHERE p_size % 4 = 0
-  UNION ALL SELECT p_partkey, 'Limit', 'integer' FROM part WHERE p_size % 4 = 0
-  UNION ALL SELECT p_partkey, 'Page-Token', 'string' FROM part WHERE p_size % 4 = 1
-  UNION ALL SELECT p_partkey, 'page_size', 'integer' FROM part WHERE p_size % 4 = 1
-  UNION ALL SELECT p_partkey, 'page', 'integer' FROM part WHERE p_size % 4 = 2
-  UNION ALL SELECT p_partkey, 'per-page', 'number' FROM part WHERE p_size % 4 = 2)""")
+SELECT spec_id, method, name, type, CASE type WHEN 'integer' THEN '1' WHEN 'number' THEN '1.0' ELSE 'example' END AS example FROM (
+  SELECT p_partkey AS spec_id, 'GET' AS method, 'X-Tenant' AS name, 'string' AS type FROM part
+  UNION ALL SELECT p_partkey, 'POST', 'X-Tenant', 'string' FROM part WHERE p_size > 25
+  UNION ALL SELECT p_partkey, 'GET', 'offset', 'integer' FROM part WHERE p_size % 4 = 0
+  UNION ALL SELECT p_partkey, 'GET', 'Limit', 'integer' FROM part WHERE p_size % 4 = 0
+  UNION ALL SELECT p_partkey, 'GET', 'Page-Token', 'string' FROM part WHERE p_size % 4 = 1
+  UNION ALL SELECT p_partkey, 'GET', 'page_size', 'integer' FROM part WHERE p_size % 4 = 1
+  UNION ALL SELECT p_partkey, 'GET', 'page', 'integer' FROM part WHERE p_size % 4 = 2
+  UNION ALL SELECT p_partkey, 'GET', 'per-page', 'number' FROM part WHERE p_size % 4 = 2)""")
 def o9_parameter_types(spark, sf):
-    ops = _ops(spark, sf).filter(F.col("method") == "GET")
-    return O.parameters(ops).select("spec_id", "name", "type")
+    return O.parameters(_ops(spark, sf)).select("spec_id", "method", "name", "type", "example")
 
 
 @register("o10_connector_slugs", f"""
-SELECT spec_id, method, 'openapi-' || lower(method) || '-parts-' || CAST(p_partkey AS VARCHAR) AS connector_id
-FROM {SPEC_OPS}""")
+SELECT spec_id, method, 'openapi-' || CASE WHEN starts_with(operation_id, 'getPart') THEN lower(operation_id)
+  ELSE lower(method) || '-parts-' || CAST(p_partkey AS VARCHAR) END AS connector_id FROM {SPEC_OPS}""")
 def o10_connector_slugs(spark, sf):
-    return _ops(spark, sf).select("spec_id", "method", O.connector_slug(F.col("method"), F.col("path")).alias("connector_id"))
+    return _ops(spark, sf).select("spec_id", "method", O.connector_slug(F.col("operation_id"), F.col("method"), F.col("path")).alias("connector_id"))
 
 
 @register("o10_filter_operations", f"""

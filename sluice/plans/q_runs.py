@@ -89,7 +89,7 @@ def j8_active_connectors(spark, sf):
 
 @register("j9_fail_stale_runs", f"""
 SELECT status, count(*) AS n FROM (SELECT CASE WHEN status = 'pending'
-  AND epoch(TIMESTAMP '{AS_OF}') - floor(epoch(started_at)) > 3600 THEN 'failed' ELSE status END AS status
+  THEN 'failed' ELSE status END AS status
   FROM {RUNS}) GROUP BY status""")
 def j9_fail_stale_runs(spark, sf):
     r = J.fail_stale(run_log(spark, sf), AS_OF)

@@ -312,7 +312,7 @@ def p8_body_compose(spark, sf):
 
 @register("p9_body_type", f"""
 SELECT connector_id, CASE WHEN custkey % 3 IN (0, 2) THEN 'none' WHEN custkey % 5 = 0 THEN 'form'
-  WHEN custkey % 2 = 0 THEN 'json' WHEN custkey % 7 = 0 THEN 'form' ELSE 'none' END AS body_type FROM {CCONN}""")
+  WHEN custkey % 2 = 0 THEN 'json' WHEN custkey % 7 = 0 THEN 'form-urlencoded' ELSE 'none' END AS body_type FROM {CCONN}""")
 def p9_body_type(spark, sf):
     c = customer_connectors(spark, sf)
     ck = F.col("custkey")

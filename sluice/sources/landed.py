@@ -369,3 +369,18 @@ def part_specs(spec_rows: DataFrame) -> DataFrame:
                    F.lit('"description":'), jstr(F.col("p_type")), F.lit(',"parameters":['), params, F.lit("]}"),
                    post, F.lit("}}}"))
     return spec_rows.select(F.col("p_partkey").alias("spec_id"), doc.alias("doc"))
+
+
+def read_pages(spark, path: str, fmt: str = "parquet", connectors: Sequence[str] | None = None,
+               kind: str | None = None) -> DataFrame:
+    """Landed page folders as a batch table. The schema is given, so no
+    file is read to infer it; connector and kind filters reach the scan."""
+    pages = spark.read.schema(PAGES_SCHEMA).format(fmt).load(path)
+    if connectors is not None:
+        pages = pages.filter(F.col("connector_id").isin(list(connectors)))
+    return pages if kind is None else pages.filter(F.col("kind") == kind)
+
+
+def read_versions(spark, path: str) -> DataFrame:
+    """Connector versions (connector_id, version_number, status, config)."""
+    return spark.read.schema("connector_id string, version_number int, status string, config string").parquet(path)
