@@ -24,7 +24,8 @@ def page_records_array(body_col, input_root: str | None = "$"):
 
 def extract_records(pages: DataFrame, input_root: str | None = "$.data",
                     keep: Sequence[str] = ("connector_id", "run_id", "page_idx")) -> DataFrame:
-    """One row per record: ``keep`` columns, ``pos`` within the page, ``rec`` VARIANT.
+    """One row per record: ``keep`` columns, ``page_n`` (records on its
+    page), ``pos`` within the page, ``rec`` VARIANT.
 
     The body is parsed once; the explode is a narrow generator, so extraction
     pipelines with the scan and the following projections."""
@@ -35,7 +36,8 @@ def extract_records(pages: DataFrame, input_root: str | None = "$.data",
     staged = staged.select(*keep, "__r", vkind(F.col("__r")).alias("__k"))
     arr = (F.when(F.col("__k") == "array", F.try_variant_get("__r", "$", "array<variant>"))
             .when(F.col("__k") != "null", F.array(F.col("__r"))))
-    return staged.select(*keep, F.posexplode(arr).alias("pos", "rec"))
+    sized = staged.select(*keep, arr.alias("__a"), F.size(arr).alias("page_n"))
+    return sized.select(*keep, "page_n", F.posexplode("__a").alias("pos", "rec"))
 
 
 def page_record_counts(pages: DataFrame, input_root: str | None = "$.data") -> DataFrame:
@@ -54,14 +56,26 @@ def as_object(rec_col="rec"):
 def with_record_index(records: DataFrame, run_keys: Sequence[str] = RUN_KEYS,
                       out: str = "record_index") -> DataFrame:
     """0-based index of each record across its run, ordered by
-    (page_idx, pos). Per-page counts are prefix-summed over the small page
-    table (two-level blocks), then ``index = page_offset + pos``; no window
-    ever spans a whole run."""
-    counts = records.groupBy(*run_keys, "page_idx").agg(F.count(F.lit(1)).alias("__pn"))
-    offs = with_prefix_offset(counts, run_keys, "page_idx", "__pn", out="__poff").drop("__pn")
-    return (records.join(offs, on=[*run_keys, "page_idx"], how="inner")
-                   .withColumn(out, (F.col("__poff") + F.col("pos")).cast("bigint"))
-                   .drop("__poff"))
+    (page_idx, pos): ``page_offset + pos``, from ``page_offsets``."""
+    return index_with(records, page_offsets(records, run_keys), run_keys, out)
+
+
+def page_offsets(records: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
+    """Records of a run before each page, one row per page. The page's size
+    stands on its first record (``page_n``), so nothing is counted; a prefix
+    sum over the small page table follows, in bounded windows."""
+    if "page_n" in records.columns:
+        counts = records.filter(F.col("pos") == 0).select(*run_keys, "page_idx", F.col("page_n").alias("__pn"))
+    else:
+        counts = records.groupBy(*run_keys, "page_idx").agg(F.count(F.lit(1)).alias("__pn"))
+    return with_prefix_offset(counts, run_keys, "page_idx", "__pn", out="__poff").drop("__pn")
+
+
+def index_with(rows: DataFrame, offsets: DataFrame, run_keys: Sequence[str] = RUN_KEYS,
+               out: str = "record_index") -> DataFrame:
+    """The run-wide index of rows that have (run keys, page_idx, pos)."""
+    return (rows.join(offsets, on=[*run_keys, "page_idx"], how="inner")
+                .withColumn(out, (F.col("__poff") + F.col("pos")).cast("bigint")).drop("__poff"))
 
 
 def max_depth_of(df: DataFrame, json_text: Column) -> int:

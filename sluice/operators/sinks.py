@@ -274,7 +274,7 @@ def _pointers(spark, base: str, version: int) -> dict[int, int]:
 
 
 def _bucket_paths(base: str, pointers: dict[int, int]) -> list[str]:
-    return [f"{base}/data/v={v}/{BUCKET}={b}" for b, v in sorted(pointers.items())]
+    return [f"{base}/data/__v={v}/{BUCKET}={b}" for b, v in sorted(pointers.items())]
 
 
 def read_bucket_table(spark, base: str, version: int | None = None) -> DataFrame | None:
@@ -287,17 +287,18 @@ def read_bucket_table(spark, base: str, version: int | None = None) -> DataFrame
     held = _pointers(spark, base, done[-1])
     if not held:
         return None
-    return spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*_bucket_paths(base, held)).drop("v", BUCKET)
+    return spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*_bucket_paths(base, held)).drop("__v", BUCKET)
 
 
 def bucket_upsert(batch: DataFrame, base: str, keys: Sequence[str], version: int | None = None,
-                  order: Sequence[str] = DEFAULT_ORDER, buckets: int = BUCKETS) -> int:
+                  order: Sequence[str] = DEFAULT_ORDER, buckets: int = BUCKETS, observed: Observation | None = None) -> int:
     """K2 persisted by hash buckets of the key: only the buckets that hold
     keys of the batch are read and written anew; the others stay the files
     they are. The pointer table of the version is written last and makes it
     visible, so a write that breaks off leaves the table as it was, and a
     repeated one writes the same. The order columns stay in the table, so
-    batches may arrive in any order. Returns the table's version."""
+    batches may arrive in any order. ``observed`` gets the batch's rows, one
+    per key (K10). Returns the table's version."""
     spark = batch.sparkSession
     done = bucket_table_versions(spark, base)
     version = (done[-1] + 1 if done else 1) if version is None else version
@@ -305,16 +306,17 @@ def bucket_upsert(batch: DataFrame, base: str, keys: Sequence[str], version: int
     pointers = _pointers(spark, base, before[-1]) if before else {}
     staged = scratch_path(spark, "bucket-batch")
     last = dedupe_last(batch, keys, order)
-    last.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).write.partitionBy(BUCKET).parquet(staged)
+    dealt = last.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    (dealt if observed is None else dealt.observe(observed, F.count(F.lit(1)).alias("n"))).write.partitionBy(BUCKET).parquet(staged)
     schema = T.StructType([*last.schema.fields, T.StructField(BUCKET, T.IntegerType())])
     new = spark.read.schema(schema).parquet(staged)
     touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())     # at most ``buckets`` numbers
     old = [p for b, p in zip(sorted(pointers), _bucket_paths(base, pointers), strict=True) if b in touched]
     both = new
     if old:
-        both = spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*old).drop("v").unionByName(new, allowMissingColumns=True)
+        both = spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*old).drop("__v").unionByName(new, allowMissingColumns=True)
     merged = dedupe_last(both, [*keys, BUCKET], order)
-    merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{base}/data/v={version}")
+    merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{base}/data/__v={version}")
     held = {**pointers, **dict.fromkeys(touched, version)}
     spark.createDataFrame(sorted(held.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{base}/_pointers/v={version}")
     return version
@@ -332,7 +334,7 @@ def drop_old_versions(spark, base: str, keep: int = 2) -> list[int]:
         fs.delete(path(f"{base}/_pointers/v={v}"), True)
     gone = [v for v in done if v not in used]
     for v in gone:
-        fs.delete(path(f"{base}/data/v={v}"), True)
+        fs.delete(path(f"{base}/data/__v={v}"), True)
     return gone
 
 
@@ -375,9 +377,9 @@ def _parquet_sink(df: DataFrame, table: str, keys: Sequence[str] = (), write_mod
     if not is_upsert(write_mode):
         return write_append(data, table)
     ks = default_keys(data.columns, keys)
-    last = dedupe_last(df, ks)
-    bucket_upsert(df, table, ks)
-    return last.count()
+    obs = Observation(f"upsert_{uuid.uuid4().hex[:8]}")
+    bucket_upsert(df, table, ks, observed=obs)
+    return int(obs.get["n"])
 
 
 @register_sink("kafka")

@@ -20,6 +20,7 @@ from sluice.operators import paging as G
 from sluice.operators import sinks as K
 from sluice.operators import transform as T
 from sluice.operators import watermark as W
+from sluice.session import scratch_path
 
 STATE_SCHEMA = "connector_id string, ts timestamp, last_id string, updated_at timestamp"
 RUNS_SCHEMA = "connector_id string, run_id bigint, run_type string, status string, records_ok bigint, records_failed bigint, error_message string"
@@ -68,6 +69,12 @@ def requested_since(source: DataFrame, time_col: str, state: DataFrame, connecto
     return j.filter(F.col("__start").isNull() | (F.col(time_col) >= F.col("__start"))).drop("__conn", "__c", "__start")
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of: str, run_type: str = "incremental",
              connectors: Sequence[str] | None = None, after_sink: Callable[[], None] | None = None) -> dict:
     """Run the connectors whose pages these are; returns the counts of the run.
@@ -80,7 +87,8 @@ def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of
     failures = G.page_failures(pages)
     good = G.drop_failed_runs(pages, failures).filter(F.col("kind") == "page")
     records = X.extract_records(good, config.input_root)
-    result = T.transform(records, list(config.steps), max_errors=None)
+    # The transform runs once: its rows are staged for the sink and the counts.
+    result = T.transform(records, list(config.steps), max_errors=None, stage=lambda d: _staged(d, "sync-rows"))
     rows = result.rows.drop(*[c for c in ("rec", "record_index") if c in result.rows.columns])
     ok = K.route(config.sink)(rows.drop("connector_id"), table=config.table, keys=list(config.keys), write_mode=config.write_mode) if config.sink else rows.count()
     if after_sink is not None:
@@ -91,7 +99,7 @@ def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of
             new = W.advance_monotonic(records, config.response_path, prev).withColumn("ts", F.lit(None).cast("timestamp"))
         else:
             new = W.advance_timestamp(records, config.response_path, prev).withColumn("last_id", F.lit(None).cast("string"))
-        runs = new.join(records.select("connector_id").distinct(), "connector_id", "left_semi").select(
+        runs = new.join(good.select("connector_id").distinct(), "connector_id", "left_semi").select(
             "*", F.lit(run_type).alias("run_type"), F.lit(True).alias("inc_enabled"), F.lit(config.inc_mode).alias("inc_mode"), F.lit("success").alias("status"))
         moved = W.persistable(runs).withColumn("updated_at", F.lit(as_of).cast("timestamp")).withColumn("run_id", F.lit(run_id).cast("bigint"))
         K.bucket_upsert(moved, f"{base}/state", ["connector_id"], order=("run_id",))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import logging
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,30 +24,24 @@ from pyspark.sql import functions as F
 from sluice.functions.casts import convert
 from sluice.functions.jsonpath import jtext, normalize_path, vkind
 from sluice.operators.expressions import check_expression
-from sluice.operators.extract import RUN_KEYS, as_object, with_record_index
+from sluice.operators.extract import RUN_KEYS, as_object, index_with, page_offsets, with_record_index
 
 log = logging.getLogger(__name__)
 
-META = ("connector_id", "run_id", "page_idx", "pos", "record_index")
+META = ("connector_id", "run_id", "page_idx", "page_n", "pos", "record_index")
 ERR = "__err"
 SAMPLE_LIMIT = 2000          # T18: sample text and messages are cut here
 PULL_MAX_ERRORS = 20         # T17: error samples kept per pull run
-PUSH_MAX_ERRORS = 5          # T17: error samples kept per push event batch
 
 
-class TransformError(RuntimeError):
-    """Strict mode: the first failing record, with its run-wide index."""
-
-    def __init__(self, record_index: int, message: str):
-        super().__init__(f"record {record_index}: {message}")
-        self.record_index = record_index
-        self.message = message
+STRICT_PREFIX = "strict transform failed: "
 
 
 @dataclass
 class TransformResult:
     rows: DataFrame      # good rows (typed columns)
-    errors: DataFrame    # connector_id, run_id, record_index, message, sample_json
+    errors: DataFrame    # connector_id, run_id, record_index, message, sample_json (samples)
+    all_errors: DataFrame | None = None     # the same of every bad record, uncut
 
 
 _PLACEHOLDER = re.compile(r"\$\{record\.([^}:]+)(?::([a-z0-9(), ]+))?\}")
@@ -173,53 +167,65 @@ def run_steps(records: DataFrame, steps: Sequence[dict] | None) -> DataFrame:
 
 def transform(records: DataFrame, steps: Sequence[dict] | None,
               max_errors: int | None = PULL_MAX_ERRORS,
-              run_keys: Sequence[str] = RUN_KEYS) -> TransformResult:
+              run_keys: Sequence[str] = RUN_KEYS, sample_limit: int | None = SAMPLE_LIMIT,
+              stage: Callable[[DataFrame], DataFrame] | None = None) -> TransformResult:
     """Tolerant transform: good rows, and error rows
     ``(run keys, record_index, message, sample_json)`` with at most
-    ``max_errors`` samples per run (``None`` keeps all)."""
+    ``max_errors`` samples per run (``None`` keeps all), texts cut at
+    ``sample_limit`` (``None``: not at all). ``all_errors`` has every bad
+    record with whole texts. ``stage`` (write and read again) makes good rows
+    and errors share one pass over the source where both are used."""
     out = run_steps(records, steps)
+    if stage is not None:
+        out = stage(out)
     if ERR not in out.columns:
-        rows = out.drop("__sample")
+        rows = out.drop("__sample", "page_n")
         empty = records.sparkSession.createDataFrame(
             [], "connector_id string, run_id bigint, record_index bigint, message string, sample_json string")
-        return TransformResult(rows, empty)
-    good = out.filter(F.col(ERR).isNull()).drop(ERR, "__sample")
+        return TransformResult(rows, empty, empty)
+    good = out.filter(F.col(ERR).isNull()).drop(ERR, "__sample", "page_n")
     bad = out.filter(F.col(ERR).isNotNull())
-    return TransformResult(good, error_output(bad, records, max_errors, run_keys))
+    return TransformResult(good, error_output(bad, records, max_errors, run_keys, sample_limit),
+                           error_output(bad, records, None, run_keys, None))
 
 
 def error_output(bad: DataFrame, records: DataFrame, max_errors: int | None,
-                 run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """Error rows with run-wide record index; the N smallest per run are kept
-    by three bounded top-N windows (page, page block, run)."""
-    idx = with_record_index(records.select(*run_keys, "page_idx", "pos"), run_keys)
-    e = (bad.select(*run_keys, "page_idx", "pos", F.left(F.col(ERR), F.lit(SAMPLE_LIMIT)).alias("message"),
-                    F.left(F.to_json(F.col("__sample")), F.lit(SAMPLE_LIMIT)).alias("sample_json"))
-            .join(idx, on=[*run_keys, "page_idx", "pos"], how="inner"))
+                 run_keys: Sequence[str] = RUN_KEYS, sample_limit: int | None = SAMPLE_LIMIT) -> DataFrame:
+    """Error rows with run-wide record index. Only the bad rows get one, from
+    the offsets of their pages; the N smallest per run are kept by bounded
+    top-N windows (page, page block, run) before that."""
+    cut = (lambda c: c) if sample_limit is None else (lambda c: F.left(c, F.lit(sample_limit)))
+    e = bad.select(*run_keys, "page_idx", "pos", F.col(ERR).alias("message"), F.col("__sample").alias("__s"))
     if max_errors is not None:
-        e = _bounded_top_n(e, run_keys, "record_index", max_errors)
-    return e.select(*run_keys, "record_index", "message", "sample_json")
+        e = _bounded_top_n(e, run_keys, ["page_idx", "pos"], max_errors)
+    e = index_with(e, page_offsets(records, run_keys), run_keys)
+    return e.select(*run_keys, "record_index", cut(F.col("message")).alias("message"), cut(F.to_json("__s")).alias("sample_json"))
 
 
-def _bounded_top_n(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+def _bounded_top_n(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Keep the ``n`` smallest ``order`` per ``keys`` with windows whose
     partitions are bounded: per page, per block of 1024 pages, per run."""
     keys = list(keys)
     for part in (["page_idx"], [(F.col("page_idx") / 1024).cast("bigint")], []):
-        w = Window.partitionBy(*keys, *part).orderBy(order)
+        w = Window.partitionBy(*keys, *part).orderBy(*order)
         df = df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
     return df
 
 
 def transform_strict(records: DataFrame, steps: Sequence[dict] | None,
                      run_keys: Sequence[str] = RUN_KEYS) -> DataFrame:
-    """Like ``transform`` but the first bad record fails the job
-    (one aggregate action finds the smallest failing index)."""
+    """Like ``transform`` but a bad record fails the query that reads the
+    result, with its run-wide index and message. Nothing runs when the plan is
+    built: the first bad record of each run, found by an aggregate over the
+    bad rows, rides in through a join and raises there."""
     res = transform(records, steps, max_errors=1, run_keys=run_keys)
-    first = res.errors.orderBy("record_index").select("record_index", "message").take(1)
-    if first:
-        raise TransformError(int(first[0]["record_index"]), first[0]["message"])
-    return res.rows
+    text = F.concat(F.lit(STRICT_PREFIX + "record "), F.col("record_index").cast("string"), F.lit(": "), F.col("message"))
+    first = res.errors.groupBy(*run_keys).agg(F.min_by(text, "record_index").alias("__why"))
+    # A full outer join: a run without one good row fails too.
+    flag = F.lit(True)
+    rows = res.rows.withColumn("__row", flag).join(first, list(run_keys), "full_outer")
+    ok = F.when(F.col("__why").isNotNull(), F.raise_error(F.col("__why")).cast("boolean")).otherwise(F.col("__row"))
+    return rows.filter(ok).select(*res.rows.columns)
 
 
 def preview(records: DataFrame, steps: Sequence[dict] | None, limit: int = 10,

@@ -142,8 +142,8 @@ def watermark_lag(state: DataFrame, as_of) -> DataFrame:
 
 
 def slice_since_id(src: DataFrame, id_col: str, since: Column | None) -> DataFrame:
-    """Rows with ``id > since_id`` (all rows without a since id)."""
-    return src if since is None else src.filter(F.col(id_col) > since)
+    """Rows with ``id > since_id`` (all rows without a since id, also row by row)."""
+    return src if since is None else src.filter(since.isNull() | (F.col(id_col) > since))
 
 
 def slice_window(src: DataFrame, t_col: str, start, end, closed: bool = False) -> DataFrame:

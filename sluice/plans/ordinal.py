@@ -2,11 +2,13 @@
 
 ``row_number() over (partition by g order by k)`` sorts a whole group in one
 task; when one group holds a third of the rows that task is the job. Here the
-ordering key is cut into fixed-width blocks: per-(group, block) counts are
-pre-aggregated (map-side combine), a prefix sum runs over the small block
-table, and the final numbering runs per (group, block), whose size the block
-width bounds for unique keys. The join to the block offsets and the final
-window share the (group, block) distribution, so the large side shuffles once.
+ordering key is cut into blocks whose width follows the key's range and the
+row count, so that a block of evenly spread keys holds about ``block`` rows.
+Per-(group, block) counts are pre-aggregated (map-side combine) and
+prefix-summed level by level: blocks within blocks of ``FAN`` blocks, and so
+on, until a level has one block a group, so no window on the way sees more
+than ``FAN`` rows of the level below it, however large the group. The final
+numbering runs per (group, block).
 """
 from __future__ import annotations
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 1 << 13   # rows per ordinal block: parallelism for hot groups, small block table
+FAN = 1024                # blocks under one block of the next level
 
 
 def _key_num(c: Column, kind: str) -> Column:
@@ -24,6 +27,37 @@ def _key_num(c: Column, kind: str) -> Column:
     return c.cast("bigint")
 
 
+def _bounds(df: DataFrame, key: Column) -> tuple[int, int, int]:
+    """Smallest and largest key and the row count, in one aggregate."""
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    return r["lo"] or 0, r["hi"] or 0, r["n"]
+
+
+def block_offsets(counts: DataFrame, group: Sequence[str], blk: str, n: str, out: str, levels: int) -> DataFrame:
+    """Exclusive prefix sums of ``n`` over the blocks of each group:
+    (group, blk, out). ``levels`` levels of blocks stand above ``blk``."""
+    group = list(group)
+    if levels == 0:
+        w = Window.partitionBy(*group).orderBy(blk)
+        return counts.select(*group, blk, (F.sum(n).over(w) - F.col(n)).alias(out))
+    up = f"{blk}_u"
+    c = counts.withColumn(up, F.floor(F.col(blk) / FAN))
+    sums = c.groupBy(*group, up).agg(F.sum(n).alias(n))
+    above = block_offsets(sums, group, up, n, f"{out}_u", levels - 1)
+    w = Window.partitionBy(*group, up).orderBy(blk)
+    inner = c.select(*group, blk, up, (F.sum(n).over(w) - F.col(n)).alias(out))
+    return inner.join(above, [*group, up]).select(*group, blk, (F.col(out) + F.col(f"{out}_u")).alias(out))
+
+
+def _levels(blocks: int) -> int:
+    """Levels needed above ``blocks`` blocks so that the top has at most FAN."""
+    n = 0
+    while blocks > FAN:
+        blocks = -(-blocks // FAN)
+        n += 1
+    return n
+
+
 def with_ordinal(df: DataFrame, group: Sequence[str], order: str, out: str = "rn",
                  tiebreak: Sequence[str] = (), block: int = DEFAULT_BLOCK,
                  key_kind: str = "number", total: str | None = None) -> DataFrame:
@@ -33,11 +67,14 @@ def with_ordinal(df: DataFrame, group: Sequence[str], order: str, out: str = "rn
     group's row count, taken from the same block table (no extra join)."""
     group = list(group)
     blk = "__blk"
-    b = df.withColumn(blk, F.floor(_key_num(F.col(order), key_kind) / F.lit(block)))
+    key = _key_num(F.col(order), key_kind)
+    lo, hi, rows = _bounds(df, key)
+    width = max(1, (hi - lo + 1) * block // max(rows, 1))
+    b = df.withColumn(blk, F.floor((key - F.lit(lo)) / F.lit(width)))
     counts = b.groupBy(*group, blk).agg(F.count(F.lit(1)).alias("__n"))
-    w_blk = Window.partitionBy(*group).orderBy(blk)
-    extra = [F.sum("__n").over(Window.partitionBy(*group)).alias(total)] if total else []
-    offs = counts.select(*group, blk, (F.sum("__n").over(w_blk) - F.col("__n")).alias("__off"), *extra)
+    offs = block_offsets(counts, group, blk, "__n", "__off", _levels((hi - lo) // width + 1))
+    if total:
+        offs = offs.join(counts.groupBy(*group).agg(F.sum("__n").alias(total)), group)
     j = b.join(offs, on=[*group, blk], how="inner")
     w = Window.partitionBy(*group, blk).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
     return (j.withColumn(out, F.row_number().over(w) - 1 + F.col("__off"))
@@ -45,17 +82,32 @@ def with_ordinal(df: DataFrame, group: Sequence[str], order: str, out: str = "rn
 
 
 def with_prefix_offset(df: DataFrame, group: Sequence[str], order: str, n: str,
-                       out: str = "offset", block: int = 1024) -> DataFrame:
+                       out: str = "offset", block: int = FAN) -> DataFrame:
     """Add ``out`` = sum of ``n`` over earlier rows of the group (exclusive
     prefix sum) ordered by the dense integer ``order`` (e.g. page_idx).
-    Two levels of blocks keep every window partition bounded."""
+
+    The rows of a block are gathered into one row (``block`` of them at most),
+    so the input is read once; the blocks are prefix-summed, and unfolded."""
     group = list(group)
     blk = "__pblk"
-    b = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
-    sums = b.groupBy(*group, blk).agg(F.sum(n).alias("__bs"))
-    w_blk = Window.partitionBy(*group).orderBy(blk)
-    offs = sums.select(*group, blk, (F.sum("__bs").over(w_blk) - F.col("__bs")).alias("__boff"))
-    w = Window.partitionBy(*group, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(offs, on=[*group, blk], how="inner")
-             .withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)) + F.col("__boff"))
-             .drop(blk, "__boff"))
+    item = F.struct(F.col(order).alias("o"), F.col(n).alias("n"))
+    gathered = df.groupBy(*group, F.floor(F.col(order) / F.lit(block)).alias(blk)).agg(
+        F.array_sort(F.collect_list(item)).alias("__items"), F.sum(n).alias("__bs"))
+    up = "__pup"
+    g = gathered.withColumn(up, F.floor(F.col(blk) / FAN))
+    w = Window.partitionBy(*group, up).orderBy(blk)
+    top = Window.partitionBy(*group).orderBy(up)
+    g = g.withColumn("__in", F.sum("__bs").over(w))
+    # Running sum within a block of blocks; the sum of the earlier ones follows
+    # from the last row of each, one per FAN blocks.
+    tops = g.groupBy(*group, up).agg(F.max("__in").alias("__t"))
+    tops = tops.select(*group, up, (F.sum("__t").over(top) - F.col("__t")).alias("__before"))
+    g = g.join(tops, [*group, up])
+    start = F.col("__in") - F.col("__bs") + F.col("__before")
+    zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<struct<o:bigint,n:bigint,off:bigint>>").alias("a"))
+    unfold = F.aggregate("__items", zero, lambda acc, x: F.struct(
+        (acc["s"] + x["n"]).cast("bigint").alias("s"),
+        F.concat(acc["a"], F.array(F.struct(x["o"].cast("bigint").alias("o"), x["n"].cast("bigint").alias("n"), acc["s"].alias("off")))).alias("a")), lambda acc: acc["a"])
+    e = g.select(*group, start.alias("__start"), F.explode(unfold).alias("__e"))
+    return e.select(*group, F.col("__e.o").cast(df.schema[order].dataType).alias(order), F.col("__e.n").cast(df.schema[n].dataType).alias(n),
+                    (F.col("__start") + F.col("__e.off")).alias(out))

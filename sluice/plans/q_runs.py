@@ -9,6 +9,7 @@ from sluice.operators import runs as J
 from sluice.operators import sinks as K
 from sluice.operators import transform as T
 from sluice.operators import watermark as W
+from sluice.session import scratch_path
 from sluice.plans.registered import iso_ts, register
 from sluice.sources.landed import (
     connector_versions, event_pages, order_connectors, prior_state, read_table,
@@ -187,9 +188,9 @@ SELECT a.connector_id, a.id, count(*) AS failures_in_window FROM
   (SELECT connector_id, id, CAST(floor(epoch(started_at)) AS BIGINT) AS t FROM {RUNS} WHERE status = 'failed') a
   JOIN (SELECT connector_id, CAST(floor(epoch(started_at)) AS BIGINT) AS t FROM {RUNS} WHERE status = 'failed') b
   ON a.connector_id = b.connector_id AND b.t BETWEEN a.t - 1800 AND a.t
-GROUP BY a.connector_id, a.id HAVING count(*) >= 2""")
+GROUP BY a.connector_id, a.id HAVING count(*) >= 3""")
 def j17_failures_within_window(spark, sf):
-    return J.failures_within(run_log(spark, sf), 1800, n=2).select("connector_id", "id", "failures_in_window")
+    return J.failures_within(run_log(spark, sf)).select("connector_id", "id", "failures_in_window")
 
 
 @register("j18_lag_alerts", """
@@ -263,9 +264,22 @@ SELECT user_id, count(*) AS n FROM events GROUP BY user_id""")
 def k3_append(spark, sf):
     ev = read_table(spark, sf, "events")
     cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
-    a = ev.filter(F.col("ts") < cut).select("event_id", "user_id")
-    b = ev.filter(F.col("ts") >= cut).select("event_id", "user_id")
-    return K.union_columns([a, b]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    table = scratch_path(spark, "k3-table")
+    sink = K.route("parquet")
+    for part in (ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut)):
+        sink(part.select("event_id", "user_id", F.lit(0).alias("page_idx"), F.col("event_id").alias("pos")), table=table, keys=["user_id"], write_mode="insert")
+    return spark.read.parquet(table).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("k10_written_counts", """
+SELECT write_mode, CASE write_mode WHEN 'insert' THEN count(*) ELSE count(DISTINCT user_id) END AS written
+FROM events, (SELECT unnest(['insert', 'upsert', NULL]) AS write_mode) GROUP BY write_mode""")
+def k10_written_counts(spark, sf):
+    """The parquet sink by write mode: insert writes every row, upsert (also
+    the default) one per key; the counts are what the sink reports."""
+    ev = read_table(spark, sf, "events").select("event_id", "user_id", F.lit(0).alias("page_idx"), F.col("event_id").alias("pos"))
+    rows = [(m, K.route("parquet")(ev, table=scratch_path(spark, "k10"), keys=["user_id"], write_mode=m)) for m in ("insert", "upsert", None)]
+    return spark.createDataFrame(rows, "write_mode string, written bigint")
 
 
 @register("k4_record_columns", """

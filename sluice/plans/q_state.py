@@ -9,8 +9,10 @@ from sluice.operators import extract as X
 from sluice.operators import paging as G
 from sluice.operators import requests as P
 from sluice.operators import sinks as K
+from sluice.operators import sync as Y
 from sluice.operators import watermark as W
 from sluice.plans.registered import iso_ts, register
+from sluice.session import scratch_path
 from sluice.sources.landed import (
     customer_connectors, land_pages, order_pages, prior_state, read_table,
     rich_event_pages, user_connectors,
@@ -39,8 +41,8 @@ UCONN = """(SELECT 'user-' || CAST(user_id AS VARCHAR) AS connector_id, user_id,
   CASE user_id % 4 WHEN 0 THEN 'iso_instant' WHEN 1 THEN 'epoch_ms' WHEN 2 THEN 'dahua_utc'
     ELSE 'meiya_datetime' END AS time_format
   FROM events GROUP BY user_id)"""
-MONO = f"""(SELECT c AS connector_id, coalesce(CAST(max(CASE WHEN regexp_full_match(id, '[+-]?[0-9]{{1,18}}')
-    THEN CAST(id AS BIGINT) END) AS VARCHAR), max(id)) AS last_id FROM (
+MONO = f"""(SELECT c AS connector_id, coalesce(CAST(max(CASE WHEN regexp_full_match(id, '[+-]?[0-9]+')
+    THEN TRY_CAST(id AS BIGINT) END) AS VARCHAR), max(id)) AS last_id FROM (
   SELECT 'user-' || CAST(user_id AS VARCHAR) AS c, CASE WHEN user_id % 10 = 0 THEN 'evt-' || lpad(CAST(event_id AS VARCHAR), 6, '0')
     ELSE CAST(event_id AS VARCHAR) END AS id FROM events
   UNION ALL SELECT connector_id, last_id FROM {PREV} WHERE last_id IS NOT NULL) GROUP BY c)"""
@@ -158,7 +160,7 @@ def w9_since_id_slice(spark, sf):
     prev = prior_state(spark, sf).select("user_id", "last_id")
     since = F.when(F.col("last_id").rlike(r"^[0-9]+$"), F.col("last_id").cast("bigint"))
     j = ev.join(prev, "user_id", "left")
-    return j.filter(since.isNull() | (F.col("event_id") > since)).select("event_id")
+    return W.slice_since_id(j, "event_id", since).select("event_id")
 
 
 @register("w9_rolling_slice", """
@@ -181,21 +183,62 @@ def w9_closed_slice(spark, sf):
 SELECT user_id, count(*) AS n_rows, max(event_id) AS max_event_id, round(sum(value), 2) AS total_value
 FROM events GROUP BY user_id""")
 def w10_incremental_merge_run(spark, sf):
-    """Full run over events before the cutoff, then an incremental run that
-    re-reads from (watermark - 5m): the keyed upsert makes the overlap
-    harmless and the result equals one full run (rerun property)."""
-    ev = read_table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    cut = F.lit("2024-01-15 00:00:00").cast("timestamp")
-    full = ev.filter(F.col("t") < cut).select("event_id", "user_id", "value", "t",
-                                             F.lit(0).alias("page_idx"), F.col("event_id").alias("pos"))
-    table = K.upsert(None, full, ["event_id"])
-    wm = table.agg(F.max("t").alias("ts"))
-    start = wm.select((F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(5), F.lit(0))).alias("start"))
-    inc = ev.join(start, F.col("t") >= F.col("start"), "left_semi") \
-            .select("event_id", "user_id", "value", "t", F.lit(1).alias("page_idx"), F.col("event_id").alias("pos"))
-    merged = K.upsert(table, inc, ["event_id"])
-    return merged.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("event_id").alias("max_event_id"),
-                                         F.round(F.sum("value"), 2).alias("total_value"))
+    """A full run over the events before the cutoff, then an incremental run
+    of what the stored watermark less the overlap asks for: the keyed upsert
+    makes the overlap harmless, and the table equals one full run's."""
+    base, config = _sync_setup(spark)
+    ev = _timed_events(spark, sf)
+    Y.run_sync(_sync_pages(ev.filter(F.col("t") < "2024-01-15 00:00:00"), 1), config, base, 1, AS_OF, "full")
+    Y.run_sync(_sync_pages(Y.requested_since(ev, "t", Y.read_state(spark, base), F.lit("sync"), config.overlap), 2), config, base, 2, AS_OF)
+    table = K.read_bucket_table(spark, config.table)
+    return table.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("event_id").alias("max_event_id"),
+                                        F.round(F.sum("value"), 2).alias("total_value"))
+
+
+def _timed_events(spark, sf):
+    return read_table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+
+
+def _sync_setup(spark):
+    base = scratch_path(spark, "sync")
+    steps = ({"type": "map_fields", "mappings": [
+        {"source": "$.event_id", "target": "event_id", "type": "long"}, {"source": "$.user_id", "target": "user_id", "type": "long"},
+        {"source": "$.value", "target": "value", "type": "double"}]},)
+    return base, Y.SyncConfig("$.data", steps, "parquet", f"{base}/table", ("event_id",), "upsert", True, "timestamp", "$.t", "5m")
+
+
+def _sync_pages(rows, run_id):
+    record = F.to_json(F.struct("event_id", "user_id", "value", iso_instant_text("t").alias("t")))
+    return land_pages(rows, F.lit("sync"), "event_id", record, page_size=200, run_id=run_id)
+
+
+@register("w10_state_and_runs", """
+SELECT 'sync' AS connector_id, n.run_id, n.status, n.records_ok, strftime(m, '%Y-%m-%d %H:%M:%S') AS watermark FROM
+  (SELECT 1 AS run_id, 'success' AS status, count(*) AS records_ok FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'
+   UNION ALL SELECT 2, 'success', count(*) FROM events WHERE ts >= (SELECT max(ts) FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00') - INTERVAL 5 MINUTE) n,
+  (SELECT max(ts) AS m FROM events) WHERE n.records_ok > 0""")
+def w10_state_and_runs(spark, sf):
+    """What two runs leave: their run rows, and the last watermark."""
+    base, config = _sync_setup(spark)
+    ev = _timed_events(spark, sf)
+    Y.run_sync(_sync_pages(ev.filter(F.col("t") < "2024-01-15 00:00:00"), 1), config, base, 1, AS_OF, "full")
+    Y.run_sync(_sync_pages(Y.requested_since(ev, "t", Y.read_state(spark, base), F.lit("sync"), config.overlap), 2), config, base, 2, AS_OF)
+    state = Y.read_state(spark, base).select(F.col("connector_id").alias("c"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("watermark"))
+    runs = Y.read_runs(spark, base)
+    return runs.join(state, runs["connector_id"] == state["c"]).select("connector_id", "run_id", "status", "records_ok", "watermark")
+
+
+@register("w2_wide_ids", """
+SELECT 'user-' || CAST(user_id AS VARCHAR) AS connector_id,
+  CAST(greatest(max(999999999999999900 + event_id), 999999999999999999) AS VARCHAR) AS last_id FROM events GROUP BY user_id""")
+def w2_wide_ids(spark, sf):
+    """Ids of 18 and 19 digits; the stored one has 18 nines."""
+    ev = read_table(spark, sf, "events")
+    conn = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    rid = (F.lit(999999999999999900) + F.col("event_id")).cast("string")
+    recs = ev.select(conn.alias("connector_id"), F.parse_json(F.to_json(F.struct(rid.alias("rid")))).alias("rec"))
+    prev = ev.select(conn.alias("connector_id"), F.lit("9" * 18).alias("last_id")).distinct()
+    return W.advance_monotonic(recs, "$.rid", prev)
 
 
 # ---- P -----------------------------------------------------------------------
@@ -282,9 +325,9 @@ SELECT connector_id, page, 'http://api.local/' || connector_id || '?cust=' || CA
   || CASE WHEN strategy = 'offset_limit' THEN '&offset=' || CAST(ppv AS VARCHAR) || '&page=0'
      ELSE '&page=' || CAST(ppv AS VARCHAR) END
   || '&size=' || CAST(page_size AS VARCHAR) || '&status=open' AS url
-FROM {PLAN} WHERE page_idx < 3""")
+FROM {PLAN}""")
 def p7_query_assembly(spark, sf):
-    plan = P.plan_pages(customer_connectors(spark, sf)).filter(F.col("page_idx") < 3)
+    plan = P.plan_pages(customer_connectors(spark, sf))
     pname = F.when(F.col("strategy") == "offset_limit", F.lit("offset")).otherwise(F.lit("page"))
     conf = F.create_map(F.lit("status"), F.lit("open"), F.lit("page"), F.lit("0"),
                         F.lit("cust"), F.col("custkey").cast("string"))
@@ -296,9 +339,9 @@ def p7_query_assembly(spark, sf):
 
 @register("p8_body_compose", f"""
 SELECT connector_id, page, CAST(ppv AS BIGINT) AS b_page, CAST(page_size AS BIGINT) AS b_size,
-  CAST(custkey AS BIGINT) AS b_cust, 'x' AS b_keep FROM {PLAN} WHERE page_idx < 3""")
+  CAST(custkey AS BIGINT) AS b_cust, 'x' AS b_keep FROM {PLAN}""")
 def p8_body_compose(spark, sf):
-    plan = P.plan_pages(customer_connectors(spark, sf)).filter(F.col("page_idx") < 3)
+    plan = P.plan_pages(customer_connectors(spark, sf))
     tmpl = F.concat(F.lit('{"filter":{"cust":'), F.col("custkey").cast("string"),
                     F.lit('},"paging":{"size":0,"keep":"x"}}'))
     body = P.compose_body(tmpl, {"paging.page": F.col("page_param_value"), "paging.size": F.col("limit")})
@@ -327,12 +370,15 @@ FROM {UCONN} c JOIN {PREV} p USING (connector_id)""")
 def p10_timestamp_params(spark, sf):
     c = user_connectors(spark, sf)
     j = c.join(prior_state(spark, sf).select("connector_id", "ts"), "connector_id")
-    eff = F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), overlap_seconds(F.col("overlap")))
-    return j.select("connector_id", _fmt_by(eff, "time_format").alias("param"))
+    of = lambda name: P.timestamp_param(F.col("ts"), F.col("overlap"), name)
+    param = of("iso_instant")
+    for name in ("epoch_ms", "dahua_utc", "meiya_datetime"):
+        param = F.when(F.col("time_format") == name, of(name)).otherwise(param)
+    return j.select("connector_id", param.alias("param"))
 
 
 @register("p11_since_id_params", f"""
-SELECT connector_id, CASE WHEN regexp_full_match(last_id, '[+-]?[0-9]{{1,18}}') THEN last_id
+SELECT connector_id, CASE WHEN regexp_full_match(last_id, '[+-]?[0-9]+') AND TRY_CAST(last_id AS BIGINT) IS NOT NULL THEN last_id
   ELSE '"' || last_id || '"' END AS since_id_json FROM {PREV} WHERE last_id IS NOT NULL""")
 def p11_since_id_params(spark, sf):
     p = prior_state(spark, sf).filter(F.col("last_id").isNotNull())
@@ -383,6 +429,64 @@ def g2_link_stop_rules(spark, sf):
     return G.link_stop(pages, "$.data").select("connector_id", "page_idx", "stop")
 
 
+ONE_RULE = """(SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS connector_id, CAST(p AS INTEGER) AS page_idx, c_custkey % 3 AS kind
+  FROM customer, (SELECT unnest(range(0, 4)) AS p))"""
+
+
+def _one_rule_pages(spark, sf):
+    """Four pages a customer; on page 2 just one stop rule fires: an empty
+    page (kind 0), a blank cursor or missing link (1), has-more false (2)."""
+    c = read_table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_idx"))
+    kind, here = F.col("c_custkey") % 3, F.col("page_idx") == 2
+    data = F.when((kind == 0) & here, F.lit("[]")).otherwise(F.lit('[{"k":1}]'))
+    nxt = F.when((kind == 1) & here, F.lit("  ")).otherwise(F.concat(F.lit("c"), F.col("page_idx").cast("string")))
+    more = F.when((kind == 2) & here, F.lit("false")).otherwise(F.lit("true"))
+    body = F.concat(F.lit('{"data":'), data, F.lit(',"meta":{"next":"'), nxt, F.lit('","hasMore":'), more, F.lit("}}"))
+    link = F.when((kind == 1) & here, F.lit('<http://h/?p=1>; rel="next-archive"')).otherwise(F.lit('<http://h/?p=9>; rel="last", <http://h/?p=2>; rel="next"'))
+    return c.select(F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("connector_id"), F.lit(1).cast("bigint").alias("run_id"),
+                    "page_idx", F.lit("page").alias("kind"), body.alias("body"), F.create_map(F.lit("Link"), link).alias("headers"))
+
+
+def _stops(pages, by):
+    out = pages.select("connector_id", "page_idx")
+    for name, f in by.items():
+        out = out.join(f(pages).select("connector_id", "page_idx", F.col("stop").alias(name)), ["connector_id", "page_idx"])
+    return out
+
+
+@register("g1_one_rule_each", f"""
+SELECT connector_id, page_idx, page_idx = 2 AS all_rules, page_idx = 2 AND kind = 0 AS empty_page,
+  page_idx = 2 AND kind = 1 AS empty_cursor, page_idx = 2 AND kind = 2 AS has_more FROM {ONE_RULE}""")
+def g1_one_rule_each(spark, sf):
+    rule = lambda r: lambda p: G.cursor_stop(p, "$.data", "$.meta.next", "$.meta.hasMore", r)
+    return _stops(_one_rule_pages(spark, sf), {"all_rules": rule(None), "empty_page": rule(["empty_page"]), "empty_cursor": rule(["empty_cursor"]), "has_more": rule(["has_more_false"])})
+
+
+@register("g2_one_rule_each", f"""
+SELECT connector_id, page_idx, page_idx = 2 AND kind IN (0, 1) AS all_rules, page_idx = 2 AND kind = 0 AS empty_page,
+  page_idx = 2 AND kind = 1 AS no_next_link FROM {ONE_RULE}""")
+def g2_one_rule_each(spark, sf):
+    rule = lambda r: lambda p: G.link_stop(p, "$.data", r)
+    return _stops(_one_rule_pages(spark, sf), {"all_rules": rule(None), "empty_page": rule(["empty_page"]), "no_next_link": rule(["no_next_link"])})
+
+
+@register("g3_long_chain", """
+SELECT count(*) AS pages, count(*) FILTER (WHERE event_id IS NOT NULL) AS kept, (SELECT count(*) FROM events) > 1200 AS cut,
+  least(1200, (SELECT count(*) FROM events)) AS kept_of_1200 FROM events""")
+def g3_long_chain(spark, sf):
+    """A chain as long as the events, one page each: kept whole without a
+    limit of the connector's own; with one of 1200 it is cut and says so."""
+    ev = read_table(spark, sf, "events")
+    record = F.to_json(F.struct("event_id"))
+    pages = land_pages(ev, F.lit("chain"), "event_id", record, page_size=1)
+    f = G.cursor_stop(pages, "$.data", None, None, ["empty_page"])
+    whole = G.truncate_chain(f).agg(F.count(F.lit(1)).alias("kept"))
+    limited = G.truncate_chain(f, 1200).agg(F.count(F.lit(1)).alias("kept_of_1200"), F.coalesce(F.max("run_truncated"), F.lit(False)).alias("cut"))
+    one = lambda d: d.withColumn("__one", F.lit(1))
+    n = pages.agg(F.count(F.lit(1)).alias("pages"))
+    return one(n).join(one(whole), "__one").join(one(limited), "__one").drop("__one")
+
+
 @register("g3_truncate_chain", f"""
 SELECT connector_id, page_idx, CAST(CASE WHEN page_idx < last THEN 5 ELSE n - last * 5 END AS INTEGER) AS n_records
 FROM (SELECT DISTINCT connector_id, page_idx, CAST((n - 1) // 5 AS INTEGER) AS last, n FROM {OPAGES})

@@ -78,3 +78,4 @@ from sluice.plans import q_state  # noqa: E402,F401
 from sluice.plans import q_runs  # noqa: E402,F401
 from sluice.plans import q_stream  # noqa: E402,F401
 from sluice.plans import q_infer  # noqa: E402,F401
+from sluice.plans import q_rules  # noqa: E402,F401

@@ -37,19 +37,41 @@ def test_casts_follow_java_rules(spark):
 
 
 def test_strict_mode_raises_first_index(spark):
-    from sluice.operators.transform import TransformError, transform_strict
-    recs = one_body_records(spark, '{"data":[{"id":1},{"id":"x"},{"id":"y"}]}')
-    with pytest.raises(TransformError) as e:
-        transform_strict(recs, [{"type": "map_fields", "mappings": [{"source": "id", "target": "id", "type": "long"}]}])
-    assert e.value.record_index == 1
+    """Building the plan runs nothing; reading it fails with the first bad record, even when all are bad."""
+    from sluice.operators.transform import transform_strict
+    steps = [{"type": "map_fields", "mappings": [{"source": "id", "target": "id", "type": "long"}]}]
+    plan = transform_strict(one_body_records(spark, '{"data":[{"id":1},{"id":"x"},{"id":"y"}]}'), steps)
+    with pytest.raises(Exception, match="strict transform failed: record 1: "):
+        plan.collect()
+    with pytest.raises(Exception, match="record 0: "):
+        transform_strict(one_body_records(spark, '{"data":[{"id":"x"}]}'), steps).count()
+    fine = transform_strict(one_body_records(spark, '{"data":[{"id":1},{"id":2}]}'), steps)
+    assert sorted(r["id"] for r in fine.collect()) == [1, 2]
 
 
-def test_forbidden_expression(spark):
-    from sluice.operators.transform import check_expression
+@pytest.mark.parametrize("text", [
+    "reflect('java.lang.System', 'exit', 0)", "(select 1)", "`reflect`('java.lang.Math','abs',-3)", "reflect/**/('java.lang.Math','abs',-3)",
+    "current_timestamp", "unix_timestamp()", "JAVA_METHOD('java.lang.Math','abs',-3)", "a in (select 1)", "exists(select 1)", "uuid()", "rand() > 0.5",
+    "row_number() over (order by a)", "*", "explode(array(1))", "current_user", "system.builtin.reflect('a','b')", "transform(array(1), x -> rand())", "version()", "a b c"])
+def test_forbidden_expression(spark, text):
+    from sluice.operators.expressions import check_expression
     with pytest.raises(ValueError):
-        check_expression("reflect('java.lang.System', 'exit', 0)")
+        check_expression(text)
+
+
+@pytest.mark.parametrize("text", [
+    "a > 1 and b between 1 and 2", "case when a is null then 'x' else upper(b) end", "a || '-' || cast(b as string)", "if(a in (1, 2), a * 2, -a)", "a like 'x%' or not a rlike '^y'",
+    "trim(both 'x' from a)", "transform(a, x -> x + 1)[0]", "date_format(to_timestamp(a), 'yyyy')", "coalesce(a.b, 0) % 2 = 1", "unix_timestamp(a)"])
+def test_allowed_expression(spark, text):
+    from sluice.operators.expressions import check_expression
+    assert check_expression(text) == text
+    assert check_expression("current_timestamp + 1", ["current_timestamp"])
+
+
+def test_expression_with_quotes_in_a_name(spark):
+    from sluice.operators.transform import compile_expression
     with pytest.raises(ValueError):
-        check_expression("(select 1)")
+        compile_expression("${record.x') or reflect('a','b'}", [], True)
 
 
 def test_upsert_last_wins_and_null_keys(spark):
@@ -93,8 +115,11 @@ def test_query_assembly_overwrites(spark):
 
 def test_link_header_next(spark):
     from sluice.operators.requests import link_next
-    df = spark.sql("""select map('LINK', '<http://h/i?page=1>; rel="prev", <http://h/i?page=3>; REL="next"') h""")
-    assert df.select(link_next(F.col("h")).alias("n")).first()["n"] == "http://h/i?page=3"
+    def of(text):
+        return spark.createDataFrame([({"LINK": text},)], "h map<string,string>").select(link_next(F.col("h")).alias("n")).first()["n"]
+    assert of('<http://h/i?page=1>; rel="prev", <http://h/i?page=3>; REL="next"') == "http://h/i?page=3"
+    assert of('<http://h/a>; rel="next-archive", <http://h/b>; title="x"; rel=next') == "http://h/b"
+    assert of('<http://h/a>; rel="next-archive"') is None and of('<http://h/a>; rel="prev next"') is None
 
 
 def test_overlap_rules(spark):
@@ -120,10 +145,20 @@ def test_openapi_swagger2(spark):
            '"post":{"description":"add"}}}}')
     ops = operations(spark.createDataFrame([(1, doc)], "spec_id int, doc string"))
     got = sorted((r["method"], r["operation_id"], r["summary"], r["url"]) for r in ops.collect())
-    assert got == [("GET", "GET /items", "GET /items", "https://h.io/v1/items"),
-                   ("POST", "POST /items", "add", "https://h.io/v1/items")]
+    assert got == [("GET", "GET /items", "GET /items", "http://h.io/v1/items"),
+                   ("POST", "POST /items", "add", "http://h.io/v1/items")]
     p = infer_pagination(ops).first()
-    assert (p["strategy"], p["page_param"], p["size_param"]) == ("offset_limit", "offset", "limit")
+    assert (p["strategy"], p["page_param"], p["size_param"], p["page_start"]) == ("offset_limit", "Offset", "limit", 0)
+
+
+def test_reference_cycles_and_bad_documents(spark):
+    from sluice.operators.catalog import operations, parameters
+    doc = ('{"paths":{"/a":{"get":{"parameters":[{"$ref":"#/components/parameters/p~1q"},{"$ref":"http://elsewhere"},{"$ref":"#/none"}],'
+           '"requestBody":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Loop"}}}}}}},"components":{"parameters":'
+           '{"p/q":{"name":"p","in":"query","schema":{"type":"float"}}},"schemas":{"Loop":{"allOf":[{"$ref":"#/components/schemas/Loop"},{"properties":{"n":{"type":"int32"}}}]}}}}')
+    specs = spark.createDataFrame([(1, doc), (2, "{broken"), (3, None), (4, "[]"), (5, "{}")], "spec_id int, doc string")
+    got = [(r["spec_id"], r["name"], r["place"], r["type"]) for r in parameters(operations(specs)).orderBy("i").collect()]
+    assert got == [(1, "p", "query", "number"), (1, "n", "body", "integer")]
 
 
 def test_mappings_from_declared_schema(spark):
@@ -134,6 +169,141 @@ def test_mappings_from_declared_schema(spark):
     assert got == {"id": "long", "amt": "double", "ok": "boolean", "n": "string"}
 
 
+def test_types_ignore_nulls(spark):
+    from sluice.operators.infer import infer_mappings
+    recs = one_body_records(spark, '{"data":[{"a":1,"b":null,"c":true},{"a":null,"b":null,"c":2},{"a":2.5,"c":null}]}')
+    assert {r["target"]: r["type"] for r in infer_mappings(recs, "all").collect()} == {"a": "double", "b": "string", "c": "string"}
+    only = one_body_records(spark, '{"data":[{"a":1},{"a":null},{"a":2}]}')
+    assert {r["target"]: r["type"] for r in infer_mappings(only, "all").collect()} == {"a": "long"}
+
+
+def test_since_id_and_monotonic_beyond_18_digits(spark):
+    from sluice.operators.requests import since_id_value
+    df = spark.createDataFrame([("1000000000000000001",), ("99999999999999999999",), ("x1",), (None,)], "i string")
+    assert [r[0] for r in df.select(since_id_value(F.col("i"))).collect()] == ["1000000000000000001", '"99999999999999999999"', '"x1"', None]
+
+
+def test_sample_texts_are_cut_and_whole_errors_kept(spark):
+    from sluice.operators.transform import transform
+    long = "x" * 3000
+    recs = one_body_records(spark, '{"data":[' + ",".join(['{"id":"%s"}' % long] * 30) + "]}")
+    res = transform(recs, [{"type": "map_fields", "mappings": [{"source": "id", "target": "id", "type": "long"}]}])
+    got = res.errors.collect()
+    assert sorted(r["record_index"] for r in got) == list(range(20)) and {len(r["sample_json"]) for r in got} == {2000}
+    whole = res.all_errors.collect()
+    assert len(whole) == 30 and {len(r["sample_json"]) for r in whole} == {len('{"id":""}') + 3000} and all(len(r["message"]) > 3000 for r in whole)
+
+
+def test_untouched_buckets_keep_their_files(spark, tmp_path):
+    from sluice.operators import sinks as K
+    base = str(tmp_path / "t")
+    rows = spark.createDataFrame([(i, f"v{i}", 1, i) for i in range(200)], "k int, v string, run_id int, pos int")
+    K.bucket_upsert(rows, base, ["k"], buckets=8)
+    one = spark.createDataFrame([(7, "new", 2, 0), (7, "older", 1, 999)], "k int, v string, run_id int, pos int")
+    K.bucket_upsert(one, base, ["k"], buckets=8)
+    before, after = K._pointers(spark, base, 1), K._pointers(spark, base, 2)
+    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
+    got = {r["k"]: r["v"] for r in K.read_bucket_table(spark, base).collect()}
+    assert len(got) == 200 and got[7] == "new" and got[8] == "v8"
+    K.bucket_upsert(spark.createDataFrame([(7, "late", 0, 5)], "k int, v string, run_id int, pos int"), base, ["k"], buckets=8)
+    assert {r["k"]: r["v"] for r in K.read_bucket_table(spark, base).collect()}[7] == "new"
+    assert {r["k"]: r["v"] for r in K.read_bucket_table(spark, base, 1).collect()}[7] == "v7"
+    K.drop_old_versions(spark, base, keep=1)
+    assert K.bucket_table_versions(spark, base) == [3] and K.read_bucket_table(spark, base).count() == 200
+
+
+def test_write_modes_and_blank_targets(spark, tmp_path):
+    from sluice.operators import sinks as K
+    rows = spark.createDataFrame([(1, "a", 0, 0), (1, "b", 0, 1), (2, "c", 0, 2)], "k int, v string, page_idx int, pos int")
+    sent = []
+
+    class Cursor:
+        def executemany(self, sql, batch):
+            (tmp_path / f"{abs(hash((sql, tuple(batch))))}").write_text(sql + "|" + str(len(batch)))
+
+    class Connection:
+        cursor = lambda self: Cursor()
+        commit = close = lambda self: None
+    for mode, n in (("insert", 3), ("upsert", 2), (None, 2)):
+        assert K.route("postgresql")(rows, table="t", keys=["k"], write_mode=mode, connect=lambda url: Connection()) == n
+    sent = [p.read_text() for p in tmp_path.iterdir()]
+    assert any("ON CONFLICT" not in s for s in sent) and any("ON CONFLICT" in s for s in sent)
+    for sink, target in (("postgresql", "table"), ("kafka", "topic"), ("parquet", "table")):
+        with pytest.raises(K.SinkError):
+            K.route(sink)(rows, **{target: "  "}, keys=["k"])
+    with pytest.raises(K.SinkError):
+        K.route("parquet")(rows, table=str(tmp_path / "x"), keys=["k"], write_mode="replace")
+    assert K.default_keys(["a", "b"], None) == ["a"] and K.default_keys(["a", "b"], ["b"]) == ["b"]
+
+
+def test_push_replay_after_a_crash_loses_nothing(spark, tmp_path, monkeypatch):
+    from sluice.operators import sinks as K
+    from sluice.streaming import push
+    batch = spark.createDataFrame([("c", f"r{i}", "", i, '{"EventID":"E%d"}' % (i % 3)) for i in range(5)] + [("none", "r9", "", 9, "{}")], push.PUSH_SCHEMA)
+    conns = spark.createDataFrame([("c", "push", True, True, False, "p")], "connector_id string, mode string, published boolean, webhook_enabled boolean, verify_sign boolean, plat_flag string")
+    paths = [str(tmp_path / p) for p in ("table", "results", "runs")]
+    maps = [{"source": "$.EventID", "target": "event_id", "type": "string"}]
+    real = K.bucket_upsert
+
+    def crash(*a, **k):
+        raise RuntimeError("lost")
+    monkeypatch.setattr(K, "bucket_upsert", crash)
+    with pytest.raises(RuntimeError):
+        push.process_batch(batch, 0, conns, maps, *paths)
+    assert K.read_bucket_table(spark, paths[0]) is None
+    monkeypatch.setattr(K, "bucket_upsert", real)
+    for _ in range(2):      # the replay, and another one of a complete batch
+        push.process_batch(batch, 0, conns, maps, *paths)
+        assert sorted(r["event_id"] for r in K.read_bucket_table(spark, paths[0]).collect()) == ["E0", "E1", "E2"]
+        assert spark.read.parquet(paths[1]).count() == 6 and spark.read.parquet(paths[2]).count() == 5
+
+
+def test_sync_run_that_breaks_off_is_done_again(spark, tmp_path):
+    from sluice.operators import sinks as K
+    from sluice.operators import sync as Y
+    from sluice.sources.landed import PAGES_SCHEMA
+    config = Y.SyncConfig("$.data", ({"type": "map_fields", "mappings": [{"source": "id", "target": "id", "type": "long"}]},), "parquet", str(tmp_path / "t"), ("id",), "upsert", True, "timestamp", "$.at")
+    base = str(tmp_path / "b")
+
+    def pages(run, rows, status=200):
+        body = '{"data":[' + ",".join('{"id":%s,"at":"2024-01-%02dT00:00:00Z"}' % r for r in rows) + "]}"
+        return spark.createDataFrame([("c", run, 0, "page", status, 1, body, False, len(body), None, {})], PAGES_SCHEMA)
+
+    def crash():
+        raise RuntimeError("lost")
+    with pytest.raises(RuntimeError):
+        Y.run_sync(pages(1, [(1, 1), (2, 2)]), config, base, 1, "2024-02-01", after_sink=crash)
+    assert Y.read_state(spark, base).count() == 0 and K.read_bucket_table(spark, config.table).count() == 2
+    Y.run_sync(pages(2, [(1, 1), (2, 2), ('"bad"', 3)]), config, base, 2, "2024-02-01")
+    state = Y.read_state(spark, base).first()
+    assert str(state["ts"]) == "2024-01-03 00:00:00" and K.read_bucket_table(spark, config.table).count() == 2
+    Y.run_sync(pages(3, [(9, 9)], status=500), config, base, 3, "2024-02-01")
+    runs = {r["run_id"]: (r["status"], r["records_ok"], r["records_failed"]) for r in Y.read_runs(spark, base).collect()}
+    assert runs == {2: ("success", 2, 1), 3: ("failed", 0, 0)}
+    assert str(Y.read_state(spark, base).first()["ts"]) == "2024-01-03 00:00:00" and K.read_bucket_table(spark, config.table).count() == 2
+
+
+def test_no_window_grows_with_a_group(spark):
+    """Levels of blocks: each part of a prefix sum over one group has at most FAN rows."""
+    from sluice.plans import ordinal
+    assert [ordinal._levels(n) for n in (1, 1024, 1025, 1 << 20, (1 << 20) + 1, 1 << 30)] == [0, 0, 1, 1, 2, 2]
+    df = spark.range(0, 3000).select(F.lit("g").alias("g"), (F.col("id") * 1000).alias("k"))
+    lo, hi, n = ordinal._bounds(df, F.col("k"))
+    width = max(1, (hi - lo + 1) * 64 // n)
+    per_block = df.groupBy(F.floor(F.col("k") / width)).count().agg(F.max("count")).first()[0]
+    assert per_block <= 2 * 64
+    old = ordinal.FAN
+    try:
+        ordinal.FAN = 4
+        got = ordinal.with_ordinal(df, ["g"], "k", block=16, total="n").orderBy("k").collect()
+        assert [r["rn"] for r in got] == list(range(3000)) and {r["n"] for r in got} == {3000}
+        pages = spark.range(0, 100).select(F.lit("g").alias("g"), F.col("id").cast("int").alias("page_idx"), (F.col("id") % 3).cast("int").alias("n"))
+        offs = [r["offset"] for r in ordinal.with_prefix_offset(pages, ["g"], "page_idx", "n", block=3).orderBy("page_idx").collect()]
+        assert offs == [sum(i % 3 for i in range(p)) for p in range(100)]
+    finally:
+        ordinal.FAN = old
+
+
 def test_ordinal_matches_row_number(spark):
     from sluice.plans.ordinal import with_ordinal
     df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7 % 5000).alias("k"))
