@@ -92,14 +92,39 @@ def op3_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-@register("op2_suffix_array_dedup")
+@register("op2_suffix_array_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+     b AS (SELECT doc_id, unnest(h) AS byte, unnest(range(0, len(h))) AS i FROM d),
+     s AS (SELECT doc_id, i, byte, CASE WHEN count(*) OVER x = 50 THEN md5(string_agg(byte, '') OVER x) END AS k FROM b
+           WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+     f AS (SELECT k, min(doc_id) AS first FROM s WHERE k IS NOT NULL GROUP BY k),
+     r AS (SELECT s.doc_id, s.i, byte, coalesce(f.first < s.doc_id, false) AS starts FROM s LEFT JOIN f USING (k)),
+     c AS (SELECT doc_id, i, byte, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM r),
+     e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+     g AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+                  sha256(unhex(coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+""")
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that a document with a smaller id has too."""
     from sluice.llm.suffix_dedup import remove_repeated_bytes
     return remove_repeated_bytes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@register("op4_substring_dedup")
+@register("op4_substring_dedup", r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+     p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+     s AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER x AS k, count(*) OVER x AS n FROM p
+           WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+     f AS (SELECT k, min({'d': doc_id, 'i': i}) AS first FROM s WHERE n = 20 GROUP BY k),
+     r AS (SELECT s.doc_id, s.i, word, coalesce(n = 20 AND (first.d < s.doc_id OR first.d = s.doc_id AND first.i < s.i), false) AS starts FROM s LEFT JOIN f USING (k)),
+     c AS (SELECT doc_id, i, word, bool_or(starts) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+     g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+                  sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+""")
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the windows of 20 words that also start earlier."""
     from sluice.llm.substring_dedup import remove_repeated_words
