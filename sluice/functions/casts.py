@@ -12,18 +12,7 @@ from pyspark.sql import functions as F
 from sluice.functions.jsonpath import _c, is_number, jtext, vkind
 from sluice.functions.timefmt import format_instant, parse_instant
 
-__all__ = ["convert", "CONVERSION_TYPES", "spark_type_of"]
-
-# Mapping type names understood by map_fields.
-CONVERSION_TYPES = ("long", "double", "boolean", "datetime", "decimal", "string")
-
-
-def spark_type_of(typ: str | None, scale: int = 18) -> str:
-    t = (typ or "string").strip().lower()
-    return {
-        "long": "bigint", "double": "double", "boolean": "boolean",
-        "decimal": f"decimal(38,{scale})",
-    }.get(t, "string")
+__all__ = ["convert"]
 
 
 def convert(v, typ: str | None, source_format: str | None = None,

@@ -9,12 +9,10 @@ from sluice.functions.jsonpath import (
 )
 
 __all__ = [
-    "TIME_FORMATS", "parse_instant", "format_instant", "format_time",
-    "overlap_seconds", "overlap_interval", "iso_instant_text",
+    "parse_instant", "format_instant", "format_time",
+    "overlap_seconds", "overlap_problem", "overlap_interval", "iso_instant_text",
 ]
 
-# Named formats a connector may declare.
-TIME_FORMATS = ("iso_instant", "epoch_ms", "dahua_utc", "meiya_datetime")
 
 
 def parse_instant(v, source_format: str | None = None, kind: Column | None = None,
@@ -88,6 +86,14 @@ def overlap_seconds(text) -> Column:
     )
 
 
+def overlap_problem(text) -> Column:
+    """What is wrong with an overlap text whose number can't be read
+    (``500ms``); NULL if nothing is."""
+    t = _c(text)
+    return F.when(t.isNotNull() & overlap_seconds(t).isNull(),
+                  F.concat(F.lit("overlap must be a whole number with s, m or h: "), t))
+
+
 def overlap_interval(text) -> Column:
     """Overlap as ``INTERVAL DAY TO SECOND``."""
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), overlap_seconds(text))

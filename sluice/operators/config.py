@@ -3,7 +3,8 @@
 One row per connector (or version). Every setting is a column expression over
 the config parsed once to VARIANT, so thousands of configs are read in one
 projection. Blank texts count as missing. A config that is no JSON object
-gets ``config_error`` and null settings instead of failing the others.
+gets ``config_error`` and null settings instead of failing the others; an
+overlap that can't be read is reported there too.
 """
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import jtext, read_boolean, read_integer, vget, vkind
+from sluice.functions.timefmt import overlap_problem
 
 # The defaults of the settings.
 DEFAULT_STOP = ("empty_cursor", "empty_page")
@@ -117,8 +119,9 @@ def parse_configs(connectors: DataFrame, config: str = "config") -> DataFrame:
     parts = {"config_mode": _text(v, "$.mode", "pull"), "http": http, "pagination": pagination, "incremental": incremental,
              "sync": F.struct(_text(v, "$.sync.on_first_run", "full").alias("on_first_run")), "transform": transform, "sink": sink,
              "schedule": schedule, "webhook": webhook}
-    # CREATE the settings only where the config is an object.
-    return d.select(*connectors.columns, *[F.when(ok, c).alias(k) for k, c in parts.items()], F.when(~ok, F.lit(NOT_OBJECT)).alias("config_error"))
+    # Settings only where the config is an object.
+    return d.select(*connectors.columns, *[F.when(ok, c).alias(k) for k, c in parts.items()],
+                    F.when(~ok, F.lit(NOT_OBJECT)).otherwise(overlap_problem(incremental["overlap"])).alias("config_error"))
 
 
 def transform_steps(steps_json: str | None) -> list[dict]:

@@ -144,6 +144,20 @@ def w7_state_upsert_reset(spark, sf):
     return kept.select("connector_id", iso_instant_text("ts").alias("ts"), "last_id")
 
 
+@register("w7_reset_audit", f"""
+SELECT connector_id, 'reset_state' AS action FROM (
+  SELECT a.connector_id, a.user_id FROM {ADV} a WHERE a.user_id % 2 = 0
+  UNION ALL SELECT p.connector_id, p.user_id FROM {PREV} p WHERE p.user_id % 2 = 1) WHERE user_id % 5 = 0""")
+def w7_reset_audit(spark, sf):
+    prev = prior_state(spark, sf)
+    adv = W.advance_timestamp(_urecs(spark, sf), "$.ts", prev)
+    uid = F.regexp_extract("connector_id", r"(\d+)$", 1).cast("int")
+    new = adv.filter(uid % 2 == 0).select("connector_id", "ts", F.lit(None).cast("string").alias("last_id"))
+    st = W.state_upsert(prev.drop("user_id"), new, AS_OF)
+    _, audit = W.state_reset(st, st.filter(uid % 5 == 0).select("connector_id"), AS_OF)
+    return audit.select("connector_id", "action")
+
+
 @register("w8_watermark_lag", f"""
 SELECT connector_id, greatest(0, CAST(floor(epoch(TIMESTAMP '2024-02-01 00:00:00')) AS BIGINT)
   - CAST(floor(epoch(ts)) AS BIGINT)) AS lag_seconds FROM {ADV}""")

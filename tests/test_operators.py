@@ -128,6 +128,13 @@ def test_overlap_rules(spark):
     assert [r[0] for r in df.select(overlap_seconds(F.col("o"))).collect()] == [300, 7200, 30, 0, 0, 300]
 
 
+def test_bad_overlap_is_reported(spark):
+    from sluice.operators.config import parse_configs
+    text = '{"incremental":{"enabled":true,"timestamp":{"overlap":"%s"}}}'
+    df = spark.createDataFrame([(text % o,) for o in ("5m", "500ms", "3d", " 1H ")], "config string")
+    assert [r["config_error"] for r in parse_configs(df).collect()] == [None, "overlap must be a whole number with s, m or h: 500ms", None, None]
+
+
 def test_bump_rules(spark):
     from sluice.operators.watermark import bump_if_unchanged
     adv = spark.sql("select * from values ('a', timestamp'2025-06-01 09:00:00'), ('b', timestamp'2025-06-01 08:00:00'),"
