@@ -1,4 +1,4 @@
-"""Golden values taken from the reference's own unit tests (FIXTURES.md §6)."""
+"""Golden values that pin single rules (overlap, formats, signature, windows; FIXTURES.md §6)."""
 from pyspark.sql import functions as F
 
 from tests.conftest import one_body_records

@@ -1,4 +1,4 @@
-"""Semantic cases per operator family (reference test strategy, values asserted)."""
+"""Semantic cases per operator family, values asserted."""
 import pytest
 from pyspark.sql import functions as F
 
