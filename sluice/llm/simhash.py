@@ -44,6 +44,7 @@ SEED = 42
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WS = re.compile(rb"[\x20\x09-\x0D]+")
 SMALL = 64          # posts of an anchor that is compared by a join
+SALTS = 8           # keys that the rows of one class are dealt over
 PIECE = 4096        # fingerprints of one anchor compared with as many others in a task
 
 
@@ -220,7 +221,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     joined = roots.join(least, "root").select("node", "component")
     named = classes.join(joined, classes["fp"] == joined["node"], "left").filter("n > 1 or node is not null")
     named = named.select(F.col("fp").alias("_fp"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("component")).alias("component_id"))
-    out = prints.join(named, F.col("fp") == F.col("_fp"), "left")
+    # A class may hold a third of all rows: its rows are dealt over SALTS keys.
+    salt = F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(SALTS)).cast("int")
+    named = named.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    out = prints.withColumn("salt", salt).join(named, (F.col("fp") == F.col("_fp")) & (F.col("salt") == F.col("_salt")), "left")
     return out.select(F.col("id").alias(key), "fp", F.when(F.col("_fp").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
