@@ -40,10 +40,10 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import MAX_LONG, small_batches, stage, text_buffers
 
-BATCH = 8 << 20         # bytes of text in a batch (a longer document is a batch of its own)
-PIECE = 2 << 20         # bytes whose hashes are held at once
-BUCKET = 2 << 20        # bytes of the corpus for each bucket
+BATCH = 2 << 20         # bytes of text in a batch (a longer document is a batch of its own)
+PIECE = 256 << 10       # bytes whose hashes are held at once
 KEY_BITS = 48           # of a window's key; equal keys of different windows only cost time
+SALTS = 8               # keys that the documents of one content are dealt over
 HOT = 4096              # stretches under one key that are sent window by window
 PACKED = "batch long, docs long, size long, ids binary, nulls binary, lens binary, digests binary, blob binary"
 MESSAGE = "bucket long, batch long, data binary"
@@ -111,10 +111,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 class Piece:
-    """Some documents of a batch: unit offsets, k-gram names, and the text of a range of units."""
+    """Some documents of a batch: unit offsets, k-gram names, and the bytes of ranges of units."""
 
     def __init__(self, raw: bytes, lens: np.ndarray):
         self.raw, self.byte_off = raw, np.concatenate(([0], np.cumsum(lens)))
+        self.hashes = np.zeros(0, np.uint64)
 
 
 class Bytes(Piece):
@@ -125,8 +126,8 @@ class Bytes(Piece):
     def grams(self, k: int) -> np.ndarray:
         return byte_names(np.frombuffer(self.raw, np.uint8), k)
 
-    def text(self, lo: int, hi: int) -> bytes:
-        return self.raw[lo:hi]
+    def byte_range(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return lo, hi
 
 
 class Words(Piece):
@@ -152,8 +153,8 @@ class Words(Piece):
             todo = todo[size[todo] > at]
         return names(h, k)
 
-    def text(self, lo: int, hi: int) -> bytes:
-        return self.raw[self.starts[lo]:self.ends[hi - 1]]
+    def byte_range(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.starts[lo], self.ends[hi - 1]
 
 
 @dataclass(frozen=True)
@@ -166,6 +167,7 @@ class Task:
     gram: int
     within: bool
     prepare: Callable[[bytes], bytes]
+    bucket: int         # bytes of the corpus for each bucket
 
     @property
     def width(self) -> int:
@@ -191,47 +193,49 @@ class Runs:
             lo = hi
         kinds = (np.int64, np.int64, np.int64, np.int64, np.uint64, bool)
         self.piece, self.doc, self.lo, self.n, self.key, self.again = (np.concatenate([c[i] for c in cols]) if cols else np.zeros(0, t) for i, t in enumerate(kinds))
+        self.keys, self.back, self.count = np.unique(self.key, return_inverse=True, return_counts=True)
 
     def _of(self, piece: Piece, live: np.ndarray) -> list[np.ndarray]:
         """Of each run: document, first window, number of windows, key, whether one of its windows repeats another."""
         t, none = self.task, np.zeros(0, np.int64)
-        m = sliding(piece.grams(t.gram), t.width)
-        first, count = piece.off[:-1], np.where(live, np.maximum(np.diff(piece.off) - t.span + 1, 0), 0)
-        if not count.sum():
+        end = np.where(live, np.maximum(piece.off[1:] - t.span + 1, piece.off[:-1]), piece.off[:-1])    # of each document's windows
+        some = np.flatnonzero(end > piece.off[:-1])
+        if not len(some):
             return [none, none, none, none.astype(np.uint64), none.astype(bool)]
-        doc = np.repeat(np.arange(len(count)), count)
-        at = np.arange(len(doc)) + np.repeat(first - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-        key = m[at] >> np.uint64(64 - KEY_BITS)
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
-        start = np.flatnonzero(new)
-        pos = np.arange(len(at)) - np.repeat(start, np.diff(np.concatenate((start, [len(at)]))))
-        start = np.flatnonzero(new | (pos % t.width == 0))
-        n = np.diff(np.concatenate((start, [len(at)])))
-        again = np.zeros(len(start), bool)
+        piece.hashes = piece.grams(t.gram)
+        key = sliding(piece.hashes, t.width) >> np.uint64(64 - KEY_BITS)
+        inside = np.zeros(len(key) + 1, np.int8)
+        np.add.at(inside, piece.off[some], 1)
+        np.add.at(inside, end[some], -1)
+        new = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        new[1:] &= key[1:] != key[:-1]
+        new[piece.off[some]] = True
+        lo = np.flatnonzero(new)
+        doc = np.searchsorted(piece.off, lo, side="right") - 1
+        n = np.minimum(np.append(lo[1:], len(key)), end[doc]) - lo
+        if (n > t.width).any():     # text that repeats itself: pieces of bounded length
+            parts = -(-n // t.width)
+            step = _steps(parts) * t.width
+            lo, doc, n = np.repeat(lo, parts) + step, np.repeat(doc, parts), np.minimum(np.repeat(n, parts) - step, t.width)
+        again = np.zeros(len(lo), bool)
         if t.within:    # a window that repeats one of its own run
-            whole, hit = names(piece.grams(t.gram), t.span, t.gram), np.zeros(len(at) + 1, np.int64)
-            w = whole[at]
+            w = names(piece.hashes, t.span, t.gram)
             for s in range(1, t.width):
-                same = np.flatnonzero((w[s:] == w[:-s]) & (doc[s:] == doc[:-s]))
-                hit[same] = hit[same + s] = 1
-            again = np.add.reduceat(hit, start) > 0
-        return [doc[start], at[start], n, key[start], again]
-
-    def summary(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys in order; whether each is a repeat here; its number of runs (255: or more); each run's key."""
-        keys, back, n = np.unique(self.key, return_inverse=True, return_counts=True)
+                same = np.flatnonzero(w[s:] == w[:-s])
+                again[np.searchsorted(lo, same, side="right") - 1] = True
+                again[np.searchsorted(lo, same + s, side="right") - 1] = True
+        return [doc, lo, n, key[lo], again]
+
+    def several(self) -> np.ndarray:
+        """Whether each distinct key is a repeat within the batch."""
         if self.task.within:
-            several = n > 1
-            several[back[self.again]] = True
-        else:
-            low, high = np.full(len(keys), MAX_LONG), np.full(len(keys), -MAX_LONG)
-            np.minimum.at(low, back, self.ids[self.doc])
-            np.maximum.at(high, back, self.ids[self.doc])
-            several = low != high
-        return keys, several, np.minimum(n, 255).astype(np.uint8), back
-
-    def text(self, r: int, lo: int, hi: int) -> bytes:
-        return self.pieces[self.piece[r]][1].text(lo, hi)
+            out = self.count > 1
+            out[self.back[self.again]] = True
+            return out
+        low, high = np.full(len(self.keys), MAX_LONG), np.full(len(self.keys), -MAX_LONG)
+        np.minimum.at(low, self.back, self.ids[self.doc])
+        np.maximum.at(high, self.back, self.ids[self.doc])
+        return low != high
 
     def position(self, r: np.ndarray) -> np.ndarray:
         """The place of runs in their documents."""
@@ -241,53 +245,76 @@ class Runs:
             out[mine] -= piece.off[self.doc[r[mine]] - base]
         return out
 
+    def window_names(self, r: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Names of single windows: of runs r, at units ``at`` of their pieces."""
+        t, out = self.task, np.zeros(len(r), np.uint64)
+        for i in np.unique(self.piece[r]):
+            mine, g = self.piece[r] == i, self.pieces[i][1].hashes
+            out[mine] = mix(g[at[mine]], g[at[mine] + t.span - t.gram]) if t.span <= 2 * t.gram else names(g, t.span, t.gram)[at[mine]]
+        return out
+
+
+def _steps(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each of the counts, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
 
 class Stretches:
-    """The distinct stretches a batch asks about: text, first place, bucket; and for each window under a shared key its place in the answer."""
+    """The distinct stretches a batch asks about: text, first id and place, bucket; and for each window under a shared key its place in the answer."""
 
     def __init__(self, runs: Runs, shared: np.ndarray, hot: np.ndarray, buckets: int):
-        span = runs.task.span
-        keys, _, _, back = runs.summary()
-        pick = np.flatnonzero(shared[back])
-        place = runs.position(pick)
-        pick = pick[np.lexsort((place, runs.ids[runs.doc[pick]]))]
-        place = runs.position(pick)
-        index: dict[bytes, int] = {}
-        self.doc, self.pos, size, bucket, ref = [], [], [], [], []
-        is_hot, ids = hot[back[pick]].tolist(), runs.ids[runs.doc[pick]].tolist()
-        of = ((keys * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)[back[pick]].tolist()
-        for r, los, n, at, h, i, b in zip(pick.tolist(), runs.lo[pick].tolist(), runs.n[pick].tolist(), place.tolist(), is_hot, ids, of, strict=True):
-            for j in (range(n) if h else (0,)):
-                s = runs.text(r, los + j, los + (j if h else n - 1) + span)
-                e = index.get(s)
-                if e is None:
-                    e = index[s] = len(index)
-                    self.doc.append(i)
-                    self.pos.append(at + j)
-                    size.append(1 if h else n)
-                    bucket.append(int.from_bytes(blake2b(s, digest_size=7).digest(), "big") * buckets >> 56 if h else b)
-                ref.append(e)
-        self.texts = list(index)
-        self.size, self.bucket = np.array(size, np.int64), np.array(bucket, np.int64)
-        self.order = np.argsort(self.bucket, kind="stable")
-        off = np.zeros(len(size) + 1, np.int64)
-        off[self.order + 1] = np.cumsum(self.size[self.order])
-        begin = off[1:] - self.size if len(size) else off[:0]
-        ref = np.array(ref, np.int64)
-        n = self.size[ref]
-        self.answer = np.repeat(begin[ref], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) if len(ref) else ref
-        total = runs.n[pick]
-        self.run = np.repeat(pick, total)
-        self.step = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+        self.runs, self.span = runs, runs.task.span
+        pick = np.flatnonzero(shared[runs.back]) if len(runs.key) else np.zeros(0, np.int64)
+        is_hot = hot[runs.back[pick]] if len(pick) else np.zeros(0, bool)
+        cold, warm = pick[~is_hot], pick[is_hot]
+        step = _steps(runs.n[cold])
+        name = runs.window_names(np.repeat(cold, runs.n[cold]), np.repeat(runs.lo[cold], runs.n[cold]) + step)
+        at = np.cumsum(runs.n[cold]) - runs.n[cold]
+        head = name[at]                                     # a stretch is named by its first window and by all of them in order
+        body = np.add.reduceat(mix(name, step.astype(np.uint64)), at) if len(at) else head
+        step = _steps(runs.n[warm])
+        warm = np.repeat(warm, runs.n[warm])
+        name = runs.window_names(warm, runs.lo[warm] + step)
+        run, begin = np.concatenate((cold, warm)), np.concatenate((np.zeros(len(cold), np.int64), step))
+        n = np.concatenate((runs.n[cold], np.ones(len(warm), np.int64)))
+        a = np.concatenate((head, name))
+        b = np.concatenate((body, mix(name, np.zeros(len(name), np.uint64))))
+        top = np.concatenate((runs.key[cold], name >> np.uint64(64 - KEY_BITS)))
+        bucket = ((top * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)
+        ids, place = runs.ids[runs.doc[run]], runs.position(run) + begin
+        order = np.lexsort((place, ids, b, a, bucket))
+        same = lambda x: x[order][1:] != x[order][:-1]
+        new = np.concatenate((np.ones(min(1, len(order)), bool), same(bucket) | same(a) | same(b)))
+        first = order[new]
+        self.entry_run, self.entry_lo, self.size = run[first], runs.lo[run[first]] + begin[first], n[first]
+        self.bucket, self.doc, self.pos = bucket[first], ids[first], place[first]
+        entry = np.empty(len(order), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        at = np.cumsum(self.size) - self.size
+        self.answer = np.repeat(at[entry], n) + _steps(n)
+        self.run, self.step = np.repeat(run, n), np.repeat(begin, n) + _steps(n)
 
     def messages(self) -> Iterator[tuple[int, bytes]]:
-        b = self.bucket[self.order]
-        cut = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
-        for lo, hi in zip(cut, [*cut[1:], len(b)], strict=True):
-            some = self.order[lo:hi]
-            texts = [self.texts[i] for i in some]
-            yield int(b[lo]), pack(np.fromiter(map(len, texts), np.int32, len(texts)), self.size[some].astype(np.int16), np.array(self.doc, np.int64)[some],
-                                   np.array(self.pos, np.int64)[some], np.frombuffer(b"".join(texts), np.uint8))
+        lens, text = self._texts()
+        ends = np.cumsum(lens)
+        cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(lens)), bool), self.bucket[1:] != self.bucket[:-1])))
+        for lo, hi in zip(cut, [*cut[1:], len(lens)], strict=True) if len(cut) else ():
+            yield int(self.bucket[lo]), pack(lens[lo:hi].astype(np.int32), self.size[lo:hi].astype(np.int32), self.doc[lo:hi], self.pos[lo:hi],
+                                             text[ends[lo] - lens[lo]:ends[hi - 1]])
+
+    def _texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the stretches and their bytes, one after the other."""
+        lo, hi, piece = np.zeros(len(self.size), np.int64), np.zeros(len(self.size), np.int64), self.runs.piece[self.entry_run]
+        for i in np.unique(piece):
+            mine = piece == i
+            lo[mine], hi[mine] = self.runs.pieces[i][1].byte_range(self.entry_lo[mine], self.entry_lo[mine] + self.size[mine] + self.span - 1)
+        lens = hi - lo
+        to, out = np.cumsum(lens) - lens, np.empty(lens.sum(), np.uint8)
+        for i in np.unique(piece):
+            mine = np.flatnonzero(piece == i)
+            steps = _steps(lens[mine])
+            out[np.repeat(to[mine], lens[mine]) + steps] = np.frombuffer(self.runs.pieces[i][1].raw, np.uint8)[np.repeat(lo[mine], lens[mine]) + steps]
+        return lens, out
 
 
 def pack_documents(docs: DataFrame, key: str, text: str, task: Task) -> DataFrame:
@@ -333,7 +360,10 @@ def copies(packed: DataFrame) -> DataFrame:
 
     each = stage(packed.select("batch", "ids", "digests").mapInArrow(run, "digest binary, id long, batch long, at long"), "digests")
     first = each.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select(F.col("digest").alias("d"), "first")
-    later = each.join(first, (F.col("digest") == F.col("d")) & (F.col("id") > F.col("first")))
+    # One content may make up a third of all documents: its rows are dealt over SALTS keys.
+    first = first.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    each = each.withColumn("salt", F.pmod(F.xxhash64("batch", "at"), F.lit(SALTS)).cast("int"))
+    later = each.join(first, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")) & (F.col("id") > F.col("first")))
     return stage(later.groupBy("batch").agg(F.collect_list("at").alias("skip")), "copies")
 
 
@@ -382,71 +412,79 @@ def _by_batch(messages: DataFrame, name: str) -> DataFrame:
     return messages.groupBy(F.col("batch").alias("to")).agg(F.collect_list(F.struct("bucket", "data")).alias(name))
 
 
-Resolver = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def find_repeats(docs: DataFrame, key: str, text: str, task: Task, resolve: Resolver, mark: Callable[..., pa.RecordBatch], result: str) -> DataFrame:
-    """Run the exchange. ``resolve``: of the stretches (texts, window counts, first ids, first places) each window's first id and place.
+    """Run the exchange. ``resolve``: of the stretches (bytes, lengths, window counts, first ids, first places) each window's first id and place.
     ``mark``: of a batch (piece, its first document, ids, nulls, removed-window mask per piece, copies) the result's rows."""
     spark = docs.sparkSession
     packed = pack_documents(docs, key, text, task)
     total = packed.agg(F.sum("size")).first()[0] or 0
-    buckets = max(64, -(-total // BUCKET))
-    small_batches(spark, 4)
+    buckets = max(64, -(-total // task.bucket))
+    small_batches(spark, 1)
     skip = copies(packed)
     whole = packed.drop("digests").join(skip.withColumnRenamed("batch", "b0"), F.col("batch") == F.col("b0"), "left").drop("b0")
 
+    # A function for each row, so that what it holds is gone before the next.
+    def keys_of(row: dict) -> pa.RecordBatch:
+        runs = _runs(task, row)
+        keys, several, n = runs.keys, runs.several(), np.minimum(runs.count, 255).astype(np.uint8)
+        of = ((keys * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)
+        cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
+        return _message([(int(of[a]), row["batch"], pack(np.diff(keys[a:b], prepend=np.uint64(0)), np.packbits(several[a:b]), n[a:b])) for a, b in zip(cut, [*cut[1:], len(of)], strict=True)])
+
     def ask_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            keys, several, n, _ = _runs(task, row).summary()
-            of = ((keys * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
-            yield _message([(int(of[a]), row["batch"], pack(np.diff(keys[a:b], prepend=np.uint64(0)), np.packbits(several[a:b]), n[a:b])) for a, b in zip(cut, [*cut[1:], len(of)], strict=True)])
+            yield keys_of(row)
 
     asked = whole.mapInArrow(ask_keys, MESSAGE)
     flags = stage(_by_batch(asked.groupBy("bucket").applyInPandas(_answer_keys, MESSAGE), "flags"), "flags")
     told = whole.join(flags, F.col("batch") == F.col("to"), "left").drop("to")
 
+    def stretches_of(row: dict) -> pa.RecordBatch:
+        return _message([(b, row["batch"], d) for b, d in Stretches(_runs(task, row), *_flags(row), buckets).messages()])
+
     def ask_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield _message([(b, row["batch"], d) for b, d in Stretches(_runs(task, row), *_flags(row), buckets).messages()])
+            yield stretches_of(row)
 
     def answer_stretches(group: pd.DataFrame) -> pd.DataFrame:
         parts = [unpack(d) for d in group["data"]]
-        texts = []
-        for p in parts:
-            raw, end = p[4].tobytes(), np.cumsum(p[0]).tolist()
-            texts += [raw[a:b] for a, b in zip([0, *end], end)]  # noqa: B905
-        sizes, doc, pos = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in (1, 2, 3))
-        first, place = resolve(texts, sizes, doc, pos)
-        ends = np.cumsum([p[1].astype(np.int64).sum() for p in parts])
+        lens, sizes, doc, pos = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(4))
+        ends, text = np.cumsum([p[1].astype(np.int64).sum() for p in parts]), np.concatenate([p[4] for p in parts])
+        del parts
+        first, place = resolve(text, lens, sizes, doc, pos)
         return pd.DataFrame({"bucket": group["bucket"], "batch": group["batch"], "data": [pack(first[a:b], place[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]})
 
     sent = told.mapInArrow(ask_stretches, MESSAGE)
     firsts = stage(_by_batch(sent.groupBy("bucket").applyInPandas(answer_stretches, MESSAGE), "firsts"), "firsts")
     final = told.join(firsts, F.col("batch") == F.col("to"), "left").drop("to")
 
+    def marked(row: dict) -> Iterator[pa.RecordBatch]:
+        runs = _runs(task, row)
+        s = Stretches(runs, *_flags(row), buckets)
+        got = [unpack(m["data"]) for m in sorted(row["firsts"] or [], key=lambda m: m["bucket"])]
+        first, place = (np.concatenate([g[i] for g in got])[s.answer] if got else np.zeros(0, np.int64) for i in (0, 1))
+        own, at = runs.ids[runs.doc[s.run]], runs.position(s.run) + s.step
+        gone = (first < own) | (task.within & (first == own) & (place < at))
+        nulls, copy = np.frombuffer(row["nulls"], bool), np.zeros(row["docs"], bool)
+        copy[np.array(row["skip"] or [], np.int64)] = True
+        for i, (base, piece) in enumerate(runs.pieces):
+            here = gone & (runs.piece[s.run] == i)
+            begin = runs.lo[s.run[here]] + s.step[here]
+            n = len(piece.byte_off) - 1
+            change = np.zeros(piece.off[-1] + 1, np.int64)
+            np.add.at(change, begin, 1)
+            np.add.at(change, begin + task.span, -1)
+            removed = np.cumsum(change[:-1]) > 0
+            for d in np.flatnonzero(copy[base:base + n]):
+                if piece.off[d + 1] - piece.off[d] >= task.span:
+                    removed[piece.off[d]:piece.off[d + 1]] = True
+            yield mark(piece, runs.ids[base:base + n], nulls[base:base + n], removed)
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            runs = _runs(task, row)
-            s = Stretches(runs, *_flags(row), buckets)
-            got = [unpack(m["data"]) for m in sorted(row["firsts"] or [], key=lambda m: m["bucket"])]
-            first, place = (np.concatenate([g[i] for g in got])[s.answer] if got else np.zeros(0, np.int64) for i in (0, 1))
-            own, at = runs.ids[runs.doc[s.run]], runs.position(s.run) + s.step
-            gone = (first < own) | (task.within & (first == own) & (place < at))
-            nulls, copy = np.frombuffer(row["nulls"], bool), np.zeros(row["docs"], bool)
-            copy[np.array(row["skip"] or [], np.int64)] = True
-            for i, (base, piece) in enumerate(runs.pieces):
-                here = gone & (runs.piece[s.run] == i)
-                begin = runs.lo[s.run[here]] + s.step[here]
-                n = len(piece.byte_off) - 1
-                change = np.zeros(piece.off[-1] + 1, np.int64)
-                np.add.at(change, begin, 1)
-                np.add.at(change, begin + task.span, -1)
-                removed = np.cumsum(change[:-1]) > 0
-                for d in np.flatnonzero(copy[base:base + n]):
-                    if piece.off[d + 1] - piece.off[d] >= task.span:
-                        removed[piece.off[d]:piece.off[d + 1]] = True
-                yield mark(piece, runs.ids[base:base + n], nulls[base:base + n], removed)
+            yield from marked(row)
 
     return final.mapInArrow(finish, result)

@@ -111,8 +111,10 @@ class SuffixAutomaton:
 
 
 def _automaton(threshold: int):
-    def resolve(texts: list[bytes], sizes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def resolve(text: np.ndarray, lens: np.ndarray, sizes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every window the id and place of its first occurrence."""
+        raw, stop = text.tobytes(), np.cumsum(lens).tolist()
+        texts = [raw[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)] if stop else []
         order = np.lexsort((pos, doc)).tolist()
         automaton, seen = SuffixAutomaton(), {}
         ids, places, ends, at = [], [], [0] * len(texts), 0
@@ -158,5 +160,5 @@ def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     Windows are judged on the input, not on what is left."""
     gram = max(1, threshold * 2 // 5)
-    task = Task(Words, threshold, gram, True, _as_words)
+    task = Task(Words, threshold, gram, True, _as_words, 1 << 20)
     return find_repeats(docs, key, text, task, _automaton(threshold), _mark, RESULT).withColumnRenamed("id", key)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 
 from sluice.llm.repeats import Bytes, Piece, Task, byte_names, find_repeats
 
+RANKED = 256 << 10      # bytes of stretches ranked at once
 RESULT = "id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string"
 
 
@@ -39,20 +40,25 @@ def spans_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rank_pairs(span: int, gram: int):
-    def resolve(texts: list[bytes], sizes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def resolve(text: np.ndarray, lens: np.ndarray, sizes: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of every window the smallest id among equal ones."""
-        lens = np.fromiter(map(len, texts), np.int64, len(texts))
-        begin = np.cumsum(lens) - lens
-        at = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        rank = byte_names(np.frombuffer(b"".join(texts), np.uint8), gram)
-        a, b, who = rank[at], rank[at + span - gram], np.repeat(doc, sizes)
+        stop = np.cumsum(lens)
+        a, b, lo, done = np.empty(sizes.sum(), np.uint64), np.empty(sizes.sum(), np.uint64), 0, 0
+        while lo < len(lens):       # ranks of some stretches at a time: they take many times the text's memory
+            base = stop[lo] - lens[lo]
+            hi = max(lo + 1, int(np.searchsorted(stop, base + RANKED, side="right")))
+            rank, n = byte_names(text[base:stop[hi - 1]], gram), sizes[lo:hi]
+            at = np.repeat(stop[lo:hi] - lens[lo:hi] - base - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            a[done:done + len(at)], b[done:done + len(at)] = rank[at], rank[at + span - gram]
+            lo, done = hi, done + len(at)
+        who = np.repeat(doc, sizes)
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         least = np.minimum.reduceat(who[order], np.flatnonzero(new))
-        first = np.empty(len(at), np.int64)
+        first = np.empty(len(a), np.int64)
         first[order] = least[np.cumsum(new) - 1]
-        return first, np.zeros(len(at), np.int8)
+        return first, np.zeros(len(a), np.int8)
     return resolve
 
 
@@ -74,5 +80,5 @@ def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
     Strings are judged on the input, not on what is left."""
     gram = -(-threshold // 2)
-    task = Task(Bytes, threshold, gram, False, lambda t: t)
+    task = Task(Bytes, threshold, gram, False, lambda t: t, 2 << 20)
     return find_repeats(docs, key, text, task, _rank_pairs(threshold, gram), _mark, RESULT).withColumnRenamed("id", key)
