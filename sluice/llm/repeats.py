@@ -71,6 +71,11 @@ def names(x: np.ndarray, length: int, known: int = 1) -> np.ndarray:
     return x
 
 
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, growing with the key: from its top 32 bits, so that the product stays within 64 for up to 2**32 buckets."""
+    return (((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def byte_names(raw: np.ndarray, length: int) -> np.ndarray:
     x, known = raw.astype(np.uint64), 1
     while known < 8 and known * 2 <= length and len(x) > known:
@@ -280,7 +285,7 @@ class Stretches:
         a = np.concatenate((head, name))
         b = np.concatenate((body, mix(name, np.zeros(len(name), np.uint64))))
         top = np.concatenate((runs.key[cold], name >> np.uint64(64 - KEY_BITS)))
-        bucket = ((top * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)
+        bucket = bucket_of(top, buckets)
         ids, place = runs.ids[runs.doc[run]], runs.position(run) + begin
         order = np.lexsort((place, ids, b, a, bucket))
         same = lambda x: x[order][1:] != x[order][:-1]
@@ -415,13 +420,18 @@ def _by_batch(messages: DataFrame, name: str) -> DataFrame:
 Resolver = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def find_repeats(docs: DataFrame, key: str, text: str, task: Task, resolve: Resolver, mark: Callable[..., pa.RecordBatch], result: str) -> DataFrame:
+def find_repeats(docs: DataFrame, key: str, text: str, task: Task, resolve: Resolver, mark: Callable[..., pa.RecordBatch], result: str,
+                 buckets: int | None = None) -> DataFrame:
     """Run the exchange. ``resolve``: of the stretches (bytes, lengths, window counts, first ids, first places) each window's first id and place.
-    ``mark``: of a batch (piece, its first document, ids, nulls, removed-window mask per piece, copies) the result's rows."""
+    ``mark``: of a batch (piece, its first document, ids, nulls, removed-window mask per piece, copies) the result's rows.
+    ``buckets``: of keys; default: one for every ``task.bucket`` bytes."""
     spark = docs.sparkSession
     packed = pack_documents(docs, key, text, task)
-    total = packed.agg(F.sum("size")).first()[0] or 0
-    buckets = max(64, -(-total // task.bucket))
+    if buckets is None:
+        total = packed.agg(F.sum("size")).first()[0] or 0
+        buckets = max(64, -(-total // task.bucket))
+    if not 0 < buckets <= 1 << 32:
+        raise ValueError(f"{buckets} buckets; at least 1 and at most 2**32 are possible")
     small_batches(spark, 1)
     skip = copies(packed)
     whole = packed.drop("digests").join(skip.withColumnRenamed("batch", "b0"), F.col("batch") == F.col("b0"), "left").drop("b0")
@@ -430,7 +440,7 @@ def find_repeats(docs: DataFrame, key: str, text: str, task: Task, resolve: Reso
     def keys_of(row: dict) -> pa.RecordBatch:
         runs = _runs(task, row)
         keys, several, n = runs.keys, runs.several(), np.minimum(runs.count, 255).astype(np.uint8)
-        of = ((keys * np.uint64(buckets)) >> np.uint64(KEY_BITS)).astype(np.int64)
+        of = bucket_of(keys, buckets)
         cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
         return _message([(int(of[a]), row["batch"], pack(np.diff(keys[a:b], prepend=np.uint64(0)), np.packbits(several[a:b]), n[a:b])) for a, b in zip(cut, [*cut[1:], len(of)], strict=True)])
 

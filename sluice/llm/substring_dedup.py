@@ -155,10 +155,10 @@ def _as_words(text: bytes) -> bytes:
     return b" ".join(words) + b" " if words else b""
 
 
-def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 20) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 20, buckets: int | None = None) -> DataFrame:
     """Per document: its number of words, the spans of words that windows of ``threshold`` words which also start earlier cover, and the words kept.
 
     Windows are judged on the input, not on what is left."""
     gram = max(1, threshold * 2 // 5)
     task = Task(Words, threshold, gram, True, _as_words, 1 << 20)
-    return find_repeats(docs, key, text, task, _automaton(threshold), _mark, RESULT).withColumnRenamed("id", key)
+    return find_repeats(docs, key, text, task, _automaton(threshold), _mark, RESULT, buckets).withColumnRenamed("id", key)

@@ -75,10 +75,10 @@ def _mark(piece: Piece, ids: np.ndarray, nulls: np.ndarray, removed: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
 
 
-def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 50) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 50, buckets: int | None = None) -> DataFrame:
     """Per document: its length in bytes, the spans of bytes that a string of ``threshold`` bytes of a smaller id covers, and what is kept.
 
     Strings are judged on the input, not on what is left."""
     gram = -(-threshold // 2)
     task = Task(Bytes, threshold, gram, False, lambda t: t, 2 << 20)
-    return find_repeats(docs, key, text, task, _rank_pairs(threshold, gram), _mark, RESULT).withColumnRenamed("id", key)
+    return find_repeats(docs, key, text, task, _rank_pairs(threshold, gram), _mark, RESULT, buckets).withColumnRenamed("id", key)

@@ -130,3 +130,19 @@ def test_names_and_messages():
     a, b = np.arange(5, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.int32)
     back = repeats.unpack(repeats.pack(a, b))
     assert (back[0] == a).all() and len(back[1]) == 0
+
+
+@pytest.mark.parametrize("buckets", [64, 65536, 65537, 140000, 1 << 20, 1 << 32])
+def test_buckets_grow_with_the_key(buckets):
+    keys = np.sort(np.concatenate((np.random.default_rng(0).integers(0, 1 << 48, 100000), [0, (1 << 48) - 1])).astype(np.uint64))
+    of = repeats.bucket_of(keys, buckets)
+    assert of[0] == 0 and of[-1] == buckets - 1 and (np.diff(of) >= 0).all()
+
+
+def test_more_buckets_than_16_bits_give_equal_results(make_docs):
+    rows = corpus(2, "abcdefgh")
+    got = remove_repeated_bytes(make_docs(rows), threshold=20, buckets=1 << 20).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted((rank(r[0]), *r[1:]) for r in got) == brute_bytes(rows, 20)
+    rows = corpus(2, ["one", "two", "three", "extraordinarily", "ü"], " ")
+    got = remove_repeated_words(make_docs(rows), threshold=10, buckets=1 << 20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted((rank(r[0]), *r[1:]) for r in got) == brute_words(rows, 10)
