@@ -3,8 +3,9 @@
 Stages, in order: language ID (documents it rejects go), SimHash near-dedup
 (one document of each group stays), benchmark decontamination (documents that
 hold a benchmark item go), mixing sources to target weights (rows are laid out
-in the order of the mix), sharding (shard and slot of every document). Every
-stage reads the Parquet its predecessor wrote.
+in the order of the mix), sharding (shard of every document, and its slot
+there, in the order of the mix). Every stage reads the Parquet its predecessor
+wrote.
 """
 from __future__ import annotations
 
@@ -42,10 +43,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each with its shard of eight and its slot there."""
+    """All documents, each with its shard of eight and its slot there; the slots of a shard follow the mix of the sources.
+
+    No column passes the order on and a shuffle loses it, so it is worked out again from the same rows."""
+    from sluice.llm.mixing import MAX_SOURCES, mix
     from sluice.llm.sharding import shard, topology
-    size, crc, law, grown = fresh(docs, "size", "crc", "law", "grown")
-    out = shard(docs, topology(8), names=(size, crc, law, "shard", "slot", grown), carry=[c for c in docs.columns if c.lower() not in ("shard", "slot")])
+    block, release, deadline, at, place, size, crc, law, grown = fresh(docs, "block", "release", "deadline", "at", "place", "size", "crc", "law", "grown")
+    rows, block_rows = docs.count(), 8
+    mixed = mix(docs, block_rows=block_rows, block=block, release=release, deadline=deadline, slot=at, place=place)
+    out = shard(mixed, topology(8), rows, names=(size, crc, law, "shard", "slot", grown), carry=[c for c in docs.columns if c.lower() not in ("shard", "slot")],
+                position=F.col(at) * block_rows + F.col(place), positions=rows + MAX_SOURCES * block_rows)    # a source's last block may be short
     return out.drop(size, crc, law, grown)
 
 

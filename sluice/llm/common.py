@@ -81,7 +81,7 @@ def unit_hash(h: Column) -> Column:
 
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Column, out: str, rows: int,
-                ties: Sequence[str] = ()) -> DataFrame:
+                ties: Sequence[str] = (), null_groups: bool = True) -> DataFrame:
     """Number the rows of every group from 0, without gaps, in the order of a 64-bit hash.
 
     The hash range is cut into buckets of about 512 rows of the whole table
@@ -89,7 +89,8 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Column, out: str, ro
     map-side combine; two-level prefix sums of those counts give each bucket
     its first number, and only the rows of one bucket are sorted together. A
     group with a third of all rows is so spread over a third of the buckets'
-    tasks."""
+    tasks. Without ``null_groups`` no group is null: a plain join then deals
+    the rows as the window needs them, and they are shuffled once, not twice."""
     h, b, sup, n, off, soff, r = fresh(df, "h", "bucket", "super", "n", "off", "soff", "r")
     buckets = min(max(rows // 512, 64), 1 << 20)
     d = df.withColumn(h, order)
@@ -102,7 +103,7 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Column, out: str, ro
     keys = [*group, sup]
     counts = null_safe_join(counts.select(*group, b, sup, F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(off)), sums, keys)
     first = counts.select(*group, b, (F.col(off) + F.col(soff)).alias(off))
-    j = null_safe_join(d, first, [*group, b])
+    j = null_safe_join(d, first, [*group, b]) if null_groups else d.join(first, [*group, b])
     w = Window.partitionBy(*group, b).orderBy(h, *ties)
     return j.withColumn(out, (F.row_number().over(w) - 1 + F.col(off)).cast("long")).drop(h, b, off)
 

@@ -14,7 +14,7 @@ the others. The law is ``key``: the id and the number of shards decide.
 
 All is DataFrame functions over id, text length and checksum; the text itself
 is not shuffled. Slots number the rows of a shard from 0 without gaps, in the
-order of a hash of the id.
+order of a hash of the id, or of a position that is given (as of a mix).
 
 Edge cases: a null text has size 1 and the checksum of the empty text; null
 ids all draw alike, as one key; rows that repeat an id go to one shard, each
@@ -79,15 +79,24 @@ def place(key: Column, tree: Sequence[Shard]) -> Column:
 
 
 def shard(docs: DataFrame, tree: Sequence[Shard], rows: int | None = None, grown: Sequence[Shard] | None = None, key: str = "doc_id",
-          text: str = "text", names: Sequence[str] = ("size", "text_crc32", "law", "shard", "slot", "grown_shard"), carry: Sequence[str] | None = None) -> DataFrame:
+          text: str = "text", names: Sequence[str] = ("size", "text_crc32", "law", "shard", "slot", "grown_shard"), carry: Sequence[str] | None = None,
+          position: Column | None = None, positions: int | None = None) -> DataFrame:
     """The columns ``carry`` (default: all), and of every row: size, checksum, law, shard, slot, and its shard in the tree ``grown``.
 
-    ``rows``: the table's row count, if known; else it is counted."""
+    ``rows``: the table's row count, if known; else it is counted. ``position``: a number from 0 to below ``positions``,
+    spread evenly, in whose order the slots of a shard follow; default: a hash of the id."""
+    if (position is None) != (positions is None):
+        raise ValueError("position and positions go together")
     size, crc, law, out, slot, more = names
     carry = docs.columns if carry is None else list(carry)
     body = F.coalesce(F.col(text), F.lit(""))
-    (tie,) = fresh(docs, "key")
-    d = docs.select(*carry, F.col(key).alias(tie), (F.octet_length(body) + 1).cast("long").alias(size), F.crc32(body).cast("long").alias(crc), F.lit("key").alias(law),
+    tie, order = fresh(docs, "key", "order")
+    rows = docs.count() if rows is None else rows
+    if position is None:
+        by, spread = F.xxhash64(F.lit("slot"), F.col(key)), rows
+    else:   # over the lower half of the range of hashes: longs stay in order, and twice the buckets hold as many rows
+        by, spread = position.cast("long") * F.lit(((1 << 63) - 1) // max(positions, 1)), 2 * rows
+    d = docs.select(*carry, F.col(key).alias(tie), by.alias(order), (F.octet_length(body) + 1).cast("long").alias(size), F.crc32(body).cast("long").alias(crc), F.lit("key").alias(law),
                     place(F.col(key), tree).alias(out), (place(F.col(key), grown) if grown else F.lit(None).cast("int")).alias(more))
-    d = number_rows(d, [out], F.xxhash64(F.lit("slot"), F.col(tie)), slot, docs.count() if rows is None else rows, [tie, crc, size])
+    d = number_rows(d, [out], F.col(order), slot, spread, [tie, crc, size], null_groups=position is None)
     return d.select(*carry, *names)

@@ -69,3 +69,26 @@ def test_stages_keep_the_columns_and_take_clashing_names(spark, make_docs):
     for _, function in corpus_pipeline.STAGES:
         assert function(spark, make_docs([]), SF).count() == 0
     assert os.path.basename(SF) == "sf0.001"
+
+
+def mix_positions(df):
+    from sluice.llm.mixing import mix
+    return {r["doc_id"]: (r["at"], r["place"]) for r in mix(df.select("doc_id", "source"), slot="at").collect()}
+
+
+def assert_slots_follow_the_mix(out):
+    places, rows = mix_positions(out), out.select("doc_id", "shard", "slot").collect()
+    for s in {r["shard"] for r in rows}:
+        mine = sorted((r["slot"], places[r["doc_id"]]) for r in rows if r["shard"] == s)
+        assert [x[0] for x in mine] == list(range(len(mine)))
+        assert all(a[1] < b[1] for a, b in zip(mine, mine[1:], strict=False)), s
+
+
+def test_pipeline_slots_follow_the_mix(spark):
+    from sluice.llm.common import stage
+    assert_slots_follow_the_mix(stage(corpus_pipeline.run(spark, SF), "pipeline_out"))
+
+
+def test_shard_slots_follow_the_mix_with_a_hot_source(spark, make_docs):
+    docs = make_docs([(i, "a text", "hot" if i % 10 else f"s{i % 70}") for i in range(3000)])
+    assert_slots_follow_the_mix(corpus_pipeline.shards(spark, docs, SF))
