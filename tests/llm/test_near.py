@@ -1,3 +1,4 @@
+import pytest
 """SimHash near-dedup and permutation search against brute force."""
 import random
 import re
@@ -110,6 +111,20 @@ def test_search_recall_and_scores(spark):
     assert hits / 300 >= 0.9
 
 
+@pytest.mark.parametrize("rows,needed", [(10256, 1784), (51282, 6704), (200000, 16292), (1000000, 47712), (2000000, 83389)])
+def test_candidates_reach_a_recall_of_095(rows, needed):
+    """``needed``: measured by brute force, random unit vectors of 64 dimensions (51,282: the given table or random ones, the larger)."""
+    from sluice.llm.permutation import candidates
+    assert candidates(rows) >= needed
+
+
+def test_search_recall_at_the_default_setting(spark):
+    x, df = vectors(spark, 8000, 5, 64)
+    got = search(df, df.filter("vec_id % 100 = 0")).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    assert sum((q, int(v)) in found for q in range(0, 8000, 100) for v in nearest(x, q, 10)[0]) / 800 >= 0.95
+
+
 def test_search_is_exact_when_all_are_wanted(spark):
     x, df = vectors(spark, 700, 2)
     got = search(df, df.filter("vec_id % 100 = 0")).collect()
