@@ -49,6 +49,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, added: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The frame without the columns an operator is about to add (any letter case), so that no name stands twice.
+
+    The operator's own inputs (``keep``) must not be among them."""
+    names, inputs = {a.lower() for a in added}, {k.lower() for k in keep}
+    if names & inputs:
+        raise ValueError(f"the input column {sorted(names & inputs)[0]!r} has the name of a column that is added; rename it")
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
 def text_buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column as one array, and n + 1 offsets into it. Nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

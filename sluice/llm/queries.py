@@ -129,3 +129,44 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the windows of 20 words that also start earlier."""
     from sluice.llm.substring_dedup import remove_repeated_words
     return remove_repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op13_fill_in_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+     c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+                  t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 AS plain FROM u),
+     p AS (SELECT *, array_to_string(units[1:a], '') AS pre, array_to_string(units[a + 1:b], '') AS mid, array_to_string(units[b + 1:], '') AS suf,
+                  CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN NOT plain THEN length(pre) END AS prefix_chars, CASE WHEN NOT plain THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's cuts, form, and digests of its fill-in-middle output and of the text restored from it."""
+    from sluice.llm.fim import fill_in_middle, restore
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(restore(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@register("op12_presence_mask_search", rf"""
+WITH t AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+     s AS (SELECT count(*) AS nn, sum(len(ts))::BIGINT AS ll FROM t WHERE len(ts) > 0),
+     q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+     v AS (SELECT DISTINCT term FROM q),
+     w AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM t),
+     f AS (SELECT doc_id, any_value(n) AS n, term, count(*) AS tf FROM w SEMI JOIN v USING (term) GROUP BY doc_id, term),
+     g AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, s GROUP BY term),
+     c AS (SELECT doc_id, term, g.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * nn) // ll)))) AS score FROM f JOIN g USING (term), s),
+     r AS (SELECT item_id, doc_id, sum(score)::BIGINT AS score FROM q JOIN c USING (term) GROUP BY item_id, doc_id HAVING sum(score) > 0),
+     k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM r)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+""")
+def op12_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest-scoring documents of every benchmark item."""
+    from sluice.llm.lexical import rank_documents
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
