@@ -170,3 +170,13 @@ def op12_presence_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 highest-scoring documents of every benchmark item."""
     from sluice.llm.lexical import rank_documents
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op11_toxicity_grammar")
+def op11_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels of documents that are not held out."""
+    from sluice.llm.toxicity import held_out, score_toxicity, train_toxicity_model
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity_model(docs, table(spark, sf_dir, "labels"), learn=~held_out())
+    out = score_toxicity(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
