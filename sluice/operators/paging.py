@@ -26,42 +26,50 @@ def page_size_col(body: Column, input_root: str) -> Column:
     return F.coalesce(F.size(page_records_array(body, input_root)), F.lit(0))
 
 
-def cursor_stop(pages: DataFrame, input_root: str, cursor_path: str | None,
-                has_more_path: str | None, stop_when: Sequence[str] | None = None) -> DataFrame:
-    """G1: per page ``stop`` = OR of the rules: ``empty_page``,
-    ``empty_cursor`` (NULL/blank next cursor), ``has_more_false`` (exactly
-    false; missing never stops)."""
+def cursor_stop_rule(v: Column, n: Column, headers: Column, cursor_path: str | None, has_more_path: str | None,
+                     stop_when: Sequence[str] | None = None) -> Column:
+    """G1 on a parsed body: OR of ``empty_page``, ``empty_cursor`` (NULL/blank
+    next cursor) and ``has_more_false`` (exactly false; missing never stops)."""
     rules = [r.lower() for r in (stop_when or CURSOR_STOP_DEFAULT)]
-    v = parse_body(F.col("body"))
-    n = page_size_col(F.col("body"), input_root)
     cur = jtext(vget(v, cursor_path)) if cursor_path else F.lit(None).cast("string")
     hm = vget(v, has_more_path) if has_more_path else F.lit(None).cast("variant")
     hm_false = (vkind(hm) == "boolean") & (~F.try_variant_get(hm, "$", "boolean"))
-    conds = []
+    stop = F.lit(False)
     if "empty_page" in rules:
-        conds.append(n == 0)
+        stop = stop | (n == 0)
     if "empty_cursor" in rules:
-        conds.append(cur.isNull() | (F.trim(cur) == ""))
+        stop = stop | cur.isNull() | (F.trim(cur) == "")
     if "has_more_false" in rules:
-        conds.append(F.coalesce(hm_false, F.lit(False)))
-    stop = F.lit(False)
-    for c in conds:
-        stop = stop | c
-    return pages.select("*", n.alias("n_records"), stop.alias("stop"))
+        stop = stop | F.coalesce(hm_false, F.lit(False))
+    return stop
 
 
-def link_stop(pages: DataFrame, input_root: str, stop_when: Sequence[str] | None = None) -> DataFrame:
+def link_stop_rule(v: Column, n: Column, headers: Column, cursor_path: str | None = None, has_more_path: str | None = None,
+                   stop_when: Sequence[str] | None = None) -> Column:
     """``no_next_link`` / ``empty_page``."""
     rules = [r.lower() for r in (stop_when or LINK_STOP_DEFAULT)]
-    n = page_size_col(F.col("body"), input_root)
     stop = F.lit(False)
     if "empty_page" in rules:
         stop = stop | (n == 0)
     if "no_next_link" in rules:
-        stop = stop | link_next(F.col("headers")).isNull()
+        stop = stop | link_next(headers).isNull()
+    return stop
+
+
+def cursor_stop(pages: DataFrame, input_root: str, cursor_path: str | None,
+                has_more_path: str | None, stop_when: Sequence[str] | None = None) -> DataFrame:
+    """G1: per page ``n_records`` and ``stop``."""
+    n = page_size_col(F.col("body"), input_root)
+    stop = cursor_stop_rule(parse_body(F.col("body")), n, F.col("headers"), cursor_path, has_more_path, stop_when)
     return pages.select("*", n.alias("n_records"), stop.alias("stop"))
 
 
+def link_stop(pages: DataFrame, input_root: str, stop_when: Sequence[str] | None = None) -> DataFrame:
+    """Per page ``n_records`` and ``stop``."""
+    n = page_size_col(F.col("body"), input_root)
+    return pages.select("*", n.alias("n_records"), link_stop_rule(F.lit(None), n, F.col("headers"), stop_when=stop_when).alias("stop"))
+
+
 def page_stop(pages: DataFrame, input_root: str, total_path: str | None, page_size: Column,
               page_start: Column) -> DataFrame:
     """Page/offset strategies: an empty page stops; with a total (read once,
@@ -111,16 +119,19 @@ def truncate_pages_by_total(flagged: DataFrame, max_pages: int | None = None) ->
             .drop("__stopidx", "__total", "__ps", "__pstart"))
 
 
+def failure_reason(broken: Column) -> Column:
+    """Why a page failed: transport error, status >= 400, truncated body, or a
+    body that is not JSON (``broken``); NULL: it did not."""
+    return (F.when(F.col("error").isNotNull(), F.concat(F.lit("HTTP request failed: "), F.col("error")))
+             .when(F.col("status") >= 400, F.concat(F.lit("HTTP status "), F.col("status").cast("string")))
+             .when(F.coalesce(F.col("truncated"), F.lit(False)), F.lit("response body truncated"))
+             .when(broken, F.lit("response body is not JSON")))
+
+
 def page_failures(pages: DataFrame) -> DataFrame:
-    """Failing pages (transport error, status >= 400, truncated body, or
-    a non-blank body that is not JSON); one row per failed run with the
-    first failing page and its reason."""
+    """One row per failed run with its first failing page and the reason."""
     body = F.col("body")
-    unparsable = body.isNotNull() & (F.trim(body) != "") & F.try_parse_json(body).isNull()
-    reason = (F.when(F.col("error").isNotNull(), F.concat(F.lit("HTTP request failed: "), F.col("error")))
-               .when(F.col("status") >= 400, F.concat(F.lit("HTTP status "), F.col("status").cast("string")))
-               .when(F.coalesce(F.col("truncated"), F.lit(False)), F.lit("response body truncated"))
-               .when(unparsable, F.lit("response body is not JSON")))
+    reason = failure_reason(body.isNotNull() & (F.trim(body) != "") & F.try_parse_json(body).isNull())
     # A failed count request fails its run too.
     bad = pages.filter(F.col("kind").isin("page", "count")).select(*RUN, "page_idx", reason.alias("reason")) \
         .filter(F.col("reason").isNotNull())

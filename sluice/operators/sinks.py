@@ -13,52 +13,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from sluice.operators.tables import DEFAULT_ORDER, SinkError, dedupe_last, order_columns, upsert_table  # noqa: F401
 from sluice.session import scratch_path
 
-# A later run's record replaces an earlier run's, whatever its page.
-DEFAULT_ORDER = ("run_started_at", "run_id", "page_idx", "pos")
-
-
-class SinkError(ValueError):
-    pass
-
-
-def order_columns(batch: DataFrame, order: Sequence[str]) -> list[str]:
-    """The columns of ``order`` that the batch has."""
-    found = [c for c in order if c in batch.columns]
-    if not found:
-        raise SinkError("upsert needs one of the order columns " + ", ".join(order))
-    return found
-
-
-def dedupe_last(batch: DataFrame, keys: Sequence[str], order: Sequence[str] = DEFAULT_ORDER,
-                quarantine: bool = False) -> DataFrame:
-    """K2 (in-batch): one row per key, the last by ``order`` wins.
-
-    ``max_by(struct(row), struct(order))`` is an ordinary aggregate, so it
-    combines map-side: a key holding a third of the batch is reduced in every
-    task before the shuffle instead of being sorted in one task."""
-    keys = list(keys)
-    if not keys:
-        raise SinkError("upsert needs at least one key column")
-    cols = [c for c in batch.columns if c not in keys]
-    if not quarantine:
-        any_null = F.greatest(*[F.col(k).isNull() for k in keys]) if len(keys) > 1 else F.col(keys[0]).isNull()
-        # The check sits in a filter so the optimizer cannot prune it.
-        batch = batch.filter(F.coalesce(
-            F.when(any_null, F.raise_error(F.lit("null value in upsert key " + ",".join(keys)))).cast("boolean"),
-            F.lit(True)))
-    else:
-        batch = batch.dropna(subset=keys)
-    if not cols:
-        return batch.select(*keys).distinct()
-    by = F.struct(*order_columns(batch, order))
-    agg = batch.groupBy(*keys).agg(F.max_by(F.struct(*cols), by).alias("__last"))
-    return agg.select(*keys, *[F.col("__last")[c].alias(c) for c in cols])
-
-
 def upsert(target: DataFrame | None, batch: DataFrame, keys: Sequence[str],
            order: Sequence[str] = DEFAULT_ORDER, drop_order: bool = True) -> DataFrame:
     """K2: replace all non-key columns of matching keys (NULLs included),
@@ -170,35 +128,55 @@ def write_kafka(df: DataFrame, topic: str, keys: Sequence[str] | None, fmt: str
 
 def write_jdbc_upsert(df: DataFrame, url: str, table: str, keys: Sequence[str],
                       batch_size: int = 1000, max_connections: int = 5,
-                      connect: Callable | None = None) -> int:
-    """K8 write: per-partition batched upsert statements (a DB-API
-    ``connect(url)`` factory must be supplied; no driver ships here).
+                      connect: Callable | None = None, loads_table: str | None = None) -> int:
+    """K8 write: per-partition batched statements, one transaction a partition
+    (a DB-API ``connect(url)`` factory must be supplied; no driver ships here).
     The rows are staged in the shared folder first, so only the writing, not
-    the stages before it, runs in ``max_connections`` tasks."""
+    the stages before it, runs in ``max_connections`` tasks; K10 counts them there.
+
+    A task that fails rolls back and closes. Retried or run twice, a keyed
+    upsert leaves the same rows; plain inserts do if ``loads_table`` names a
+    table ``(load_id text, part int)``: each part leaves its mark there in the
+    transaction of its rows, and a part that has its mark is done."""
     if connect is None:
         raise SinkError("write_jdbc_upsert needs a connect(url) factory")
     spark = df.sparkSession
     staged = scratch_path(spark, "jdbc")
-    df.write.parquet(staged)
-    df = spark.read.schema(df.schema).parquet(staged)
-    cols = df.columns
+    obs = Observation(f"jdbc_{uuid.uuid4().hex[:8]}")
+    df.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
+    cols, load = df.columns, staged.rsplit("/", 1)[-1]
     sql = upsert_statement(table, cols, keys)
-
-    def part(rows):
-        conn = connect(url)
-        cur = conn.cursor()
-        batch = []
-        for r in rows:
-            batch.append(tuple(r[c] for c in cols))
-            if len(batch) >= batch_size:
+    # A row's part follows from the row alone, so a retried task has the same rows.
+    part = F.pmod(F.xxhash64(*(keys or cols)), F.lit(max_connections)).cast("int")
+
+    def write(found):
+        conn, marked = connect(url), set()
+        try:
+            cur, batch = conn.cursor(), []
+            for r in found:
+                p = r["__part"]
+                if loads_table and p not in marked:
+                    cur.execute(f"SELECT 1 FROM {loads_table} WHERE load_id = ? AND part = ?", (load, p))
+                    if cur.fetchone():
+                        return
+                    cur.execute(f"INSERT INTO {loads_table} (load_id, part) VALUES (?, ?)", (load, p))
+                    marked.add(p)
+                batch.append(tuple(r[c] for c in cols))
+                if len(batch) >= batch_size:
+                    cur.executemany(sql, batch)
+                    batch = []
+            if batch:
                 cur.executemany(sql, batch)
-                batch = []
-        if batch:
-            cur.executemany(sql, batch)
-        conn.commit()
-        conn.close()
-    df.repartition(max_connections).foreachPartition(part)
-    return df.count()
+            conn.commit()
+        except BaseException:
+            conn.rollback()
+            raise
+        finally:
+            conn.close()
+    # Partition ids as keys: each part in a task of its own.
+    rows.withColumn("__part", part).repartitionByRange(max_connections, "__part").foreachPartition(write)
+    return int(obs.get["n"])
 
 
 # ---- snapshot tables (K2/K3 persistence) ----------------------------------
@@ -256,88 +234,6 @@ def write_append(batch: DataFrame, base: str) -> int:
     return int(obs.get["n"])
 
 
-# ---- bucket tables: upsert that rewrites only what a batch touches -----------
-
-BUCKETS = 16       # default; a table is best made with rows / 10**6 of them
-BUCKET = "__bucket"
-
-
-def bucket_table_versions(spark, base: str) -> list[int]:
-    """Committed versions: those whose pointer table was written."""
-    return snapshot_versions(spark, f"{base}/_pointers")
-
-
-def _pointers(spark, base: str, version: int) -> dict[int, int]:
-    """Which version holds each bucket's rows (one small row a bucket)."""
-    rows = spark.read.parquet(f"{base}/_pointers/v={version}").collect()
-    return {r["bucket"]: r["version"] for r in rows}
-
-
-def _bucket_paths(base: str, pointers: dict[int, int]) -> list[str]:
-    return [f"{base}/data/__v={v}/{BUCKET}={b}" for b, v in sorted(pointers.items())]
-
-
-def read_bucket_table(spark, base: str, version: int | None = None) -> DataFrame | None:
-    """The table at its latest (or the given) committed version."""
-    done = bucket_table_versions(spark, base)
-    if version is not None:
-        done = [v for v in done if v <= version]
-    if not done:
-        return None
-    held = _pointers(spark, base, done[-1])
-    if not held:
-        return None
-    return spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*_bucket_paths(base, held)).drop("__v", BUCKET)
-
-
-def bucket_upsert(batch: DataFrame, base: str, keys: Sequence[str], version: int | None = None,
-                  order: Sequence[str] = DEFAULT_ORDER, buckets: int = BUCKETS, observed: Observation | None = None) -> int:
-    """K2 persisted by hash buckets of the key: only the buckets that hold
-    keys of the batch are read and written anew; the others stay the files
-    they are. The pointer table of the version is written last and makes it
-    visible, so a write that breaks off leaves the table as it was, and a
-    repeated one writes the same. The order columns stay in the table, so
-    batches may arrive in any order. ``observed`` gets the batch's rows, one
-    per key (K10). Returns the table's version."""
-    spark = batch.sparkSession
-    done = bucket_table_versions(spark, base)
-    version = (done[-1] + 1 if done else 1) if version is None else version
-    before = [v for v in done if v < version]
-    pointers = _pointers(spark, base, before[-1]) if before else {}
-    staged = scratch_path(spark, "bucket-batch")
-    last = dedupe_last(batch, keys, order)
-    dealt = last.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    (dealt if observed is None else dealt.observe(observed, F.count(F.lit(1)).alias("n"))).write.partitionBy(BUCKET).parquet(staged)
-    schema = T.StructType([*last.schema.fields, T.StructField(BUCKET, T.IntegerType())])
-    new = spark.read.schema(schema).parquet(staged)
-    touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())     # at most ``buckets`` numbers
-    old = [p for b, p in zip(sorted(pointers), _bucket_paths(base, pointers), strict=True) if b in touched]
-    both = new
-    if old:
-        both = spark.read.option("mergeSchema", "true").option("basePath", f"{base}/data").parquet(*old).drop("__v").unionByName(new, allowMissingColumns=True)
-    merged = dedupe_last(both, [*keys, BUCKET], order)
-    merged.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{base}/data/__v={version}")
-    held = {**pointers, **dict.fromkeys(touched, version)}
-    spark.createDataFrame(sorted(held.items()), "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{base}/_pointers/v={version}")
-    return version
-
-
-def drop_old_versions(spark, base: str, keep: int = 2) -> list[int]:
-    """Remove pointer tables beyond the last ``keep`` versions, and data no
-    kept version points to. Returns the data versions removed."""
-    done = bucket_table_versions(spark, base)
-    kept = done[-keep:]
-    used = {v for k in kept for v in _pointers(spark, base, k).values()}
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs, _ = _fs(spark, base)
-    for v in done[:-keep]:
-        fs.delete(path(f"{base}/_pointers/v={v}"), True)
-    gone = [v for v in done if v not in used]
-    for v in gone:
-        fs.delete(path(f"{base}/data/__v={v}"), True)
-    return gone
-
-
 # ---- K1 routing -------------------------------------------------------------
 
 SINKS: dict[str, Callable] = {}
@@ -371,14 +267,14 @@ def without_order(df: DataFrame) -> DataFrame:
 
 
 @register_sink("parquet")
-def _parquet_sink(df: DataFrame, table: str, keys: Sequence[str] = (), write_mode: str | None = "upsert", **_):
+def _parquet_sink(df: DataFrame, table: str, keys: Sequence[str] = (), write_mode: str | None = "upsert", **opts):
     check_target(table)
     data = without_order(df)
     if not is_upsert(write_mode):
         return write_append(data, table)
     ks = default_keys(data.columns, keys)
     obs = Observation(f"upsert_{uuid.uuid4().hex[:8]}")
-    bucket_upsert(df, table, ks, observed=obs)
+    upsert_table(df, table, ks, observed=obs, **{k: opts[k] for k in ("buckets", "target") if k in opts})
     return int(obs.get["n"])
 
 
@@ -389,10 +285,10 @@ def _kafka_sink(df: DataFrame, topic: str, keys: Sequence[str] = (), write_mode:
 
 @register_sink("postgresql")
 def _pg_sink(df: DataFrame, table: str, keys: Sequence[str] = (), url: str | None = None,
-             connect: Callable | None = None, batch_size: int = 1000, write_mode: str | None = "upsert", **_):
+             connect: Callable | None = None, batch_size: int = 1000, write_mode: str | None = "upsert", loads_table: str | None = None, **_):
     check_target(table)
-    data = without_order(df)
+    data, how = without_order(df), {"batch_size": batch_size, "connect": connect, "loads_table": loads_table}
     if not is_upsert(write_mode):
-        return write_jdbc_upsert(data, url or "", table, [], batch_size=batch_size, connect=connect)
+        return write_jdbc_upsert(data, url or "", table, [], **how)
     ks = default_keys(data.columns, keys)
-    return write_jdbc_upsert(without_order(dedupe_last(df, ks)), url or "", table, ks, batch_size=batch_size, connect=connect)
+    return write_jdbc_upsert(without_order(dedupe_last(df, ks)), url or "", table, ks, **how)

@@ -42,6 +42,7 @@ class TransformResult:
     rows: DataFrame      # good rows (typed columns)
     errors: DataFrame    # connector_id, run_id, record_index, message, sample_json (samples)
     all_errors: DataFrame | None = None     # the same of every bad record, uncut
+    errors_count: DataFrame | None = None   # connector_id, n: bad records of each connector that has some
 
 
 _PLACEHOLDER = re.compile(r"\$\{record\.([^}:]+)(?::([a-z0-9(), ]+))?\}")
@@ -182,11 +183,11 @@ def transform(records: DataFrame, steps: Sequence[dict] | None,
         rows = out.drop("__sample", "page_n")
         empty = records.sparkSession.createDataFrame(
             [], "connector_id string, run_id bigint, record_index bigint, message string, sample_json string")
-        return TransformResult(rows, empty, empty)
+        return TransformResult(rows, empty, empty, empty.groupBy("connector_id").agg(F.count(F.lit(1)).alias("n")))
     good = out.filter(F.col(ERR).isNull()).drop(ERR, "__sample", "page_n")
     bad = out.filter(F.col(ERR).isNotNull())
     return TransformResult(good, error_output(bad, records, max_errors, run_keys, sample_limit),
-                           error_output(bad, records, None, run_keys, None))
+                           error_output(bad, records, None, run_keys, None), bad.groupBy("connector_id").agg(F.count(F.lit(1)).alias("n")))
 
 
 def error_output(bad: DataFrame, records: DataFrame, max_errors: int | None,

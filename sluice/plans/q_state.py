@@ -2,14 +2,16 @@
 selection / stop rules (G)."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from sluice.functions.timefmt import iso_instant_text, overlap_seconds
 from sluice.operators import extract as X
 from sluice.operators import paging as G
 from sluice.operators import requests as P
-from sluice.operators import sinks as K
 from sluice.operators import sync as Y
+from sluice.operators import tables as B
 from sluice.operators import watermark as W
 from sluice.plans.registered import iso_ts, register
 from sluice.session import scratch_path
@@ -204,7 +206,7 @@ def w10_incremental_merge_run(spark, sf):
     ev = _timed_events(spark, sf)
     Y.run_sync(_sync_pages(ev.filter(F.col("t") < "2024-01-15 00:00:00"), 1), config, base, 1, AS_OF, "full")
     Y.run_sync(_sync_pages(Y.requested_since(ev, "t", Y.read_state(spark, base), F.lit("sync"), config.overlap), 2), config, base, 2, AS_OF)
-    table = K.read_bucket_table(spark, config.table)
+    table = B.read_table(spark, base)
     return table.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("event_id").alias("max_event_id"),
                                         F.round(F.sum("value"), 2).alias("total_value"))
 
@@ -218,7 +220,7 @@ def _sync_setup(spark):
     steps = ({"type": "map_fields", "mappings": [
         {"source": "$.event_id", "target": "event_id", "type": "long"}, {"source": "$.user_id", "target": "user_id", "type": "long"},
         {"source": "$.value", "target": "value", "type": "double"}]},)
-    return base, Y.SyncConfig("$.data", steps, "parquet", f"{base}/table", ("event_id",), "upsert", True, "timestamp", "$.t", "5m")
+    return base, Y.SyncConfig("$.data", steps, "parquet", "rows", ("event_id",), "upsert", True, "timestamp", "$.t", "5m")
 
 
 def _sync_pages(rows, run_id):
@@ -242,6 +244,106 @@ def w10_state_and_runs(spark, sf):
     return runs.join(state, runs["connector_id"] == state["c"]).select("connector_id", "run_id", "status", "records_ok", "watermark")
 
 
+CUT = "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+def _by_connector(config, **changes):
+    """Several connectors in one run: the connector is part of the key."""
+    return replace(config, connector_column="connector_id", **changes)
+
+
+def _connector_pages(rows, run_id, page_size=50):
+    record = F.to_json(F.struct("event_id", "user_id", "value", iso_instant_text("t").alias("t")))
+    return land_pages(rows, F.concat(F.lit("sync-"), (F.col("user_id") % 5).cast("string")), "event_id", record, page_size=page_size, run_id=run_id)
+
+
+@register("w10_rolling_window", f"""
+SELECT 'sync-' || CAST(user_id % 5 AS VARCHAR) AS connector_id, strftime(max(ts) FILTER (ts < {CUT}), '%Y-%m-%d %H:%M:%S') AS after_full,
+  strftime(TIMESTAMP '{AS_OF}' + INTERVAL 1 MINUTE, '%Y-%m-%d %H:%M:%S') AS after_incremental, count(*) AS n_rows
+FROM events GROUP BY 1 HAVING count(*) FILTER (ts < {CUT}) > 0 AND count(*) FILTER (ts >= {CUT}) > 0""")
+def w10_rolling_window(spark, sf):
+    """A full run stores the latest record time, an incremental one the end of its window."""
+    base, config = _sync_setup(spark)
+    config, ev = _by_connector(config, inc_mode="rolling_window"), _timed_events(spark, sf)
+    early = F.col("t") < "2024-01-15 00:00:00"
+    one = Y.run_sync(_connector_pages(ev.filter(early), 1), config, base, 1, AS_OF, "full")["version"]
+    two = Y.run_sync(_connector_pages(ev.filter(~early), 2), config, base, 2, AS_OF)["version"]
+    at = lambda v, name: Y.read_state(spark, base, v).select("connector_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias(name))
+    return at(one, "after_full").join(at(two, "after_incremental"), "connector_id").join(
+        B.read_table(spark, base).groupBy("connector_id").agg(F.count(F.lit(1)).alias("n_rows")), "connector_id")
+
+
+@register("w10_monotonic_id", f"""
+SELECT 'sync-' || CAST(user_id % 5 AS VARCHAR) AS connector_id, CAST(max(event_id) FILTER (ts < {CUT}) AS VARCHAR) AS after_full, CAST(max(event_id) AS VARCHAR) AS after_incremental,
+  count(*) FILTER (ts < {CUT} OR event_id > m) AS n_rows
+FROM events JOIN (SELECT user_id % 5 AS c, max(event_id) FILTER (ts < {CUT}) AS m FROM events GROUP BY 1) ON c = user_id % 5 GROUP BY user_id % 5 HAVING max(m) IS NOT NULL AND max(event_id) > max(m)""")
+def w10_monotonic_id(spark, sf):
+    """The incremental run asks for ids above the stored one; the largest id is stored."""
+    base, config = _sync_setup(spark)
+    config, ev = _by_connector(config, inc_mode="monotonic_id", response_path="$.event_id"), _timed_events(spark, sf)
+    one = Y.run_sync(_connector_pages(ev.filter(F.col("t") < "2024-01-15 00:00:00"), 1), config, base, 1, AS_OF, "full")["version"]
+    since = Y.read_state(spark, base).select(F.col("connector_id").alias("c"), F.col("last_id").cast("bigint").alias("since"))
+    asked = ev.join(since, F.concat(F.lit("sync-"), (F.col("user_id") % 5).cast("string")) == F.col("c"), "left").filter(F.col("since").isNull() | (F.col("event_id") > F.col("since")))
+    two = Y.run_sync(_connector_pages(asked.drop("c", "since"), 2), config, base, 2, AS_OF)["version"]
+    at = lambda v, name: Y.read_state(spark, base, v).select("connector_id", F.col("last_id").alias(name))
+    return at(one, "after_full").join(at(two, "after_incremental"), "connector_id").join(
+        B.read_table(spark, base).groupBy("connector_id").agg(F.count(F.lit(1)).alias("n_rows")), "connector_id")
+
+
+@register("w10_sample_run", """
+WITH e AS (SELECT 'sync-' || CAST(user_id % 5 AS VARCHAR) AS connector_id, event_id, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS r FROM events)
+SELECT connector_id, 'full' AS mode, count(*) FILTER (event_id % 4 <> 0) AS records_ok, count(*) FILTER (event_id % 4 = 0) AS records_failed,
+  CAST(ceil(count(*) / 10) AS BIGINT) AS n_pages, least(20, count(*) FILTER (event_id % 4 = 0)) AS n_errors, 0 AS n_rows, 0 AS n_state
+FROM e WHERE r <= 34 GROUP BY connector_id""")
+def w10_sample_run(spark, sf):
+    """The first 34 records of each connector: counts and details, no sink, no watermark."""
+    base, config = _sync_setup(spark)
+    steps = ({"type": "map_fields", "mappings": [{"source": "$.event_id", "target": "event_id", "type": "long"}, {"source": "$.n", "target": "n", "type": "long"}]},)
+    ev = _timed_events(spark, sf)
+    record = F.to_json(F.struct("event_id", iso_instant_text("t").alias("t"), F.when(F.col("event_id") % 4 == 0, F.lit("no number")).otherwise(F.lit("7")).alias("n")))
+    pages = land_pages(ev, F.concat(F.lit("sync-"), (F.col("user_id") % 5).cast("string")), "event_id", record, page_size=10, run_id=1)
+    Y.run_sync(pages, _by_connector(config, steps=steps), base, 1, AS_OF, "sample", record_limit=34, write_sink=False)
+    rows, state = B.read_table(spark, base), Y.read_state(spark, base).count()
+    d = Y.read_details(spark, base).groupBy("connector_id").agg(F.count_if(F.col("stage") == "http").alias("n_pages"), F.count_if(F.col("stage") == "transform").alias("n_errors"))
+    return Y.read_runs(spark, base).join(d, "connector_id").select("connector_id", "mode", "records_ok", "records_failed", "n_pages", "n_errors",
+                                                                   F.lit(0 if rows is None else 1).alias("n_rows"), F.lit(state).cast("int").alias("n_state"))
+
+
+@register("w10_racing_runs", """
+SELECT user_id, count(*) AS n_rows, sum(event_id) AS ids, (SELECT strftime(max(ts), '%Y-%m-%d %H:%M:%S') FROM events) AS watermark, 2 AS n_runs FROM events GROUP BY user_id""")
+def w10_racing_runs(spark, sf):
+    """Two runs start from one version and overlap; the one that commits later starts again from the other's: rows, watermark and run rows are those of one run after the other."""
+    base, config = _sync_setup(spark)
+    ev, raced = _timed_events(spark, sf), []
+
+    def other():
+        if not raced:
+            raced.append(True)
+            Y.run_sync(_sync_pages(ev.filter(F.col("event_id") % 3 != 0), 2), config, base, 2, AS_OF, "full")
+    Y.run_sync(_sync_pages(ev.filter(F.col("event_id") % 3 != 1), 1), config, base, 1, AS_OF, "full", before_commit=other)
+    (state,) = Y.read_state(spark, base).select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("watermark")).collect()      # of the one connector
+    n_runs = Y.read_runs(spark, base).count()
+    rows = B.read_table(spark, base).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("ids"))
+    return rows.select("*", F.lit(state["watermark"]).alias("watermark"), F.lit(n_runs).cast("int").alias("n_runs"))
+
+
+@register("k2_bucket_growth", """
+SELECT event_id % 997 AS key_bucket, count(*) AS n, sum(event_id) AS ids, round(sum(CASE WHEN event_id % 2 = 0 THEN value + 1 ELSE value END), 2) AS total, true AS within_target, true AS grown
+FROM events GROUP BY 1""")
+def k2_bucket_growth(spark, sf):
+    """A keyed table fed in batches, the even keys twice: it splits buckets as it grows, none above twice the target."""
+    base = scratch_path(spark, "growth")
+    ev = read_table(spark, sf, "events").select("event_id", F.col("value"), F.lit(0).alias("run_id"))
+    target = max(ev.count() // 10, 1)
+    for n in range(4):
+        B.upsert_table(ev.filter(F.col("event_id") % 4 == n), base, ["event_id"], buckets=2 + n, target=target)
+    B.upsert_table(ev.filter("event_id % 2 = 0").withColumn("value", F.col("value") + 1).withColumn("run_id", F.lit(1)), base, ["event_id"], buckets=64, target=target)
+    table = B.read_version(spark, base).tables["rows"]
+    return B.read_table(spark, base).groupBy((F.col("event_id") % 997).alias("key_bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.round(F.sum("value"), 2).alias("total")).select(
+        "*", F.lit(max(r for _, r in table.files.values()) <= 2 * target).alias("within_target"), F.lit(table.buckets > table.first).alias("grown"))
+
+
 @register("w2_wide_ids", """
 SELECT 'user-' || CAST(user_id AS VARCHAR) AS connector_id,
   CAST(greatest(max(999999999999999900 + event_id), 999999999999999999) AS VARCHAR) AS last_id FROM events GROUP BY user_id""")

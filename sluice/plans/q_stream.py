@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.operators import sinks as K
+from sluice.operators import tables as B
 from sluice.plans.registered import FLAGSHIP_STEPS, register
 from sluice.session import scratch_path
 from sluice.sources.landed import event_pages, land_pages, push_connectors, push_requests, read_table
@@ -49,7 +49,7 @@ def u6_push_stream_table(spark, sf):
     """U1-U6 end to end: the keyed table after all pushes (last push per
     connector and EventID wins; rejected pushes write nothing)."""
     table, _, _ = _run_push(spark, sf)
-    return K.read_bucket_table(spark, table).select(
+    return B.read_table(spark, table).select(
         "connector_id", "event_id", "event_type", "event_name", "camera_id", "img_url", "confidence", "event_time")
 
 
@@ -90,7 +90,7 @@ def s3_page_stream_flagship(spark, sf):
     table = scratch_path(spark, "pages-table")
     run_pages_stream(spark, land, "$.data", FLAGSHIP_STEPS, ["user_id"], table,
                      scratch_path(spark, "pages-ckpt"), max_files_per_trigger=1)
-    return K.read_bucket_table(spark, table).select("event_id", "user_id", "value", "k", "ts")
+    return B.read_table(spark, table).select("event_id", "user_id", "value", "k", "ts")
 
 
 @register("s3_second_run_wins", """
@@ -111,7 +111,7 @@ def s3_second_run_wins(spark, sf):
                                                  {"source": "$.user_id", "target": "user_id", "type": "long"},
                                                  {"source": "$.value", "target": "value", "type": "double"}]}]
     run_pages_stream(spark, f"{land}/*", "$.data", steps, ["event_id"], table, scratch_path(spark, "runs-ckpt"), max_files_per_trigger=4)
-    return K.read_bucket_table(spark, table).select("event_id", "user_id", "value")
+    return B.read_table(spark, table).select("event_id", "user_id", "value")
 
 
 @register("u6_two_connectors", """
@@ -132,7 +132,7 @@ def u6_two_connectors(spark, sf):
     out = scratch_path(spark, "two-out")
     table, _, _ = run_push_stream(spark, land, conns, [m for m in PUSH_MAPPINGS if m["target"] in ("event_id", "event_name")], out,
                                   scratch_path(spark, "two-ckpt"), max_files_per_trigger=1)
-    return K.read_bucket_table(spark, table).select("connector_id", "event_id", "event_name")
+    return B.read_table(spark, table).select("connector_id", "event_id", "event_name")
 
 
 @register("u5_raw_json", f"""
@@ -144,5 +144,36 @@ def u5_raw_json(spark, sf):
     """The stored event text: normalised (ImgUrl filled in), all fields kept."""
     table, _, _ = _run_push(spark, sf)
     raw = F.parse_json("raw_json")
-    return K.read_bucket_table(spark, table).select("connector_id", "event_id", F.try_variant_get(raw, "$.ImgUrl", "string").alias("img"),
+    return B.read_table(spark, table).select("connector_id", "event_id", F.try_variant_get(raw, "$.ImgUrl", "string").alias("img"),
                                                     F.try_variant_get(raw, "$.TaskID", "string").alias("task"))
+
+
+@register("s3_two_checkpoints", """
+SELECT event_id, user_id, round(value, 4) AS value FROM events""")
+def s3_two_checkpoints(spark, sf):
+    """Two page streams, each with a checkpoint of its own, fill one table; one is then started again, and again with a new checkpoint."""
+    ev = read_table(spark, sf, "events")
+    record = F.to_json(F.struct("event_id", "user_id", F.round("value", 4).alias("value")))
+    table, steps = scratch_path(spark, "two-table"), [{"type": "map_fields", "mappings": [
+        {"source": "$.event_id", "target": "event_id", "type": "long"}, {"source": "$.user_id", "target": "user_id", "type": "long"}, {"source": "$.value", "target": "value", "type": "double"}]}]
+    land = [scratch_path(spark, "two-landed") for _ in range(2)]
+    ckpt = [scratch_path(spark, "two-ckpt") for _ in range(3)]
+    for n, part in enumerate(land):
+        land_pages(ev.filter(F.col("event_id") % 2 == n), F.lit(f"c{n}"), "event_id", record, page_size=100, run_id=1).write.parquet(part)
+    for n, c in ((0, 0), (1, 1), (0, 0), (1, 2)):
+        run_pages_stream(spark, land[n], "$.data", steps, ["event_id"], table, ckpt[c])
+    return B.read_table(spark, table).select("event_id", "user_id", "value")
+
+
+@register("u6_restarted_stream", f"""
+SELECT connector_id, event_id, event_name FROM (
+  SELECT 'push-' || CAST(k AS VARCHAR) AS connector_id, EventID AS event_id, event_type AS event_name,
+    row_number() OVER (PARTITION BY k, EventID ORDER BY eid DESC) AS r FROM {ACCEPTED}) WHERE r = 1""")
+def u6_restarted_stream(spark, sf):
+    """Pushes that land after the stream has lost its checkpoint: none is lost, none is written twice."""
+    land, out = scratch_path(spark, "push-landed"), scratch_path(spark, "push-out")
+    sent, conns = push_requests(spark, sf), push_connectors(spark, sf)
+    for n in range(2):
+        sent.filter(F.col("seq") % 2 == n).coalesce(2).write.mode("append").json(land)
+        run_push_stream(spark, land, conns, PUSH_MAPPINGS, out, scratch_path(spark, "push-ckpt"))
+    return B.read_table(spark, f"{out}/table").select("connector_id", "event_id", "event_name")

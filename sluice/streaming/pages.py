@@ -1,12 +1,16 @@
 """Landed response pages as a stream (S3): ``readStream`` over page files;
 each micro-batch goes through extraction, transform and the keyed upsert,
-so a stream of pages produces the same table as one batch run."""
+so a stream of pages produces the same table as one batch run.
+
+A batch is named by the stream's id and its number. The id is kept in the
+checkpoint, so a restarted stream skips what it has committed, and a stream
+with another checkpoint is another writer of the same table."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from sluice.operators import extract as X
-from sluice.operators import sinks as K
+from sluice.operators import tables as B
 from sluice.operators import transform as T
 from sluice.sources.landed import PAGES_SCHEMA
 
@@ -18,6 +22,11 @@ def read_pages_stream(spark, path: str, fmt: str = "parquet", max_files_per_trig
     return r.load(path)
 
 
+def stream_id(spark, checkpoint: str) -> str:
+    """The id that Spark has given the stream of this checkpoint; it is there before the first batch."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def run_pages_stream(spark, path: str, input_root: str, steps: Sequence[dict], keys: Sequence[str],
                      table: str, checkpoint: str, max_files_per_trigger: int | None = None,
                      drop: Sequence[str] = ("connector_id",)) -> str:
@@ -29,11 +38,12 @@ def run_pages_stream(spark, path: str, input_root: str, steps: Sequence[dict], k
     stream = read_pages_stream(spark, path, max_files_per_trigger=max_files_per_trigger)
 
     def batch(df, bid):
-        if bid + 1 in K.bucket_table_versions(spark, table):
+        writer = stream_id(spark, checkpoint)
+        if B.committed(spark, table, writer, bid):
             return
         recs = X.extract_records(df, input_root)
         rows = T.transform(recs, steps).rows.drop(*drop)
-        K.bucket_upsert(rows, table, list(keys), version=bid + 1)
+        B.upsert_table(rows, table, list(keys), writer=writer, batch_id=bid)
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -11,11 +11,11 @@ with ``readStream.json`` and processed per micro-batch with ``foreachBatch``:
 * U2 normalise, U3 id check, U4 signature, U5 typed transform (T17 rules;
   a failing field fails the event), ``raw_json`` = the normalised event.
 * U7 result rows (``op_code`` 0/1 + reason), U8 run-log rows
-  (``run_type=push``): a folder per batch id, written over on a replay.
+  (``run_type=push``): a folder per stream and batch, written over on a replay.
 * U6 idempotent write: keyed upsert per (connector, event id), last ``seq``
-  wins, into a bucket table whose version is the batch id. It is written
-  after results and run log, and its pointer last of all: a batch whose
-  version exists is complete, any other is done again as a whole.
+  wins, into a table whose log names the stream and its batch. It is committed
+  after results and run log: a batch the log has is complete, any other is
+  done again as a whole. A stream with another checkpoint is another writer.
 """
 from __future__ import annotations
 
@@ -25,8 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.operators import sinks as K
+from sluice.operators import tables as B
 from sluice.operators import transform as TR
+from sluice.session import scratch_path
+from sluice.streaming.pages import stream_id
 
 PUSH_SCHEMA = T.StructType([
     T.StructField("connector_id", T.StringType()),
@@ -102,29 +104,28 @@ def evaluate(events: DataFrame, connectors: DataFrame, mappings: Sequence[dict],
             .drop("__gate", "__check", TR.ERR)
 
 
-def process_batch(batch: DataFrame, batch_id: int, connectors: DataFrame, mappings: Sequence[dict],
-                  table: str, results: str, runlog: str, key: str | Sequence[str] = ("connector_id", "event_id")) -> None:
-    """U6-U8 for one micro-batch (idempotent by batch id)."""
+def process_batch(batch: DataFrame, batch_id: int, connectors: DataFrame, mappings: Sequence[dict], table: str, results: str, runlog: str,
+                  key: str | Sequence[str] = ("connector_id", "event_id"), writer: str = "push") -> None:
+    """U6-U8 for one micro-batch, once per (writer, batch id)."""
     spark = batch.sparkSession
-    if batch_id + 1 in K.bucket_table_versions(spark, table):
-        return                                  # replayed batch: the table is written last, so all is there
-    ev = evaluate(batch, connectors, mappings).persist()
-    try:
-        targets = [m["target"] for m in mappings]
-        ok = ev.filter(F.col("op_code") == 0).select(*dict.fromkeys(["connector_id", *targets]), "raw_json", "page_idx", "pos")
-        ev.select("connector_id", "request_id", "seq", "op_code", "op_desc") \
-            .write.mode("overwrite").parquet(f"{results}/batch_id={batch_id}")
-        ev.filter(~F.col("gated")).select(
-            "connector_id", F.lit("push").alias("run_type"),
-            F.when(F.col("op_code") == 0, "success").otherwise("failed").alias("status"),
-            F.when(F.col("op_code") == 0, 1).otherwise(0).alias("records_ok"),
-            F.lit(0).alias("records_failed"), "request_id") \
-            .write.mode("overwrite").parquet(f"{runlog}/batch_id={batch_id}")
-        # The table keeps each row's push sequence (pos): the last push per
-        # key wins whatever order the micro-batches arrive in.
-        K.bucket_upsert(ok, table, [key] if isinstance(key, str) else list(key), version=batch_id + 1)
-    finally:
-        ev.unpersist()
+    if B.committed(spark, table, writer, batch_id):
+        return                                  # replayed batch: the table is committed last, so all is there
+    staged = scratch_path(spark, "push-batch")  # three writes from one evaluation, also if an executor is lost between them
+    evaluated = evaluate(batch, connectors, mappings)
+    evaluated.write.parquet(staged)
+    ev = spark.read.schema(evaluated.schema).parquet(staged)
+    part = f"writer={writer}/batch_id={batch_id}"
+    targets = [m["target"] for m in mappings]
+    ok = ev.filter(F.col("op_code") == 0).select(*dict.fromkeys(["connector_id", *targets]), "raw_json", "page_idx", "pos")
+    ev.select("connector_id", "request_id", "seq", "op_code", "op_desc").write.mode("overwrite").parquet(f"{results}/{part}")
+    ev.filter(~F.col("gated")).select(
+        "connector_id", F.lit("push").alias("run_type"),
+        F.when(F.col("op_code") == 0, "success").otherwise("failed").alias("status"),
+        F.when(F.col("op_code") == 0, 1).otherwise(0).alias("records_ok"),
+        F.lit(0).alias("records_failed"), "request_id").write.mode("overwrite").parquet(f"{runlog}/{part}")
+    # The table keeps each row's push sequence (pos): the last push per
+    # key wins whatever order the micro-batches arrive in.
+    B.upsert_table(ok, table, [key] if isinstance(key, str) else list(key), writer=writer, batch_id=batch_id)
 
 
 def run_push_stream(spark, landed_dir: str, connectors: DataFrame, mappings: Sequence[dict],
@@ -137,7 +138,7 @@ def run_push_stream(spark, landed_dir: str, connectors: DataFrame, mappings: Seq
     stream = reader.json(landed_dir)
     table, results, runlog = f"{out_dir}/table", f"{out_dir}/results", f"{out_dir}/runs"
     q = (stream.writeStream
-         .foreachBatch(lambda df, bid: process_batch(df, bid, connectors, mappings, table, results, runlog))
+         .foreachBatch(lambda df, bid: process_batch(df, bid, connectors, mappings, table, results, runlog, writer=stream_id(spark, checkpoint)))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -201,24 +201,6 @@ def test_sample_texts_are_cut_and_whole_errors_kept(spark):
     assert len(whole) == 30 and {len(r["sample_json"]) for r in whole} == {len('{"id":""}') + 3000} and all(len(r["message"]) > 3000 for r in whole)
 
 
-def test_untouched_buckets_keep_their_files(spark, tmp_path):
-    from sluice.operators import sinks as K
-    base = str(tmp_path / "t")
-    rows = spark.createDataFrame([(i, f"v{i}", 1, i) for i in range(200)], "k int, v string, run_id int, pos int")
-    K.bucket_upsert(rows, base, ["k"], buckets=8)
-    one = spark.createDataFrame([(7, "new", 2, 0), (7, "older", 1, 999)], "k int, v string, run_id int, pos int")
-    K.bucket_upsert(one, base, ["k"], buckets=8)
-    before, after = K._pointers(spark, base, 1), K._pointers(spark, base, 2)
-    assert len(before) == 8 and sum(before[b] != after[b] for b in before) == 1
-    got = {r["k"]: r["v"] for r in K.read_bucket_table(spark, base).collect()}
-    assert len(got) == 200 and got[7] == "new" and got[8] == "v8"
-    K.bucket_upsert(spark.createDataFrame([(7, "late", 0, 5)], "k int, v string, run_id int, pos int"), base, ["k"], buckets=8)
-    assert {r["k"]: r["v"] for r in K.read_bucket_table(spark, base).collect()}[7] == "new"
-    assert {r["k"]: r["v"] for r in K.read_bucket_table(spark, base, 1).collect()}[7] == "v7"
-    K.drop_old_versions(spark, base, keep=1)
-    assert K.bucket_table_versions(spark, base) == [3] and K.read_bucket_table(spark, base).count() == 200
-
-
 def test_write_modes_and_blank_targets(spark, tmp_path):
     from sluice.operators import sinks as K
     rows = spark.createDataFrame([(1, "a", 0, 0), (1, "b", 0, 1), (2, "c", 0, 2)], "k int, v string, page_idx int, pos int")
@@ -230,7 +212,7 @@ def test_write_modes_and_blank_targets(spark, tmp_path):
 
     class Connection:
         cursor = lambda self: Cursor()
-        commit = close = lambda self: None
+        commit = close = rollback = lambda self: None
     for mode, n in (("insert", 3), ("upsert", 2), (None, 2)):
         assert K.route("postgresql")(rows, table="t", keys=["k"], write_mode=mode, connect=lambda url: Connection()) == n
     sent = [p.read_text() for p in tmp_path.iterdir()]
@@ -243,53 +225,6 @@ def test_write_modes_and_blank_targets(spark, tmp_path):
     assert K.default_keys(["a", "b"], None) == ["a"] and K.default_keys(["a", "b"], ["b"]) == ["b"]
 
 
-def test_push_replay_after_a_crash_loses_nothing(spark, tmp_path, monkeypatch):
-    from sluice.operators import sinks as K
-    from sluice.streaming import push
-    batch = spark.createDataFrame([("c", f"r{i}", "", i, '{"EventID":"E%d"}' % (i % 3)) for i in range(5)] + [("none", "r9", "", 9, "{}")], push.PUSH_SCHEMA)
-    conns = spark.createDataFrame([("c", "push", True, True, False, "p")], "connector_id string, mode string, published boolean, webhook_enabled boolean, verify_sign boolean, plat_flag string")
-    paths = [str(tmp_path / p) for p in ("table", "results", "runs")]
-    maps = [{"source": "$.EventID", "target": "event_id", "type": "string"}]
-    real = K.bucket_upsert
-
-    def crash(*a, **k):
-        raise RuntimeError("lost")
-    monkeypatch.setattr(K, "bucket_upsert", crash)
-    with pytest.raises(RuntimeError):
-        push.process_batch(batch, 0, conns, maps, *paths)
-    assert K.read_bucket_table(spark, paths[0]) is None
-    monkeypatch.setattr(K, "bucket_upsert", real)
-    for _ in range(2):      # the replay, and another one of a complete batch
-        push.process_batch(batch, 0, conns, maps, *paths)
-        assert sorted(r["event_id"] for r in K.read_bucket_table(spark, paths[0]).collect()) == ["E0", "E1", "E2"]
-        assert spark.read.parquet(paths[1]).count() == 6 and spark.read.parquet(paths[2]).count() == 5
-
-
-def test_sync_run_that_breaks_off_is_done_again(spark, tmp_path):
-    from sluice.operators import sinks as K
-    from sluice.operators import sync as Y
-    from sluice.sources.landed import PAGES_SCHEMA
-    config = Y.SyncConfig("$.data", ({"type": "map_fields", "mappings": [{"source": "id", "target": "id", "type": "long"}]},), "parquet", str(tmp_path / "t"), ("id",), "upsert", True, "timestamp", "$.at")
-    base = str(tmp_path / "b")
-
-    def pages(run, rows, status=200):
-        body = '{"data":[' + ",".join('{"id":%s,"at":"2024-01-%02dT00:00:00Z"}' % r for r in rows) + "]}"
-        return spark.createDataFrame([("c", run, 0, "page", status, 1, body, False, len(body), None, {})], PAGES_SCHEMA)
-
-    def crash():
-        raise RuntimeError("lost")
-    with pytest.raises(RuntimeError):
-        Y.run_sync(pages(1, [(1, 1), (2, 2)]), config, base, 1, "2024-02-01", after_sink=crash)
-    assert Y.read_state(spark, base).count() == 0 and K.read_bucket_table(spark, config.table).count() == 2
-    Y.run_sync(pages(2, [(1, 1), (2, 2), ('"bad"', 3)]), config, base, 2, "2024-02-01")
-    state = Y.read_state(spark, base).first()
-    assert str(state["ts"]) == "2024-01-03 00:00:00" and K.read_bucket_table(spark, config.table).count() == 2
-    Y.run_sync(pages(3, [(9, 9)], status=500), config, base, 3, "2024-02-01")
-    runs = {r["run_id"]: (r["status"], r["records_ok"], r["records_failed"]) for r in Y.read_runs(spark, base).collect()}
-    assert runs == {2: ("success", 2, 1), 3: ("failed", 0, 0)}
-    assert str(Y.read_state(spark, base).first()["ts"]) == "2024-01-03 00:00:00" and K.read_bucket_table(spark, config.table).count() == 2
-
-
 def test_no_window_grows_with_a_group(spark):
     """Levels of blocks: each part of a prefix sum over one group has at most FAN rows."""
     from sluice.plans import ordinal
