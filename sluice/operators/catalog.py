@@ -44,7 +44,7 @@ def _object(text: Column) -> Column:
 
 def _plain(text: Column) -> Column:
     """A field's text; JSON null and blank are missing."""
-    return F.when((F.trim(text) != "") & (text != "null"), text)
+    return F.when(~text.rlike("^ *$|^null$"), text)
 
 
 def server_url(doc: Column) -> Column:
@@ -87,43 +87,57 @@ PARAM = "array<struct<name:string,in:string,required:boolean,schema:string,type:
 FIELD = "struct<name:string,place:string,type:string,example:string>"
 
 
-def json_content(holder: Column) -> Column:
-    """The schema under ``content``: of application/json, else of the first kind."""
-    content = _object(_j(holder, "$.content"))
-    return _j(F.coalesce(F.element_at(content, F.lit("application/json")), F.element_at(F.map_values(F.when(F.size(content) > 0, content)), 1)), "$.schema")
+def json_content(content: Column) -> Column:
+    """The schema in the fields of a ``content``: of application/json, else of the first kind."""
+    return _j(F.coalesce(F.element_at(content, F.lit("application/json")), F.get(F.map_values(content), 0)), "$.schema")
 
 
-def request_fields(op: Column, path_params: Column, op_params: Column) -> Column:
-    """O3: the fields of a request as an array of (name, place, type, example):
-    parameters, path-level first then operation-level (the later of one name
-    and place stays, where the first stood); ``query`` also takes path
-    parameters; the properties of a JSON body, whether given as a body
-    parameter or as a request body, have place ``body``."""
-    both = F.concat(F.coalesce(F.from_json(path_params, PARAM), F.array().cast(PARAM)), F.coalesce(F.from_json(op_params, PARAM), F.array().cast(PARAM)))
-    named = F.filter(both, lambda p: F.coalesce(F.trim(p["name"]) != "", F.lit(False)))
+def _declared_field(name: Column, place: Column, schema: Column, typ: Column, example: Column) -> Column:
+    """A field as the document declares it; ``_with_examples`` follows."""
+    return F.struct(name.alias("name"), place.alias("place"), F.coalesce(_plain(_j(schema, "$.type")), _plain(typ), F.lit("string")).alias("type"), F.coalesce(_j(schema, "$.example"), example).alias("example"))
+
 
-    def of_schema(name: Column, place: Column, schema: Column, typ: Column, example: Column) -> Column:
-        t = example_type(F.coalesce(_plain(_j(schema, "$.type")), _plain(typ), F.lit("string")))
-        return F.struct(name.alias("name"), place.alias("place"), t.alias("type"), F.coalesce(_j(schema, "$.example"), example, example_value(t)).alias("example"))
+def _with_examples(fields: Column) -> Column:
+    return F.transform(fields, lambda f: F.struct(f["name"].alias("name"), f["place"].alias("place"), example_type(f["type"]).alias("type"),
+                                                  F.coalesce(f["example"], example_value(f["type"])).alias("example")))
 
-    def field(p: Column) -> Column:
-        place = F.when(p["in"].isin("query", "path"), F.lit("query")).when(p["in"] == "header", F.lit("header"))
-        return of_schema(p["name"], place, p["schema"], p["type"], p["example"])
 
-    def properties(schema: Column) -> Column:
-        none = F.lit(None).cast("string")
-        return F.transform(F.map_entries(_object(_j(schema, "$.properties"))), lambda e: of_schema(e["key"], F.lit("body"), e["value"], none, none))
+def _properties(schema: Column) -> Column:
+    """The properties of a JSON body's schema as fields of place ``body``."""
+    none = F.lit(None).cast("string")
+    return F.transform(F.map_entries(_object(_j(schema, "$.properties"))), lambda e: _declared_field(e["key"], F.lit("body"), e["value"], none, none))
 
-    plain = F.transform(F.filter(named, lambda p: F.coalesce(p["in"].isin("query", "path", "header"), F.lit(False))), field)
-    in_body = F.flatten(F.transform(F.filter(named, lambda p: F.coalesce(p["in"] == "body", F.lit(False))), lambda p: properties(p["schema"])))
-    everything = F.concat(plain, in_body, properties(json_content(_j(op, "$.requestBody"))))
-    same = lambda x, y: (x["name"] == y["name"]) & (x["place"] == y["place"])
-    first = F.filter(everything, lambda f, i: ~F.exists(F.slice(everything, F.lit(1), i), lambda g: same(f, g)))
-    return F.transform(first, lambda f: F.element_at(F.filter(everything, lambda g: same(f, g)), -1))
+
+def declared_fields(named: Column, body_schema: Column) -> Column:
+    """O3: the fields a request is declared with, as an array of (name, place,
+    type, example): the named parameters in order; ``query`` also takes path
+    parameters; the properties of a JSON body, whether given as a body
+    parameter or as a request body, have place ``body``."""
+    place = lambda p: F.when(p["in"] == "header", F.lit("header")).otherwise(F.lit("query"))
+    plain = F.transform(F.filter(named, lambda p: F.coalesce(p["in"].isin("query", "path", "header"), F.lit(False))),
+                        lambda p: _declared_field(p["name"], place(p), p["schema"], p["type"], p["example"]))
+    in_body = F.flatten(F.transform(F.filter(named, lambda p: F.coalesce(p["in"] == "body", F.lit(False))), lambda p: _properties(p["schema"])))
+    return _with_examples(F.concat(plain, in_body, _properties(body_schema)))
+
+
+def last_of_each(fields: Column) -> Column:
+    """Of declared fields with one name and place the last, where the first stood."""
+    key = lambda f: F.struct(f["name"], f["place"])
+    last = F.map_from_entries(F.transform(fields, lambda f: F.struct(key(f), f)))          # LAST_WIN: a later entry replaces an earlier one
+    return F.transform(F.array_distinct(F.transform(fields, key)), lambda k: F.element_at(last, k))
 
 
 def with_request(ops: DataFrame) -> DataFrame:
-    return ops.withColumn("fields", request_fields(F.col("op"), F.col("path_params"), F.col("op_params")))
+    """O3: ``fields``, the request's fields: path-level parameters first, then
+    operation-level ones; of one name and place the later stays, where the
+    first stood. Each step's JSON is parsed once, into a column of its own."""
+    none = F.array().cast(PARAM)
+    d = ops.withColumns({"__named": F.concat(F.coalesce(F.from_json("path_params", PARAM), none), F.coalesce(F.from_json("op_params", PARAM), none)),
+                         "__content": _j(F.col("op"), "$.requestBody.content")})
+    d = d.withColumns({"__named": F.filter("__named", lambda p: F.coalesce(F.trim(p["name"]) != "", F.lit(False))), "__content": _object(F.col("__content"))})
+    d = d.withColumn("__schema", json_content(F.col("__content")))
+    d = d.withColumn("__declared", declared_fields(F.col("__named"), F.col("__schema")))
+    return d.withColumn("fields", last_of_each(F.col("__declared"))).drop("__named", "__content", "__schema", "__declared")
 
 
 def parameters(ops: DataFrame) -> DataFrame:
@@ -132,26 +146,29 @@ def parameters(ops: DataFrame) -> DataFrame:
     return e.select("spec_id", "method", "path", "i", "f.name", "f.place", "f.type", "f.example")
 
 
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
 def example_type(typ: Column) -> Column:
     """Type aliases: int32/int64 -> integer, float/double -> number; other names stay."""
-    return (F.when(typ.isin("int32", "int64"), "integer").when(typ.isin("float", "double"), "number").otherwise(typ))
+    return F.coalesce(_lookup({"int32": "integer", "int64": "integer", "float": "number", "double": "number"}, typ), typ)
 
 
 def example_value(typ: Column) -> Column:
     """Example request values by type, as they stand in a request."""
-    t = example_type(typ)
-    return (F.when(t.isin("integer", "long"), F.lit("1")).when(t == "number", F.lit("1.0"))
-             .when(t == "boolean", F.lit("false")).otherwise(F.lit("example")))
+    whole, fraction = dict.fromkeys(("integer", "long", "int32", "int64"), "1"), dict.fromkeys(("number", "float", "double"), "1.0")
+    return F.coalesce(_lookup({**whole, **fraction, "boolean": "false"}, typ), F.lit("example"))
 
 
-def response_schema(op: Column) -> Column:
+def with_response_schema(ops: DataFrame) -> DataFrame:
     """The schema of the first success response that has one."""
-    responses = _object(_j(op, "$.responses"))
-
-    def of(code: str) -> Column:
-        r = F.element_at(responses, F.lit(code))
-        return F.coalesce(_plain(_j(r, "$.schema")), json_content(r))
-    return F.coalesce(*[of(c) for c in SUCCESS_CODES], F.lit("{}"))
+    d = ops.withColumn("__responses", _object(_j(F.col("op"), "$.responses")))
+    d = d.withColumn("__found", F.filter(F.transform(F.array(*map(F.lit, SUCCESS_CODES)), lambda c: F.element_at("__responses", c)), lambda r: r.isNotNull()))
+    d = d.withColumn("__found", F.transform("__found", lambda r: F.struct(_j(r, "$.schema").alias("direct"), _object(_j(r, "$.content")).alias("content"))))
+    d = d.withColumn("__found", F.transform("__found", lambda r: F.coalesce(_plain(r["direct"]), json_content(r["content"]))))
+    first = F.get(F.filter("__found", lambda x: x.isNotNull()), 0)
+    return d.withColumn("response_schema", F.coalesce(first, F.lit("{}"))).drop("__responses", "__found")
 
 
 def input_root(schema: Column) -> Column:
@@ -177,7 +194,7 @@ def envelope_of(schema: Column, root: Column) -> Column:
 
 def with_response(ops: DataFrame) -> DataFrame:
     """response_schema, input_root, record_fields and envelope."""
-    d = ops.withColumn("response_schema", response_schema(F.col("op")))
+    d = with_response_schema(ops)
     d = d.withColumn("input_root", input_root(F.col("response_schema")))
     return d.withColumns({"record_fields": record_fields(F.col("response_schema"), F.col("input_root")),
                           "envelope": envelope_of(F.col("response_schema"), F.col("input_root"))})

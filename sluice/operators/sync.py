@@ -218,8 +218,9 @@ def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of
     modes = _staged(W.choose_mode(settings, read_state(spark, base)), "sync-modes")      # as the run was requested; W5
 
     kept = kept_pages(log, config)
+    offsets = with_prefix_offset(kept.select(*RUN, "page_idx", "n_records"), RUN, "page_idx", "n_records", out="__poff")
     if record_limit is not None:
-        kept = with_prefix_offset(kept.select(*RUN, "page_idx", "n_records"), RUN, "page_idx", "n_records", out="__off").filter(F.col("__off") < record_limit)
+        kept = offsets.withColumnRenamed("__poff", "__off").filter(F.col("__off") < record_limit)
     data = pages.filter(F.col("kind") == "page")
     if config.strategy or record_limit is not None:
         data = data.join(kept.select(*RUN, "page_idx", *(["__off"] if record_limit is not None else [])), [*RUN, "page_idx"])
@@ -228,7 +229,7 @@ def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of
     records = X.extract_records(data, config.input_root, keep=[*RUN, "page_idx", *(["__off"] if record_limit is not None else [])])
     if record_limit is not None:
         records = records.filter(F.col("__off") + F.col("pos") < record_limit).drop("__off")
-    result = T.transform(records, list(config.steps), max_errors=T.PULL_MAX_ERRORS, stage=lambda d: _staged(d, "sync-rows"))
+    result = T.transform(records, list(config.steps), max_errors=T.PULL_MAX_ERRORS, stage=lambda d: _staged(d, "sync-rows"), offsets=offsets.drop("n_records"))
     rows = result.rows.drop(*[c for c in ("rec", "record_index") if c in result.rows.columns])
 
     data_columns = [c for c in rows.columns if c not in ("connector_id", *K.DEFAULT_ORDER)]
@@ -249,8 +250,9 @@ def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of
     run_rows = _staged(_run_rows(log, modes, counts, bad, run_id, run_type, folder), "sync-runs")
     if written is None:
         written = int(run_rows.agg(F.sum("records_ok")).first()[0] or 0)
-    details(log, kept, result.errors, run_id).write.parquet(f"{base}/{folder}")
-    run_batch = B.stage_batch(run_rows, RUN, ("run_id",))
+    some_bad = not run_rows.filter("records_failed > 0").isEmpty()
+    details(log, kept, result.errors if some_bad else None, run_id).write.parquet(f"{base}/{folder}")
+    run_batch = B.Staged(run_rows, tuple(RUN), ("run_id",))           # one row a connector already
 
     def change(v: B.Version) -> B.Version | None:
         if _in_log(spark, base, present, run_id, v.number):
@@ -265,7 +267,7 @@ def run_sync(pages: DataFrame, config: SyncConfig, base: str, run_id: int, as_of
                                .unionByName(log.join(ended, "connector_id", "left_semi").filter("kind = 'count'")), prev, config, modes, as_of)
             settled = moved.select("*", F.lit(run_type).alias("run_type"), F.lit(True).alias("inc_enabled"), F.lit(config.inc_mode).alias("inc_mode"), F.lit("success").alias("status"))
             new = W.persistable(settled).withColumn("updated_at", F.lit(as_of).cast("timestamp")).withColumn("seq", F.lit(v.number).cast("bigint"))
-            tables["state"] = B.merge(spark, base, "state", tables.get("state"), B.stage_batch(new, ["connector_id"], ("seq",)), buckets=1)
+            tables["state"] = B.merge(spark, base, "state", tables.get("state"), B.Staged(_staged(new, "sync-state"), ("connector_id",), ("seq",)), buckets=1)
         tables["runs"] = B.merge(spark, base, "runs", tables.get("runs"), run_batch, buckets=1)
         return replace(v, tables=tables, note=f"run {run_id}")
 
@@ -299,7 +301,7 @@ def _run_rows(log: DataFrame, modes: DataFrame, ok: DataFrame, failed: DataFrame
                     count("records_ok"), count("records_failed"), "error_message", F.lit(folder).alias("details"))
 
 
-def details(log: DataFrame, kept: DataFrame, errors: DataFrame, run_id: int) -> DataFrame:
+def details(log: DataFrame, kept: DataFrame, errors: DataFrame | None, run_id: int) -> DataFrame:
     """Per-run details: a row a fetched page, a failed page, and a sampled bad record."""
     null, run = F.lit(None), F.lit(run_id).cast("bigint").alias("run_id")
     fetched = log.join(kept.select(*RUN, "page_idx"), [*RUN, "page_idx"], "left_semi").filter("kind = 'page'")
@@ -307,5 +309,8 @@ def details(log: DataFrame, kept: DataFrame, errors: DataFrame, run_id: int) ->
     http = lambda d, m: d.select("connector_id", run, F.lit("http").alias("stage"), F.col("page_idx").cast("int").alias("page_idx"), null.cast("bigint").alias("record_index"),
                                  m.alias("message"), null.cast("string").alias("sample_json"))
     failed = log.filter(F.col("reason").isNotNull())
+    pages = http(fetched, message).unionByName(http(failed, F.col("reason")))
+    if errors is None:
+        return pages
     bad = errors.select("connector_id", run, F.lit("transform").alias("stage"), null.cast("int").alias("page_idx"), "record_index", "message", "sample_json")
-    return http(fetched, message).unionByName(http(failed, F.col("reason"))).unionByName(bad)
+    return pages.unionByName(bad)

@@ -291,8 +291,8 @@ def merge(spark: SparkSession, base: str, name: str, old: Directory | None, stag
     schema = _merged_schema(known, rows.schema)
     key_hash = F.xxhash64(*staged.keys)
     new = rows.withColumn(BUCKET, old.address(key_hash))
-    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]            # numbers of buckets
-    if not touched:
+    touched = [0] if old.buckets == 1 else [r[0] for r in new.select(BUCKET).distinct().collect()]            # numbers of buckets
+    if not touched or old.buckets == 1 and not old.files and new.isEmpty():
         return replace(old, schema=schema.json())
     held = _read(spark, base, replace(old, schema=schema.json()), touched)
     both = held.withColumn(BUCKET, old.address(key_hash)).unionByName(new, allowMissingColumns=True) if set(touched) & set(old.files) else new

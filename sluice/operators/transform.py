@@ -17,6 +17,7 @@ import logging
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,10 +40,30 @@ STRICT_PREFIX = "strict transform failed: "
 
 @dataclass
 class TransformResult:
-    rows: DataFrame      # good rows (typed columns)
-    errors: DataFrame    # connector_id, run_id, record_index, message, sample_json (samples)
-    all_errors: DataFrame | None = None     # the same of every bad record, uncut
-    errors_count: DataFrame | None = None   # connector_id, n: bad records of each connector that has some
+    """Good rows (typed columns), and what is known of the bad ones; those
+    plans are built when they are asked for."""
+    rows: DataFrame
+    bad: DataFrame | None                   # None: no step of the pipeline can fail
+    sample: Callable[[int | None, int | None], DataFrame]
+
+    max_errors: int | None = PULL_MAX_ERRORS
+    sample_limit: int | None = SAMPLE_LIMIT
+
+    @cached_property
+    def errors(self) -> DataFrame:
+        """connector_id, run_id, record_index, message, sample_json (samples)."""
+        return self.sample(self.max_errors, self.sample_limit)
+
+    @cached_property
+    def all_errors(self) -> DataFrame:
+        """The same of every bad record, uncut."""
+        return self.sample(None, None)
+
+    @cached_property
+    def errors_count(self) -> DataFrame:
+        """connector_id, n: bad records of each connector that has some."""
+        rows = self.errors if self.bad is None else self.bad
+        return rows.groupBy("connector_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 _PLACEHOLDER = re.compile(r"\$\{record\.([^}:]+)(?::([a-z0-9(), ]+))?\}")
@@ -169,29 +190,29 @@ def run_steps(records: DataFrame, steps: Sequence[dict] | None) -> DataFrame:
 def transform(records: DataFrame, steps: Sequence[dict] | None,
               max_errors: int | None = PULL_MAX_ERRORS,
               run_keys: Sequence[str] = RUN_KEYS, sample_limit: int | None = SAMPLE_LIMIT,
-              stage: Callable[[DataFrame], DataFrame] | None = None) -> TransformResult:
+              stage: Callable[[DataFrame], DataFrame] | None = None, offsets: DataFrame | None = None) -> TransformResult:
     """Tolerant transform: good rows, and error rows
     ``(run keys, record_index, message, sample_json)`` with at most
     ``max_errors`` samples per run (``None`` keeps all), texts cut at
     ``sample_limit`` (``None``: not at all). ``all_errors`` has every bad
     record with whole texts. ``stage`` (write and read again) makes good rows
-    and errors share one pass over the source where both are used."""
+    and errors share one pass over the source where both are used; ``offsets``
+    are the records before each page where they are known (see
+    ``page_offsets``), so that the error rows need not read the source."""
     out = run_steps(records, steps)
     if stage is not None:
         out = stage(out)
     if ERR not in out.columns:
-        rows = out.drop("__sample", "page_n")
-        empty = records.sparkSession.createDataFrame(
+        empty = lambda *_: records.sparkSession.createDataFrame(
             [], "connector_id string, run_id bigint, record_index bigint, message string, sample_json string")
-        return TransformResult(rows, empty, empty, empty.groupBy("connector_id").agg(F.count(F.lit(1)).alias("n")))
+        return TransformResult(out.drop("__sample", "page_n"), None, empty, max_errors, sample_limit)
     good = out.filter(F.col(ERR).isNull()).drop(ERR, "__sample", "page_n")
     bad = out.filter(F.col(ERR).isNotNull())
-    return TransformResult(good, error_output(bad, records, max_errors, run_keys, sample_limit),
-                           error_output(bad, records, None, run_keys, None), bad.groupBy("connector_id").agg(F.count(F.lit(1)).alias("n")))
+    return TransformResult(good, bad, lambda n, cut: error_output(bad, records, n, run_keys, cut, offsets), max_errors, sample_limit)
 
 
 def error_output(bad: DataFrame, records: DataFrame, max_errors: int | None,
-                 run_keys: Sequence[str] = RUN_KEYS, sample_limit: int | None = SAMPLE_LIMIT) -> DataFrame:
+                 run_keys: Sequence[str] = RUN_KEYS, sample_limit: int | None = SAMPLE_LIMIT, offsets: DataFrame | None = None) -> DataFrame:
     """Error rows with run-wide record index. Only the bad rows get one, from
     the offsets of their pages; the N smallest per run are kept by bounded
     top-N windows (page, page block, run) before that."""
@@ -199,7 +220,7 @@ def error_output(bad: DataFrame, records: DataFrame, max_errors: int | None,
     e = bad.select(*run_keys, "page_idx", "pos", F.col(ERR).alias("message"), F.col("__sample").alias("__s"))
     if max_errors is not None:
         e = _bounded_top_n(e, run_keys, ["page_idx", "pos"], max_errors)
-    e = index_with(e, page_offsets(records, run_keys), run_keys)
+    e = index_with(e, page_offsets(records, run_keys) if offsets is None else offsets, run_keys)
     return e.select(*run_keys, "record_index", cut(F.col("message")).alias("message"), cut(F.to_json("__s")).alias("sample_json"))
 
 

@@ -225,7 +225,14 @@ def _sync_setup(spark):
 
 def _sync_pages(rows, run_id):
     record = F.to_json(F.struct("event_id", "user_id", "value", iso_instant_text("t").alias("t")))
-    return land_pages(rows, F.lit("sync"), "event_id", record, page_size=200, run_id=run_id)
+    return _landed(land_pages(rows, F.lit("sync"), "event_id", record, page_size=200, run_id=run_id))
+
+
+def _landed(pages):
+    """Pages as files, as a fetcher leaves them."""
+    path = scratch_path(pages.sparkSession, "landed")
+    pages.write.parquet(path)
+    return pages.sparkSession.read.schema(pages.schema).parquet(path)
 
 
 @register("w10_state_and_runs", """
@@ -254,7 +261,7 @@ def _by_connector(config, **changes):
 
 def _connector_pages(rows, run_id, page_size=50):
     record = F.to_json(F.struct("event_id", "user_id", "value", iso_instant_text("t").alias("t")))
-    return land_pages(rows, F.concat(F.lit("sync-"), (F.col("user_id") % 5).cast("string")), "event_id", record, page_size=page_size, run_id=run_id)
+    return _landed(land_pages(rows, F.concat(F.lit("sync-"), (F.col("user_id") % 5).cast("string")), "event_id", record, page_size=page_size, run_id=run_id))
 
 
 @register("w10_rolling_window", f"""
