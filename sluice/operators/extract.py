@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import is_json_null, jtext, parse_body, root_path, vkind
-from sluice.plans.ordinal import with_prefix_offset
+from sluice.plans.ordinal import null_safe_join, with_prefix_offset
 
 RUN_KEYS = ("connector_id", "run_id")
 
@@ -74,7 +74,7 @@ def page_offsets(records: DataFrame, run_keys: Sequence[str] = RUN_KEYS) -> Data
 def index_with(rows: DataFrame, offsets: DataFrame, run_keys: Sequence[str] = RUN_KEYS,
                out: str = "record_index") -> DataFrame:
     """The run-wide index of rows that have (run keys, page_idx, pos)."""
-    return (rows.join(offsets, on=[*run_keys, "page_idx"], how="inner")
+    return (null_safe_join(rows, offsets, [*run_keys, "page_idx"])
                 .withColumn(out, (F.col("__poff") + F.col("pos")).cast("bigint")).drop("__poff"))
 
 

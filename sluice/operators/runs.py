@@ -179,14 +179,16 @@ def audit_rows(actions: DataFrame) -> DataFrame:
 def consecutive_failures(runs: DataFrame, n: int = 3) -> DataFrame:
     """Runs that end a streak of ``n`` failures in a row per connector.
     A per-connector ordinal (skew-safe) and equi-joins on (connector,
-    ordinal - i) replace ``lag`` over a whole connector."""
+    ordinal - i) replace ``lag`` over a whole connector. Runs without a start
+    time, as those that were never begun, count after all others, by their id's
+    hash; runs without a connector are a chain of their own."""
     r = with_ordinal(runs.select("connector_id", "id", "started_at", "status"),
                      ["connector_id"], "started_at", out="__o", tiebreak=["id"], key_kind="timestamp")
     cur = r.filter(F.col("status") == FAILED).select("connector_id", "id", "started_at", "__o")
     fails = r.filter(F.col("status") == FAILED).select("connector_id", "__o")
     for i in range(1, n):
         prev = fails.select("connector_id", (F.col("__o") + i).alias("__o"))
-        cur = cur.join(prev, ["connector_id", "__o"], "left_semi")
+        cur = cur.join(prev.toDF("__c", "__p"), F.col("connector_id").eqNullSafe(F.col("__c")) & (F.col("__o") == F.col("__p")), "left_semi")
     return cur.select("connector_id", "id", "started_at")
 
 

@@ -9,6 +9,10 @@ prefix-summed level by level: blocks within blocks of ``FAN`` blocks, and so
 on, until a level has one block a group, so no window on the way sees more
 than ``FAN`` rows of the level below it, however large the group. The final
 numbering runs per (group, block).
+
+Null groups are a group like any other. Rows without a key come after all
+others of their group, ordered by a hash of the row (and the tiebreak), in
+blocks of their own.
 """
 from __future__ import annotations
 
@@ -27,10 +31,21 @@ def _key_num(c: Column, kind: str) -> Column:
     return c.cast("bigint")
 
 
-def _bounds(df: DataFrame, key: Column) -> tuple[int, int, int]:
-    """Smallest and largest key and the row count, in one aggregate."""
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    return r["lo"] or 0, r["hi"] or 0, r["n"]
+def _bounds(df: DataFrame, key: Column, group: Sequence[str] = ()) -> tuple[int, int, int, int, bool]:
+    """Smallest and largest key, rows, rows without a key, and whether a group is null, in one aggregate."""
+    null = F.lit(False)
+    for g in group:
+        null = null | F.col(g).isNull()
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(key.isNull()).alias("none"), F.max(null).alias("null")).first()
+    return r["lo"] or 0, r["hi"] or 0, r["n"], r["none"], bool(r["null"])
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys meet; the keys stand once."""
+    names = {k: f"__r{i}_{k}" for i, k in enumerate(keys)}
+    r = right.withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(r, on, how).drop(*names.values())
 
 
 def block_offsets(counts: DataFrame, group: Sequence[str], blk: str, n: str, out: str, levels: int) -> DataFrame:
@@ -46,7 +61,7 @@ def block_offsets(counts: DataFrame, group: Sequence[str], blk: str, n: str, out
     above = block_offsets(sums, group, up, n, f"{out}_u", levels - 1)
     w = Window.partitionBy(*group, up).orderBy(blk)
     inner = c.select(*group, blk, up, (F.sum(n).over(w) - F.col(n)).alias(out))
-    return inner.join(above, [*group, up]).select(*group, blk, (F.col(out) + F.col(f"{out}_u")).alias(out))
+    return null_safe_join(inner, above, [*group, up]).select(*group, blk, (F.col(out) + F.col(f"{out}_u")).alias(out))
 
 
 def _levels(blocks: int) -> int:
@@ -68,15 +83,22 @@ def with_ordinal(df: DataFrame, group: Sequence[str], order: str, out: str = "rn
     group = list(group)
     blk = "__blk"
     key = _key_num(F.col(order), key_kind)
-    lo, hi, rows = _bounds(df, key)
+    lo, hi, rows, none, null_group = _bounds(df, key, group)
     width = max(1, (hi - lo + 1) * block // max(rows, 1))
+    last = (hi - lo) // width
+    # Rows without a key: blocks by a hash, after the last block of keys.
+    by_hash = F.xxhash64(*(tiebreak or [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]))
+    spread = -(-none // block)
     b = df.withColumn(blk, F.floor((key - F.lit(lo)) / F.lit(width)))
+    if none:
+        b = b.withColumn(blk, F.coalesce(blk, F.lit(last + 1) + F.pmod(by_hash, F.lit(spread))))
     counts = b.groupBy(*group, blk).agg(F.count(F.lit(1)).alias("__n"))
-    offs = block_offsets(counts, group, blk, "__n", "__off", _levels((hi - lo) // width + 1))
+    offs = block_offsets(counts, group, blk, "__n", "__off", _levels(last + 1 + spread))
     if total:
-        offs = offs.join(counts.groupBy(*group).agg(F.sum("__n").alias(total)), group)
-    j = b.join(offs, on=[*group, blk], how="inner")
-    w = Window.partitionBy(*group, blk).orderBy(F.col(order), *[F.col(c) for c in tiebreak])
+        offs = null_safe_join(offs, counts.groupBy(*group).agg(F.sum("__n").alias(total)), group)
+    # A plain join deals the rows as the window needs them; a null-safe one costs another exchange.
+    j = null_safe_join(b, offs, [*group, blk]) if null_group else b.join(offs, on=[*group, blk], how="inner")
+    w = Window.partitionBy(*group, blk).orderBy(F.col(order), *[F.col(c) for c in tiebreak], *([by_hash] if none else []))
     return (j.withColumn(out, F.row_number().over(w) - 1 + F.col("__off"))
              .drop(blk, "__off"))
 
@@ -102,7 +124,7 @@ def with_prefix_offset(df: DataFrame, group: Sequence[str], order: str, n: str,
     # from the last row of each, one per FAN blocks.
     tops = g.groupBy(*group, up).agg(F.max("__in").alias("__t"))
     tops = tops.select(*group, up, (F.sum("__t").over(top) - F.col("__t")).alias("__before"))
-    g = g.join(tops, [*group, up])
+    g = null_safe_join(g, tops, [*group, up])
     start = F.col("__in") - F.col("__bs") + F.col("__before")
     zero = F.struct(F.lit(0).cast("bigint").alias("s"), F.array().cast("array<struct<o:bigint,n:bigint,off:bigint>>").alias("a"))
     unfold = F.aggregate("__items", zero, lambda acc, x: F.struct(

@@ -183,6 +183,18 @@ def j16_consecutive_failures(spark, sf):
     return J.consecutive_failures(run_log(spark, sf)).select("connector_id", "id")
 
 
+@register("j16_runs_without_start", f"""
+WITH r AS (SELECT connector_id, id, status, CASE WHEN id <> max(id) OVER (PARTITION BY connector_id) THEN started_at END AS started_at FROM {RUNS})
+SELECT connector_id, id, started_at IS NULL AS not_started FROM (SELECT *, lag(status, 1) OVER w AS s1, lag(status, 2) OVER w AS s2 FROM r
+  WINDOW w AS (PARTITION BY connector_id ORDER BY started_at NULLS LAST, id)) WHERE status = 'failed' AND s1 = 'failed' AND s2 = 'failed'""")
+def j16_runs_without_start(spark, sf):
+    """The last run of each connector has no start time: it counts after all others."""
+    runs = run_log(spark, sf)
+    last = runs.groupBy("connector_id").agg(F.max("id").alias("last"))
+    runs = runs.join(last, "connector_id").withColumn("started_at", F.when(F.col("id") != F.col("last"), F.col("started_at"))).drop("last")
+    return J.consecutive_failures(runs).select("connector_id", "id", F.col("started_at").isNull().alias("not_started"))
+
+
 @register("j17_failures_within_window", f"""
 SELECT a.connector_id, a.id, count(*) AS failures_in_window FROM
   (SELECT connector_id, id, CAST(floor(epoch(started_at)) AS BIGINT) AS t FROM {RUNS} WHERE status = 'failed') a

@@ -17,6 +17,8 @@ REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # Pagination parameters overwrite configured ones.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # Python workers get batches bounded in bytes, whatever the length of a row's texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024),
 }
 
 SCALE_CONF = {
@@ -59,22 +61,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder. Where it is unset a local one is
     made in local mode only; on a cluster that is an error, since executors
     and driver would write to disks of their own."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    d = spark.conf.get("spark.checkpoint.dir", None) or _context_dir(spark)
     if not d and not spark.conf.get("spark.master", "local").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not d:
-        d = tempfile.mkdtemp(prefix="sluice-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # pragma: no cover - connect sessions have no context
-        pass
+        d = tempfile.mkdtemp(prefix="sluice-ckpt-")      # local mode; the context remembers it from here on
+    if not _context_dir(spark):
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def _context_dir(spark: SparkSession) -> str | None:
+    """The context's checkpoint folder. The context makes one of its own inside the folder it is given; that serves as well."""
+    return spark.sparkContext.getCheckpointDir()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

@@ -230,7 +230,8 @@ def test_no_window_grows_with_a_group(spark):
     from sluice.plans import ordinal
     assert [ordinal._levels(n) for n in (1, 1024, 1025, 1 << 20, (1 << 20) + 1, 1 << 30)] == [0, 0, 1, 1, 2, 2]
     df = spark.range(0, 3000).select(F.lit("g").alias("g"), (F.col("id") * 1000).alias("k"))
-    lo, hi, n = ordinal._bounds(df, F.col("k"))
+    lo, hi, n, none, null_group = ordinal._bounds(df, F.col("k"), ["g"])
+    assert none == 0 and not null_group
     width = max(1, (hi - lo + 1) * 64 // n)
     per_block = df.groupBy(F.floor(F.col("k") / width)).count().agg(F.max("count")).first()[0]
     assert per_block <= 2 * 64
@@ -253,3 +254,38 @@ def test_ordinal_matches_row_number(spark):
     from pyspark.sql import Window
     exp = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
     assert got.exceptAll(exp).count() == 0 and got.count() == 5000
+
+
+def test_ordinals_keep_rows_with_null_keys(spark):
+    from sluice.plans import ordinal
+    rows = [("a", 3, 1), ("a", None, 2), (None, 5, 3), (None, 1, 4), ("a", 1, 5), (None, None, 6), ("a", None, 7)] + [("n", None, 100 + i) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, k int, id int")
+    for block in (4, 8192):
+        got = ordinal.with_ordinal(df, ["g"], "k", tiebreak=["id"], block=block, total="n").collect()
+        assert len(got) == len(rows)
+        for g, n in (("a", 4), (None, 3), ("n", 50)):
+            mine = sorted((r["rn"], r["k"]) for r in got if r["g"] == g)
+            assert [i for i, _ in mine] == list(range(n)) and all(r["n"] == n for r in got if r["g"] == g)
+            keys = [k for _, k in mine]
+            assert keys == sorted((k for k in keys if k is not None)) + [None] * keys.count(None)
+
+
+def test_record_index_of_runs_with_null_keys(spark):
+    from sluice.operators.extract import with_record_index
+    rows = [(c, r, p, i) for c, r in (("x", 1), (None, 1), ("x", None)) for p in range(3) for i in range(2)]
+    recs = spark.createDataFrame(rows, "connector_id string, run_id bigint, page_idx int, pos int")
+    got = {(r["connector_id"], r["run_id"], r["page_idx"], r["pos"]): r["record_index"] for r in with_record_index(recs).collect()}
+    assert got == {(c, r, p, i): 2 * p + i for c, r, p, i in rows}
+
+
+def test_failure_streaks_of_runs_without_a_start(spark):
+    from sluice.operators.runs import consecutive_failures
+    rows = [("c", i, f"2024-01-0{i}", "failed") for i in (1, 2)] + [("c", 9, None, "failed"), (None, 11, "2024-01-01", "failed"), (None, 12, "2024-01-02", "failed"), (None, 13, "2024-01-03", "failed"), ("d", 20, None, "failed")]
+    runs = spark.createDataFrame(rows, "connector_id string, id bigint, s string, status string").withColumn("started_at", F.col("s").cast("timestamp"))
+    assert {(r["connector_id"], r["id"]) for r in consecutive_failures(runs).collect()} == {("c", 9), (None, 13)}
+
+
+def test_python_batches_are_bounded_in_bytes(spark):
+    sizes = lambda batches: ((b.select([0]).slice(0, 1).set_column(0, "n", __import__("pyarrow").array([b.num_rows], "int64"))) for b in batches)
+    df = spark.range(0, 3000, 1, 1).select(F.expr("repeat('x', 20000)").alias("t"))
+    assert 0 < max(r["n"] for r in df.mapInArrow(sizes, "n long").collect()) <= 250
