@@ -23,11 +23,6 @@ def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that long texts stay within a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh folder under the shared checkpoint folder and read it
     back: cuts lineage, and makes rows and generated ids durable."""

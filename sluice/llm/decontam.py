@@ -15,8 +15,8 @@ than five make one shingle. The whole path is DataFrame functions.
 
 Edge cases: a null or empty text, or one without words, has no shingle and is
 never matched, nor is an item of that kind; a document without id can't be
-reported and is kept by ``remove_contaminated``; rows that repeat an id are
-judged as one document; repeated items are reported under each id; only the
+reported, and rows that repeat an id are reported as one document, but
+``remove_contaminated`` judges each row by its own text; repeated items are reported under each id; only the
 named columns are read; empty tables give an empty result.
 """
 from __future__ import annotations
@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stage
+from sluice.llm.common import fresh, stage
 
 SHINGLE = 5
 BIN_BITS = 8                    # 256 bins
@@ -100,10 +100,16 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return out.select(F.col("doc").alias(key), F.col("item").alias(item), "n_shingles", "n_shared", "containment")
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that hold no item."""
-    gone = contaminated(docs, items, key, text, **options).select(F.col(key).alias("gone")).distinct()
-    return docs.join(gone, docs[key] == gone["gone"], "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that hold no item.
+
+    What a document holds follows from its text, so texts are judged, named by
+    128 bits of hashes: rows that share an id, or have none, go or stay by
+    their own texts."""
+    (name,) = fresh(docs, "name")
+    named = docs.withColumn(name, F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit("b"), text).alias("b")))
+    gone = contaminated(named, items, name, text, **options).select(F.col(name).alias("gone")).distinct()
+    return named.join(gone, F.col(name) == F.col("gone"), "left_anti").drop(name)
 
 
 def miss_probability(size: int, containment: float = 0.8) -> float:

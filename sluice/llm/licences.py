@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh, small_batches
+from sluice.llm.common import fresh, without
 
 RARE = 3
 _WORD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -134,13 +134,14 @@ def scan_licences(docs: DataFrame, base: Sequence[Template] = BASE, notices: Seq
     """All columns, and n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels are those of the phrases in ``base``; labels adds those of the
-    notices. Places count every start of a base phrase, words from 0."""
-    small_batches(docs.sparkSession)
+    notices. Places count every start of a base phrase, words from 0. A column
+    named like an added one is replaced."""
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    docs = without(docs, names, keep=[text])
     templates = [*base, *notices]
     index = Index(templates, word_idf(docs, sorted({w for t in templates for w in words_of(t.text.encode())}), text))
     (copy,) = fresh(docs, "text")
     n_cols, n_base = len(docs.columns), len(base)
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def one(t: str | None) -> tuple:

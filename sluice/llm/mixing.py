@@ -30,7 +30,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh, number_rows
+from sluice.llm.common import fresh, number_rows, without
 
 PERIOD = 1000         # slots after which the weights are met exactly
 MAX_SOURCES = 1000    # more are an error: the schedule is a driver-side table of sources x period at most
@@ -115,8 +115,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, source: str
 
     The order of the mix is (slot, place). ``weights``: by source; default:
     the square roots of the sources' row counts. Documents of a source are
-    taken in the order of a hash of their id."""
+    taken in the order of a hash of their id. A column named like an added one is replaced."""
     spark = docs.sparkSession
+    docs = without(docs, [block, release, deadline, slot, place], keep=[source, key])
     counts = {r[0]: r[1] for r in docs.groupBy(source).agg(F.count(F.lit(1))).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; mix groups of sources, or raise MAX_SOURCES")

@@ -22,11 +22,13 @@ to 2,000,000 rows (README has the figures; larger tables were not measured).
 The pivots are a bounded sample (the smallest hashes of the ids); every row is
 indexed.
 
-Edge cases: vectors that are null, zero, of another length than most, or hold
-a null or non-finite component take no part, nor do rows without id; rows that
-repeat an id are one vector (the smallest, compared by components); a query's
-own id is no candidate; ties go to the smaller id; with fewer than k
-candidates all are returned; an empty table gives no rows.
+Edge cases: vectors that are null, zero, or hold a null or non-finite component
+take no part, nor do rows without id; vectors are near only to vectors of their
+own length, and each length is searched by itself (more than ``MAX_LENGTHS``
+lengths are an error); every row is a candidate, rows that share an id too: a
+query leaves out one row with its id and vector, its own; equal rows are found
+as often as they stand, and asked for once; ties go to the smaller id; with
+fewer than k candidates all are returned; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -40,6 +42,7 @@ from pyspark.sql import functions as F
 from sluice.llm.common import stage
 
 PIVOTS, PREFIX, CLASSES = 256, 32, 128
+MAX_LENGTHS = 64
 
 
 def candidates(rows: int) -> int:
@@ -61,8 +64,9 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
 class Segment:
     """Pivot inverted files of some vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, prefix: int):
-        self.ids, self.x, self.prefix = ids, x, prefix
+    def __init__(self, ids: np.ndarray, x: np.ndarray, times: np.ndarray, pivots: np.ndarray, prefix: int):
+        """``times``: how often each row stands."""
+        self.ids, self.x, self.times, self.prefix = ids, x, times, prefix
         order = prefixes(x, pivots, prefix)
         flat, place = order.ravel(), np.tile(np.arange(order.shape[1]), len(ids))
         by = np.argsort(flat, kind="stable")
@@ -70,6 +74,14 @@ class Segment:
         row = np.repeat(np.arange(len(ids)), order.shape[1])
         self.lists = [(row[by[a:b]], place[by[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
+    def others(self, key: int, vector: np.ndarray) -> np.ndarray:
+        """How often each row is a candidate of a query: not its own row."""
+        out = self.times.copy()
+        for i in np.flatnonzero(self.ids == key):
+            if np.array_equal(self.x[i], vector):
+                out[i] -= 1
+        return out
+
     def gains(self, query: np.ndarray) -> np.ndarray:
         """How much less than the largest footrule each vector's distance from a query's prefix is."""
         out = np.zeros(len(self.ids), np.int64)
@@ -88,63 +100,67 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     """(query_id, rank, vec_id, score): each query's k nearest found."""
     spark = vectors.sparkSession
     as_double = F.col(vec).cast("array<double>")
-    good = vectors.select(F.col(key).cast("long").alias("id"), as_double.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    ask = queries.select(F.col(key).cast("long").alias("id"), as_double.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
-    sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dim, rows = sizes[0]["d"], sizes[0]["count"]
-    good, ask = good.filter(F.size("v") == dim), ask.filter(F.size("v") == dim)
+    usable_rows = lambda d: d.select(F.col(key).cast("long").alias("id"), as_double.alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v")))
+    rows = usable_rows(vectors).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n"))
+    sizes = usable_rows(vectors).groupBy(F.size("v").alias("d")).count().orderBy("d").limit(MAX_LENGTHS + 1).collect()
+    if len(sizes) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for i, r in enumerate(sizes):
+        of_length = F.size("v") == r["d"]
+        found = _search(rows.filter(of_length), usable_rows(queries).filter(of_length).distinct(), r["count"], k, candidates(r["count"]) if wanted is None else wanted, n_pivots, prefix)
+        out = out.unionByName(found) if i else found
+    return out
+
+
+def _search(good: DataFrame, queries: DataFrame, rows: int, k: int, wanted: int, n_pivots: int, prefix: int) -> DataFrame:
+    """The search among vectors (id, v, n times) of one length."""
     sample = good.groupBy(F.xxhash64("id", F.lit("pivot")).alias("h"), "id").agg(F.min("v").alias("v")).orderBy("h", "id").limit(n_pivots).collect()
     pivots = np.array([r["v"] for r in sample])
     pre = min(prefix, len(pivots))
-    n_ask = ask.count()
-    wanted = candidates(rows) if wanted is None else wanted
+    asked = stage(queries.withColumn("q", F.monotonically_increasing_id()), "asked")      # written, so that the numbers stay
     segments = math.ceil(rows / min(max(rows // 64, 512), 65536))
-    blocks = max(1, math.ceil(n_ask / 1024))
+    blocks = max(1, math.ceil(asked.count() / 1024))
     span = pre * (pre + 1) + 1
-    of = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = good.select(of(segments, "segment").alias("s"), spread(blocks).alias("b"), "id", "v")
-    asked = ask.groupBy("id").agg(F.min("v").alias("v"))
+    stored = good.select(F.pmod(F.xxhash64("id", "v", F.lit("segment")), F.lit(segments)).cast("int").alias("s"), spread(blocks).alias("b"), "id", "v", "n")
 
-    def open_cell(data: pd.DataFrame, ask: pd.DataFrame) -> tuple[Segment, np.ndarray, np.ndarray, np.ndarray] | None:
+    def open_cell(data: pd.DataFrame, ask: pd.DataFrame) -> tuple[Segment, np.ndarray, np.ndarray] | None:
         if not len(data) or not len(ask):
             return None
-        ids, x = data["id"].to_numpy(np.int64), _matrix(data["v"])
-        by = np.lexsort((*x.T[::-1], ids))
-        ids, x = ids[by], x[by]
-        once = np.concatenate(([True], ids[1:] != ids[:-1]))
         q = _matrix(ask["v"])
-        return Segment(ids[once], x[once], pivots, pre), ask["id"].to_numpy(np.int64), q, prefixes(q, pivots, pre)
+        return Segment(data["id"].to_numpy(np.int64), _matrix(data["v"]), data["n"].to_numpy(np.int64), pivots, pre), q, prefixes(q, pivots, pre)
 
     def tally(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         cell = open_cell(data, ask)
         if cell is None:
-            return pd.DataFrame({"id": np.zeros(0, np.int64), "n": []})
-        seg, ids, _, pre_q = cell
-        return pd.DataFrame({"id": ids, "n": [np.cumsum(np.bincount(seg.gains(p)[seg.ids != i] * CLASSES // span, minlength=CLASSES)[::-1])[::-1].tolist() for i, p in zip(ids, pre_q, strict=True)]})
+            return pd.DataFrame({"q": np.zeros(0, np.int64), "n": pd.Series([], dtype=object)})
+        seg, q, pre_q = cell
+        return pd.DataFrame({"q": ask["q"], "n": [np.cumsum(np.bincount(seg.gains(p) * CLASSES // span, seg.others(i, v), CLASSES)[::-1])[::-1].astype(np.int64).tolist()
+                                                   for i, v, p in zip(ask["id"], q, pre_q, strict=True)]})
 
     def rerank(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         cell = open_cell(data, ask)
         out = []
         if cell is not None:
-            seg, ids, q, pre_q = cell
-            for i, v, p, cut in zip(ids, q, pre_q, ask["cut"], strict=True):
-                near = np.flatnonzero((seg.gains(p) * CLASSES // span >= cut) & (seg.ids != i))
+            seg, q, pre_q = cell
+            for no, i, v, p, cut in zip(ask["q"], ask["id"], q, pre_q, ask["cut"], strict=True):
+                times = seg.others(i, v)
+                near = np.flatnonzero((seg.gains(p) * CLASSES // span >= cut) & (times > 0))
                 d = np.sqrt(((seg.x[near] - v) ** 2).sum(axis=1))
                 best = np.lexsort((seg.ids[near], d))[:k]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": seg.ids[near[best]], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+                best = np.repeat(best, np.minimum(times[near[best]], k))[:k]
+                out.append(pd.DataFrame({"q": no, "query_id": i, "vec_id": seg.ids[near[best]], "score": d[best]}))
+        none = np.zeros(0, np.int64)
+        return pd.concat(out) if out else pd.DataFrame({"q": none, "query_id": none, "vec_id": none, "score": np.zeros(0)})
 
     def cells(ask: DataFrame, run, result: str) -> DataFrame:
-        sent = ask.select(spread(segments).alias("s"), of(blocks, "block").alias("b"), *ask.columns)
+        sent = ask.select(spread(segments).alias("s"), F.pmod(F.xxhash64("q", F.lit("block")), F.lit(blocks)).cast("int").alias("b"), *ask.columns)
         return stored.groupBy("s", "b").cogroup(sent.groupBy("s", "b")).applyInPandas(run, result)
 
-    counts = cells(asked, tally, "id long, n array<long>").groupBy("id").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)])
+    counts = cells(asked, tally, "q long, n array<long>").groupBy("q").agg(*[F.sum(F.get("n", F.lit(i))).alias(f"c{i}") for i in range(CLASSES)])
     cut = F.greatest(F.lit(0), *[F.when(F.col(f"c{i}") >= wanted, i).otherwise(0) for i in range(1, CLASSES)])
-    cuts = stage(counts.select("id", cut.alias("cut")), "cuts")
-    found = cells(asked.join(cuts, "id"), rerank, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    cuts = stage(counts.select("q", cut.alias("cut")), "cuts")
+    found = cells(asked.join(cuts, "q"), rerank, "q long, query_id long, vec_id long, score double")
+    w = Window.partitionBy("q").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

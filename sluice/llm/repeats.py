@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import MAX_LONG, small_batches, stage, text_buffers
+from sluice.llm.common import MAX_LONG, stage, text_buffers
 
 BATCH = 2 << 20         # bytes of text in a batch (a longer document is a batch of its own)
 PIECE = 256 << 10       # bytes whose hashes are held at once
@@ -350,7 +350,6 @@ def pack_documents(docs: DataFrame, key: str, text: str, task: Task) -> DataFram
         if parts:
             yield out()
 
-    small_batches(docs.sparkSession)
     return stage(docs.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, PACKED), "batches")
 
 
@@ -432,7 +431,6 @@ def find_repeats(docs: DataFrame, key: str, text: str, task: Task, resolve: Reso
         buckets = max(64, -(-total // task.bucket))
     if not 0 < buckets <= 1 << 32:
         raise ValueError(f"{buckets} buckets; at least 1 and at most 2**32 are possible")
-    small_batches(spark, 1)
     skip = copies(packed)
     whole = packed.drop("digests").join(skip.withColumnRenamed("batch", "b0"), F.col("batch") == F.col("b0"), "left").drop("b0")
 

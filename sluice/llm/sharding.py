@@ -81,14 +81,17 @@ def place(key: Column, tree: Sequence[Shard]) -> Column:
 def shard(docs: DataFrame, tree: Sequence[Shard], rows: int | None = None, grown: Sequence[Shard] | None = None, key: str = "doc_id",
           text: str = "text", names: Sequence[str] = ("size", "text_crc32", "law", "shard", "slot", "grown_shard"), carry: Sequence[str] | None = None,
           position: Column | None = None, positions: int | None = None) -> DataFrame:
-    """The columns ``carry`` (default: all), and of every row: size, checksum, law, shard, slot, and its shard in the tree ``grown``.
+    """The columns ``carry`` (default: all; those named like an added one are replaced), and of every row: size, checksum, law, shard, slot, and its shard in the tree ``grown``.
 
     ``rows``: the table's row count, if known; else it is counted. ``position``: a number from 0 to below ``positions``,
     spread evenly, in whose order the slots of a shard follow; default: a hash of the id."""
     if (position is None) != (positions is None):
         raise ValueError("position and positions go together")
     size, crc, law, out, slot, more = names
-    carry = docs.columns if carry is None else list(carry)
+    taken = {n.lower() for n in names}
+    if taken & {key.lower(), text.lower()}:
+        raise ValueError("an input column has the name of a column that is added; give other names")
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
     body = F.coalesce(F.col(text), F.lit(""))
     tie, order = fresh(docs, "key", "order")
     rows = docs.count() if rows is None else rows

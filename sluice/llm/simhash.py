@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import fresh, small_batches, stage
+from sluice.llm.common import fresh, stage
 
 GOLAY = 0xAE3       # generator polynomial of the binary Golay code: x^11+x^9+x^7+x^6+x^5+x+1
 SEED = 42
@@ -95,7 +95,6 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 def with_fingerprint(docs: DataFrame, out: str, text: str = "text", shingle: int = 3) -> DataFrame:
     """All columns and the fingerprint as a (signed) long."""
-    small_batches(docs.sparkSession)
     (copy,) = fresh(docs, "text")
     n_cols = len(docs.columns)
 
@@ -229,14 +228,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 
 def keep_representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of one document of each component: the one with the smallest key.
-
-    Rows that repeat a key are one document; the first of them stays. A row
-    without a key can't be named by a component and stays."""
-    found = stage(near_duplicates(docs, key, text, shingle, distance).select(F.col(key).alias("id"), F.col("component_id")), "components")
-    gone = found.filter("id <> component_id").select(F.col("id").alias("gone")).distinct()
-    again = found.filter("id is not null").groupBy("id").count().filter("count > 1")
-    kept = docs.join(gone, docs[key] == gone["gone"], "left_anti")
+    """One row of each component.
+
+    It is the row with the smallest key, of those with that key the one with
+    the smallest fingerprint, of those one of the texts with the smallest hash.
+    So rows that share a key, or have none, are judged by their own texts: a
+    null key comes after all others, and stays only where no row of its
+    component has one. The rows are written once with their fingerprints."""
+    fp, least, alike = fresh(docs, "fp", "least", "alike")
+    rows = stage(with_fingerprint(docs, fp, text, shingle), "printed")
+    prints = rows.select(F.col(key).alias("id"), F.col(fp).alias("fp"))
+    classes = stage(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    roots = components(near_links(classes, distance))
+    named = classes.join(roots, classes["fp"] == roots["node"])
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first"))
+    # Fingerprints all of whose rows go: linked ones that don't hold their component's row.
+    gone = named.join(first, "root").filter(F.col("first.fp") != F.col("fp")).select(F.col("fp").alias("gone"))
+    kept = rows.join(gone, F.col(fp) == F.col("gone"), "left_anti")
+    # Of the other fingerprints that stand more than once, the rows of the smallest key.
+    several = classes.filter("n > 1").select(F.col("fp").alias(alike), F.col("least").alias(least))
+    kept = kept.join(several, F.col(fp) == F.col(alike), "left").filter(F.col(alike).isNull() | F.col(key).eqNullSafe(F.col(least)))
+    again = prints.join(several, (F.col("fp") == F.col(alike)) & F.col("id").eqNullSafe(F.col(least))).groupBy("fp").count().filter("count > 1").select(F.col("fp").alias("again"))
     if not again.isEmpty():
-        kept = kept.filter(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(kept.filter(F.col(key).isNull()))
-    return kept
+        again = stage(again, "again")
+        single = kept.join(again, F.col(fp) == F.col("again"), "left_anti").select(*docs.columns)
+        one = kept.join(again, F.col(fp) == F.col("again"), "left_semi").groupBy(fp).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text)).alias("row"))
+        return single.unionByName(one.select("row.*"))
+    return kept.select(*docs.columns)

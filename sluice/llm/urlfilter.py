@@ -37,9 +37,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import stage
+from sluice.llm.common import fresh, stage, without
 
 MAX_LEVELS = 40
+MAX_PATH_LENGTHS = 1000    # of the rules: the paths of a URL that are looked up
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def host_of(url: Column) -> Column:
@@ -51,12 +53,6 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def split_rule(rule: str) -> tuple[str, str]:
-    """``example.com/en/`` -> host ``example.com``, path ``/en/``; ``com/`` -> ``com``, ``/``."""
-    host, slash, rest = rule.partition("/")
-    return host.lower(), slash + rest
-
-
 @dataclass
 class Level:
     bits: int
@@ -168,25 +164,33 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", rule: str =
                default: str = "allow", host: str = "host", path: str = "path", verdict: str = "verdict") -> DataFrame:
     """All columns, and each URL's host, path, deciding rule (null: none) and verdict.
 
-    ``rules``: (rule, action) with actions ``allow`` and ``block``."""
+    ``rules``: (rule, action) with actions ``allow`` and ``block``. A rule's
+    host counts, and is returned, with A-Z lower-cased, as a URL's is. A column
+    named like an added one is replaced."""
     spark = pages.sparkSession
-    listed = stage(rules.select(F.col(rule).alias("key"), F.col(action).alias("action")).filter("key is not null").distinct(), "rules")
+    pages = without(pages, [host, path, rule, verdict], keep=[url])
+    written = F.col(rule)
+    folded = F.concat(F.translate(F.substring_index(written, "/", 1), UPPER, UPPER.lower()), F.substr(written, F.length(F.substring_index(written, "/", 1)) + 1))
+    listed = stage(rules.filter(written.isNotNull()).select(folded.alias("key"), F.col(action).alias("action")).distinct(), "rules")
     if not listed.groupBy("key").count().filter("count > 1").isEmpty():
         raise ValueError("a rule is listed both as allow and as block")
     cut = F.locate("/", "key")
-    lengths = [r[0] for r in listed.select(F.when(cut > 0, F.length("key") - cut + 1).otherwise(0).alias("n")).distinct().orderBy("n").limit(1000).collect()]
+    lengths = [r[0] for r in listed.select(F.when(cut > 0, F.length("key") - cut + 1).otherwise(0).alias("n")).distinct().orderBy("n").limit(MAX_PATH_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_PATH_LENGTHS:
+        raise ValueError(f"rules with paths of more than {MAX_PATH_LENGTHS} lengths: every URL would have as many keys; split the list, or raise MAX_PATH_LENGTHS")
     parts = pages.withColumns({host: host_of(F.col(url)), path: path_of(F.col(url))})
     seen = pages.select(F.col(url).alias("url")).distinct().select(host_of(F.col("url")).alias("h"), path_of(F.col("url")).alias("p"))
     universe = stage(seen.filter("h <> ''").select(F.explode(url_keys(F.col("h"), F.col("p"), lengths)).alias("key")).distinct(), "keys")
     cascades = spark.sparkContext.broadcast({a: build_cascade(listed.filter(F.col("action") == a), universe) for a in ("block", "allow")})
     columns, out = len(parts.columns), parts.schema.names
+    keys_c, a_c, b_c, rule_c, verdict_c = fresh(parts, "keys", "a", "b", "rule", "verdict")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            sizes = p["__a"].map(len).to_numpy(np.int64)
-            a = np.concatenate([np.zeros(0, np.int64), *p["__a"]]).astype(np.int64)
-            b = np.concatenate([np.zeros(0, np.int64), *p["__b"]]).astype(np.int64)
-            keys = [k for row in p["__keys"] for k in row]
+            sizes = p[a_c].map(len).to_numpy(np.int64)
+            a = np.concatenate([np.zeros(0, np.int64), *p[a_c]]).astype(np.int64)
+            b = np.concatenate([np.zeros(0, np.int64), *p[b_c]]).astype(np.int64)
+            keys = [k for row in p[keys_c] for k in row]
             of = np.repeat(np.arange(len(p)), sizes)
             best: list = [None] * len(p)
             for name, cascade in cascades.value.items():
@@ -196,11 +200,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", rule: str =
                         best[of[j]] = mine
             res = p.iloc[:, :columns].copy()
             res.columns = out
-            res["__rule"] = [x and x[2] for x in best]
-            res["__verdict"] = [x[3] if x else default for x in best]
+            res[rule_c] = [x and x[2] for x in best]
+            res[verdict_c] = [x[3] if x else default for x in best]
             yield res
 
-    keyed = parts.withColumn("__keys", F.when(F.col(host) != "", url_keys(F.col(host), F.col(path), lengths)).otherwise(F.array().cast("array<string>")))
-    keyed = keyed.withColumns({"__a": F.transform("__keys", lambda k: F.xxhash64(k, F.lit("a"))), "__b": F.transform("__keys", lambda k: F.xxhash64(F.lit("b"), k))})
-    schema = parts.withColumns({"__rule": F.lit(None).cast("string"), "__verdict": F.lit(None).cast("string")}).schema
-    return keyed.mapInPandas(run, schema).withColumnsRenamed({"__rule": rule, "__verdict": verdict})
+    keyed = parts.withColumn(keys_c, F.when(F.col(host) != "", url_keys(F.col(host), F.col(path), lengths)).otherwise(F.array().cast("array<string>")))
+    keyed = keyed.withColumns({a_c: F.transform(keys_c, lambda k: F.xxhash64(k, F.lit("a"))), b_c: F.transform(keys_c, lambda k: F.xxhash64(F.lit("b"), k))})
+    schema = parts.withColumns({rule_c: F.lit(None).cast("string"), verdict_c: F.lit(None).cast("string")}).schema
+    return keyed.mapInPandas(run, schema).withColumnsRenamed({rule_c: rule, verdict_c: verdict})

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 """SimHash near-dedup and permutation search against brute force."""
 import random
 import re
@@ -83,7 +84,7 @@ def test_representatives_stay(make_docs):
     docs = make_docs([(5, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (8, "quite another text here"), (None, "a b c d e")])
     kept = keep_representatives(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "8", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "8"]
     assert keep_representatives(make_docs([])).count() == 0
 
 
@@ -136,5 +137,21 @@ def test_search_leaves_out_unusable_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0]), (8, [1.0, 1.0]), (None, [1.0, 2.0]), (100, [2.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [tuple(r) for r in search(df, df.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect()]
-    assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 7), (0, 2, 8), (0, 3, 100), (100, 1, 0), (100, 2, 7), (100, 3, 8)]
+    assert [(q, k, v) for q, k, v, _ in got] == [(0, 1, 7), (0, 2, 8), (0, 3, 8), (0, 4, 100), (100, 1, 0), (100, 2, 7), (100, 3, 8), (100, 4, 8)]
     assert search(df.limit(0), df).count() == 0
+
+
+def test_search_leaves_out_the_own_row_only(spark):
+    rows = [(1, [1.0, 0.1]), (1, [5.0, 5.0]), (2, [1.0, 2.0, 3.0]), (3, [1.0, 2.0, 4.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = lambda ids: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in search(df, df.filter(F.col("vec_id").isin(ids)), k=3).collect())
+    assert got([1]) == sorted([(1, 1, 100), (1, 2, 100), (1, 3, 100), (1, 1, 1), (1, 2, 100), (1, 3, 100)])
+    assert got([2]) == [(2, 1, 3)] and got([3]) == [(3, 1, 2)]
+    assert got([100]) == sorted([(100, 1, 100), (100, 2, 1), (100, 3, 100), (100, 1, 1), (100, 2, 100), (100, 3, 100)])
+
+
+def test_rows_that_share_an_id_stay_by_their_own_text(make_docs):
+    unique = "quite another text that nobody else has"
+    docs = make_docs([(1, "a b c d e"), (2, "a b c d e"), (2, unique), (4, "x y z u v"), (4, "x y z u v"), (None, "x y z u v"), (None, "only null ids k l m"), (None, "only null ids k l m"), (7, None), (8, "")])
+    kept = sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in keep_representatives(docs).collect())
+    assert [(i, t) for _, i, t in kept] == [(1, "a b c d e"), (2, unique), (4, "x y z u v"), (7, ""), (None, "only null ids k l m")]

@@ -6,6 +6,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from sluice.llm import decontam, langid, licences, mixing, sharding, urlfilter
 
@@ -233,3 +235,96 @@ def test_licences_match_brute_force(make_docs):
         assert x["base_labels"] == ",".join(sorted({label for _, label in at})) and set(x["base_labels"].split(",")) - {""} <= set(x["labels"].split(",")) and 0 <= x["score"] <= 1
     assert got[300]["labels"] == "gpl-3" and got[301]["labels"] == "" and got[302]["labels"] == "mit"
     assert licences.scan_licences(make_docs([])).count() == 0
+
+
+# ---- rejection, clashing names, placement recomputed ---------------------------
+
+def test_language_id_rejects_junk_and_unlearned_languages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train_language_model(docs, learn=~langid.held_out())
+    assert 0.6 < model.coverage < 0.97
+    strange = spark.createDataFrame([(-1, "Это русский текст о погоде и природе"), (-2, "Αυτό είναι ένα ελληνικό κείμενο για τον καιρό"), (-3, "xqzv kjwq zzxk pqvw wvkx qqj zxcv bnmq wqzx"), (-4, "Ez egy magyar szöveg az időjárásról, a természetről és a városokról")], "doc_id long, text string")
+    got = langid.detect_language(docs.select("doc_id", "text").unionByName(strange), model).filter(F.col("text").rlike("\\p{L}")).collect()
+    assert not any(r["accepted"] for r in got if r["doc_id"] < 0)
+    clean = [r["accepted"] for r in got if r["doc_id"] >= 0]
+    assert sum(clean) / len(clean) > 0.98
+
+
+def test_a_language_left_out_is_rejected_where_it_differs(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) > 100")
+    model = langid.train_language_model(docs.filter("lang <> 'es'"))
+    rates = {r["lang"]: r["rate"] for r in langid.detect_language(docs, model).groupBy("lang").agg(F.avg(F.col("accepted").cast("int")).alias("rate")).collect()}
+    assert rates["es"] < 0.1 and min(v for k, v in rates.items() if k != "es") > 0.97
+
+
+def no_name_twice(df):
+    assert len({c.lower() for c in df.columns}) == len(df.columns)
+    assert df.count() == df.select(*df.columns).count()
+
+
+def test_added_columns_replace_those_of_their_name(spark):
+    names = ["size", "Text_crc32", "law", "shard", "slot", "grown_shard", "block", "release", "deadline", "place", "n_words", "labels", "score", "lang_pred", "accepted", "host", "path", "rule", "verdict", "__keys", "__a", "__rule"]
+    docs = spark.createDataFrame([(i, f"the words of text {i}", "en", f"s{i % 2}", f"http://www.example.com/en/{i}") for i in range(20)], "doc_id long, text string, lang string, source string, url string")
+    docs = docs.withColumns({n: F.lit("mine") for n in names})
+    out = sharding.shard(docs, sharding.topology(8), grown=sharding.topology(9))
+    no_name_twice(out)
+    assert dict(out.dtypes)["size"] == "bigint" and out.select("__keys").first()[0] == "mine"
+    for made, kind in ((mixing.mix(docs), ("slot", "bigint")), (licences.scan_licences(docs), ("score", "double")), (langid.detect_language(docs, langid.train_language_model(docs)), ("score", "double")),
+                       (urlfilter.judge_urls(docs, spark.createDataFrame([("Example.com/", "block")], "rule string, action string")), ("verdict", "string"))):
+        no_name_twice(made)
+        assert dict(made.dtypes)[kind[0]] == kind[1] and made.filter(F.col(kind[0]).cast("string") == "mine").isEmpty()
+    with pytest.raises(ValueError):
+        mixing.mix(docs.withColumn("slot", F.col("source")), source="slot")
+
+
+def test_rules_hold_whatever_the_case_of_their_host(spark):
+    pages = spark.createDataFrame([(1, "http://example.com/x"), (2, "http://A.EXAMPLE.com/En/x"), (3, "http://other.org/x")], "page_id long, url string")
+    rules = spark.createDataFrame([("Example.COM/", "block"), ("A.example.com/En/", "allow")], "rule string, action string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(pages, rules).collect()}
+    assert got == {1: ("example.com/", "block"), 2: ("a.example.com/En/", "allow"), 3: (None, "allow")}
+    long = spark.createDataFrame([(f"e.com/{'x' * i}", "block") for i in range(urlfilter.MAX_PATH_LENGTHS + 1)], "rule string, action string")
+    with pytest.raises(ValueError, match="lengths"):
+        urlfilter.judge_urls(pages, long)
+
+
+def test_contaminated_rows_without_an_id_go(make_docs, spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    items = spark.createDataFrame([(1, words)], "item_id long, text string")
+    docs = make_docs([(None, f"before {words} after"), (None, "a clean text without an id, of some length"), (3, "another"), (3, words)])
+    assert sorted(r["text"] for r in decontam.remove_contaminated(docs, items).collect()) == ["a clean text without an id, of some length", "another"]
+
+
+def hash_of(*values):
+    """Spark's xxhash64 of longs and texts: each value's XXH64, seeded with the hash before it, from 42."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h)
+    return h
+
+
+def brute_place(key, tree):
+    """The shard of a key, from the law alone: at each level the child with the largest log(u) / weight."""
+    path, members = "", [m for m in tree if m.weight > 0]
+    for level in range(3):
+        name = lambda m: f"{path}/{(m.region, m.rack, m.shard)[level]}"  # noqa: B023, E731
+        children = list(dict.fromkeys(map(name, members)))
+        weight = {c: sum(m.weight for m in members if name(m) == c) for c in children}
+        draw = {c: math.log(((hash_of(key, c) >> 12) + 0.5) / (1 << 52)) / weight[c] for c in children}
+        path = max(children, key=draw.get)
+        members = [m for m in members if f"{path.rsplit('/', 1)[0]}/{(m.region, m.rack, m.shard)[level]}" == path]
+    return members[0].shard
+
+
+def test_shards_and_slots_recomputed(spark):
+    ids = [*range(300), 10**15, -5, -(1 << 62)]
+    docs = spark.createDataFrame([(i, "é" * (i % 5)) for i in ids], "doc_id long, text string")
+    grown = [*sharding.topology(8), sharding.Shard("r9", "k9", 8, 2.5)]
+    got = {r["doc_id"]: r for r in sharding.shard(docs, sharding.topology(8), grown=grown).collect()}
+    for i in ids:
+        text = "é" * (i % 5)
+        assert (got[i]["shard"], got[i]["grown_shard"]) == (brute_place(i, sharding.topology(8)), brute_place(i, grown))
+        assert (got[i]["size"], got[i]["text_crc32"]) == (len(text.encode()) + 1, zlib.crc32(text.encode()))
+        assert got[i]["grown_shard"] in (got[i]["shard"], 8)
+    for s in range(8):
+        mine = sorted((i for i in ids if got[i]["shard"] == s), key=lambda i: hash_of("slot", i))
+        assert [got[i]["slot"] for i in mine] == list(range(len(mine)))
