@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import vkind
 from sluice.functions.jsonpath import jtext
-from sluice.operators.extract import max_depth_of, path_catalogue, walk_paths
+from sluice.operators.extract import max_depth_of, walk_paths
+from sluice.plans.ordinal import null_safe_join
+from sluice.session import scratch_path
 
 # Record-array keys tried first at each level, in this order.
 PREFERRED_ARRAY_KEYS = ("results", "data", "items", "records", "list")
@@ -90,6 +92,53 @@ def infer_schema(records: DataFrame, group: Sequence[str] = (), max_depth: int |
     return g.select(*group, "path", widened.alias("type"), "n_records", "sample")
 
 
+def nested_schema(records: DataFrame, group: Sequence[str] = ("connector_id",), max_depth: int | None = None) -> DataFrame:
+    """I3 in its nested shape: per group one JSON text ``{"type": "object",
+    "properties": {name: {"type", "example"} | {"type": "object", "properties"}}}``.
+
+    All records are merged: types widen as in I1, a field that is an object in
+    any record is an object with the properties of all of them, an array is a
+    string; the example is the smallest text (of an array its JSON, of JSON null
+    ``null``). Records that are no objects have no properties; a group of only
+    such records has an empty object. A name that holds a dot can't be told from
+    two names in a path: such fields are left out.
+
+    Fields are first merged by path (partial aggregation over all records);
+    what is folded, level by level from the deepest, is one row a path."""
+    keys, group = list(group), list(group)
+    if not group:
+        records, group = records.withColumn("__all", F.lit(1)), ["__all"]
+    walked = walk_paths(records, max_depth=max_depth, group=group).filter(~F.col("path").contains("[*]"))
+    k = vkind(F.col("v"))
+    typ = F.when(k == "object", "object").when(k == "array", "string").when(k != "null", _type_col(k))
+    text = F.when(k == "null", F.lit("null")).when(k == "array", F.to_json("v")).when(k != "object", jtext(F.col("v"), k))
+    rank = F.create_map(*[F.lit(x) for kv in {**WIDEN_RANK, "object": 5}.items() for x in kv])
+    g = walked.select(*group, "path", typ.alias("t"), text.alias("s")).groupBy(*group, "path").agg(
+        F.max(F.element_at(rank, F.col("t"))).alias("r"), F.count_distinct("t").alias("nt"), F.max((F.col("t") == "boolean").cast("int")).alias("hasb"),
+        F.min(F.when(F.col("s") != "null", F.col("s"))).alias("s"))
+    kind = (F.when(F.col("r") == 5, "object").when((F.col("hasb") == 1) & (F.col("nt") > 1), "string").when(F.col("r") == 1, "long")
+             .when(F.col("r") == 2, "double").when(F.col("r") == 3, "boolean").otherwise("string"))
+    steps = F.split("path", r"\.")
+    depth = F.size(steps) - 1
+    staged = scratch_path(records.sparkSession, "schema-paths")
+    g.select(*group, "path", depth.alias("depth"), F.element_at(steps, -1).alias("name"), F.regexp_replace("path", r"\.[^.]*$", "").alias("parent"),
+             kind.alias("type"), F.coalesce("s", F.lit("null")).alias("s")).write.parquet(staged)
+    paths = records.sparkSession.read.parquet(staged)
+    quoted = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    plain = F.col("type").isin("long", "double", "boolean")
+    scalar = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('","example":'), F.when(plain, F.col("s")).otherwise(quoted(F.col("s"))), F.lit("}"))
+    below = None
+    for level in range(paths.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        here = paths.filter(F.col("depth") == level)
+        here = here.withColumn("__props", F.lit(None).cast("string")) if below is None else null_safe_join(here, below.withColumnRenamed("parent", "path"), [*group, "path"], "left")
+        node = F.when(F.col("type") == "object", F.concat(F.lit('{"type":"object","properties":'), F.coalesce("__props", F.lit("{}")), F.lit("}"))).otherwise(scalar)
+        entry = F.concat(quoted(F.col("name")), F.lit(":"), node)
+        below = here.groupBy(*group, "parent").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(entry)), ","), F.lit("}")).alias("__props"))
+    groups = records.select(*group).distinct()
+    groups = groups.withColumn("__props", F.lit(None).cast("string")) if below is None else null_safe_join(groups, below.drop("parent"), group, "left")
+    return groups.select(*keys, F.concat(F.lit('{"type":"object","properties":'), F.coalesce("__props", F.lit("{}")), F.lit("}")).alias("record_schema"))
+
+
 def detect_record_array(pages: DataFrame, body_col: str = "body", max_depth: int | None = None) -> DataFrame:
     """I4: path of the record array of each body: the first array of objects
     in a depth-first walk that tries ``results, data, items, records, list``

@@ -248,3 +248,22 @@ def metric_counters(runs: DataFrame) -> dict[str, DataFrame]:
             F.struct(F.lit("failed").alias("stage"), F.col("records_failed").alias("n")))).alias("s"))
             .groupBy(F.col("s.stage").alias("stage")).agg(F.coalesce(F.sum("s.n"), F.lit(0)).alias("records")),
     }
+
+
+# Items kept a level of a sketch; the rank error that goes with it (one-sided, 99 %) is below 1 %.
+SKETCH_K = 400
+
+
+def duration_sketches(runs: DataFrame, by: tuple = ("day", "run_type"), k: int = SKETCH_K) -> DataFrame:
+    """J20 durations as mergeable state: one quantile sketch (KLL) of
+    ``duration_ms`` per day and run type, of a few KB whatever the number of
+    runs. Append the sketches of each new day; no quantile reads a run again.
+    Unfinished runs have no duration; a group of only such runs has no sketch."""
+    d = with_duration(runs).withColumn("day", F.to_date("started_at")).filter(F.col("duration_ms").isNotNull())
+    return d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_bigint("duration_ms", k).alias("sketch"))
+
+
+def duration_quantiles(sketches: DataFrame, by: tuple = ("run_type",), quantiles: tuple = (0.5, 0.95), k: int = SKETCH_K) -> DataFrame:
+    """Sketches rolled up to ``by``: runs and one ``p<percent>_ms`` a quantile."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_bigint("sketch", k).alias("__s"))
+    return merged.select(*by, "n", *[F.kll_sketch_get_quantile_bigint("__s", F.lit(q)).alias(f"p{round(q * 100)}_ms") for q in quantiles])

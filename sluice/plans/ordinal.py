@@ -2,8 +2,10 @@
 
 ``row_number() over (partition by g order by k)`` sorts a whole group in one
 task; when one group holds a third of the rows that task is the job. Here the
-ordering key is cut into blocks whose width follows the key's range and the
-row count, so that a block of evenly spread keys holds about ``block`` rows.
+ordering key is cut into ranges at its quantiles (closer at both ends, so that
+an outlier has a range of few rows), and each range into blocks of equal width,
+so that a block holds about ``block`` rows also where the keys are dense in one
+place and rare in another. Evenly spread keys have one range.
 Per-(group, block) counts are pre-aggregated (map-side combine) and
 prefix-summed level by level: blocks within blocks of ``FAN`` blocks, and so
 on, until a level has one block a group, so no window on the way sees more
@@ -31,13 +33,56 @@ def _key_num(c: Column, kind: str) -> Column:
     return c.cast("bigint")
 
 
-def _bounds(df: DataFrame, key: Column, group: Sequence[str] = ()) -> tuple[int, int, int, int, bool]:
-    """Smallest and largest key, rows, rows without a key, and whether a group is null, in one aggregate."""
+# Places of the range borders, as shares of the rows, and the accuracy their quantiles need.
+TAIL = (0.0002, 0.001, 0.005)
+SHARES = (*TAIL, *[i / 64 for i in range(1, 64)], *[1 - t for t in reversed(TAIL)])
+ACCURACY = 10000
+
+
+def _bounds(df: DataFrame, key: Column, group: Sequence[str] = ()) -> tuple[int, int, int, int, bool, list[int]]:
+    """Smallest and largest key, rows, rows without a key, whether a group is
+    null, and the keys at ``SHARES``, in one aggregate."""
     null = F.lit(False)
     for g in group:
         null = null | F.col(g).isNull()
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(key.isNull()).alias("none"), F.max(null).alias("null")).first()
-    return r["lo"] or 0, r["hi"] or 0, r["n"], r["none"], bool(r["null"])
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(key.isNull()).alias("none"), F.max(null).alias("null"),
+               F.percentile_approx(key, list(SHARES), ACCURACY).alias("at")).first()
+    return r["lo"] or 0, r["hi"] or 0, r["n"], r["none"], bool(r["null"]), list(r["at"] or [])
+
+
+def _ranges(lo: int, hi: int, keyed: int, at: Sequence[int], block: int) -> list[tuple[int, int, int]]:
+    """Ranges of keys as (first key, width of a block, number of its first block).
+
+    The rows of a range follow from the shares of its borders. A share whose key
+    is the one before it adds no border: equal keys stand in one block. Ranges of
+    less than half a block join the next, but for those at the ends. Keys spread so
+    evenly that no block of one width would hold over twice its share have one range."""
+    width = max(1, (hi - lo + 1) * block // max(keyed, 1))
+    points = [(lo, 0.0), *zip(at, SHARES), (hi + 1, 1.0)]
+    if all((above - share) * keyed <= 2 * block * max(1.0, (end - start) / width) for (start, share), (end, above) in zip(points, points[1:])):
+        return [(lo, width, 0)]
+    cuts, last = [(lo, 0.0)], lo
+    for key, share in zip(at, SHARES):
+        small = (share - cuts[-1][1]) * keyed < block / 2
+        if key <= last or key > hi or (small and TAIL[-1] < share < 1 - TAIL[-1]):
+            continue
+        cuts.append((key, share))
+        last = key
+    out, first = [], 0
+    for (start, share), (end, above) in zip(cuts, [*cuts[1:], (hi + 1, 1.0)]):
+        n = max(1, min(end - start, -(-int((above - share) * keyed) // block)))
+        out.append((start, -(-(end - start) // n), first))
+        first += n
+    return out
+
+
+def _block_of(key: Column, ranges: Sequence[tuple[int, int, int]]) -> Column:
+    """The block of a key: its range by halving, then equal widths."""
+    if len(ranges) == 1:
+        start, width, first = ranges[0]
+        return F.floor((key - F.lit(start)) / F.lit(width)) + F.lit(first)
+    mid = len(ranges) // 2
+    return F.when(key < F.lit(ranges[mid][0]), _block_of(key, ranges[:mid])).when(key.isNotNull(), _block_of(key, ranges[mid:]))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -83,13 +128,13 @@ def with_ordinal(df: DataFrame, group: Sequence[str], order: str, out: str = "rn
     group = list(group)
     blk = "__blk"
     key = _key_num(F.col(order), key_kind)
-    lo, hi, rows, none, null_group = _bounds(df, key, group)
-    width = max(1, (hi - lo + 1) * block // max(rows, 1))
-    last = (hi - lo) // width
+    lo, hi, rows, none, null_group, at = _bounds(df, key, group)
+    ranges = _ranges(lo, hi, rows - none, at, block)
+    last = ranges[-1][2] + (hi - ranges[-1][0]) // ranges[-1][1]
     # Rows without a key: blocks by a hash, after the last block of keys.
     by_hash = F.xxhash64(*(tiebreak or [c for c, t in df.dtypes if not t.startswith(("map", "variant"))]))
     spread = -(-none // block)
-    b = df.withColumn(blk, F.floor((key - F.lit(lo)) / F.lit(width)))
+    b = df.withColumn(blk, _block_of(key, ranges))
     if none:
         b = b.withColumn(blk, F.coalesce(blk, F.lit(last + 1) + F.pmod(by_hash, F.lit(spread))))
     counts = b.groupBy(*group, blk).agg(F.count(F.lit(1)).alias("__n"))

@@ -57,6 +57,44 @@ def i3_infer_schema(spark, sf):
     return I.infer_schema(recs)
 
 
+@register("i3_nested_schema", """
+SELECT json_extract_string(s, '$.properties.c_custkey.type') AS key_type, CAST(min(c_custkey) AS VARCHAR) AS key_example, 'object' AS place_type, 'string' AS nation_type,
+  'object' AS mixed_type, min(CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END) AS segment_example, 'boolean' AS vip_type, 'string' AS tags_type, 6 AS n_fields
+FROM customer, (SELECT '{"properties":{"c_custkey":{"type":"long"}}}' AS s) GROUP BY s""")
+def i3_nested_schema(spark, sf):
+    """One schema from records that disagree: nations are numbers or texts, and
+    ``mixed`` is an object in every second record only."""
+    c = read_table(spark, sf, "customer")
+    ck = F.col("c_custkey")
+    nation = F.when(ck % 3 == 0, F.concat(F.lit('"n'), F.col("c_nationkey").cast("string"), F.lit('"'))).otherwise(F.col("c_nationkey").cast("string"))
+    mixed = F.when(ck % 2 == 1, F.concat(F.lit('{"segment":'), F.to_json(F.struct("c_mktsegment")).substr(F.lit(17), F.length(F.to_json(F.struct("c_mktsegment"))) - 17), F.lit("}"))).otherwise(F.lit("7"))
+    rec = F.concat(F.lit('{"c_custkey":'), ck.cast("string"), F.lit(',"place":{"nation":'), nation, F.lit(',"segment":"x"},"mixed":'), mixed,
+                   F.lit(',"vip":'), (F.col("c_acctbal") > 5000).cast("string"), F.lit(',"note":null,"tags":["a",1]}'))
+    schema = I.nested_schema(X.extract_records(land_pages(c, F.lit("customers"), "c_custkey", rec, page_size=100), "$.data"))
+    s = F.parse_json("record_schema")
+    at = lambda path: F.try_variant_get(s, "$.properties." + path, "string")
+    return schema.select(at("c_custkey.type").alias("key_type"), at("c_custkey.example").alias("key_example"), at("place.type").alias("place_type"),
+                         at("place.properties.nation.type").alias("nation_type"), at("mixed.type").alias("mixed_type"),
+                         at("mixed.properties.segment.example").alias("segment_example"), at("vip.type").alias("vip_type"), at("tags.type").alias("tags_type"),
+                         F.size(F.map_keys(F.try_variant_get(s, "$.properties", "map<string,variant>"))).alias("n_fields"))
+
+
+@register("i2_schema_mappings", """
+SELECT p_partkey, target, '$.' || target AS source, type FROM (
+  SELECT p_partkey, 'id' AS target, CASE WHEN p_size % 2 = 0 THEN 'long' ELSE 'string' END AS type FROM part
+  UNION ALL SELECT p_partkey, 'price', CASE p_size % 3 WHEN 0 THEN 'double' WHEN 1 THEN 'decimal' ELSE 'double' END FROM part
+  UNION ALL SELECT p_partkey, 'live', 'boolean' FROM part WHERE p_size > 25
+  UNION ALL SELECT p_partkey, 'when', 'string' FROM part)""")
+def i2_schema_mappings(spark, sf):
+    """Mappings of one declared schema per part."""
+    size = F.col("p_size")
+    fields = F.concat_ws(",", F.concat(F.lit('"id":{"type":"'), F.when(size % 2 == 0, "INTEGER").otherwise("string"), F.lit('"}')),
+                         F.concat(F.lit('"price":{"type":"'), F.when(size % 3 == 0, "number").when(size % 3 == 1, "decimal").otherwise("double"), F.lit('"}')),
+                         F.when(size > 25, F.lit('"live":{"type":"boolean","example":true}')), F.lit('"when":{"format":"date"}'))
+    parts = read_table(spark, sf, "part").select("p_partkey", F.concat(F.lit('{"type":"object","properties":{'), fields, F.lit("}}")).alias("record_schema"))
+    return I.mappings_from_schema(parts)
+
+
 def _mixed_pages(spark, sf):
     ev = read_table(spark, sf, "events")
     o = read_table(spark, sf, "orders")

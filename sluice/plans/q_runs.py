@@ -82,6 +82,29 @@ def j7_overview_recent(spark, sf):
     return J.overview(run_log(spark, sf), 10)["recent"].select("id", "connector_id")
 
 
+OVERVIEW_COLUMNS = ["frame", "connector_id", "id", "total_runs", "success_runs", "failed_runs", "records_ok", "records_failed"]
+
+
+@register("j7_overview", f"""
+WITH s AS (SELECT connector_id, count(*) AS total_runs, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) AS success_runs,
+  sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS failed_runs, coalesce(sum(records_ok), 0) AS records_ok,
+  coalesce(sum(records_failed), 0) AS records_failed FROM {RUNS} GROUP BY connector_id)
+SELECT 'by_connector' AS frame, connector_id, CAST(NULL AS BIGINT) AS id, total_runs, success_runs, failed_runs, records_ok, records_failed FROM s
+UNION ALL SELECT 'global', NULL, NULL, coalesce(sum(total_runs), 0), coalesce(sum(success_runs), 0), coalesce(sum(failed_runs), 0),
+  coalesce(sum(records_ok), 0), coalesce(sum(records_failed), 0) FROM s
+UNION ALL SELECT 'recent', connector_id, id, NULL, NULL, NULL, records_ok, records_failed FROM
+  (SELECT * FROM {RUNS} ORDER BY started_at DESC, id DESC LIMIT 10)""")
+def j7_overview(spark, sf):
+    """All three frames of the overview."""
+    frames = J.overview(run_log(spark, sf), 10)
+    out = None
+    for name, frame in frames.items():
+        part = frame.select(*[F.lit(name).alias(c) if c == "frame" else F.col(c) if c in frame.columns else F.lit(None).cast("string" if c == "connector_id" else "bigint").alias(c)
+                              for c in OVERVIEW_COLUMNS])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("j8_active_connectors", f"""
 SELECT DISTINCT connector_id FROM {RUNS} WHERE status IN ('pending', 'running')""")
 def j8_active_connectors(spark, sf):
@@ -249,6 +272,37 @@ def j20_duration_by_type(spark, sf):
     return J.metric_counters(run_log(spark, sf))["duration"].drop("p50_ms")
 
 
+DURATIONS = f"(SELECT run_type, (epoch_us(finished_at) // 1000) - (epoch_us(started_at) // 1000) AS ms FROM {RUNS_F} WHERE finished_at IS NOT NULL)"
+
+
+@register("j20_duration_quantiles", f"""
+SELECT run_type, count(*) AS n, q, TRUE AS within_bound FROM {DURATIONS}, (SELECT unnest([50, 95]) AS q) GROUP BY run_type, q""")
+def j20_duration_quantiles(spark, sf):
+    """p50 and p95 from sketches per day and run type, rolled up without the
+    runs; each is held against its true rank among the runs (error under 2 %)."""
+    runs = run_log(spark, sf)
+    found = J.duration_quantiles(J.duration_sketches(runs))
+    d = J.with_duration(runs).filter(F.col("duration_ms").isNotNull()).select("run_type", "duration_ms")
+    ranks = d.join(found, "run_type").groupBy("run_type").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("n"), *[
+        f(c).alias(f"{name}{q}") for q in (50, 95) for name, f, c in
+        (("below", F.count_if, F.col("duration_ms") < F.col(f"p{q}_ms")), ("upto", F.count_if, F.col("duration_ms") <= F.col(f"p{q}_ms")))])
+    e = ranks.select("run_type", "n", "runs", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.col(f"below{q}").alias("below"), F.col(f"upto{q}").alias("upto")) for q in (50, 95)])).alias("x"))
+    share = F.col("x.q") / 100
+    near = (F.col("x.below") <= (share + 0.02) * F.col("runs")) & (F.col("x.upto") >= (share - 0.02) * F.col("runs"))
+    return e.select("run_type", "n", F.col("x.q").alias("q"), (near & (F.col("n") == F.col("runs"))).alias("within_bound"))
+
+
+@register("j20_duration_p50", f"""
+SELECT run_type, count(*) AS n, TRUE AS p50_is_median FROM {DURATIONS} GROUP BY run_type""")
+def j20_duration_p50(spark, sf):
+    """The p50 of the duration summary, held against the runs: no more than a hundredth of them off the middle."""
+    runs = run_log(spark, sf)
+    d = J.with_duration(runs).filter(F.col("duration_ms").isNotNull()).select("run_type", "duration_ms")
+    g = d.join(J.metric_counters(runs)["duration"].select("run_type", "n", "p50_ms"), "run_type").groupBy("run_type").agg(
+        F.max("n").alias("n"), F.count_if(F.col("duration_ms") < F.col("p50_ms")).alias("below"), F.count_if(F.col("duration_ms") <= F.col("p50_ms")).alias("upto"))
+    return g.select("run_type", "n", ((F.col("below") <= F.col("n") * 0.51) & (F.col("upto") >= F.col("n") * 0.49)).alias("p50_is_median"))
+
+
 # ---- K -----------------------------------------------------------------------
 
 @register("k2_upsert_into_target", """

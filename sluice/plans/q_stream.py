@@ -6,12 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.operators import runs as J
 from sluice.operators import tables as B
-from sluice.plans.registered import FLAGSHIP_STEPS, register
+from sluice.plans.registered import FLAGSHIP_STEPS, ORACLE, register
 from sluice.session import scratch_path
-from sluice.sources.landed import event_pages, land_pages, push_connectors, push_requests, read_table
+from sluice.sources.landed import event_pages, land_pages, push_connectors, push_requests, read_table, run_log
+from sluice.streaming import runs as R
 from sluice.streaming.pages import run_pages_stream
-from sluice.streaming.push import run_push_stream
+from sluice.streaming.push import run_deduped_stream, run_push_stream
 
 PUSH_MAPPINGS = [
     {"source": "$.EventID", "target": "event_id", "type": "string"},
@@ -177,3 +179,74 @@ def u6_restarted_stream(spark, sf):
         sent.filter(F.col("seq") % 2 == n).coalesce(2).write.mode("append").json(land)
         run_push_stream(spark, land, conns, PUSH_MAPPINGS, out, scratch_path(spark, "push-ckpt"))
     return B.read_table(spark, f"{out}/table").select("connector_id", "event_id", "event_name")
+
+
+PARTS = 5
+
+
+def _landed_in_parts(rows, at, land: str, swap_s: int, write) -> None:
+    """Land the rows in files that follow each other in time, but for a third
+    of them, which lands up to ``swap_s`` seconds' worth of rows later."""
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    span = ((hi or 0) - (lo or 0)) // PARTS + 1
+    late = F.when(F.xxhash64(*[c for c in ("id", "request_id") if c in rows.columns]) % 3 == 0, swap_s).otherwise(0)
+    part = F.least(F.floor((at + late - F.lit(lo or 0)) / F.lit(span)), F.lit(PARTS - 1))
+    for n in range(PARTS):
+        write(rows.filter(part == n).coalesce(2), land)
+
+
+def _landed_runs(spark, sf) -> str:
+    """The run log in files out of order by up to an hour, then a heartbeat that lets the last runs fall due."""
+    land = scratch_path(spark, "runs-landed")
+    runs = run_log(spark, sf).select(*R.RUN_SCHEMA.names)
+    _landed_in_parts(runs, F.unix_seconds("started_at"), land, 3600, lambda d, to: d.write.mode("append").parquet(to))
+    beat = runs.agg((F.max("started_at") + F.expr("interval 1 day")).alias("started_at"))
+    beat.select(*[F.col(f.name) if f.name == "started_at" else F.lit(None).cast(f.dataType).alias(f.name) for f in R.RUN_SCHEMA]).write.mode("append").parquet(land)
+    return land
+
+
+def _alerts(spark, sf):
+    return R.run_alerts(spark, _landed_runs(spark, sf), scratch_path(spark, "alerts"), scratch_path(spark, "alerts-ckpt"), "2 hours", max_files_per_trigger=2)
+
+
+@register("j16_streamed_streaks", ORACLE["j16_consecutive_failures"])
+def j16_streamed_streaks(spark, sf):
+    """Failure streaks of a run log that lands out of order in several micro-batches: those of the batch operator."""
+    return _alerts(spark, sf).filter(F.col("alert") == R.STREAK).select("connector_id", "id")
+
+
+@register("j17_streamed_failures", ORACLE["j17_failures_within_window"])
+def j17_streamed_failures(spark, sf):
+    """Failures within 30 minutes on the same stream."""
+    return _alerts(spark, sf).filter(F.col("alert") == R.WINDOW).select("connector_id", "id", F.col("failures").alias("failures_in_window"))
+
+
+@register("j1_running_stats", ORACLE["j1_stats_by_connector"])
+def j1_running_stats(spark, sf):
+    """Statistics by connector, kept up to date by a streaming aggregate."""
+    return R.run_statistics(spark, _landed_runs(spark, sf), scratch_path(spark, "stats"), scratch_path(spark, "stats-ckpt"), max_files_per_trigger=2)
+
+
+@register("j2_running_total", ORACLE["j2_global_stats"])
+def j2_running_total(spark, sf):
+    return R.total_of(j1_running_stats(spark, sf))
+
+
+@register("j19_running_report", ORACLE["j19_daily_report"])
+def j19_running_report(spark, sf):
+    """The daily report, kept up to date by a streaming aggregate."""
+    return R.run_statistics(spark, _landed_runs(spark, sf), scratch_path(spark, "report"), scratch_path(spark, "report-ckpt"), J.daily_report,
+                            ("day", "connector_id"), max_files_per_trigger=2)
+
+
+@register("u6_deduped_within_delay", f"""
+SELECT 'push-' || CAST(k AS VARCHAR) AS connector_id, nullif(EventID, '') AS event_id, CASE WHEN EventID = '' THEN count(*) ELSE 1 END AS n
+FROM {PUSH_SQL} GROUP BY k, EventID""")
+def u6_deduped_within_delay(spark, sf):
+    """Pushes that land out of order in several micro-batches: a repeated event
+    passes once, also if it comes in a later batch; pushes without id all pass."""
+    land = scratch_path(spark, "push-landed")
+    sent = push_requests(spark, sf).withColumn("__at", F.unix_seconds(F.to_timestamp(F.get_json_object("body", "$.EventTime"))))
+    _landed_in_parts(sent, F.col("__at"), land, 3600, lambda d, to: d.drop("__at").write.mode("append").json(to))
+    got = run_deduped_stream(spark, land, scratch_path(spark, "deduped"), scratch_path(spark, "deduped-ckpt"), "2 hours", max_files_per_trigger=2)
+    return got.groupBy("connector_id", "event_id").agg(F.count(F.lit(1)).alias("n"))

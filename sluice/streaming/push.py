@@ -16,6 +16,8 @@ with ``readStream.json`` and processed per micro-batch with ``foreachBatch``:
   wins, into a table whose log names the stream and its batch. It is committed
   after results and run log: a batch the log has is complete, any other is
   done again as a whole. A stream with another checkpoint is another writer.
+* U6 in state: ``dedupe_pushes`` drops repeats of (connector, event id) that
+  come within a delay in event time, before anything is written.
 """
 from __future__ import annotations
 
@@ -143,3 +145,33 @@ def run_push_stream(spark, landed_dir: str, connectors: DataFrame, mappings: Seq
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return table, results, runlog
+
+
+def dedupe_pushes(events: DataFrame, within: str, id_field: str = "EventID", time_fields: Sequence[str] = ("EventTime", "SendTime")) -> DataFrame:
+    """U6 over a stream: the first of the pushes of one connector and event id
+    whose event times lie within ``within``; adds ``event_id``, ``event_time``.
+
+    The state holds a key until the watermark has passed its time by the delay,
+    whatever the length of the stream. A push later than the delay is dropped
+    (and counted in the query's progress): where late pushes must land, the
+    keyed table (``process_batch``) is the way. Pushes without an id are never
+    repeats of each other: they pass, one by request, for U3 to reject. One
+    without a time passes as well; its repeats do so unless they share its
+    micro-batch."""
+    v = F.try_parse_json("body")
+    eid = F.nullif(F.trim(F.try_variant_get(v, f"$.{id_field}", "string")), F.lit(""))
+    at = F.coalesce(*[F.try_to_timestamp(F.try_variant_get(v, f"$.{f}", "string")) for f in time_fields])
+    key = F.coalesce(F.concat(F.lit("id:"), eid), F.concat(F.lit("request:"), F.col("request_id")))
+    timed = events.withColumn("event_id", eid).withColumn("event_time", at).withColumn("__key", key)
+    return timed.withWatermark("event_time", within).dropDuplicatesWithinWatermark(["connector_id", "__key"]).drop("__key")
+
+
+def run_deduped_stream(spark, landed_dir: str, out: str, checkpoint: str, within: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Land the pushes without repeats: files written once; returns all of them so far."""
+    reader = spark.readStream.schema(PUSH_SCHEMA)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    found = dedupe_pushes(reader.json(landed_dir), within)
+    q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(found.schema).parquet(out)
