@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from sluice.functions.jsonpath import read_instant, read_monotonic_id
 from sluice.functions.timefmt import overlap_seconds
+from sluice.operators.extract import page_records_array
+from sluice.sources.landed import PAGES_SCHEMA
 
 STATE_COLUMNS = ("connector_id", "ts", "last_id")
 ROLLING_END_OFFSET_S = 60      # fixed value: rolling window end = as_of + 1 minute
@@ -154,3 +156,61 @@ def slice_window(src: DataFrame, t_col: str, start, end, closed: bool = False) -
     if closed:
         return src.filter(t.isNull() | ((t >= s) & (t <= e)))
     return src.filter((t >= s) & (t < e))
+
+
+ZONE_SCHEMA = "file string, lo timestamp, hi timestamp, n bigint, open bigint"
+
+
+def add_zones(spark, landed: str, zones: str, input_root: str, field: str, fmt: str = "parquet") -> int:
+    """W9 over landed pages: notes the smallest and largest ``field`` (an instant
+    inside the JSON body, which Parquet statistics cannot reach) of each page
+    file, its records, and those without the field, in the table at ``zones``.
+    Only files that it does not list yet are read. Returns the files added.
+
+    Page files are never changed once landed, and their paths hold no character
+    that a URI escapes. Files that hold no page have no zone: they are always read."""
+    pages = spark.read.schema(PAGES_SCHEMA).format(fmt).load(landed)
+    files = spark.createDataFrame([(f,) for f in pages.inputFiles()], "path string").withColumn("file", _file_name(F.col("path")))
+    known = _zones(spark, zones)
+    if known is not None:
+        files = files.join(known.select("file"), "file", "left_anti")
+    new = [r["path"] for r in files.select("path").collect()]
+    if not new:
+        return 0
+    found = spark.read.schema(PAGES_SCHEMA).format(fmt).load(new).select(_file_name(F.col("_metadata.file_path")).alias("file"), page_records_array(F.col("body"), input_root).alias("recs"))
+    records = found.select("file", F.explode_outer("recs").alias("rec"))
+    t = read_instant(F.col("rec"), field)
+    made = records.groupBy("file").agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count("rec").alias("n"), F.count_if(F.col("rec").isNotNull() & t.isNull()).alias("open"))
+    made.select("file", "lo", "hi", "n", "open").coalesce(8).write.mode("append").parquet(zones)
+    return len(new)
+
+
+def _file_name(path: Column) -> Column:
+    """A path with one slash after its scheme: listings and rows write local ones differently."""
+    return F.regexp_replace(path, r"^([A-Za-z0-9]+):/+", "$1:/")
+
+
+def _zones(spark, zones: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(zones)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(ZONE_SCHEMA).parquet(zones).dropDuplicates(["file"])
+
+
+def pages_within(spark, landed: str, zones: str, start, end, closed: bool = False, fmt: str = "parquet") -> DataFrame:
+    """The pages of the files whose zone meets the slice (as in ``slice_window``;
+    ``closed`` keeps records without a time, so their files too), and of files
+    that have no zone yet. Their records are still to be sliced. The names of
+    the files go through the driver, as those of any scan do."""
+    names = spark.read.schema(PAGES_SCHEMA).format(fmt).load(landed).inputFiles()
+    listed = spark.createDataFrame([(f,) for f in names], "path string").withColumn("file", _file_name(F.col("path")))
+    known = _zones(spark, zones)
+    if known is not None:
+        s, e = _lit_ts(start), _lit_ts(end)
+        meets = (F.col("hi") >= s) & ((F.col("lo") <= e) if closed else (F.col("lo") < e))
+        keep = F.coalesce(meets, F.lit(False)) | ((F.col("open") > 0) if closed else F.lit(False))
+        listed = listed.join(known.select("file", keep.alias("keep")), "file", "left").filter(F.coalesce("keep", F.lit(True)))
+    chosen = [r["path"] for r in listed.select("path").collect()]
+    if not chosen:
+        return spark.createDataFrame([], PAGES_SCHEMA)
+    return spark.read.schema(PAGES_SCHEMA).format(fmt).load(chosen)

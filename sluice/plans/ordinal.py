@@ -18,6 +18,7 @@ blocks of their own.
 """
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -58,8 +59,10 @@ def _ranges(lo: int, hi: int, keyed: int, at: Sequence[int], block: int) -> list
     less than half a block join the next, but for those at the ends. Keys spread so
     evenly that no block of one width would hold over twice its share have one range."""
     width = max(1, (hi - lo + 1) * block // max(keyed, 1))
-    points = [(lo, 0.0), *zip(at, SHARES), (hi + 1, 1.0)]
-    if all((above - share) * keyed <= 2 * block * max(1.0, (end - start) / width) for (start, share), (end, above) in zip(points, points[1:])):
+    points, held = [(lo, 0.0), *zip(at, SHARES), (hi + 1, 1.0)], defaultdict(float)
+    for (start, share), (end, above) in zip(points, points[1:]):
+        held[(start - lo) // width] += (above - share) * keyed / max(1.0, (end - start) / width)
+    if max(held.values()) <= 2 * block:
         return [(lo, width, 0)]
     cuts, last = [(lo, 0.0)], lo
     for key, share in zip(at, SHARES):

@@ -196,6 +196,39 @@ def t4_expression(spark, sf):
     return _rows(spark, sf, steps).rows.select("event_id", "amount", "kind", "big")
 
 
+@register("t5_expression_operators", """
+SELECT event_id, CASE WHEN value > 300 AND event_type <> 'error' THEN upper(event_type) || '-' || CAST(user_id AS VARCHAR) ELSE 'none' END AS label,
+  user_id % 7 IN (1, 2) AS picked, CAST(json_extract(props, '$.k') AS BIGINT) BETWEEN 10 AND 50 AS mid FROM events""")
+def t5_expression_operators(spark, sf):
+    """Allowed operators and functions over record placeholders, nested ones too."""
+    steps = [{"type": "expression", "expressions": [
+        ("label", "case when ${record.value:double} > 300 and ${record.event_type} <> 'error' then upper(${record.event_type}) || '-' || ${record.user_id} else 'none' end"),
+        ("picked", "${record.user_id:bigint} % 7 in (1, 2)"), ("mid", "${record.props.k:bigint} between 10 and 50")]}]
+    return _rows(spark, sf, steps).rows.select(_get("$.event_id").alias("event_id"), "label", "picked", "mid")
+
+
+@register("t16_strict_run", """
+SELECT event_id, user_id, value FROM events WHERE event_type <> 'error'""")
+def t16_strict_run(spark, sf):
+    """A strict run in which every record converts gives all rows (a bad one raises: see the unit tests)."""
+    steps = [{"type": "filter", "condition": "${record.event_type} <> 'error'"}, {"type": "map_fields", "mappings": T2_MAPPINGS[:3]}]
+    recs = X.extract_records(rich_event_pages(spark, sf), "$.data")
+    return T.transform_strict(recs, steps).select("event_id", "user_id", "value")
+
+
+@register("t18_cut_samples", """
+SELECT user_id, least(2000, length('{"name":"","user_id":' || CAST(user_id AS VARCHAR) || '}') + 5 * sum(length(event_type))) AS n_chars
+FROM events GROUP BY user_id""")
+def t18_cut_samples(spark, sf):
+    """Error samples of records of very different length: cut at 2000 characters."""
+    ev = read_table(spark, sf, "events")
+    long = ev.groupBy("user_id").agg(F.sum(5 * F.length("event_type")).cast("int").alias("n"))
+    rec = F.concat(F.lit('{"name":"'), F.repeat(F.lit("x"), F.col("n")), F.lit('","user_id":'), F.col("user_id").cast("string"), F.lit("}"))
+    recs = X.extract_records(land_pages(long, F.concat(F.lit("u"), F.col("user_id").cast("string")), "user_id", rec), "$.data")
+    bad = T.transform(recs, [{"type": "map_fields", "mappings": [{"source": "$.name", "target": "name", "type": "long"}]}], max_errors=None).errors
+    return bad.select(F.substring("connector_id", 2, 20).cast("bigint").alias("user_id"), F.length("sample_json").alias("n_chars"))
+
+
 T7_STEPS = [
     {"type": "filter", "condition": "${record.event_type} <> 'error'"},
     {"type": "map_fields", "mappings": [

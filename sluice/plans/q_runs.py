@@ -7,6 +7,7 @@ from sluice.functions.timefmt import iso_instant_text
 from sluice.operators import extract as X
 from sluice.operators import runs as J
 from sluice.operators import sinks as K
+from sluice.operators import tables as B
 from sluice.operators import transform as T
 from sluice.operators import watermark as W
 from sluice.session import scratch_path
@@ -348,6 +349,25 @@ def k10_written_counts(spark, sf):
     return spark.createDataFrame(rows, "write_mode string, written bigint")
 
 
+@register("k5_first_column_key", """
+SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
+def k5_first_column_key(spark, sf):
+    """A sink without configured keys: the first mapped column is the key."""
+    ev = read_table(spark, sf, "events").select("user_id", "event_id", F.lit(0).alias("page_idx"), F.col("event_id").alias("pos"))
+    return K.upsert(None, ev, K.default_keys(ev.columns, None)).select("user_id", "event_id")
+
+
+@register("k7_empty_batches", """
+SELECT user_id, event_id, 0 AS written_by_empty FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1""")
+def k7_empty_batches(spark, sf):
+    """A batch without rows after a full one writes nothing and loses nothing."""
+    ev = read_table(spark, sf, "events").select("user_id", "event_id", F.lit(0).alias("page_idx"), F.col("event_id").alias("pos"))
+    table, sink = scratch_path(spark, "k7"), K.route("parquet")
+    sink(ev, table=table, keys=["user_id"])
+    none = sink(ev.filter(F.lit(False)), table=table, keys=["user_id"])
+    return B.read_table(spark, table).select("user_id", "event_id", F.lit(none).cast("int").alias("written_by_empty"))
+
+
 @register("k4_record_columns", """
 SELECT c AS "column", count(*) AS n_records FROM (SELECT unnest(['event_id', 'ts', 'ts_ms', 'ts_dahua', 'ts_meiya',
   'ts_mixed', 'user_id', 'event_type', 'value', 'amount_text', 'qty', 'flag', 'rid', 'tags', 'props']) AS c FROM events)

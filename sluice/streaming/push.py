@@ -152,7 +152,8 @@ def dedupe_pushes(events: DataFrame, within: str, id_field: str = "EventID", tim
     whose event times lie within ``within``; adds ``event_id``, ``event_time``.
 
     The state holds a key until the watermark has passed its time by the delay,
-    whatever the length of the stream. A push later than the delay is dropped
+    whatever the length of the stream; until the
+    batch after that, any push of that key is a repeat. A push later than the delay is dropped
     (and counted in the query's progress): where late pushes must land, the
     keyed table (``process_batch``) is the way. Pushes without an id are never
     repeats of each other: they pass, one by request, for U3 to reject. One

@@ -52,9 +52,11 @@ class AlertState(StatefulProcessor):
         self.seen = handle.getValueState("seen", "streak bigint, seconds array<bigint>, counts array<bigint>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        came = [r for part in rows for r in zip(part["id"].tolist(), part["at"].tolist(), part["failed"].tolist())]
-        self.waiting.appendList(came)
-        self.handle.registerTimer(self._due(min(at for _, at, _ in came)))
+        parts = [part[~part["beat"]] for part in rows]
+        came = [r for part in parts for r in zip(part["id"].tolist(), part["at"].tolist(), part["failed"].tolist())]
+        if came:
+            self.waiting.appendList(came)
+            self.handle.registerTimer(self._due(min(at for _, at, _ in came)))
         yield pd.DataFrame(columns=["connector_id", "id", "at", "alert", "failures"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -122,8 +124,9 @@ def read_runs_stream(spark, landed: str, max_files_per_trigger: int | None = Non
 def alerts(runs: DataFrame, delay: str, streak: int = 3, window_s: int = J.FAILURE_WINDOW_SECONDS, least: int = 3) -> DataFrame:
     """J16 and J17 over a stream of runs: ``(connector_id, id, started_at, alert, failures)``,
     where ``failures`` is the streak so far, or the failures in the window."""
-    timed = runs.filter(F.col("started_at").isNotNull()).withWatermark("started_at", delay).filter(F.col("id").isNotNull())
-    given = timed.select("connector_id", "id", "started_at", F.unix_micros("started_at").alias("at"), F.coalesce(F.col("status") == J.FAILED, F.lit(False)).alias("failed"))
+    timed = runs.filter(F.col("started_at").isNotNull()).withWatermark("started_at", delay)
+    # Heartbeats go on to the state, which passes over them: a filter here would be pushed below the watermark.
+    given = timed.select("connector_id", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("beat"), "started_at", F.unix_micros("started_at").alias("at"), F.coalesce(F.col("status") == J.FAILED, F.lit(False)).alias("failed"))
     found = given.groupBy("connector_id").transformWithStateInPandas(
         AlertState(streak, window_s, least), outputStructType=ALERT_SCHEMA, outputMode="append", timeMode="EventTime")
     return found.select("connector_id", "id", F.timestamp_micros("at").alias("started_at"), "alert", "failures")
@@ -143,18 +146,19 @@ def run_statistics(spark, landed: str, table: str, checkpoint: str, aggregate: C
     """J1, J19 kept up to date: a streaming aggregate in update mode; each
     micro-batch writes the groups it has changed into a keyed table, named by
     stream and batch, so a replayed batch changes nothing. The state holds one
-    row a group (connector, or day and connector), not the runs. Rows without
-    an id (heartbeats) don't count."""
+    row a group (connector, or day and connector), not the runs. A null key is a
+    group of its own. Rows without an id (heartbeats) don't count."""
     changed = aggregate(read_runs_stream(spark, landed, max_files_per_trigger).filter(F.col("id").isNotNull()))
 
     def batch(df, bid):
         # The batch number orders the states of a group; it is there as the run.
-        B.upsert_table(df.withColumn("run_id", F.lit(bid).cast("bigint")), table, list(keys), writer=stream_id(spark, checkpoint), batch_id=bid)
+        named = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        B.upsert_table(df.withColumn("group_key", named).withColumn("run_id", F.lit(bid).cast("bigint")), table, ["group_key"], writer=stream_id(spark, checkpoint), batch_id=bid)
 
     with state_store(spark):
         q = changed.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return B.read_table(spark, table).drop("run_id")
+    return B.read_table(spark, table).drop("run_id", "group_key")
 
 
 def total_of(by_connector: DataFrame) -> DataFrame:
