@@ -39,6 +39,10 @@ def record_json(cols: dict[str, Column]) -> Column:
                      {"ignoreNullFields": "false"})
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def land_pages(df: DataFrame, connector: Column, order: str, record: Column,
                page_size: int = 100, root: str = "data", total: bool = True,
                run_id: int = 1, tiebreak: Sequence[str] = (),
@@ -52,19 +56,18 @@ def land_pages(df: DataFrame, connector: Column, order: str, record: Column,
     has-more fields, ``link`` a ``Link`` header pointing at the next page.
     ``empty_tail`` appends the empty page an API returns after the last one.
     """
-    rows = df.select(connector.alias("connector_id"), F.col(order).alias("__ord"),
-                     *[F.col(c).alias(f"__tb{i}") for i, c in enumerate(tiebreak)],
-                     record.alias("__rec"))
-    rows = with_ordinal(rows, ["connector_id"], "__ord", out="__rn",
-                        tiebreak=[f"__tb{i}" for i in range(len(tiebreak))], key_kind=key_kind,
-                        total="__total")
-    rows = rows.select("connector_id", (F.col("__rn") / page_size).cast("int").alias("page_idx"),
-                       (F.col("__rn") % page_size).cast("int").alias("pos"), "__rec", "__total")
+    names = [f"__tb{i}" for i in range(len(tiebreak))]
+    rows = df.select("*", connector.alias("__conn"), F.col(order).alias("__ord"), *[F.col(c).alias(n) for c, n in zip(tiebreak, names)])
+    rows = with_ordinal(rows, ["__conn"], "__ord", out="__rn", tiebreak=names, key_kind=key_kind, total="__total")
+    # The columns a record needs travel to its page, and its text is made there: building and parsing JSON costs far
+    # more than its bytes show, so the number of partitions is the session's and not one chosen by bytes.
+    rows = rows.withColumns({"__page": (F.col("__rn") / page_size).cast("int"), "__pos": (F.col("__rn") % page_size).cast("int")})
+    rows = rows.repartition(shuffle_partitions(df), "__conn", "__page").withColumn("__rec", record)
     # Group totals ride along from the ordinal's block table, so no join
     # (which a constant connector id would turn into a cartesian product).
-    pages = rows.groupBy("connector_id", "page_idx").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "__rec"))).alias("__items"),
-        F.first("__total").alias("__total"))
+    pages = rows.groupBy("__conn", "__page").agg(
+        F.array_sort(F.collect_list(F.struct("__pos", "__rec"))).alias("__items"),
+        F.first("__total").alias("__total")).withColumnsRenamed({"__conn": "connector_id", "__page": "page_idx"})
     pages = pages.withColumn("__last", ((F.col("__total") - 1) / page_size).cast("int"))
     if empty_tail:
         tail = pages.filter(F.col("page_idx") == F.col("__last")).select(
@@ -368,7 +371,9 @@ def part_specs(spec_rows: DataFrame) -> DataFrame:
                    F.lit('":{"parameters":[{"name":"X-Tenant","in":"header"}],"get":{'), opid, summ,
                    F.lit('"description":'), jstr(F.col("p_type")), F.lit(',"parameters":['), params, F.lit("]}"),
                    post, F.lit("}}}"))
-    return spec_rows.select(F.col("p_partkey").alias("spec_id"), doc.alias("doc"))
+    # Few bytes and much work a document: dealt before, by the number of partitions.
+    dealt = spec_rows.repartition(shuffle_partitions(spec_rows), "p_partkey")
+    return dealt.select(F.col("p_partkey").alias("spec_id"), doc.alias("doc"))
 
 
 def read_pages(spark, path: str, fmt: str = "parquet", connectors: Sequence[str] | None = None,
