@@ -64,6 +64,8 @@ def test_decontamination_of_empty_tables(make_docs, spark):
     assert decontam.contaminated(docs, none).count() == 0 and decontam.remove_contaminated(docs, none).count() == 1
     assert decontam.contaminated(make_docs([]), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")).count() == 0
     assert all(decontam.miss_probability(s) < 1e-6 for s in range(1, 5000))
+    cut = {s: max(decontam.miss_probability(s, before=b) for b in range(math.ceil(0.8 * s) + 1)) for s in range(1, 300)}
+    assert cut.pop(5) < 1.5e-6 and max(cut.values()) < 1e-7 and all(m < 1e-12 for s, m in cut.items() if s >= 17)
 
 
 def simulate(parts):
