@@ -62,10 +62,11 @@ def land_pages(df: DataFrame, connector: Column, order: str, record: Column,
     # The columns a record needs travel to its page, and its text is made there: building and parsing JSON costs far
     # more than its bytes show, so the number of partitions is the session's and not one chosen by bytes.
     rows = rows.withColumns({"__page": (F.col("__rn") / page_size).cast("int"), "__pos": (F.col("__rn") % page_size).cast("int")})
-    rows = rows.repartition(shuffle_partitions(df), "__conn", "__page").withColumn("__rec", record)
+    # Dealt by a hash column: a constant connector is folded out of the grouping, and by the keys themselves it would be shuffled again.
+    rows = rows.withColumn("__deal", F.xxhash64("__conn", "__page")).repartition(shuffle_partitions(df), "__deal").withColumn("__rec", record)
     # Group totals ride along from the ordinal's block table, so no join
     # (which a constant connector id would turn into a cartesian product).
-    pages = rows.groupBy("__conn", "__page").agg(
+    pages = rows.groupBy("__deal", "__conn", "__page").agg(
         F.array_sort(F.collect_list(F.struct("__pos", "__rec"))).alias("__items"),
         F.first("__total").alias("__total")).withColumnsRenamed({"__conn": "connector_id", "__page": "page_idx"})
     pages = pages.withColumn("__last", ((F.col("__total") - 1) / page_size).cast("int"))
