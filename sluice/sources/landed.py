@@ -68,7 +68,7 @@ def land_pages(df: DataFrame, connector: Column, order: str, record: Column,
     # (which a constant connector id would turn into a cartesian product).
     pages = rows.groupBy("__deal", "__conn", "__page").agg(
         F.array_sort(F.collect_list(F.struct("__pos", "__rec"))).alias("__items"),
-        F.first("__total").alias("__total")).withColumnsRenamed({"__conn": "connector_id", "__page": "page_idx"})
+        F.first("__total").alias("__total")).drop("__deal").withColumnsRenamed({"__conn": "connector_id", "__page": "page_idx"})
     pages = pages.withColumn("__last", ((F.col("__total") - 1) / page_size).cast("int"))
     if empty_tail:
         tail = pages.filter(F.col("page_idx") == F.col("__last")).select(
