@@ -37,7 +37,9 @@ def extract_records(pages: DataFrame, input_root: str | None = "$.data",
     arr = (F.when(F.col("__k") == "array", F.try_variant_get("__r", "$", "array<variant>"))
             .when(F.col("__k") != "null", F.array(F.col("__r"))))
     sized = staged.select(*keep, arr.alias("__a"), F.size(arr).alias("page_n"))
-    return sized.select(*keep, "page_n", F.posexplode("__a").alias("pos", "rec"))
+    # An inner explode is preceded by a filter on its array, which moves to the
+    # scan with the parse inlined at each mention; this one filters after it.
+    return sized.select(*keep, "page_n", F.posexplode_outer("__a").alias("pos", "rec")).filter(F.col("pos").isNotNull())
 
 
 def page_record_counts(pages: DataFrame, input_root: str | None = "$.data") -> DataFrame:
@@ -130,7 +132,7 @@ def walk_paths(records: DataFrame, rec_col: str = "rec", max_depth: int | None =
                 .when(k == "object", F.concat(F.array(done_self), kids_obj))
                 .when(k == "array", F.concat(F.array(done_self), F.coalesce(kids_arr, F.array().cast(f"array<{node}>"))))
                 .otherwise(F.array(done_self)))
-        cur = cur.select(*group, F.explode(nxt).alias("n"))
+        cur = cur.select(*group, F.explode_outer(nxt).alias("n"))       # never empty; an inner explode would evaluate the array again to see that
     return cur.select(*group, F.col("n.rpath").alias("path"), F.col("n.v").alias("v")).filter(F.col("path") != "$")
 
 
@@ -147,5 +149,8 @@ def path_catalogue(records: DataFrame, rec_col: str = "rec", max_depth: int | No
                .when(~kk.isin("object", "array"), jtext(F.col("v"), kk)))
     # A path occurs at most once per record (only element 0 of an array is
     # walked), so a plain count is the number of records containing it.
-    return out.groupBy(*group, "path").agg(
-        F.count(F.lit(1)).alias("n_records"), F.min(sample).alias("sample"))
+    # By sample first: that aggregate hashes, while the smallest text needs a
+    # sort, which holds the distinct samples only and not each record's values.
+    each = out.groupBy(*group, "path", sample.alias("sample")).agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*group, "path").agg(
+        F.sum("n").alias("n_records"), F.min("sample").alias("sample"))

@@ -150,11 +150,14 @@ def map_fields_step(df: DataFrame, mappings: Sequence[dict] | None, decimal_scal
         val, bad = convert(F.col(f"__v{i}"), typ, m.get("source_format"), m.get("target_format"),
                            scale=int(m.get("scale", decimal_scale)),
                            kind=F.col(f"__k{i}"), text=F.col(f"__s{i}"))
-        outs.append(val.alias(target))
+        outs.append(val.alias(f"__o{i}"))
         errs.append(F.when(bad, F.concat(
             F.lit(f"cannot convert field '{target}' to {typ}: "), F.coalesce(F.col(f"__s{i}"), F.lit("")))))
     err = F.coalesce(*[F.col(c) for c in prev_err], *errs) if (prev_err or n > 1) else errs[0]
-    return st.select(*meta, *outs, err.alias(ERR), "__sample")
+    # Out of a generator: a filter on the error would else move below the stages
+    # with all of them inlined, and convert every record once more.
+    made = st.select(*meta, "__sample", F.explode_outer(F.array(F.struct(*outs, err.alias(ERR)))).alias("__made"))
+    return made.select(*meta, *[F.col("__made")[f"__o{i}"].alias(m["target"]) for i, m in enumerate(mappings)], F.col("__made")[ERR].alias(ERR), "__sample")
 
 
 def expression_step(df: DataFrame, expressions: dict[str, str] | Sequence[tuple[str, str]] | None) -> DataFrame:
