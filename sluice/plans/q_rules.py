@@ -11,7 +11,7 @@ from sluice.operators import extract as X
 from sluice.operators import infer as I
 from sluice.plans.registered import register
 from sluice.session import scratch_path
-from sluice.sources.landed import event_pages, read_pages, read_table
+from sluice.sources.landed import dealt, event_pages, read_pages, read_table
 
 CONFIGS = """(SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS connector_id, c_custkey AS k FROM customer)"""
 
@@ -46,7 +46,7 @@ def s1_config_defaults(spark, sf):
     rest = pick((k % 7 == 1, ',"transform":{"input_root":"$"}'), (k % 7 != 0, ',"sink":{"type":"","target":{"table":"t"},"keys":["id"]}'),
                 (k % 2 == 0, ',"mode":"push","schedule":{"type":"interval"}'))
     text = F.when(k % 18 == 8, F.lit("[1]")).when(k % 9 == 8, F.lit("{broken")).otherwise(F.concat(F.lit("{"), http, paging, inc, rest, F.lit("}")))
-    c = read_table(spark, sf, "customer").select(F.concat(F.lit("cust-"), k.cast("string")).alias("connector_id"), text.alias("config"))
+    c = dealt(read_table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(F.concat(F.lit("cust-"), k.cast("string")).alias("connector_id"), text.alias("config"))
     return C.parse_configs(c).select(
         "connector_id", "config_mode", "http.body_type", "http.timeout_ms", "pagination.strategy", F.array_join("pagination.stop_when", ",").alias("stop_when"),
         "pagination.total_source", "pagination.max_pages", F.col("incremental.mode").alias("inc_mode"), "incremental.response_path", "incremental.request_param",
@@ -92,7 +92,7 @@ def x8_deep_paths(spark, sf):
     rec = F.struct(F.col("c_custkey").alias("leaf"))
     for i in range(DEPTH, 0, -1):
         rec = F.struct(rec.alias(f"l{i}"))
-    c = read_table(spark, sf, "customer").select(F.parse_json(F.to_json(rec)).alias("rec"))
+    c = dealt(read_table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(F.parse_json(F.to_json(rec)).alias("rec"))
     return X.path_catalogue(c)
 
 
@@ -129,7 +129,7 @@ def _ref_specs(spark, sf):
     doc = F.concat(F.lit('{"servers":[{"url":" "},{"url":"http://h/api/"}],"paths":{"parts":{"get":{"operationId":"'), F.when(k % 5 == 0, F.lit("***")).otherwise(F.concat(F.lit("List Parts "), k.cast("string"))),
                    F.lit('","parameters":['), params, F.lit('],"responses":{'), ok, F.lit('}},"put":{"requestBody":{"content":{"application/json":{"schema":{"$ref":"#/components/schemas/Part"}}}}}}},'
                          '"components":{"parameters":{"Skip":{"name":"Skip","in":"query","schema":{"type":"integer"}}},'), schemas, F.lit("}}"))
-    return O.operations(read_table(spark, sf, "part").select(k.alias("spec_id"), doc.alias("doc")))
+    return O.operations(dealt(read_table(spark, sf, "part").select("p_partkey"), "p_partkey").select(k.alias("spec_id"), doc.alias("doc")))
 
 
 @register("o3_references", """

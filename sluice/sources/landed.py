@@ -43,6 +43,11 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of few bytes and much work each, dealt over the session's partitions: a scan makes its tasks by bytes."""
+    return rows.repartition(shuffle_partitions(rows), key)
+
+
 def land_pages(df: DataFrame, connector: Column, order: str, record: Column,
                page_size: int = 100, root: str = "data", total: bool = True,
                run_id: int = 1, tiebreak: Sequence[str] = (),
@@ -305,7 +310,7 @@ def push_requests(spark, sf_dir: str) -> DataFrame:
     (the previous event's id) for every 10th+1; a wrong sign for every 13th;
     ``ImageUrl`` instead of ``ImgUrl`` for every 4th; a non-numeric
     EventType for every 37th."""
-    ev = read_table(spark, sf_dir, "events")
+    ev = dealt(read_table(spark, sf_dir, "events"), "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
     ts = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
     event_id = (F.when(eid % 50 == 0, F.lit(""))
@@ -372,9 +377,7 @@ def part_specs(spec_rows: DataFrame) -> DataFrame:
                    F.lit('":{"parameters":[{"name":"X-Tenant","in":"header"}],"get":{'), opid, summ,
                    F.lit('"description":'), jstr(F.col("p_type")), F.lit(',"parameters":['), params, F.lit("]}"),
                    post, F.lit("}}}"))
-    # Few bytes and much work a document: dealt before, by the number of partitions.
-    dealt = spec_rows.repartition(shuffle_partitions(spec_rows), "p_partkey")
-    return dealt.select(F.col("p_partkey").alias("spec_id"), doc.alias("doc"))
+    return dealt(spec_rows, "p_partkey").select(F.col("p_partkey").alias("spec_id"), doc.alias("doc"))
 
 
 def read_pages(spark, path: str, fmt: str = "parquet", connectors: Sequence[str] | None = None,
