@@ -17,7 +17,7 @@ from sluice.operators import watermark as W
 from sluice.plans.registered import iso_ts, register
 from sluice.session import scratch_path
 from sluice.sources.landed import (
-    customer_connectors, event_pages, land_pages, order_pages, prior_state, read_table,
+    customer_connectors, dealt, event_pages, land_pages, order_pages, prior_state, read_table,
     rich_event_pages, user_connectors,
 )
 
@@ -577,7 +577,7 @@ ONE_RULE = """(SELECT 'cust-' || CAST(c_custkey AS VARCHAR) AS connector_id, CAS
 def _one_rule_pages(spark, sf):
     """Four pages a customer; on page 2 just one stop rule fires: an empty
     page (kind 0), a blank cursor or missing link (1), has-more false (2)."""
-    c = read_table(spark, sf, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_idx"))
+    c = dealt(read_table(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("page_idx"))
     kind, here = F.col("c_custkey") % 3, F.col("page_idx") == 2
     data = F.when((kind == 0) & here, F.lit("[]")).otherwise(F.lit('[{"k":1}]'))
     nxt = F.when((kind == 1) & here, F.lit("  ")).otherwise(F.concat(F.lit("c"), F.col("page_idx").cast("string")))
@@ -589,9 +589,10 @@ def _one_rule_pages(spark, sf):
 
 
 def _stops(pages, by):
+    """Each rule's stops beside the pages. The pages are made from a few bytes a customer, so their size is not known: no side is broadcast."""
     out = pages.select("connector_id", "page_idx")
     for name, f in by.items():
-        out = out.join(f(pages).select("connector_id", "page_idx", F.col("stop").alias(name)), ["connector_id", "page_idx"])
+        out = out.join(f(pages).select("connector_id", "page_idx", F.col("stop").alias(name)).hint("merge"), ["connector_id", "page_idx"])
     return out
 
 
