@@ -10,7 +10,7 @@ from sluice.operators import runs as J
 from sluice.operators import tables as B
 from sluice.plans.registered import FLAGSHIP_STEPS, ORACLE, register
 from sluice.session import scratch_path
-from sluice.sources.landed import event_pages, land_pages, push_connectors, push_requests, read_table, run_log
+from sluice.sources.landed import dealt, event_pages, land_pages, push_connectors, push_requests, read_table, run_log, shuffle_partitions
 from sluice.streaming import runs as R
 from sluice.streaming.pages import run_pages_stream
 from sluice.streaming.push import run_deduped_stream, run_push_stream
@@ -33,12 +33,18 @@ ACCEPTED = f"""(SELECT * FROM {PUSH_SQL} WHERE k IN (0, 1) AND EventID <> '' AND
   AND NOT (k = 0 AND eid % 13 = 0))"""
 
 
-def _run_push(spark, sf, files: int = 4):
+def _files_a_batch(landed, batches: int) -> int:
+    """Files of one micro-batch, if a file a partition has landed and ``batches`` of them are to take all: their number does not grow with the partitions."""
+    return -(-shuffle_partitions(landed) // batches)
+
+
+def _run_push(spark, sf, batches: int = 4):
     land = scratch_path(spark, "push-landed")
-    push_requests(spark, sf).repartition(files, "seq").sortWithinPartitions("seq").write.json(land)
+    sent = push_requests(spark, sf)
+    sent.sortWithinPartitions("seq").write.json(land)
     out = scratch_path(spark, "push-out")
     return run_push_stream(spark, land, push_connectors(spark, sf), PUSH_MAPPINGS, out,
-                           scratch_path(spark, "push-ckpt"), max_files_per_trigger=1)
+                           scratch_path(spark, "push-ckpt"), max_files_per_trigger=_files_a_batch(sent, batches))
 
 
 @register("u6_push_stream_table", f"""
@@ -88,10 +94,11 @@ def s3_page_stream_flagship(spark, sf):
     """The flagship as a stream of landed page files (several micro-batches):
     the final table equals the batch result."""
     land = scratch_path(spark, "pages-landed")
-    event_pages(spark, sf, page_size=100).repartition(4, "page_idx").write.parquet(land)
+    pages = event_pages(spark, sf, page_size=100)
+    pages.write.parquet(land)
     table = scratch_path(spark, "pages-table")
     run_pages_stream(spark, land, "$.data", FLAGSHIP_STEPS, ["user_id"], table,
-                     scratch_path(spark, "pages-ckpt"), max_files_per_trigger=1)
+                     scratch_path(spark, "pages-ckpt"), max_files_per_trigger=_files_a_batch(pages, 4))
     return B.read_table(spark, table).select("event_id", "user_id", "value", "k", "ts")
 
 
@@ -112,7 +119,7 @@ def s3_second_run_wins(spark, sf):
     steps = [{"type": "map_fields", "mappings": [{"source": "$.event_id", "target": "event_id", "type": "long"},
                                                  {"source": "$.user_id", "target": "user_id", "type": "long"},
                                                  {"source": "$.value", "target": "value", "type": "double"}]}]
-    run_pages_stream(spark, f"{land}/*", "$.data", steps, ["event_id"], table, scratch_path(spark, "runs-ckpt"), max_files_per_trigger=4)
+    run_pages_stream(spark, f"{land}/*", "$.data", steps, ["event_id"], table, scratch_path(spark, "runs-ckpt"), max_files_per_trigger=2 * _files_a_batch(first, 4))
     return B.read_table(spark, table).select("event_id", "user_id", "value")
 
 
@@ -121,19 +128,20 @@ SELECT connector_id, event_id, event_name FROM (SELECT 'push-0' AS connector_id
   (SELECT 'EVT-' || CAST(event_id AS VARCHAR) AS event_id, event_type AS event_name FROM events)""")
 def u6_two_connectors(spark, sf):
     """Two connectors push the same event ids: each keeps its own rows."""
-    ev = read_table(spark, sf, "events")
+    ev = dealt(read_table(spark, sf, "events").select("event_id", "event_type"), "event_id")
     eid = F.concat(F.lit("EVT-"), F.col("event_id").cast("string"))
     body = F.to_json(F.struct(eid.alias("EventID"), F.col("event_type").alias("EventName")))
     sign = F.lower(F.md5(F.concat(F.lit("ivsp_"), eid)))
     sent = [ev.select(F.lit(c).alias("connector_id"), F.concat(F.lit(f"{c}-"), F.col("event_id").cast("string")).alias("request_id"),
                       sign.alias("sign"), F.col("event_id").alias("seq"), body.alias("body")) for c in ("push-0", "push-1")]
     land = scratch_path(spark, "two-landed")
-    sent[0].unionByName(sent[1]).repartition(3, "seq").write.json(land)
+    for d in sent:
+        d.write.mode("append").json(land)
     conns = spark.createDataFrame([("push-0", "push", True, True, True, "ivsp"), ("push-1", "both", True, True, False, "ivsp")],
                                   "connector_id string, mode string, published boolean, webhook_enabled boolean, verify_sign boolean, plat_flag string")
     out = scratch_path(spark, "two-out")
     table, _, _ = run_push_stream(spark, land, conns, [m for m in PUSH_MAPPINGS if m["target"] in ("event_id", "event_name")], out,
-                                  scratch_path(spark, "two-ckpt"), max_files_per_trigger=1)
+                                  scratch_path(spark, "two-ckpt"), max_files_per_trigger=2 * _files_a_batch(ev, 3))
     return B.read_table(spark, table).select("connector_id", "event_id", "event_name")
 
 
@@ -176,7 +184,7 @@ def u6_restarted_stream(spark, sf):
     land, out = scratch_path(spark, "push-landed"), scratch_path(spark, "push-out")
     sent, conns = push_requests(spark, sf), push_connectors(spark, sf)
     for n in range(2):
-        sent.filter(F.col("seq") % 2 == n).coalesce(2).write.mode("append").json(land)
+        sent.filter(F.col("seq") % 2 == n).write.mode("append").json(land)
         run_push_stream(spark, land, conns, PUSH_MAPPINGS, out, scratch_path(spark, "push-ckpt"))
     return B.read_table(spark, f"{out}/table").select("connector_id", "event_id", "event_name")
 
@@ -187,12 +195,15 @@ PARTS = 5
 def _landed_in_parts(rows, at, land: str, swap_s: int, write) -> None:
     """Land the rows in files that follow each other in time, but for a third
     of them, which lands up to ``swap_s`` seconds' worth of rows later."""
-    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    staged = scratch_path(rows.sparkSession, "parts")      # the rows are made once, by all tasks
+    rows.withColumn("__t", at).write.parquet(staged)
+    rows, ids = rows.sparkSession.read.parquet(staged), [c for c in ("id", "request_id") if c in rows.columns]
+    lo, hi = rows.agg(F.min("__t"), F.max("__t")).first()
     span = ((hi or 0) - (lo or 0)) // PARTS + 1
-    late = F.when(F.xxhash64(*[c for c in ("id", "request_id") if c in rows.columns]) % 3 == 0, swap_s).otherwise(0)
-    part = F.least(F.floor((at + late - F.lit(lo or 0)) / F.lit(span)), F.lit(PARTS - 1))
+    late = F.when(F.xxhash64(*ids) % 3 == 0, swap_s).otherwise(0)
+    part = F.least(F.floor((F.col("__t") + late - F.lit(lo or 0)) / F.lit(span)), F.lit(PARTS - 1))
     for n in range(PARTS):
-        write(rows.filter(part == n).coalesce(2), land)
+        write(rows.filter(part == n).drop("__t").repartition(2, *ids), land)
 
 
 def _landed_runs(spark, sf) -> str:
