@@ -94,31 +94,25 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Column, out: str, ro
     map-side combine; two-level prefix sums of those counts give each bucket
     its first number, and only the rows of one bucket are sorted together. A
     group with a third of all rows is so spread over a third of the buckets'
-    tasks. Without ``null_groups`` no group is null: a plain join then deals
-    the rows as the window needs them, and they are shuffled once, not twice."""
-    h, b, sup, n, off, soff, r = fresh(df, "h", "bucket", "super", "n", "off", "soff", "r")
+    tasks. A plain join deals the rows as the window needs them, so they are
+    shuffled once; with ``null_groups`` its key is a struct of the group, which
+    is never null and equal where all its fields are equal or null."""
+    h, b, sup, n, off, soff, whole = fresh(df, "h", "bucket", "super", "n", "off", "soff", "group")
     buckets = min(max(rows // 512, 64), 1 << 20)
     d = df.withColumn(h, order)
+    if null_groups and group:
+        d, group = d.withColumn(whole, F.struct(*group)), [whole]
     d = d.withColumn(b, F.floor(unit_hash(F.col(h)) * buckets).cast("long"))
     counts = d.groupBy(*group, b).agg(F.count(F.lit(1)).alias(n)).withColumn(sup, F.floor(F.col(b) / 1024))
     sums = counts.groupBy(*group, sup).agg(F.sum(n).alias(soff))
     before = Window.partitionBy(*group).orderBy(sup).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, sup, F.coalesce(F.sum(soff).over(before), F.lit(0)).alias(soff))
     inner = Window.partitionBy(*group, sup).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    keys = [*group, sup]
-    counts = null_safe_join(counts.select(*group, b, sup, F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(off)), sums, keys)
+    counts = counts.select(*group, b, sup, F.coalesce(F.sum(n).over(inner), F.lit(0)).alias(off)).join(sums, [*group, sup])
     first = counts.select(*group, b, (F.col(off) + F.col(soff)).alias(off))
-    j = null_safe_join(d, first, [*group, b]) if null_groups else d.join(first, [*group, b])
+    j = d.join(first, [*group, b])
     w = Window.partitionBy(*group, b).orderBy(h, *ties)
-    return j.withColumn(out, (F.row_number().over(w) - 1 + F.col(off)).cast("long")).drop(h, b, off)
-
-
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which null keys meet; the right side's keys are dropped."""
-    names = {k: f"__r_{i}_{k}" for i, k in enumerate(keys)}
-    r = right.withColumnsRenamed(names)
-    cond = [left[k].eqNullSafe(r[v]) for k, v in names.items()]
-    return left.join(r, cond, how).drop(*names.values())
+    return j.withColumn(out, (F.row_number().over(w) - 1 + F.col(off)).cast("long")).drop(h, b, off, whole)
 
 
 def group_count(total: int, per_group: int, least: int = 1) -> int:

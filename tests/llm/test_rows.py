@@ -1,4 +1,5 @@
 """Decontamination, mixing, sharding, URL filters, language ID and licences on small inputs, against brute force."""
+import collections
 import math
 import random
 import re
@@ -121,6 +122,32 @@ def test_mix_order_and_empty(make_docs):
     assert mixing.in_mix_order(make_docs([])).count() == 0
 
 
+def texts_shuffled(frame, capsys):
+    """Shuffles of the plan, of those with the texts."""
+    frame.explain("formatted")
+    return len([x for x in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", capsys.readouterr().out) if re.search(r"\btext#", x)])
+
+
+def test_the_mix_shuffles_texts_once_and_null_sources_meet(make_docs, spark, capsys):
+    rows = [(i, f"t{i}", None if i % 3 else ("", "a", "null")[i % 9 // 3]) for i in range(700)] + [(None, None, None), (3, "t3", None), (3, "t3", None)]
+    docs = make_docs(rows)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        mixed = mixing.mix(docs)
+        before = texts_shuffled(docs, capsys)
+        assert texts_shuffled(mixed, capsys) - before == 1
+        assert texts_shuffled(mixing.in_mix_order(docs), capsys) - before == 2
+        out = mixed.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    places = {}
+    for x in out:
+        places.setdefault(x["source"], []).append(x["block"] * 8 + x["place"])
+    assert {k: len(v) for k, v in places.items()} == collections.Counter(r[2] for r in rows)
+    assert all(sorted(v) == list(range(len(v))) for v in places.values())
+
+
 def test_shards_move_only_into_the_new_one(make_docs):
     rows = [(i, "x" * (i % 7)) for i in range(4000)] + [(7, "again"), (7, "again"), (None, None), (None, "é")]
     out = sharding.shard(make_docs(rows), sharding.topology(8), grown=sharding.topology(9), carry=["doc_id"]).collect()
