@@ -242,15 +242,15 @@ def transform_strict(records: DataFrame, steps: Sequence[dict] | None,
     """Like ``transform`` but a bad record fails the query that reads the
     result, with its run-wide index and message. Nothing runs when the plan is
     built: the first bad record of each run, found by an aggregate over the
-    bad rows, rides in through a join and raises there."""
+    bad rows, is a row of the result that raises when it is read, also if only
+    a column of it is, or none. A join would hold the good rows of a run in
+    one task, or broadcast them all where the run keys are constants."""
     res = transform(records, steps, max_errors=1, run_keys=run_keys)
     text = F.concat(F.lit(STRICT_PREFIX + "record "), F.col("record_index").cast("string"), F.lit(": "), F.col("message"))
     first = res.errors.groupBy(*run_keys).agg(F.min_by(text, "record_index").alias("__why"))
-    # A full outer join: a run without one good row fails too.
-    flag = F.lit(True)
-    rows = res.rows.withColumn("__row", flag).join(first, list(run_keys), "full_outer")
-    ok = F.when(F.col("__why").isNotNull(), F.raise_error(F.col("__why")).cast("boolean")).otherwise(F.col("__row"))
-    return rows.filter(ok).select(*res.rows.columns)
+    fail = F.raise_error(F.col("__why"))
+    bad = first.filter(fail.cast("boolean")).select(*[fail.cast(f.dataType).alias(f.name) for f in res.rows.schema])
+    return bad.unionByName(res.rows)       # the bad ones first: a limit reads them before it has its rows
 
 
 def preview(records: DataFrame, steps: Sequence[dict] | None, limit: int = 10,

@@ -49,6 +49,24 @@ def test_strict_mode_raises_first_index(spark):
     assert sorted(r["id"] for r in fine.collect()) == [1, 2]
 
 
+def test_strict_rows_of_one_connector_are_not_joined(spark):
+    """With constant run keys a full join of the rows is a nested loop, for which the driver broadcasts them all."""
+    from sluice.operators.extract import extract_records
+    from sluice.operators.transform import transform_strict
+    from sluice.sources.landed import land_pages
+    steps = [{"type": "map_fields", "mappings": [{"source": "id", "target": "id", "type": "long"}]}]
+
+    def run(record):
+        return transform_strict(extract_records(land_pages(spark.range(250), F.lit("one"), "id", record), "$.data"), steps)
+    fine = run(F.to_json(F.struct("id")))
+    assert "FullOuter" not in fine._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in fine.collect()) == list(range(250))
+    bad = run(F.to_json(F.struct(F.when(F.col("id") >= 207, F.lit("x")).otherwise(F.col("id").cast("string")).alias("id"))))
+    for read in (bad.limit(1), bad.filter("id = 3"), bad.select(F.lit(1))):
+        with pytest.raises(Exception, match="strict transform failed: record 207: "):
+            read.collect()
+
+
 @pytest.mark.parametrize("text", [
     "reflect('java.lang.System', 'exit', 0)", "(select 1)", "`reflect`('java.lang.Math','abs',-3)", "reflect/**/('java.lang.Math','abs',-3)",
     "current_timestamp", "unix_timestamp()", "JAVA_METHOD('java.lang.Math','abs',-3)", "a in (select 1)", "exists(select 1)", "uuid()", "rand() > 0.5",
