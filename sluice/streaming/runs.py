@@ -2,7 +2,9 @@
 
 ``run_alerts`` keeps per connector what an alert needs: the length of the
 current failure streak, the failures of the trailing window as counts per
-second, and the runs that wait for the watermark. Runs are judged in the order
+second, and the runs that wait for the watermark. Connectors are dealt over
+``parts`` by their id, and the state of a part is held and judged as one
+table, so the calls to the state store don't grow with the connectors. Runs are judged in the order
 (started_at, id) once the watermark has passed the end of their second, so the
 alerts don't depend on how the log is cut into micro-batches, and equal the
 batch operators' on the same log. A run later than the delay is dropped by
@@ -11,15 +13,18 @@ place in event time: the batch operators judge them. A row without an id only
 moves the watermark, as a heartbeat of an idle log.
 
 The state of a connector is bounded by the runs within the delay, and by the
-seconds of the window; connectors are dealt by their id, and a hot one costs
-its runs of one micro-batch, which ``max_files_per_trigger`` bounds.
+seconds of the window; a part costs the runs of its connectors in one
+micro-batch, which ``max_files_per_trigger`` bounds, and a hot connector's
+stand in one part.
 """
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,78 +45,135 @@ SECOND = 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Parts of a log's connectors. A call of the state costs some milliseconds, whatever it brings. More parts, smaller
+# tables and more tasks; a checkpoint must go on with the number it began with.
+PARTS = 128
+FOUND = ("connector_id", "id", "at", "alert", "failures")
+WAITING = pa.schema([("connector_id", pa.string()), ("id", pa.int64()), ("at", pa.int64()), ("failed", pa.bool_())])
+STREAKS = pa.schema([("connector_id", pa.string()), ("streak", pa.int64())])
+TRAILING = pa.schema([("connector_id", pa.string()), ("second", pa.int64()), ("n", pa.int64())])
+
+
+def _packed(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    with pa.ipc.open_stream(pa.py_buffer(bytes(data))) as r:
+        return r.read_all()
+
+
+def _codes(tables: list[pa.Table]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The connectors of the tables, and the number of each row's; null is a connector too."""
+    each = pa.chunked_array([c for t in tables for c in t["connector_id"].chunks], pa.string()).combine_chunks().dictionary_encode("encode")
+    numbers = each.indices.to_numpy(zero_copy_only=False)
+    return each.dictionary, np.split(numbers.astype(np.int64), np.cumsum([len(t) for t in tables])[:-1])
+
+
 class AlertState(StatefulProcessor):
-    """Failure streaks of ``streak`` runs, and ``least`` failures within ``window_s`` seconds (both ends included)."""
+    """Failure streaks of ``streak`` runs, and ``least`` failures within ``window_s`` seconds (both ends included),
+    of the connectors of one part, each by its own runs."""
 
     def __init__(self, streak: int, window_s: int, least: int):
         self.streak, self.window_s, self.least = streak, window_s, least
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "id bigint, at bigint, failed boolean")
-        self.seen = handle.getValueState("seen", "streak bigint, seconds array<bigint>, counts array<bigint>")
+        self.waiting = handle.getListState("waiting", "runs binary")
+        self.seen = handle.getValueState("seen", "streaks binary, trailing binary")
+        self.next = handle.getValueState("next", "due bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [part[~part["beat"]] for part in rows]
-        came = [r for part in parts for r in zip(part["id"].tolist(), part["at"].tolist(), part["failed"].tolist())]
-        if came:
-            self.waiting.appendList(came)
-            self.handle.registerTimer(self._due(min(at for _, at, _ in came)))
-        yield pd.DataFrame(columns=["connector_id", "id", "at", "alert", "failures"])
+        came = [pa.Table.from_pandas(part.loc[~part["beat"], WAITING.names], WAITING, preserve_index=False) for part in rows]
+        came = pa.concat_tables(came) if came else WAITING.empty_table()
+        if len(came):
+            self.waiting.appendValue((_packed(came),))
+            self._wake(came)
+        yield pd.DataFrame(columns=FOUND)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.waiting.get()]
-        due = sorted((at, i, failed) for i, at, failed in waiting if self._due(at) <= now)
-        rest = [r for r in waiting if self._due(r[1]) > now]
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(self._due(min(at for _, at, _ in rest)))
+        waiting = pa.concat_tables([WAITING.empty_table(), *[_unpacked(r[0]) for r in self.waiting.get()]])
+        is_due = self._due(waiting["at"].to_numpy()) <= now
+        rest = waiting.filter(pa.array(~is_due))
+        self.next.clear()                # its timer is the one that expired
+        if len(rest):
+            self.waiting.put([(_packed(rest),)])
+            self._wake(rest)
         else:
             self.waiting.clear()
-        found = self._judge(due)
-        yield pd.DataFrame([(key[0], *f) for f in found], columns=["connector_id", "id", "at", "alert", "failures"])
+        yield self._judge(waiting.filter(pa.array(is_due)))
 
     def close(self) -> None:
         pass
 
+    def _wake(self, runs: pa.Table) -> None:
+        """One timer a part: when its first run falls due."""
+        due = int(self._due(runs["at"].to_numpy().min()))
+        before = self.next.get()[0] if self.next.exists() else None
+        if before is None or due < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+            self.next.update((due,))
+
     @staticmethod
-    def _due(at: int) -> int:
+    def _due(at):
         """The watermark (ms) at which every run of this second has come."""
         return (at // SECOND + 1) * 1000
 
-    def _judge(self, due: list[tuple[int, int, bool]]) -> list[tuple[int, int, str, int]]:
-        if not due:
-            return []
-        run, seconds, counts = self.seen.get() if self.seen.exists() else (0, [], [])
-        trailing, found = dict(zip(seconds, counts)), []
-        for at, _, failed in due:       # whole seconds are due together: runs of one second count for each other
-            if failed:
-                trailing[at // SECOND] = trailing.get(at // SECOND, 0) + 1
-        for at, i, failed in due:
-            run = run + 1 if failed else 0
-            if run >= self.streak:
-                found.append((i, at, STREAK, run))
-        for s in sorted({at // SECOND for at, _, failed in due if failed}):
-            n = sum(c for t, c in trailing.items() if s - self.window_s <= t <= s)
-            if n >= self.least:
-                found += [(i, at, WINDOW, n) for at, i, failed in due if failed and at // SECOND == s]
-        last = due[-1][0] // SECOND - self.window_s
-        kept = sorted((t, c) for t, c in trailing.items() if t >= last)
-        self.seen.update((run, [t for t, _ in kept], [c for _, c in kept]))
-        return found
+    def _judge(self, due: pa.Table) -> pd.DataFrame:
+        if not len(due):
+            return pd.DataFrame(columns=FOUND)
+        streaks, trailing = map(_unpacked, self.seen.get()) if self.seen.exists() else (STREAKS.empty_table(), TRAILING.empty_table())
+        names, (of, of_streak, of_second) = _codes([due, streaks, trailing])
+        ids, at, failed = (due[c].to_numpy() for c in ("id", "at", "failed"))
+        order = np.lexsort((failed, ids, at, of))
+        of, ids, at, failed = of[order], ids[order], at[order], failed[order]
+        second, place = at // SECOND, np.arange(len(of))
+        ends = np.append(of[1:] != of[:-1], True)                       # the last run of each connector
+        first = np.append(0, place[ends][:-1] + 1)[np.cumsum(ends) - ends]
+        # Streaks: runs since the last one that did not fail, and what the connector came with if there is none.
+        before = np.zeros(len(names), np.int64)
+        before[of_streak] = streaks["streak"].to_numpy()
+        broken = np.maximum.accumulate(np.where(failed, first - 1, place))
+        run = place - broken + np.where(broken < first, before[of], 0)
+        before[of[ends]] = run[ends]
+        # Failures a second: whole seconds are due together, so runs of one second count for each other.
+        known = np.append(trailing["second"].to_numpy(), second[failed])
+        seconds, rank = np.unique(known, return_inverse=True)
+        spot, where = np.unique(np.append(of_second, of[failed]) * len(seconds) + rank, return_inverse=True)
+        n = np.bincount(where, np.append(trailing["n"].to_numpy(), np.ones(failed.sum(), np.int64)), len(spot)).astype(np.int64)
+        upto, t, c = np.cumsum(n), seconds[spot % max(len(seconds), 1)], spot // max(len(seconds), 1)
+        since = np.searchsorted(spot, c * len(seconds) + np.searchsorted(seconds, t - self.window_s))
+        within = (upto - upto[since] + n[since])[where[len(trailing):]]   # of each failed run
+        last = np.full(len(names), np.iinfo(np.int64).min)
+        last[of[ends]] = second[ends] - self.window_s
+        kept, on = t >= last[c], np.flatnonzero(before)
+        self.seen.update((_packed(pa.table([names.take(pa.array(on)), before[on]], schema=STREAKS)),
+                          _packed(pa.table([names.take(pa.array(c[kept])), t[kept], n[kept]], schema=TRAILING))))
+        streak, near = np.flatnonzero(run >= self.streak), np.flatnonzero(failed)[within >= self.least]
+        rows = np.append(streak, near)
+        return pd.DataFrame(dict(zip(FOUND, (names.take(pa.array(of[rows])).to_pandas(), ids[rows], at[rows], np.repeat([STREAK, WINDOW], [len(streak), len(near)]),
+                                             np.append(run[streak], within[within >= self.least])))))
 
 
 @contextmanager
-def state_store(spark, provider: str = ROCKSDB):
-    """The state store of the queries started inside; the session keeps its own."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
+def state_store(spark, provider: str = ROCKSDB, most: int | None = None):
+    """The state store of the queries started inside, in at most ``most`` partitions; the session keeps its own."""
+    name, number = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+    before = {n: spark.conf.get(n) for n in (name, number)}
     spark.conf.set(name, provider)
+    if most is not None and most < int(before[number]):
+        spark.conf.set(number, most)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for n, value in before.items():
+            spark.conf.set(n, value)
 
 
 def read_runs_stream(spark, landed: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -121,21 +183,22 @@ def read_runs_stream(spark, landed: str, max_files_per_trigger: int | None = Non
     return r.parquet(landed)
 
 
-def alerts(runs: DataFrame, delay: str, streak: int = 3, window_s: int = J.FAILURE_WINDOW_SECONDS, least: int = 3) -> DataFrame:
+def alerts(runs: DataFrame, delay: str, streak: int = 3, window_s: int = J.FAILURE_WINDOW_SECONDS, least: int = 3, parts: int = PARTS) -> DataFrame:
     """J16 and J17 over a stream of runs: ``(connector_id, id, started_at, alert, failures)``,
     where ``failures`` is the streak so far, or the failures in the window."""
     timed = runs.filter(F.col("started_at").isNotNull()).withWatermark("started_at", delay)
     # Heartbeats go on to the state, which passes over them: a filter here would be pushed below the watermark.
-    given = timed.select("connector_id", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("beat"), "started_at", F.unix_micros("started_at").alias("at"), F.coalesce(F.col("status") == J.FAILED, F.lit(False)).alias("failed"))
-    found = given.groupBy("connector_id").transformWithStateInPandas(
+    part = F.pmod(F.xxhash64("connector_id"), F.lit(parts)).cast("int")
+    given = timed.select(part.alias("part"), "connector_id", F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("beat"), "started_at", F.unix_micros("started_at").alias("at"), F.coalesce(F.col("status") == J.FAILED, F.lit(False)).alias("failed"))
+    found = given.groupBy("part").transformWithStateInPandas(
         AlertState(streak, window_s, least), outputStructType=ALERT_SCHEMA, outputMode="append", timeMode="EventTime")
     return found.select("connector_id", "id", F.timestamp_micros("at").alias("started_at"), "alert", "failures")
 
 
-def run_alerts(spark, landed: str, out: str, checkpoint: str, delay: str, max_files_per_trigger: int | None = None, **kw) -> DataFrame:
+def run_alerts(spark, landed: str, out: str, checkpoint: str, delay: str, max_files_per_trigger: int | None = None, parts: int = PARTS, **kw) -> DataFrame:
     """Judge the landed runs to completion; alerts are files written once. Returns all alerts so far."""
-    found = alerts(read_runs_stream(spark, landed, max_files_per_trigger), delay, **kw)
-    with state_store(spark):
+    found = alerts(read_runs_stream(spark, landed, max_files_per_trigger), delay, parts=parts, **kw)
+    with state_store(spark, most=parts):      # a partition without a part would start a worker in each micro-batch
         q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(found.schema).parquet(out)

@@ -47,6 +47,64 @@ def test_alerts_equal_the_batch_operators_however_the_log_is_cut(spark):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+class Held:
+    """A state variable, or the handle of some, in memory."""
+
+    def __init__(self):
+        self.value, self.timers = None, set()
+
+    getListState = getValueState = lambda self, *_: Held()
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = put = lambda self, value: setattr(self, "value", value)
+    clear = lambda self: setattr(self, "value", None)
+    appendValue = lambda self, value: setattr(self, "value", [*(self.value or []), value])
+    appendList = lambda self, values: setattr(self, "value", [*(self.value or []), *values])
+    registerTimer = lambda self, at: self.timers.add(at)
+    deleteTimer = lambda self, at: self.timers.remove(at)
+
+
+class At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_one_call_judges_all_connectors_of_a_part():
+    """Connectors share a call, each judged by its own runs, and one timer; null is a connector too."""
+    import pandas as pd
+    state, handle = R.AlertState(3, 1800, 3), Held()
+    state.init(handle)
+    names = [None, *[f"c{i}" for i in range(300)]]
+
+    def came(part, seconds):
+        rows = [(n, i * 1000 + s, s * 1_000_000, i % 2 == 0, False) for i, n in enumerate(names) for s in seconds]
+        rows.append(("beat", 0, 9_000_000_000, False, True))
+        list(state.handleInputRows((part,), iter([pd.DataFrame(rows, columns=["connector_id", "id", "at", "failed", "beat"])]), At(0)))
+
+    def judged(ms):
+        handle.timers = {t for t in handle.timers if t > ms}
+        return sorted((str(r[0]), *r[1:]) for d in state.handleExpiredTimer((1,), At(ms), None) for r in d.itertuples(index=False, name=None))
+    came(1, (700, 10, 3000))
+    came(1, (5, 20))
+    assert handle.timers == {6000}
+    failing = [(i, str(n)) for i, n in enumerate(names) if i % 2 == 0]
+    assert judged(21000) == sorted((n, i * 1000 + 20, 20_000_000, kind, 3) for i, n in failing for kind in (R.STREAK, R.WINDOW))
+    assert handle.timers == {701_000}
+    assert judged(3_001_000) == sorted([(n, i * 1000 + s, s * 1_000_000, R.STREAK, k) for i, n in failing for s, k in ((700, 4), (3000, 5))]
+                                       + [(n, i * 1000 + 700, 700_000_000, R.WINDOW, 4) for i, n in failing])
+    assert handle.timers == set()
+
+
+def test_the_state_has_no_partition_without_a_part(spark):
+    folder, ckpt = scratch_path(spark, "t-runs"), scratch_path(spark, "t-ckpt")
+    land(spark, folder, [(i, f"c{i}", 100 * k + i, "failed") for i in range(4) for k in range(3)], [(None, None, 10 ** 6, None)])
+    got = R.run_alerts(spark, folder, scratch_path(spark, "t-alerts"), ckpt, "1 hour", parts=2)
+    assert sorted({r["connector_id"] for r in got.collect()}) == ["c0", "c1", "c2", "c3"]
+    from pathlib import Path
+    assert len([p for p in Path(ckpt.removeprefix("file:"), "state", "0").iterdir() if p.name.isdigit()]) == 2
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_running_statistics_follow_each_batch_and_a_restart(spark):
     folder, table, ckpt = (scratch_path(spark, n) for n in ("t-runs", "t-stats", "t-ckpt"))
     for upto in (40, 80, 120):
