@@ -40,15 +40,18 @@ SHARES = (*TAIL, *[i / 64 for i in range(1, 64)], *[1 - t for t in reversed(TAIL
 ACCURACY = 10000
 
 
-def _bounds(df: DataFrame, key: Column, group: Sequence[str] = ()) -> tuple[int, int, int, int, bool, list[int]]:
+def _bounds(df: DataFrame, key: Column, group: Sequence[str] = (), shares: bool | None = None) -> tuple:
     """Smallest and largest key, rows, rows without a key, whether a group is
-    null, and the keys at ``SHARES``, in one aggregate."""
+    null, and with ``shares`` (the default where no group is given) the keys at
+    ``SHARES``, in one aggregate."""
+    shares = not group if shares is None else shares
     null = F.lit(False)
     for g in group:
         null = null | F.col(g).isNull()
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(key.isNull()).alias("none"), F.max(null).alias("null"),
-               F.percentile_approx(key, list(SHARES), ACCURACY).alias("at")).first()
-    return r["lo"] or 0, r["hi"] or 0, r["n"], r["none"], bool(r["null"]), list(r["at"] or [])
+    at = [F.percentile_approx(key, list(SHARES), ACCURACY).alias("at")] if shares else []
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(key.isNull()).alias("none"), F.max(null).alias("null"), *at).first()
+    found = r["lo"] or 0, r["hi"] or 0, r["n"], r["none"], bool(r["null"])
+    return (*found, list(r["at"] or [])) if shares else found
 
 
 def _ranges(lo: int, hi: int, keyed: int, at: Sequence[int], block: int) -> list[tuple[int, int, int]]:
@@ -131,7 +134,7 @@ def with_ordinal(df: DataFrame, group: Sequence[str], order: str, out: str = "rn
     group = list(group)
     blk = "__blk"
     key = _key_num(F.col(order), key_kind)
-    lo, hi, rows, none, null_group, at = _bounds(df, key, group)
+    lo, hi, rows, none, null_group, at = _bounds(df, key, group, shares=True)
     ranges = _ranges(lo, hi, rows - none, at, block)
     last = ranges[-1][2] + (hi - ranges[-1][0]) // ranges[-1][1]
     # Rows without a key: blocks by a hash, after the last block of keys.
